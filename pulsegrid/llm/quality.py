@@ -18,10 +18,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut_lineage, free_name, space_words, text_or_empty
+from pulsegrid.llm.common import cut_lineage, free_name, space_words, table, text_or_empty
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -237,3 +237,9 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text", prefix: str
     out = out.withColumn(f"{prefix}base_failed", base_failed(prefix))
     out = out.withColumn(f"{prefix}rule", rules.which(features(prefix)))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.col(f"{prefix}rule").isNull())
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, rules).select("doc_id", *STATS[:5], "base_failed", "kept", "rule")
