@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.decontam import OP6_SQL, op6_decontamination
 from pulsegrid.llm.licenses import op7_license_scan
 from pulsegrid.llm.mixing import OP8_SQL, op8_mixing
 from pulsegrid.llm.quality import op3_quality_rules
@@ -14,7 +15,8 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
 }
-ORACLES = {"op2_url_filter": OP2_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL}
