@@ -5,12 +5,14 @@ from __future__ import annotations
 from pulsegrid.llm.decontam import OP6_SQL, op6_decontamination
 from pulsegrid.llm.licenses import op7_license_scan
 from pulsegrid.llm.mixing import OP8_SQL, op8_mixing
+from pulsegrid.llm.pii import op1_pii
 from pulsegrid.llm.quality import op3_quality_rules
 from pulsegrid.llm.sharding import op4_sharding
 from pulsegrid.llm.tokens import op5_token_counts
 from pulsegrid.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
