@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pulsegrid.llm.decontam import OP6_SQL, op6_decontamination
 from pulsegrid.llm.licenses import op7_license_scan
+from pulsegrid.llm.minhash import op10_minhash
 from pulsegrid.llm.mixing import OP8_SQL, op8_mixing
 from pulsegrid.llm.pii import op1_pii
 from pulsegrid.llm.quality import op3_quality_rules
@@ -20,5 +21,6 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
+    "op10_minhash": op10_minhash,
 }
 ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL}
