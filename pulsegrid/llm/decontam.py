@@ -13,6 +13,7 @@ around it to a shuffled join by the same word, which Spark may split where a wor
 Defined results: a null or empty text has no words and no hits and isn't contaminated; an item
 without words matches nothing; a null item id counts as an item in ``n_hit`` but is not listed;
 repeated items count once per item id; repeated documents are judged alike; with no items nothing is contaminated.
+Rows are numbered as they are scanned, so ``docs`` must be a file scan or otherwise give its rows in the same order again.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import LOWER, UPPER, cut_lineage, table, text_or_empty
+from pulsegrid.llm.common import LOWER, UPPER, cut_lineage, small_or_plain, table, text_or_empty
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST_WINDOWS = 200_000
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -103,6 +105,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that aren't contaminated, with the columns of ``docs``."""
+    bad = contamination(docs.select(F.monotonically_increasing_id().alias("number"), F.col(f"`{text}`").alias("text")), items, **options)
+    bad = cut_lineage(bad.where("contaminated").select(F.col("number").alias("__number")))
+    own = docs.withColumn("__number", F.monotonically_increasing_id())
+    return own.join(small_or_plain(bad, bad.count(), MAX_BROADCAST_ROWS), "__number", "left_anti").drop("__number")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")

@@ -64,11 +64,12 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
 
 
-def curriculum(docs: DataFrame, *, size: str, doc_id: str = "doc_id", source: str = "source", seed: int = 17, whole: bool = False, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def curriculum(docs: DataFrame, *, size: str, doc_id: str = "doc_id", source: str = "source", tie: str | None = None, seed: int = 17, whole: bool = False, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Adds source_size, target, taken, passes (how often a part of it is taken) and positions (of each pass).
 
-    ``size`` names a long column.  With ``whole`` the document at the end of a source's last pass
-    is taken wholly or not at all, else as many of its words as are still due.  The names added, and
+    ``size`` names a long column.  With ``whole`` the document at the end of a source's last pass is
+    taken wholly or not at all, else as many of its words as are still due.  ``tie`` names a column that
+    orders rows of equal ids and sizes.  The names added, and
     those that begin with ``__mix``, are replaced if ``docs`` has them.
     """
     col = F.col
@@ -85,7 +86,7 @@ def curriculum(docs: DataFrame, *, size: str, doc_id: str = "doc_id", source: st
     start = F.coalesce(F.sum("__mix_n").over(Window.partitionBy("__mix_s").orderBy("__mix_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = sums.select("__mix_s", "__mix_b", start.alias("__mix_start")).join(targets, col("__mix_s").eqNullSafe(col("source"))).drop("source")
     known = known.select(col("__mix_s").alias("__mix_s2"), col("__mix_b").alias("__mix_b2"), "__mix_start", "source_size", "target", "slope")
-    inner = Window.partitionBy(s, "__mix_b").orderBy("__mix_h", n, *[F.xxhash64(col(f"`{c}`")) for c in docs.columns if c in ("text",)])
+    inner = Window.partitionBy(s, "__mix_b").orderBy("__mix_h", n, *[col(f"`{c}`") for c in (tie,) if c])
     rows = rows.withColumn("__mix_c", F.sum(n).over(inner.rowsBetween(Window.unboundedPreceding, 0)) - n)
     rows = rows.join(small_or_plain(known, count, MAX_BROADCAST_ROWS), s.eqNullSafe(col("__mix_s2")) & (col("__mix_b") == col("__mix_b2")))
     rows = rows.withColumn("__mix_c", col("__mix_c") + col("__mix_start"))
@@ -109,9 +110,17 @@ def by_position(rows: DataFrame, *order: str | Column) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The training order: whole documents, as often as they are taken, with the columns of ``docs``."""
+    t = F.col(f"`{text}`")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_size(t).alias("size"), F.xxhash64(t).alias("tie"))
+    taken = curriculum(packed, size="size", tie="tie", whole=True, **options)
+    return by_position(taken.select("doc", "tie", F.explode("positions").alias("position")), "position", "tie").select("doc.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_size(F.col("text")).alias("size"))
-    rows = curriculum(docs, size="size").withColumn("first_position", F.get("positions", F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_size(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    rows = curriculum(docs, size="size", tie="tie").withColumn("first_position", F.get("positions", F.lit(0)))
     rows = by_position(rows, F.col("first_position").asc_nulls_last(), "doc_id")
     return rows.select("doc_id", "size", "source_size", "target", "taken", "passes")
 

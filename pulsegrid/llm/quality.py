@@ -239,6 +239,15 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text", prefix: str
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.col(f"{prefix}rule").isNull())
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", prefix: str = "__quality_", **options) -> DataFrame:
+    """The documents that pass the base rule and a list learned from ``docs``, with the columns of ``docs``."""
+    rules = fit_quality(docs.select("doc_id", F.col(f"`{text}`").alias("text")), labels, **options)
+    judged = judge(docs, rules, text, prefix)
+    # a filter that Spark pushes below the steps of text_stats would repeat every step in every use of it; it does not pass a row number
+    judged = judged.withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    return judged.where(F.col(f"{prefix}kept") & (F.col(f"{prefix}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit_quality(docs, table(spark, sf_dir, "labels"))

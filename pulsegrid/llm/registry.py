@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pulsegrid.llm.decontam import OP6_SQL, op6_decontamination
 from pulsegrid.llm.licenses import op7_license_scan
 from pulsegrid.llm.minhash import op10_minhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op10_minhash": op10_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL}
