@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.buckets import bucket_links
 from pulsegrid.llm.common import cut_lineage, small_or_plain, table, text_or_empty, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.decontam import words_of
@@ -39,10 +40,10 @@ from pulsegrid.llm.decontam import words_of
 K = 5
 LEAST = 5
 ORDERS = 24
-TURNS = 3
 MAX_BROADCAST_ROWS = 1_000_000
 SEED = 20_001
 MAX_MATRIX = 2_000_000
+MANY_PLACES = 16
 
 
 def _constants(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +116,14 @@ def common_kmers(a: np.ndarray, b: np.ndarray, band: int) -> int:
     places: dict[int, list[int]] = {}
     for i, x in enumerate(a.tolist()):
         places.setdefault(x, []).append(i)
+    # a k-mer with many places is one long bit vector, of which the band is a slice
+    often = {x: sum(1 << (i + band) for i in own) for x, own in places.items() if len(own) > MANY_PLACES}
     width = 2 * band + 1
     full, low, v, out = (1 << width) - 1, -band, (1 << width) - 1, 0
     for x in b.tolist():
         # bit i of v stands for row low + i of a; a zero bit is a step of the subsequence
-        m = 0
-        for i in places.get(x, ()):
+        m = (often[x] >> (low + band)) & full if x in often else 0
+        for i in places.get(x, ()) if x not in often else ():
             if low <= i < low + width:
                 m |= 1 << (i - low)
         if m:
@@ -195,50 +198,9 @@ def verify(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(batches, "a long, b long, d long, na long, nb long")
 
 
-def bucket_links(members: DataFrame, contents_of, turns: int = TURNS) -> DataFrame:
-    """Links (u, v) between members (key, row, n) that share a key; ``contents_of(rows)`` gives their words."""
-    col = F.col
-    contents = contents_of(members.select("row").distinct())
-    waiting, clusters, checked = members, [], []
-    for turn in range(turns):
-        pivots = waiting.groupBy("key").agg(F.min("row").alias("pivot"))
-        met = cut_lineage(waiting.join(pivots, "key"))
-        pairs = met.where("row <> pivot").select(col("pivot").alias("a"), col("row").alias("b")).distinct()
-        found = cut_lineage(verify(pairs, contents))
-        checked.append(found)
-        judged = met.join(found.select(col("a").alias("pivot"), col("b").alias("row"), "d", "na"), ["pivot", "row"], "left")
-        joins = (col("row") == col("pivot")) | (9 * col("d") <= col("n") + col("na"))
-        judged = cut_lineage(judged.select("key", "row", "n", "pivot", F.coalesce("d", F.lit(0)).alias("d"), joins.alias("joins")))
-        clusters.append(judged.where("joins").drop("joins"))
-        waiting = judged.where(~col("joins")).select("key", "row", "n")
-        if waiting.isEmpty():
-            break
-    else:
-        clusters.append(waiting.select("key", "row", "n", col("row").alias("pivot"), F.lit(0).cast("long").alias("d")))
-    known = checked[0]
-    for x in checked[1:]:
-        known = known.unionByName(x)
-    links = known.where("9 * d <= na + nb").select(col("a").alias("u"), col("b").alias("v"))
-    grouped = clusters[0]
-    for x in clusters[1:]:
-        grouped = grouped.unionByName(x)
-    if len(clusters) == 1:
-        return links
-    # clusters of one bucket: their members' distance is at least that of the pivots less both radii
-    size = grouped.groupBy("key", "pivot").agg(F.max("d").alias("r"), F.max("n").alias("n"), F.min("n").alias("low"))
-    other = size.select("key", col("pivot").alias("pivot2"), col("r").alias("r2"), col("n").alias("n2"), col("low").alias("low2"))
-    apart = known.groupBy(col("a").alias("pivot"), col("b").alias("pivot2")).agg(F.min("d").alias("d"))
-    near = size.join(other, "key").where("pivot < pivot2").join(apart, ["pivot", "pivot2"], "left")
-    bound = F.greatest(F.coalesce("d", F.lit(0)) - col("r") - col("r2"), col("low") - col("n2"), col("low2") - col("n"))
-    near = cut_lineage(near.where(9 * bound <= col("n") + col("n2")).select("key", "pivot", "pivot2"))
-    if near.isEmpty():
-        return links
-    left = grouped.select("key", "pivot", col("row").alias("a"), col("n").alias("na"))
-    right = grouped.select("key", col("pivot").alias("pivot2"), col("row").alias("b"), col("n").alias("nb"))
-    rest = near.join(left, ["key", "pivot"]).join(right, ["key", "pivot2"]).where(9 * F.abs(col("na") - col("nb")) <= col("na") + col("nb"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut_lineage(verify(rest, contents))
-    return links.unionByName(more.where("9 * d <= na + nb").select(col("a").alias("u"), col("b").alias("v")))
+def linked(d: Column, na: Column, nb: Column) -> Column:
+    """c / (na + nb - c) >= 0.8, where d = na + nb - 2 c."""
+    return 9 * d <= na + nb
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
@@ -261,7 +223,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         found = rows.select("row", "text").join(small_or_plain(wanted, wanted.count(), MAX_BROADCAST_ROWS), "row", "left_semi")
         return written(found.select("row", word_hashes(col("text")).alias("words")))
 
-    found = components(bucket_links(members, contents_of))
+    contents = contents_of(members.select("row").distinct())
+    links = bucket_links(members.withColumnRenamed("row", "node"), lambda pairs: verify(pairs, contents), linked)
+    found = components(links)
     classes = seen.select("row", "id", "content").join(first, "content").select("row", "id", "rep")
     classes = classes.join(found.select(col("node").alias("rep"), "root"), "rep", "left").select("row", "id", F.coalesce("root", "rep").alias("root"))
     least = F.struct(col("id").isNull().alias("none"), "id", "row")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pulsegrid.llm.decontam import OP6_SQL, op6_decontamination
 from pulsegrid.llm.licenses import op7_license_scan
+from pulsegrid.llm.line_dedup import op9_line_dedup
 from pulsegrid.llm.minhash import op10_minhash
 from pulsegrid.llm.mixing import OP8_SQL, op8_mixing
 from pulsegrid.llm.pii import op1_pii
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_minhash": op10_minhash,
     "pipeline": corpus_pipeline.run,
 }
