@@ -1,10 +1,455 @@
-"""The registered point-process queries and their SQL."""
+"""The registered point-process queries and their SQL.
+
+The event table maps to paths by user, five dimensions by event type in alphabetical order, time in
+hours from a fixed origin, and the value as mark.  Parameters of the five-dimensional models are
+formulas of the dimensions, so that both sides state them alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import baselines, impacts, kernels, scalars
+from pulsegrid.operators import diagnostics, expscan, paths, strata, sums
+from pulsegrid.sources.cascades import longest_suffix
+
+col = F.col
+DIMS, HORIZON = 5, 720.0
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+EV = """ev AS (SELECT event_id, user_id AS path_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS dim,
+  date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 3.6e9 AS t, value AS mark FROM events)"""
+TIED = """od AS (SELECT o_orderkey AS event_id, o_custkey % 50 AS path_id, CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS dim,
+  CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS t, o_totalprice AS mark FROM orders)"""
+OMEGA, BETA, MU = "(0.02 * (1 + (k + 2 * j) % 5))", "(0.5 + 0.1 * ((2 * k + j) % 5))", "(0.01 * (k + 1))"
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    dim = F.lit(None).cast("int")
+    for k, name in enumerate(TYPES):
+        dim = F.when(col("event_type") == name, k).otherwise(dim)
+    return paths.event_frame(e, path="user_id", dim=dim, t=paths.hours("ts"), mark=col("value"), event_id="event_id")
+
+
+def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("path", col("o_custkey") % 50)
+    days = F.datediff(col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    return paths.event_frame(o, path="path", dim=F.substring("o_orderpriority", 1, 1).cast("int") - 1, t=days, mark=col("o_totalprice"), event_id="o_orderkey")
+
+
+def queries_of(spark: SparkSession) -> DataFrame:
+    """Hourly look-up times for the first paths, as a fixed probe table (a feature of the query, not a cap)."""
+    return spark.range(20 * 24).select(col("id").alias("query_id"), (col("id") % 20).alias("path_id"), (col("id") * 1.5).alias("t"))
+
+
+PROBE = "pr AS (SELECT i AS query_id, i % 20 AS path_id, i * 1.5 AS t FROM range(480) AS r(i))"
+
+
+def omega(k: Column, j: Column) -> Column:
+    return F.lit(0.02) * (1 + (k + 2 * j) % 5)
+
+
+def beta(k: Column, j: Column) -> Column:
+    return F.lit(0.5) + F.lit(0.1) * ((2 * k + j) % 5)
+
+
+def mu(k: Column, t: Column | None = None) -> Column:
+    return F.lit(0.01) * (k + 1)
+
+
+def kernel(k: Column, j: Column) -> kernels.Exponential:
+    return kernels.Exponential(omega(k, j), beta(k, j))
+
+
+MU_V = [0.01 * (k + 1) for k in range(DIMS)]
+OMEGA_M = [[0.02 * (1 + (k + 2 * j) % 5) for j in range(DIMS)] for k in range(DIMS)]
+BETA_M = [[0.5 + 0.1 * ((2 * k + j) % 5) for j in range(DIMS)] for k in range(DIMS)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(c: str | Column, digits: int = 8) -> Column:
+    return F.round(c, digits)
+
+
+# --- paths
+
+
+@query(f"WITH {EV} SELECT path_id, dim, event_id, CAST(row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS BIGINT) AS m FROM ev")
+def event_rank(spark, d):
+    return paths.ranked(events_of(spark, d)).select("path_id", "dim", "event_id", "m")
+
+
+@query(f"WITH {EV} SELECT path_id, dim, count(*) AS n, count(*) / 720.0::DOUBLE AS eta FROM ev GROUP BY ALL")
+def counts_eta(spark, d):
+    return paths.counts_and_rates(events_of(spark, d), HORIZON)
+
+
+@query(f"""WITH {EV}, g AS (SELECT path_id, dim, CAST(row_number() OVER w - 1 AS BIGINT) AS m, round(t - lag(t) OVER w, 8) AS gap FROM ev WINDOW w AS (PARTITION BY path_id, dim ORDER BY t, event_id))
+SELECT * FROM g WHERE gap IS NOT NULL""")
+def inter_arrival(spark, d):
+    return paths.inter_arrivals(events_of(spark, d)).withColumn("gap", r("gap"))
+
+
+@query(f"WITH {EV} SELECT event_id, round(720.0 - t, 8) AS t_to_end FROM ev")
+def times_to_end(spark, d):
+    return paths.times_to_end(events_of(spark, d), HORIZON).select("event_id", r("t_to_end").alias("t_to_end"))
+
+
+@query(f"WITH {EV} SELECT event_id, path_id, dim, round(t, 8) AS t FROM ev WHERE t < 360.0")
+def truncate(spark, d):
+    return paths.truncate(events_of(spark, d), 360.0).select("event_id", "path_id", "dim", r("t").alias("t"))
+
+
+@query(f"""WITH {EV}, x AS (SELECT *, row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS m0 FROM ev)
+SELECT event_id, path_id, dim, CAST(row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS BIGINT) AS m FROM x WHERE m0 % 3 <> 1""")
+def censor(spark, d):
+    e = events_of(spark, d)
+    removed = paths.ranked(e).where("m % 3 = 1")
+    return paths.censor(e, removed).select("event_id", "path_id", "dim", "m")
+
+
+KAPPA = "SELECT a.path_id, a.dim AS i, a.m, j, (SELECT count(*) FROM x b WHERE b.path_id = a.path_id AND b.dim = j AND b.t < a.t) - 1 AS kappa FROM x a, range(5) AS g(j)"
+
+
+@query(f"WITH {EV}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS BIGINT) AS m FROM ev), kp AS ({KAPPA}) SELECT path_id, i, m, CAST(j AS INT) AS j, kappa FROM kp")
+def kappa(spark, d):
+    return paths.kappa(events_of(spark, d), DIMS)
+
+
+@query(f"WITH {TIED}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS BIGINT) AS m FROM od), kp AS ({KAPPA}) SELECT path_id, i, m, CAST(j AS INT) AS j, kappa FROM kp")
+def kappa_ties(spark, d):
+    return paths.kappa(orders_of(spark, d), DIMS)
+
+
+LAGS = """l AS (SELECT path_id, i, CAST(j AS INT) AS j, kappa + 1 AS h, count(*) AS n, min(m) AS m FROM kp WHERE kappa >= 0 GROUP BY path_id, i, j, kappa)"""
+
+
+@query(f"WITH {TIED}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS BIGINT) AS m FROM od), kp AS ({KAPPA}), {LAGS} SELECT path_id, i, j, h, CAST(sum(n) OVER (PARTITION BY path_id, i, j ORDER BY h DESC) AS BIGINT) AS size FROM l")
+def lag_sizes(spark, d):
+    return paths.lag_sizes(paths.kappa(orders_of(spark, d), DIMS))
+
+
+@query(f"WITH {TIED}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS BIGINT) AS m FROM od), kp AS ({KAPPA}), {LAGS} SELECT path_id, i, j, h, min(m) OVER (PARTITION BY path_id, i, j ORDER BY h DESC) AS first FROM l")
+def varpi(spark, d):
+    return paths.varpi(paths.kappa(orders_of(spark, d), DIMS))
+
+
+@query(f"WITH {EV}, {PROBE} SELECT query_id, round(e.t, 8) AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
+def next_event(spark, d):
+    return paths.next_event(queries_of(spark), events_of(spark, d)).select("query_id", r("t_event").alias("t_event"), "dim", "mark")
+
+
+@query(f"WITH {EV}, {PROBE} SELECT query_id, round(e.t, 8) AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
+def previous_event(spark, d):
+    return paths.previous_event(queries_of(spark), events_of(spark, d)).select("query_id", r("t_event").alias("t_event"), "dim", "mark")
+
+
+@query(f"""WITH {EV}, {PROBE} SELECT query_id, count(*) FILTER (dim = 0) AS n_0, count(*) FILTER (dim = 1) AS n_1, count(*) FILTER (dim = 2) AS n_2, count(*) FILTER (dim = 3) AS n_3, count(*) FILTER (dim = 4) AS n_4
+FROM pr LEFT JOIN ev e ON pr.path_id = e.path_id AND e.t <= pr.t GROUP BY query_id""")
+def counting_process(spark, d):
+    return paths.counting_process(queries_of(spark), events_of(spark, d), DIMS).drop("path_id", "t")
+
+
+HIST = "h AS (SELECT g.path_id, g.dim, bin, count(e.t) AS n FROM (SELECT DISTINCT path_id, dim FROM ev) g CROSS JOIN range(30) AS b(bin) LEFT JOIN ev e ON e.path_id = g.path_id AND e.dim = g.dim AND e.t >= bin * 24.0 AND (e.t < (bin + 1) * 24.0 OR bin = 29 AND e.t = 720.0) GROUP BY ALL)"
+
+
+@query(f"WITH {EV}, {HIST} SELECT * FROM h")
+def sample_hist(spark, d):
+    return paths.histogram(events_of(spark, d), 24.0, 30)
+
+
+@query(f"WITH {EV}, {HIST} SELECT path_id, dim, bin, n / 24.0::DOUBLE AS intensity FROM h")
+def empirical_intensity(spark, d):
+    return paths.empirical_intensity(events_of(spark, d), 24.0, 30)
+
+
+@query(f"""WITH {EV}, {HIST} SELECT a.path_id, b.dim AS i, a.dim AS j, CAST(lag AS INT) AS lag, round((avg(a.n * b.n) - avg(b.n) * avg(a.n)) / 24.0, 8) AS covariance
+FROM h a CROSS JOIN range(4) AS g(lag) JOIN h b ON a.path_id = b.path_id AND b.bin = a.bin + lag GROUP BY ALL""")
+def empirical_covariance(spark, d):
+    return paths.empirical_covariance(events_of(spark, d), 24.0, 30, 3).withColumn("covariance", r("covariance"))
+
+
+@query(f"""WITH {EV}, p(piece, a, b) AS (VALUES (0, 0.0, 100.0), (1, 100.0, 250.0), (2, 250.0, 720.0)) SELECT dim, piece, count(*) / CAST(b - a AS DOUBLE) AS rate FROM ev JOIN p ON t >= a AND t < b GROUP BY dim, piece, a, b""")
+def interval_rates(spark, d):
+    return paths.interval_rates(events_of(spark, d), [0.0, 100.0, 250.0, 720.0])
+
+
+@query(f"WITH {EV} SELECT dim, count(*) / CAST((SELECT count(*) FROM ev) AS DOUBLE) AS share FROM ev GROUP BY dim")
+def category_shares(spark, d):
+    return paths.category_shares(events_of(spark, d))
+
+
+@query("""WITH s(suffix, country) AS (VALUES ('.com', 'US'), ('.example.com', 'EX'), ('.net', 'NT'), ('.org', 'OR'), ('.example.org', 'EO')),
+p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS url FROM pages)
+SELECT page_id, p.url, arg_max(country, length(suffix)) AS country FROM p LEFT JOIN s ON ends_with(p.url, suffix) AND length(p.url) > length(suffix) GROUP BY page_id, p.url""")
+def suffix_country(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("url"))
+    rows = [(".com", "US"), (".example.com", "EX"), (".net", "NT"), (".org", "OR"), (".example.org", "EO")]
+    known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("suffix"), F.lit(c).alias("country")) for s, c in rows])))
+    return longest_suffix(pages, known)
+
+
+# --- functionals, evaluated at event times modulo ten hours
+
+FUNC: dict[str, tuple[kernels.Kernel, str, str]] = {
+    "exponential": (kernels.Exponential(0.8, 1.3), "0.8 * 1.3 * exp(-1.3 * x)", "0.8 * (1 - exp(-1.3 * x))"),
+    "delayed_exponential": (kernels.DelayedExponential(0.8, 1.3, 2.0), "CASE WHEN x < 2 THEN 0 ELSE 0.8 * 1.3 * exp(-1.3 * (x - 2)) END", "CASE WHEN x < 2 THEN 0 ELSE 0.8 * (1 - exp(-1.3 * (x - 2))) END"),
+    "power_law": (kernels.PowerLaw(0.8, 1.5, 0.7), "0.8 * 1.5 * 0.7 * pow(1 + 0.7 * x, -2.5)", "0.8 * (1 - pow(1 + 0.7 * x, -1.5))"),
+    "delayed_power_law": (kernels.DelayedPowerLaw(0.8, 1.5, 0.7, 1.0), "CASE WHEN x < 1 THEN 0 ELSE 0.8 * 1.5 * 0.7 * pow(1 + 0.7 * (x - 1), -2.5) END", "CASE WHEN x < 1 THEN 0 ELSE 0.8 * (1 - pow(1 + 0.7 * (x - 1), -1.5)) END"),
+    "rayleigh": (kernels.Rayleigh(0.8, 1.7), "0.8 * x / (1.7 * 1.7) * exp(-x * x / (2 * 1.7 * 1.7))", "0.8 * (1 - exp(-x * x / (2 * 1.7 * 1.7)))"),
+    "uniform": (kernels.Uniform(0.8, 3.0, 1.0), "CASE WHEN x < 1 OR x >= 4 THEN 0 ELSE 0.8 / 3.0 END", "0.8 * least(greatest((x - 1) / 3.0, 0), 1)"),
+    "triangular": (
+        kernels.Triangular(0.8, 1.0, 2.0, 3.0),
+        "CASE WHEN x < 1 OR x > 6 THEN 0 WHEN x <= 3 THEN 0.8 * (x - 1) / 2 ELSE 0.8 * (6 - x) / 3 END",
+        "CASE WHEN x <= 1 THEN 0 WHEN x <= 3 THEN 0.8 * (x - 1) * (x - 1) / 4 ELSE 0.8 * (2.5 - greatest(6 - x, 0) * greatest(6 - x, 0) / 6) END",
+    ),
+}
+AT = f"WITH {EV}, p AS (SELECT event_id, t - 10 * floor(t / 10) AS x, mark, dim FROM ev)"
+
+
+def at_times(spark: SparkSession, d: str) -> DataFrame:
+    return events_of(spark, d).select("event_id", (col("t") - 10 * F.floor(col("t") / 10)).alias("x"), "mark", "dim")
+
+
+def _kernel_queries(name: str, k: kernels.Kernel, phi: str, psi: str) -> None:
+    QUERIES[f"kernel_{name}"] = lambda spark, d: at_times(spark, d).select("event_id", r(k.phi(col("x"))).alias("phi"), r(k.psi(col("x"))).alias("psi"))
+    ORACLES[f"kernel_{name}"] = f"{AT} SELECT event_id, round(CAST({phi} AS DOUBLE), 8) AS phi, round(CAST({psi} AS DOUBLE), 8) AS psi FROM p"
+
+
+for _name, (_k, _phi, _psi) in FUNC.items():
+    _kernel_queries(_name, _k, _phi, _psi)
+
+
+@query()
+def kernel_gaussian(spark, d):
+    k = kernels.Gaussian(0.8, 1.2, 3.0)
+    return at_times(spark, d).select("event_id", r(k.phi(col("x"))).alias("phi"), r(k.psi(col("x"))).alias("psi"))
+
+
+@query(f"""{AT} SELECT event_id, round(1.3 * exp(-1.3 * x), 8) AS phi_omega, round(0.8 * (1 - 1.3 * x) * exp(-1.3 * x), 8) AS phi_beta,
+  round(1 - exp(-1.3 * x), 8) AS psi_omega, round(0.8 * x * exp(-1.3 * x), 8) AS psi_beta FROM p""")
+def kernel_gradients(spark, d):
+    k = kernels.Exponential(0.8, 1.3)
+    g, h = k.gradient_phi(col("x")), k.gradient_psi(col("x"))
+    return at_times(spark, d).select("event_id", r(g[0]).alias("phi_omega"), r(g[1]).alias("phi_beta"), r(h[0]).alias("psi_omega"), r(h[1]).alias("psi_beta"))
+
+
+@query(f"""{AT} SELECT event_id, round(0.8 * 0.5 * (1.3 * 0.6 / 1.9) * exp(-0.6 * 0.4) * (1 - exp(-1.9 * x)), 8) AS upsilon,
+  round(0.8 * ((0.3 * 0.4 + 0.2) * (1 - exp(-1.3 * x)) + 0.3 * ((1 - exp(-1.3 * x)) / 1.3 - x * exp(-1.3 * x))), 8) AS k_linear FROM p""")
+def kernel_upsilon(spark, d):
+    k = kernels.Exponential(0.8, 1.3)
+    return at_times(spark, d).select("event_id", r(k.upsilon(kernels.Exponential(0.5, 0.6), col("x"), 0.4)).alias("upsilon"), r(k.linear_k(col("x"), 0.4, 0.3, 0.2)).alias("k_linear"))
+
+
+@query(f"""{AT} SELECT event_id, 0.7::DOUBLE AS constant, round(0.3 * x + 0.2, 8) AS linear, round(0.3 * x * x / 2 + 0.2 * x, 8) AS linear_integral,
+  CAST(CASE WHEN x >= 6 THEN 0.5 WHEN x >= 2 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS pieces,
+  round(1.0 * least(x, 2.0) + 2.0 * greatest(least(x, 6.0) - 2.0, 0) + 0.5 * greatest(x - 6.0, 0), 8) AS pieces_integral,
+  round(0.1 + 0.4 * (1 + cos(1.5 * x + 0.3)), 8) AS cosine, round(0.5 * x + 0.4 * (sin(1.5 * x + 0.3) - sin(0.3)) / 1.5, 8) AS cosine_integral FROM p""")
+def baseline_functions(spark, d):
+    x = col("x")
+    lin, pw, cos = baselines.Linear(0.3, 0.2), baselines.PiecewiseConstant((0.0, 2.0, 6.0), (1.0, 2.0, 0.5)), baselines.Cosine(0.1, 0.4, 1.5, 0.3)
+    return at_times(spark, d).select(
+        "event_id", baselines.Constant(0.7).mu(x).alias("constant"), r(lin.mu(x)).alias("linear"), r(lin.compensator(x)).alias("linear_integral"),
+        pw.mu(x).alias("pieces"), r(pw.compensator(x)).alias("pieces_integral"), r(cos.mu(x)).alias("cosine"), r(cos.compensator(x)).alias("cosine_integral"),
+    )
+
+
+@query(f"""{AT}, q AS (SELECT *, mark / (1 + abs(mark)) AS u FROM p) SELECT event_id, round(1 + 0.01 * mark, 8) AS linear, round(exp(-0.01 * mark), 8) AS exponential,
+  round(CASE WHEN u <= 0 THEN 1 WHEN u >= 1 THEN 1.5 ELSE 1 + 0.5 / (1 + exp(-(ln(u / (1 - u)) - 0.2) / 1.5)) END, 8) AS sigmoid,
+  CAST(CASE dim WHEN 0 THEN 1 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 WHEN 3 THEN 2 ELSE 0.25 END AS DOUBLE) AS categorical FROM q""")
+def impact_functions(spark, d):
+    u = col("mark") / (1 + F.abs("mark"))
+    return at_times(spark, d).select(
+        "event_id", r(impacts.linear(col("mark"), 0.01)).alias("linear"), r(impacts.exponential(col("mark"), 0.01)).alias("exponential"),
+        r(impacts.sigmoid(u, 0.5, 0.2, 1.5)).alias("sigmoid"), impacts.categorical(col("dim"), (0.5, 1.5, 2.0, 0.25)).alias("categorical"),
+    )
+
+
+@query(f"""{AT} SELECT event_id, round(CASE WHEN x = 0 THEN 0 ELSE 1 / (1 / x + 1 / 2.0) END, 8) AS prod_ratio, round(CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + 2.0 / x) END, 8) AS share_ratio,
+  round(exp(-0.5 * pow((x - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())), 8) AS gaussian_pdf, round(1 / (1 + exp(-x)), 8) AS logistic, round(x - 0.6 * sin(x), 8) AS kepler, round(x, 8) AS kepler_back FROM p""")
+def scalar_functions(spark, d):
+    x = col("x")
+    return at_times(spark, d).select(
+        "event_id", r(scalars.prod_ratio(x, 2.0)).alias("prod_ratio"), r(scalars.share_ratio(x, 2.0)).alias("share_ratio"), r(scalars.gaussian_pdf(x, 3.0, 1.2)).alias("gaussian_pdf"),
+        r(scalars.logistic(x)).alias("logistic"), r(scalars.kepler(x, 0.6)).alias("kepler"), r(scalars.inverse_kepler(scalars.kepler(x, 0.6), 0.6, 52)).alias("kepler_back"),
+    )
+
+
+@query()
+def normal_and_gamma(spark, d):
+    x = at_times(spark, d).select("event_id", ((col("x") + 0.5) / 11).alias("u"))
+    return x.select("event_id", r(scalars.normal_cdf(col("u"))).alias("normal"), r(scalars.inverse_normal_cdf(col("u"))).alias("quantile"), r(scalars.gamma_cdf(F.lit(2.5), col("u"))).alias("gamma"), r(scalars.gamma_function(col("u"))).alias("gamma_function"))
+
+
+# --- sums over events and pairs
+
+PAIR = "pr AS (SELECT a.event_id AS m, a.path_id, a.dim AS k, b.dim AS j, a.t, a.t - b.t AS dt, b.mark, a.mark AS mark_m FROM ev a JOIN ev b ON a.path_id = b.path_id AND b.t < a.t)"
+INTENSITY = f"SELECT e.path_id, e.dim AS k, e.event_id AS m, round(0.01 * (e.dim + 1) + coalesce(s, 0), 8) AS intensity FROM ev e LEFT JOIN (SELECT m, sum({OMEGA} * {BETA} * exp(-{BETA} * dt)) AS s FROM pr GROUP BY m) p ON p.m = e.event_id"
+
+
+@query(f"WITH {EV}, {PAIR} {INTENSITY}")
+def intensity_mhp_exp(spark, d):
+    return expscan.exp_intensity(events_of(spark, d), MU_V, OMEGA_M, BETA_M).select("path_id", "k", "m", r("intensity").alias("intensity"))
+
+
+@query(f"WITH {EV}, {PAIR} {INTENSITY}")
+def intensity_mhp_pairs(spark, d):
+    return sums.intensity(events_of(spark, d), kernel, mu).select("path_id", "k", "m", r("intensity").alias("intensity"))
+
+
+@query(f"""WITH {EV}, {PAIR} SELECT e.path_id, e.dim AS k, e.event_id AS m, round(0.01 * (e.dim + 1) + 0.0001 * e.t + coalesce(s, 0), 8) AS intensity FROM ev e
+LEFT JOIN (SELECT m, sum({OMEGA} * {BETA} * exp(-{BETA} * dt) * (1 + 0.001 * mark)) AS s FROM pr GROUP BY m) p ON p.m = e.event_id""")
+def intensity_mtlh(spark, d):
+    base = lambda k, t: mu(k) + F.lit(0.0001) * t
+    return sums.intensity(events_of(spark, d), kernel, base, lambda k, j, x: impacts.linear(x, 0.001), salts=2).select("path_id", "k", "m", r("intensity").alias("intensity"))
+
+
+@query(f"WITH {EV} SELECT CAST(k AS INT) AS k, dim AS j, round(sum({OMEGA.replace('j', 'dim')} * (1 - exp(-{BETA.replace('j', 'dim')} * (720.0 - t)))), 6) AS psi FROM ev, range(5) AS g(k) GROUP BY ALL")
+def psi_sums(spark, d):
+    return sums.psi_sums(events_of(spark, d), kernel, DIMS, HORIZON).withColumn("psi", r("psi", 6))
+
+
+UPS0 = f"SELECT CAST(k AS INT) AS k, j, sum({OMEGA} * {OMEGA} * ({BETA} * {BETA} / ({BETA} + {BETA})) * (1 - exp(-2 * {BETA} * (720.0 - t)))) AS upsilon FROM (SELECT dim AS j, t FROM ev), range(5) AS g(k) GROUP BY ALL"
+OI, BI = OMEGA.replace("j", "i"), BETA.replace("j", "i")
+UPS = f"SELECT CAST(k AS INT) AS k, i, j, sum({OI} * {OMEGA} * ({BI} * {BETA} / ({BI} + {BETA})) * exp(-{BETA} * dt) * (1 - exp(-({BI} + {BETA}) * (720.0 - t)))) AS upsilon FROM (SELECT k AS i, j, t, dt FROM pr), range(5) AS g(k) GROUP BY ALL"
+PHI = f"SELECT k, j, sum({OMEGA} * {BETA} * exp(-{BETA} * dt)) AS phi FROM pr GROUP BY ALL"
+PSI = f"SELECT CAST(k AS INT) AS k, j, sum({OMEGA} * (1 - exp(-{BETA} * (720.0 - t)))) AS psi FROM (SELECT dim AS j, t FROM ev), range(5) AS g(k) GROUP BY ALL"
+
+
+@query(f"WITH {EV}, u AS ({UPS0}) SELECT k, j, round(upsilon, 6) AS upsilon FROM u")
+def upsilon_zero_sums(spark, d):
+    return sums.upsilon_zero_sums(events_of(spark, d), kernel, DIMS, HORIZON).withColumn("upsilon", r("upsilon", 6))
+
+
+@query(f"WITH {EV}, {PAIR}, u AS ({UPS}) SELECT k, i, j, round(upsilon, 6) AS upsilon FROM u")
+def upsilon_sums(spark, d):
+    return sums.upsilon_sums(sums.pairs(events_of(spark, d)), kernel, DIMS, HORIZON).withColumn("upsilon", r("upsilon", 6))
+
+
+@query(f"WITH {EV}, {PAIR}, u AS ({PHI}) SELECT k, j, round(phi, 6) AS phi FROM u")
+def phi_sums(spark, d):
+    return sums.phi_sums(sums.pairs(events_of(spark, d)), kernel).withColumn("phi", r("phi", 6))
+
+
+N = "(SELECT CAST(count(DISTINCT path_id) AS DOUBLE) FROM ev) * 720.0"
+
+
+@query(f"""WITH {EV}, {PAIR}, u0 AS ({UPS0}), u AS ({UPS}), f AS ({PHI}), s AS ({PSI}), z AS (
+  SELECT k, 2 * {MU} * psi / ({N}) AS x FROM s UNION ALL SELECT k, upsilon / ({N}) FROM u0 UNION ALL SELECT k, 2 * upsilon / ({N}) FROM u
+  UNION ALL SELECT k, -2 * phi / ({N}) FROM f UNION ALL SELECT dim AS k, -2 * 0.01 * (dim + 1) * count(*) / ({N}) FROM ev GROUP BY dim
+  UNION ALL SELECT CAST(k AS INT), {MU} * {MU} FROM range(5) AS g(k)) SELECT k, round(sum(x), 8) AS lse FROM z GROUP BY k""")
+def least_squares(spark, d):
+    e = events_of(spark, d)
+    n = e.select("path_id").distinct().count()
+    return sums.least_squares(e, kernel, mu, DIMS, HORIZON, n).withColumn("lse", r("lse"))
+
+
+@query(f"""WITH {EV}, {PAIR}, i AS ({INTENSITY.replace('round(', '(').replace(', 8)', ')')}), s AS ({PSI}) SELECT g.k, round(l - {MU.replace('k', 'g.k')} * ({N}) - p, 5) AS loglik FROM (SELECT CAST(k AS INT) AS k FROM range(5) AS x(k)) g
+JOIN (SELECT k, sum(ln(intensity)) AS l FROM i GROUP BY k) a ON a.k = g.k JOIN (SELECT k, sum(psi) AS p FROM s GROUP BY k) b ON b.k = g.k""")
+def log_likelihood(spark, d):
+    e = events_of(spark, d)
+    n = e.select("path_id").distinct().count()
+    lam = expscan.exp_intensity(e, MU_V, OMEGA_M, BETA_M)
+    return sums.log_likelihood(lam, e, kernel, mu, DIMS, HORIZON, n).withColumn("loglik", r("loglik", 5))
+
+
+COMP = f"c AS (SELECT e.path_id, e.dim AS k, e.event_id AS m, e.t, 0.01 * (e.dim + 1) * e.t + coalesce(s, 0) AS comp FROM ev e LEFT JOIN (SELECT m, sum({OMEGA} * (1 - exp(-{BETA} * dt))) AS s FROM pr GROUP BY m) p ON p.m = e.event_id), res AS (SELECT path_id, k, m, comp - lag(comp) OVER (PARTITION BY path_id, k ORDER BY t, m) AS residual FROM c QUALIFY residual IS NOT NULL)"
+
+
+def residuals_of(spark: SparkSession, d: str) -> DataFrame:
+    return sums.residuals(sums.compensators(events_of(spark, d), kernel, lambda k, t: mu(k) * t))
+
+
+@query(f"WITH {EV}, {PAIR}, {COMP} SELECT path_id, k, m, round(residual, 8) AS residual FROM res")
+def residuals(spark, d):
+    return residuals_of(spark, d).withColumn("residual", r("residual"))
+
+
+@query(f"""WITH {EV}, {PAIR}, {COMP}, o AS (SELECT k, 1 - exp(-greatest(residual, 0)) AS u, row_number() OVER (PARTITION BY k ORDER BY residual) AS i, count(*) OVER (PARTITION BY k) AS n FROM res)
+SELECT k, max(n) AS n, round(max(greatest(i / n::DOUBLE - u, u - (i - 1) / n::DOUBLE)), 8) AS ks FROM o GROUP BY k""")
+def ks_residuals(spark, d):
+    return diagnostics.ks_statistics(residuals_of(spark, d)).withColumn("ks", r("ks"))
+
+
+@query(f"""WITH {EV}, {PAIR}, {COMP}, md AS (SELECT k, quantile_cont(residual, 0.5) AS med FROM res GROUP BY k),
+a AS (SELECT k, m, CAST(residual > med AS INT) AS up FROM res JOIN md USING (k)), b AS (SELECT *, coalesce(abs(up - lag(up) OVER (PARTITION BY k ORDER BY m)), 0) AS ch FROM a)
+SELECT k, CAST(sum(ch) + 1 AS BIGINT) AS runs, CAST(sum(up) AS BIGINT) AS n_above, CAST(sum(1 - up) AS BIGINT) AS n_below FROM b GROUP BY k""")
+def runs_test(spark, d):
+    return diagnostics.runs_test(residuals_of(spark, d)).drop("z")
+
+
+@query(f"""WITH {EV}, {PAIR}, {COMP}, o AS (SELECT k, residual, row_number() OVER (PARTITION BY k ORDER BY residual) AS i, count(*) OVER (PARTITION BY k) AS n FROM res)
+SELECT k, CAST(i AS INT) AS i, round(residual, 8) AS sample, round(-ln(1 - CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END), 8) AS model FROM o""")
+def qq_points(spark, d):
+    return diagnostics.qq_points(residuals_of(spark, d)).select("k", "i", r("sample").alias("sample"), r("model").alias("model"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT path_id, dim, t - lag(t, 3) OVER (PARTITION BY path_id, dim ORDER BY t, event_id) AS gap FROM ev) SELECT path_id, dim, round(sum(exp(-0.7 * gap)), 8) AS total FROM g WHERE gap IS NOT NULL GROUP BY ALL""")
+def exp_lag_sum(spark, d):
+    return expscan.exp_lag_sum(events_of(spark, d), 0.7, 3).withColumn("total", r("total"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT a.path_id, a.event_id AS m, sum(exp(-0.7 * (a.t - b.t))) AS s FROM ev a JOIN ev b ON a.path_id = b.path_id AND b.t < a.t GROUP BY ALL) SELECT path_id, round(sum(s), 6) AS total FROM g GROUP BY path_id""")
+def exp_double_sum(spark, d):
+    e = expscan.exp_sums(events_of(spark, d), [(0.7, F.lit(1.0))], ["s"])
+    return e.groupBy("path_id").agg(r(F.sum("s"), 6).alias("total")).where("total > 0")
+
+
+@query(f"""WITH {EV}, {PAIR}, h AS (SELECT *, row_number() OVER (PARTITION BY m, j ORDER BY dt) AS h FROM pr) SELECT CASE WHEN h <= 5 THEN h - 1 WHEN h <= 10 THEN 5 ELSE 6 END AS stratum, count(*) AS size, round(sum(exp(-0.7 * dt)), 6) AS total FROM h GROUP BY 1""")
+def lag_strata(spark, d):
+    rows = strata.lagged_pairs(sums.pairs(events_of(spark, d)))
+    rows = strata.with_strata(rows, [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 10), (11, 1 << 30)])
+    return rows.groupBy(col("stratum").cast("long").alias("stratum")).agg(F.count(F.lit(1)).alias("size"), r(F.sum(F.exp(-0.7 * col("dt"))), 6).alias("total"))
+
+
+@query()
+def stratified_estimate(spark, d):
+    rows = strata.lagged_pairs(sums.pairs(events_of(spark, d)))
+    rows = strata.with_strata(rows, strata.lag_strata(1 << 20, 5, 6)).select("stratum", "m", "t_n", "j", "dt")
+    return strata.adaptive_sum(rows, F.exp(-0.7 * col("dt")), ["m", "j", "t_n"], 2000)
+
+
+@query(f"""WITH {EV} SELECT round(avg(cnt / 720.0), 8) AS rate, count(*) AS paths, round(stddev_samp(cnt), 8) AS deviation FROM (SELECT path_id, count(*) AS cnt FROM ev GROUP BY path_id)""")
+def poisson_fit(spark, d):
+    n = events_of(spark, d).groupBy("path_id").agg(F.count(F.lit(1)).alias("cnt"))
+    return n.agg(r(F.avg(col("cnt") / 720.0)).alias("rate"), F.count(F.lit(1)).alias("paths"), r(F.stddev_samp("cnt")).alias("deviation"))
+
+
+@query()
+def hawkes_fit(spark, d):
+    """The least-squares fit with fixed decays, as rows (k, j, omega) with mu at j = -1."""
+    import numpy as np
+
+    from pulsegrid.operators import fit
+
+    e = events_of(spark, d)
+    m, w, _ = fit.fit_fixed_decays(e, np.array(BETA_M), HORIZON, e.select("path_id").distinct().count())
+    rows = [(k, -1, float(m[k])) for k in range(DIMS)] + [(k, j, float(w[k, j])) for k in range(DIMS) for j in range(DIMS)]
+    return spark.createDataFrame(rows, "k int, j int, value double")
+
+
+@query()
+def hawkes_simulation(spark, d):
+    import numpy as np
+
+    from pulsegrid.operators import simulate
+
+    mean = np.array(OMEGA_M)
+    out = simulate.simulate_hawkes(spark, paths=20, mu=np.array(MU_V), kernel=lambda k, j: kernels.Exponential(OMEGA_M[k][j], BETA_M[k][j]), mean=mean, horizon=100.0, seed=7)
+    return out.groupBy("path_id", "dim").agg(F.count(F.lit(1)).alias("n"))
