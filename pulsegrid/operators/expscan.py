@@ -34,7 +34,11 @@ def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Se
     totals = rows.groupBy("path_id", "block").agg(*[(F.sum(f"g{i}") * math.exp(-b * width)).alias(f"b{i}") for i, b in enumerate(betas)])
     back = Window.partitionBy("path_id").orderBy("block").rangeBetween(-reach, -1)
     held = totals.withColumn("back", F.collect_list(F.struct("block", *[f"b{i}" for i in range(len(terms))])).over(back))
-    carry = [F.aggregate("back", F.lit(0.0), lambda a, x, i=i, b=b: a + x[f"b{i}"] * F.exp(-b * width * (col("block") - x["block"] - 1))).alias(f"c{i}") for i, b in enumerate(betas)]
+
+    def handed_on(i: int, b: float) -> Column:
+        return F.aggregate("back", F.lit(0.0), lambda a, x: a + x[f"b{i}"] * F.exp(-b * width * (col("block") - x["block"] - 1))).alias(f"c{i}")
+
+    carry = [handed_on(i, b) for i, b in enumerate(betas)]
     held = held.select("path_id", "block", *carry)
     rows = rows.join(held, ["path_id", "block"])
     sums = {n: F.exp(-b * (col("t") - col("start"))) * (col(f"p{i}") + col(f"c{i}")) for i, (n, b) in enumerate(zip(names, betas, strict=True))}

@@ -129,7 +129,7 @@ def histogram(events: DataFrame, period: float, bins: int) -> DataFrame:
     """(path_id, dim, bin, n) over [0, bins * period], every bin of every path and dimension; the last bin holds its right end."""
     at = F.when(col("t") == bins * period, bins - 1).otherwise(F.floor(col("t") / period)).cast("long")
     counted = events.where((col("t") >= 0) & (col("t") <= bins * period)).groupBy("path_id", "dim", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = events.select("path_id", "dim").distinct().select("path_id", "dim", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    grid = events.select("path_id", "dim").distinct().select("path_id", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(counted, ["path_id", "dim", "bin"], "left").select("path_id", "dim", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -100,20 +100,20 @@ def counts_eta(spark, d):
     return paths.counts_and_rates(events_of(spark, d), HORIZON)
 
 
-@query(f"""WITH {EV}, g AS (SELECT path_id, dim, CAST(row_number() OVER w - 1 AS BIGINT) AS m, round(t - lag(t) OVER w, 8) AS gap FROM ev WINDOW w AS (PARTITION BY path_id, dim ORDER BY t, event_id))
+@query(f"""WITH {EV}, g AS (SELECT path_id, dim, CAST(row_number() OVER w - 1 AS BIGINT) AS m, t - lag(t) OVER w AS gap FROM ev WINDOW w AS (PARTITION BY path_id, dim ORDER BY t, event_id))
 SELECT * FROM g WHERE gap IS NOT NULL""")
 def inter_arrival(spark, d):
-    return paths.inter_arrivals(events_of(spark, d)).withColumn("gap", r("gap"))
+    return paths.inter_arrivals(events_of(spark, d))
 
 
-@query(f"WITH {EV} SELECT event_id, round(720.0 - t, 8) AS t_to_end FROM ev")
+@query(f"WITH {EV} SELECT event_id, 720.0 - t AS t_to_end FROM ev")
 def times_to_end(spark, d):
-    return paths.times_to_end(events_of(spark, d), HORIZON).select("event_id", r("t_to_end").alias("t_to_end"))
+    return paths.times_to_end(events_of(spark, d), HORIZON).select("event_id", "t_to_end")
 
 
-@query(f"WITH {EV} SELECT event_id, path_id, dim, round(t, 8) AS t FROM ev WHERE t < 360.0")
+@query(f"WITH {EV} SELECT event_id, path_id, dim, t FROM ev WHERE t < 360.0")
 def truncate(spark, d):
-    return paths.truncate(events_of(spark, d), 360.0).select("event_id", "path_id", "dim", r("t").alias("t"))
+    return paths.truncate(events_of(spark, d), 360.0).select("event_id", "path_id", "dim", "t")
 
 
 @query(f"""WITH {EV}, x AS (SELECT *, row_number() OVER (PARTITION BY path_id, dim ORDER BY t, event_id) - 1 AS m0 FROM ev)
@@ -150,14 +150,14 @@ def varpi(spark, d):
     return paths.varpi(paths.kappa(orders_of(spark, d), DIMS))
 
 
-@query(f"WITH {EV}, {PROBE} SELECT query_id, round(e.t, 8) AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
+@query(f"WITH {EV}, {PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
 def next_event(spark, d):
-    return paths.next_event(queries_of(spark), events_of(spark, d)).select("query_id", r("t_event").alias("t_event"), "dim", "mark")
+    return paths.next_event(queries_of(spark), events_of(spark, d)).select("query_id", "t_event", "dim", "mark")
 
 
-@query(f"WITH {EV}, {PROBE} SELECT query_id, round(e.t, 8) AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
+@query(f"WITH {EV}, {PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
 def previous_event(spark, d):
-    return paths.previous_event(queries_of(spark), events_of(spark, d)).select("query_id", r("t_event").alias("t_event"), "dim", "mark")
+    return paths.previous_event(queries_of(spark), events_of(spark, d)).select("query_id", "t_event", "dim", "mark")
 
 
 @query(f"""WITH {EV}, {PROBE} SELECT query_id, count(*) FILTER (dim = 0) AS n_0, count(*) FILTER (dim = 1) AS n_1, count(*) FILTER (dim = 2) AS n_2, count(*) FILTER (dim = 3) AS n_3, count(*) FILTER (dim = 4) AS n_4
@@ -205,7 +205,7 @@ def suffix_country(spark, d):
     return longest_suffix(pages, known)
 
 
-# --- functionals, evaluated at event times modulo ten hours
+# --- functionals, evaluated at event times modulo ten hours, times a factor that leaves no decimal ties
 
 FUNC: dict[str, tuple[kernels.Kernel, str, str]] = {
     "exponential": (kernels.Exponential(0.8, 1.3), "0.8 * 1.3 * exp(-1.3 * x)", "0.8 * (1 - exp(-1.3 * x))"),
@@ -220,11 +220,11 @@ FUNC: dict[str, tuple[kernels.Kernel, str, str]] = {
         "CASE WHEN x <= 1 THEN 0 WHEN x <= 3 THEN 0.8 * (x - 1) * (x - 1) / 4 ELSE 0.8 * (2.5 - greatest(6 - x, 0) * greatest(6 - x, 0) / 6) END",
     ),
 }
-AT = f"WITH {EV}, p AS (SELECT event_id, t - 10 * floor(t / 10) AS x, mark, dim FROM ev)"
+AT = f"WITH {EV}, p AS (SELECT event_id, (t - 10 * floor(t / 10)) * sqrt(0.8) AS x, mark, dim FROM ev)"
 
 
 def at_times(spark: SparkSession, d: str) -> DataFrame:
-    return events_of(spark, d).select("event_id", (col("t") - 10 * F.floor(col("t") / 10)).alias("x"), "mark", "dim")
+    return events_of(spark, d).select("event_id", ((col("t") - 10 * F.floor(col("t") / 10)) * F.sqrt(F.lit(0.8))).alias("x"), "mark", "dim")
 
 
 def _kernel_queries(name: str, k: kernels.Kernel, phi: str, psi: str) -> None:
