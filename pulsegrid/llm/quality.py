@@ -184,6 +184,8 @@ def learn_decision_list(
     """
     names = [c for c in labelled.columns if c not in ("bad", "fold")]
     cuts = _cuts(labelled, names, bins)
+    if not any(cuts.values()):  # no rows, or no feature that differs between them
+        return DecisionList()
     feats = {f: F.col(f) for f in names}
     rules: list[Rule] = []
     left = labelled
