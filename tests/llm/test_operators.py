@@ -1,0 +1,340 @@
+"""The training-data operators against brute force, on small tables with odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pulsegrid.llm import decontam, licenses, line_dedup, minhash, mixing, pii, quality, sharding, tokens, url_filter
+from pulsegrid.llm.common import written
+
+SCHEMA = "doc_id long, text string, source string, words string, row long, n_words string, shard int, __id int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Null, empty, long, repeated and tied rows, and columns whose names the operators use themselves."""
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdeéß") for _ in range(r.randrange(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    base = prose(120)
+    near = base.split()
+    near[60] = "changed"
+    texts = [None, "", " \n\t ", "!!!", "one", prose(30), base, base, base.upper(), " ".join(near), prose(9000), "same line that is long enough\nsame line that is long enough\n" + prose(25)]
+    texts += ["spam " * 50, prose(40) + "\n" + base, "mail bob.x@mail.example.com now +1 (988) 555-2485 or 10.0.0.7 pay 4111 1111 1111 1111", "same line that is long enougH\n" + prose(22)]
+    rows = [(None if i == 5 else i, t, None if i % 7 == 0 else f"s{i % 3}", "x", 1, "y", 5, 9) for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6]]
+    return written(spark.createDataFrame(rows, SCHEMA).coalesce(2))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words13(t):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def test_pii_base_spans_are_those_of_the_plain_expressions(spark, docs, empty):
+    def plain(t):
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            digits = re.sub("[ -]", "", m[0])
+            if 14 <= len(digits) <= 19 and pii.luhn(digits):
+                out.append((m.start(), 2, m.end()))
+        out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        return sorted(out)
+
+    r = random.Random(3)
+    for _ in range(4000):
+        t = "".join(r.choice("a@.1 +-2(0)é") for _ in range(r.randrange(60)))
+        assert pii.base_spans(t) == plain(t)
+    pii.base_spans("1" * 200_000 + "a@" * 50_000 + "+1" + "(" * 100_000)  # in linear time
+    got = pii.find_pii(docs, keep=("doc_id", "text")).collect()
+    assert len(got) == docs.count()
+    assert all([tuple(s) for s in x.base] == plain(x.text or "") for x in got)
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_pii_learns_contexts_and_finds_unseen_identifiers(spark):
+    r = random.Random(1)
+    rows = [(i, f"noise words here contact phone: +1 (988) 555-{r.randrange(1000, 9999)} thanks") for i in range(40)]
+    rows += [(100, "noise words here contact phone: 988-555-1234 thanks"), (101, "noise room 12 words")]
+    got = {x.doc_id: x for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, pii.KINDS[s.kind], s.end) for s in got[100].added] == [(32, "phone", 44)]
+    assert not got[101].added and all(len(got[i].base) == 1 and not got[i].added for i in range(40))
+
+
+def test_url_rules_equal_brute_force(spark):
+    r = random.Random(5)
+    hosts = ["com", "example.com", "a.example.com", "b.a.example.com", "xexample.com", "net", "org", ""]
+    tails = ["", "/", "/e", "/en/", "/en/7", "/en/77", "/EN/7", "/é\U0010ffff", "?q=/en/7", "#/en/7"]
+    rules = {(r.choice(hosts[:-1]), r.choice(["/", "/e", "/en/", "/en/7", "/en/77", "/é"])): r.choice(["allow", "block"]) for _ in range(12)}
+    rows = [(i, r.choice(["http://", "https://", "x", "A://"]) + r.choice(hosts) + r.choice(tails), "clash") for i in range(400)] + [(400, None, ""), (401, "", "")]
+    rows += [(500 + i, "http://a.example.com/en/7", "hot") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string").repartition(3)
+    got = {x.page_id: x for x in url_filter.filter_urls(pages, url_filter.rule_table(spark, [(h, p, v) for (h, p), v in rules.items()])).collect()}
+    assert len(got) == len(rows)
+    for i, url, _ in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best[2], best[3]), url
+    none = url_filter.filter_urls(pages, url_filter.rule_table(spark, []))
+    assert none.where("verdict = 'allow' and rule is null").count() == len(rows)
+    assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark, url_filter.CONTRACT_RULES)).count() == 0
+
+
+def test_quality_statistics_equal_brute_force(spark, docs, empty):
+    def plain(t):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        n, hit = Counter(windows), set()
+        for i, w in enumerate(windows):
+            if n[w] > 1:
+                hit |= set(range(i, i + 8))
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+    got = quality.text_stats(docs, prefix="q_").collect()
+    assert len(got) == docs.count()
+    for x in got:
+        assert (x.q_n_words, x.q_word_chars, x.q_n_symbols, x.q_n_dup_lines, x.q_n_repeat_words) == plain(x.text)
+    assert quality.text_stats(empty).count() == 0
+
+
+def test_quality_learns_a_rule_and_keeps_clean_documents(spark, docs, empty):
+    r = random.Random(2)
+    rows = [(i, " ".join((r.choice("#*$") if i % 3 == 0 and k % 2 else "") + f"w{r.randrange(500)}" for k in range(60))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(200)] + [(1, None), (None, 0)], "doc_id long, quality int")
+    d = written(spark.createDataFrame(rows, "doc_id long, text string"))
+    rules = quality.fit_quality(d, labels)
+    judged = {x.doc_id: x.kept for x in quality.judge(d, rules).collect()}
+    assert rules.rules and all(judged[i] == (i % 3 != 0) for i in judged)
+    assert {x.doc_id for x in quality.keep_good(d, labels).collect()} == {i for i in judged if judged[i]}
+    assert quality.fit_quality(d, labels.limit(0)).rules == ()
+    kept = quality.keep_good(docs, labels.limit(0))
+    assert kept.columns == docs.columns and quality.keep_good(empty, labels).count() == 0
+
+
+def test_shards_hold_every_row_once_and_differ_by_one(spark, docs, empty):
+    for d, parts in ((docs, 1 << 20), (docs, 200)):
+        rows = sharding.shard_rows(d, shards=5, bucket_bytes=parts).collect()
+        assert len(rows) == d.count()
+        assert Counter((x.doc_id, x.text) for x in rows) == Counter((x.doc_id, x.text) for x in d.collect())
+        slots = defaultdict(list)
+        for x in rows:
+            slots[x.shard].append(x.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert len(slots) == 5 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    again = sharding.shard_rows(docs, shards=5, bucket_bytes=200).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    assert sharding.shard_rows(empty).count() == 0
+    crc = docs.select("text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c")).collect()
+    assert all(x.c == zlib.crc32((x.text or "").encode()) for x in crc)
+
+
+def test_token_counts_equal_the_library(spark, docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(1)
+    odd = ["a" * 3000, "<|endoftext|>hi<|endoftext|> ", "\x1c\x1d a b　 c\x85d", "'s don't I'll  \n\n x", "²½Ⅷ १२३ ͡a", "😀👨‍👩‍👧 é é", " " * 999 + "x"]
+    odd += ["".join(r.choice("ab c'stre\n\t  1²é½😀.,!日本́_-") for _ in range(r.randrange(200))) for _ in range(400)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
+    got = tokens.count_tokens(d, keep=("doc_id", "text")).collect()
+    assert len(got) == d.count()
+    for x in got:
+        assert x.n_tokens == len(t.encode(x.text or "", add_special_tokens=False).ids)
+        assert x.n_bytes == len((x.text or "").encode()) and x.over_limit == (x.n_tokens > 512)
+    assert tokens.count_tokens(empty).count() == 0
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_contamination_equals_brute_force(spark, docs, empty, bound):
+    texts = [x.text for x in docs.where("length(text) > 100").collect()]
+    items = [(1, " ".join(words13(texts[0])[3:25])), (2, "one"), (3, None), (4, "?!"), (None, " ".join(words13(texts[1])[5:20])), (5, " ".join(words13(texts[0])[3:25])), (6, "absent words " * 20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words13(t)
+        for s in range(max(1, len(w) - 12)) if w else ():
+            windows[tuple(w[s : s + 13])].add(i)
+    got = decontam.contamination(docs, bench, max_broadcast=bound)
+    assert got.count() == docs.count()
+    for x in got.collect():
+        w, hit, found = words13(x.text), set(), set()
+        for n in {len(k) for k in windows}:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in windows:
+                    hit |= set(range(s, s + n))
+                    found |= windows[tuple(w[s : s + n])] - {None}
+        ids = sorted(map(str, found))
+        assert (x.n_words, x.n_hit, x.n_items) == (len(w), len(hit), len(ids))
+        assert x.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+        assert x.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
+    clean = decontam.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == got.where("not contaminated").count()
+    assert decontam.contamination(empty, bench).count() == 0
+    assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_license_phrases_tags_and_expressions(spark, docs, empty):
+    texts = ["Under the MIT License, and cc-by; the GNU General\nPublic License. mit\u00e9 license", "x\nSPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0\nmit license", None, "", "Apache License apache license"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    a, b, c, d, e = got
+    assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (14, 3, 2, 8, "cc-by,gpl,mit")
+    assert (b.base_labels, b.labels, b.permissive, b.score) == ("mit", "apache,gpl,mit", True, 1.0)
+    assert (c.n_words, c.n_base, c.first_word, c.labels, c.score) == (0, 0, None, "", 0.0) and (d.n_words, d.labels) == (0, "")
+    assert (e.n_base, e.first_word, e.last_word, e.labels) == (2, 0, 2, "apache")
+    assert licenses.postfix(["MIT", "OR", "(", "A", "AND", "B", ")", "WITH", "E"]) == ["MIT", "A", "B", "and", "E", "with", "or"]
+    assert not licenses.evaluate("GPL-3.0-or-later AND MIT").permissive and licenses.evaluate("GPL-3.0 OR MIT").permissive
+    assert licenses.evaluate("( ( AND") is None and licenses.evaluate("MIT AND").labels == {"mit"}
+    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_mixing_meets_the_targets(spark, docs, empty):
+    rows = [(i, f"s{i % 4}" if i % 9 else None, (i * 7919) % 50) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.curriculum(d, size="size").collect()
+    total, by = sum(x.size for x in got), {}
+    assert len(got) == 600
+    for x in got:
+        by.setdefault(x.source, []).append(x)
+        assert x.taken <= 3 * x.size and len(x.positions) == x.passes and all(0 <= p <= 1 for p in x.positions)
+    assert sum(v[0].target for v in by.values()) == pytest.approx(total)
+    for v in by.values():
+        assert abs(sum(x.taken for x in v) - v[0].target) <= 1
+        assert v[0].target <= 3 * v[0].source_size and v[0].source_size == sum(x.size for x in v)
+    again = mixing.curriculum(d.repartition(7), size="size").collect()
+    assert {x.doc_id: x.taken for x in again} == {x.doc_id: x.taken for x in got}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.where("length(trim(text)) = 0").count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.curriculum(d.limit(0), size="size").count() == 0
+
+
+def test_schedule_is_inverted(spark):
+    for slope in (0.5, 0.0, -0.5, 1.0):
+        t = mixing.position(F.lit(0.3), F.lit(slope))
+        got = spark.range(1).select((t + F.lit(slope) * (t * t - t)).alias("x")).first().x
+        assert got == pytest.approx(0.3)
+
+
+def test_edit_distance_and_keys_lose_no_link(spark):
+    r = random.Random(2)
+    rows = []
+    for _ in range(800):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(12, 45)))
+        b = list(a)
+        for _ in range(r.randrange(0, 7)):
+            i, kind = r.randrange(len(b)), r.random()
+            b[i : i + (kind < 0.6)] = [r.choice("abcd")] if kind < 0.3 or kind >= 0.6 else []
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").where("length(b) >= 12")
+    keys = lambda c: line_dedup.line_keys(F.col(c), F.length(c), 2)
+    got = df.select(F.levenshtein("a", "b").alias("want"), line_dedup.banded_edits(F.split("a", ""), F.split("b", ""), 4).alias("d"), F.arrays_overlap(keys("a"), keys("b")).alias("meet")).collect()
+    assert all(x.d == x.want if x.want <= 4 else x.d > 4 for x in got)
+    assert all(x.meet for x in got if x.want <= 2)
+
+
+def test_lines_stay_once(spark, docs, empty):
+    long = "a line that is quite long enough to be compared"
+    rows = [(1, f"{long}\nshort\n\nshort"), (2, f"{long[:-1]}X\nother"), (3, f"{long}\n\n{long[1:]}"), (4, None), (5, ""), (6, "short")]
+    d = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(d).collect()}
+    assert (got[1].text, got[1].n_exact, got[1].n_near) == (f"{long}\nshort\n", 1, 0)
+    assert (got[2].text, got[2].n_near, got[2].origins) == ("other", 1, [1])
+    assert (got[3].text, got[3].n_exact, got[3].n_near) == ("", 1, 1)
+    assert got[4].text is None and got[4].n_lines == 0 and got[5].text == "" and got[6].removed == [0]
+    out = line_dedup.dedup_lines(docs)
+    assert out.count() == docs.count() and line_dedup.dedup_lines(empty).count() == 0
+
+
+def shingles(t):
+    w = words13(t)
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+def test_alignment_distance_is_that_of_the_table():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return len(a) + len(b) - 2 * row[-1]
+
+    r = np.random.default_rng(1)
+    for _ in range(1500):
+        k = r.integers(1, 30)
+        a = r.integers(0, k, r.integers(1, 60))
+        b = a.copy()
+        for _ in range(r.integers(0, 6)):
+            i = int(r.integers(0, len(b)))
+            b = np.insert(b, i, r.integers(0, k)) if r.random() < 0.5 or len(b) < 2 else np.delete(b, i)
+        want, got, reach = plain(a.tolist(), b.tolist()), minhash.distance(a, b), 2 * ((len(a) + len(b)) // 9) + 1
+        assert got == want if want <= reach else reach < got <= want
+
+
+def test_near_duplicates_equal_brute_force(spark, docs, empty):
+    r = random.Random(4)
+    rows = []
+    for group in range(12):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.randrange(60, 200))]
+        for _ in range(r.randrange(1, 9)):
+            w = list(base)
+            for _ in range(r.randrange(0, 3)):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    d = written(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            x, y = shingles(a), shingles(rows[j][1])
+            c = sum((Counter(x) & Counter(y)).values())
+            if c >= 0.8 * (len(x) + len(y) - c):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    got = {x.id: x for x in minhash.near_duplicates(d).collect()}
+    assert {i: x.class_id for i, x in got.items()} == {i: find(i) for i in range(len(rows))}
+    assert {x.id for x in minhash.near_duplicates(d).where("keeps").collect()} == {find(i) for i in range(len(rows))}
+    assert minhash.near_duplicates(empty).count() == 0
+    odd = minhash.drop_near_duplicates(docs)
+    kept = [x.text for x in odd.collect()]
+    assert odd.columns == docs.columns and len(kept) == len(set(kept)) and sum(t is None or t == "" for t in kept) == 1
+
+
+def test_buckets_join_clusters_that_no_pivot_joins(spark):
+    """Numbers on a line, linked within 1: with one bucket the chain must come out whole."""
+    from pulsegrid.llm.buckets import bucket_classes
+
+    at = [0, 30, 1, 2, 31, 3, 60, 4, 5, 32]
+    members = spark.createDataFrame([(1, i, 1) for i in range(len(at))], "key long, node long, n long")
+    place = F.udf(lambda i: at[i], T.LongType())
+
+    def verify(pairs):
+        return pairs.select("a", "b", F.abs(place("a") - place("b")).alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
+
+    got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1).collect()}
+    assert [got.get(i, i) for i in range(len(at))] == [0, 1, 0, 0, 1, 0, 6, 0, 0, 1]

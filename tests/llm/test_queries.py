@@ -1,0 +1,42 @@
+"""The registered training-data queries over the smallest tables, and the pipeline's stages."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from pulsegrid.llm import registry
+from pulsegrid.llm.common import table, written
+
+duckdb = pytest.importorskip("duckdb")
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        path = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    got = registry.QUERIES[name](spark, sf_dir).toPandas()
+    want = con.execute(registry.ORACLES[name]).fetch_df()
+    assert sorted(got.columns) == sorted(want.columns)
+    plain = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
+    assert plain(got) == plain(want)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"pipeline"}))
+def test_query_has_a_row_for_each_document(spark, sf_dir, name):
+    got = registry.QUERIES[name](spark, sf_dir)
+    assert got.count() == table(spark, sf_dir, "documents").count()
+
+
+def test_pipeline_stages_keep_the_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    columns, n = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = written(stage(spark, docs, sf_dir))
+        assert out.columns == columns if k < len(corpus_pipeline.STAGES) - 1 else out.columns == [*columns, "shard", "slot"]
+        assert 0 < out.count() <= (n if name != "mixing" else 3 * n)
+        docs = out
