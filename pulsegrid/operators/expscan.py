@@ -14,7 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.kernels import Exponential
+from pulsegrid.operators.sums import intensity
+
 col = F.col
+LONGEST_PAIRED = 2_000
 BLOCK_EXPONENT = 30.0
 NEGLIGIBLE = 40.0
 
@@ -60,6 +64,16 @@ def exp_intensity(events: DataFrame, mu: Sequence[float], omega: Sequence[Sequen
     return rows.select("path_id", col("dim").alias("k"), col("event_id").alias("m"), "t", value.alias("intensity"))
 
 
+def planned_intensity(events: DataFrame, mu: Sequence[float], omega: Sequence[Sequence[float]], beta: Sequence[Sequence[float]], longest: int = LONGEST_PAIRED) -> DataFrame:
+    """``exp_intensity``, or the pair sum where no path has more than ``longest`` events, for which pairs are cheaper."""
+    per_path = events.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"))
+    if (per_path.agg(F.max("n").alias("n")).first()["n"] or 0) > longest:
+        return exp_intensity(events, mu, omega, beta)
+    pick = lambda m, k, j: F.get(F.get(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in m]), k), j)
+    levels = F.array(*[F.lit(float(v)) for v in mu])
+    return intensity(events, lambda k, j: Exponential(pick(omega, k, j), pick(beta, k, j)), lambda k, t: F.get(levels, k))
+
+
 def exp_lag_sum(events: DataFrame, beta: float, lag: int) -> DataFrame:
     """(path_id, dim, total): sum of exp(-beta (t_m - t_{m - lag})) within a dimension."""
     w = Window.partitionBy("path_id", "dim").orderBy("t", "event_id")

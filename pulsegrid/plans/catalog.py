@@ -305,6 +305,11 @@ INTENSITY = f"SELECT e.path_id, e.dim AS k, e.event_id AS m, round(0.01 * (e.dim
 
 @query(f"WITH {EV}, {PAIR} {INTENSITY}")
 def intensity_mhp_exp(spark, d):
+    return expscan.planned_intensity(events_of(spark, d), MU_V, OMEGA_M, BETA_M).select("path_id", "k", "m", r("intensity").alias("intensity"))
+
+
+@query(f"WITH {EV}, {PAIR} {INTENSITY}")
+def intensity_mhp_scan(spark, d):
     return expscan.exp_intensity(events_of(spark, d), MU_V, OMEGA_M, BETA_M).select("path_id", "k", "m", r("intensity").alias("intensity"))
 
 
