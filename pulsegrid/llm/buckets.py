@@ -1,10 +1,14 @@
-"""Links between members of buckets by a metric, without all pairs of a bucket.
+"""Classes of the members of buckets by a metric, without all pairs of a bucket.
 
-In every turn each bucket's least member is the pivot, and all that wait are compared with it.  What links to
-the pivot is its cluster; the rest waits for the next turn.  After the last turn what still waits
-is a cluster each.  Two clusters of a bucket can hold a link only if the distance of their pivots, less
-both radii, and the gap between their sizes allow one; the members of those that can are compared pair by pair.
-So every link within a bucket is found, or joins two members that links through a pivot join already.
+In every turn each bucket has a pivot, and all that wait are compared with it: the member that meets most others in
+all its buckets, as the text from which many copies were made does even if they are less like each other.  What links to
+the pivot is its cluster; the rest waits for the next turn.  Links of all buckets together give
+classes, and a bucket whose members are in one class is done.  After the last turn what still waits is a
+cluster each.  Two clusters of a bucket that are in different classes can hold a link only if the distance of
+their pivots, less both radii, and the gap between their sizes allow one.  For those that can, each pivot is
+compared with the other's members first, and only where that joins nothing all members are compared.
+An operator may have a sharper way for what is
+left.  So every link within a bucket is found, or joins two members that are in one class already.
 """
 
 from __future__ import annotations
@@ -15,54 +19,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut_lineage
+from pulsegrid.llm.components import components
 
-TURNS = 3
+TURNS = 2
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], linked: Callable[[Column, Column, Column], Column], turns: int = TURNS) -> DataFrame:
-    """Links (u, v) between members (key, node, n) that share a key; n is the member's size.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def bucket_classes(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    linked: Callable[[Column, Column, Column], Column],
+    rest: Callable[[DataFrame], DataFrame] | None = None,
+    turns: int = TURNS,
+) -> DataFrame:
+    """(node, root) of the classes of members (key, node, n) that share keys; n is the member's size.  Roots have no row.
 
     ``verify`` takes pairs (a, b) and gives (a, b, d, na, nb), where d is the distance or a lower
     bound of it beyond any link's; sizes that differ by g are at least g apart.  ``linked(d, na, nb)``
-    must hold for a smaller d or larger sizes if it holds.
+    must hold for a smaller d or larger sizes if it holds.  ``rest`` takes (node, root) of what is still open
+    and gives pairs (a, b) with all links between different roots; without it clusters are compared as above.
     """
     col = F.col
-    waiting, clusters, checked = members, [], []
+    is_link = linked(col("d"), col("na"), col("nb"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    meets = members.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("meets"))
+    waiting, clusters, checked = cut_lineage(members.join(meets, "node")), [], []
+    rank = F.struct(-col("meets"), "node")
+
+    def classes() -> DataFrame:
+        return components(_union(checked).where(is_link).select(col("a").alias("u"), col("b").alias("v")))
+
+    def rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+        return rows.join(roots.select(col("node").alias(node), col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
     for _ in range(turns):
-        pivots = waiting.groupBy("key").agg(F.min("node").alias("pivot"))
+        pivots = waiting.groupBy("key").agg(F.min_by("node", rank).alias("pivot"))
         met = cut_lineage(waiting.join(pivots, "key"))
         found = cut_lineage(verify(met.where("node <> pivot").select(col("pivot").alias("a"), col("node").alias("b")).distinct()))
         checked.append(found)
         judged = met.join(found.select(col("a").alias("pivot"), col("b").alias("node"), "d", "na"), ["pivot", "node"], "left")
         joins = (col("node") == col("pivot")) | F.coalesce(linked(col("d"), col("na"), col("n")), F.lit(False))
-        judged = cut_lineage(judged.select("key", "node", "n", "pivot", F.coalesce("d", F.lit(0)).alias("d"), joins.alias("joins")))
-        clusters.append(judged.where("joins").drop("joins"))
-        waiting = judged.where(~col("joins")).select("key", "node", "n")
+        judged = judged.select("key", "node", "n", "meets", "pivot", F.coalesce("d", F.lit(0)).alias("d"), joins.alias("joins"))
+        roots = classes()
+        everything = rooted(_union([*clusters, judged]), roots, "node", "root")
+        open_keys = everything.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        everything = cut_lineage(everything.drop("root").join(open_keys, "key", "left_semi"))
+        clusters = [everything.where("joins")]
+        waiting = everything.where(~col("joins")).select("key", "node", "n", "meets")
         if waiting.isEmpty():
-            break
-    else:
-        clusters.append(waiting.select("key", "node", "n", col("node").alias("pivot"), F.lit(0).cast("long").alias("d")))
-    known = checked[0]
-    for x in checked[1:]:
-        known = known.unionByName(x)
-    is_link = linked(col("d"), col("na"), col("nb"))
-    links = known.where(is_link).select(col("a").alias("u"), col("b").alias("v"))
-    if len(clusters) == 1:
-        return links
-    grouped = clusters[0]
-    for x in clusters[1:]:
-        grouped = grouped.unionByName(x)
+            return roots
+    alone = waiting.select("key", "node", "n", "meets", col("node").alias("pivot"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("joins"))
+    grouped = cut_lineage(_union([*clusters, alone]))
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        known = _union(checked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        checked.append(cut_lineage(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))))
+        return classes()
+
+    if rest:
+        # where nothing joined a pivot and at most one member waits, all pairs have been compared
+        unsure = grouped.groupBy("key").agg(F.count_if(col("node") != col("pivot")).alias("joined"), F.count(F.lit(1)).alias("c")).where(f"joined > 0 or c > {turns + 1}")
+        nodes = cut_lineage(rooted(grouped.join(unsure.select("key"), "key", "left_semi").select("node").distinct(), roots, "node", "root"))
+        return roots if nodes.isEmpty() else settle(rest(nodes))
     size = grouped.groupBy("key", "pivot").agg(F.max("d").alias("r"), F.max("n").alias("n"), F.min("n").alias("low"))
-    other = size.select("key", col("pivot").alias("pivot2"), col("r").alias("r2"), col("n").alias("n2"), col("low").alias("low2"))
-    apart = known.groupBy(col("a").alias("pivot"), col("b").alias("pivot2")).agg(F.max("d").alias("d"))
-    near = size.join(other, "key").where("pivot < pivot2").join(apart, ["pivot", "pivot2"], "left")
-    bound = F.greatest(F.coalesce("d", F.lit(0)) - col("r") - col("r2"), col("low") - col("n2"), col("low2") - col("n"))
-    near = cut_lineage(near.where(linked(bound, col("n"), col("n2"))).select("key", "pivot", "pivot2"))
-    if near.isEmpty():
-        return links
-    left = grouped.select("key", "pivot", col("node").alias("a"), col("n").alias("na"))
-    right = grouped.select("key", col("pivot").alias("pivot2"), col("node").alias("b"), col("n").alias("nb"))
-    rest = near.join(left, ["key", "pivot"]).join(right, ["key", "pivot2"]).where(linked(F.abs(col("na") - col("nb")), col("na"), col("nb")))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut_lineage(verify(rest))
-    return links.unionByName(more.where(is_link).select(col("a").alias("u"), col("b").alias("v")))
+    for with_all in (False, True):
+        known = _union(checked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+        apart = known.groupBy(col("a").alias("pivot"), col("b").alias("pivot2")).agg(F.max("d").alias("d"))
+        one = rooted(size, roots, "pivot", "root")
+        other = one.select("key", col("pivot").alias("pivot2"), col("r").alias("r2"), col("n").alias("n2"), col("low").alias("low2"), col("root").alias("root2"))
+        near = one.join(other, "key").where("pivot < pivot2 and root <> root2").join(apart, ["pivot", "pivot2"], "left")
+        bound = F.greatest(F.coalesce("d", F.lit(0)) - col("r") - col("r2"), col("low") - col("n2"), col("low2") - col("n"))
+        near = cut_lineage(near.where(linked(bound, col("n"), col("n2"))).select("key", "pivot", "pivot2"))
+        if near.isEmpty():
+            return roots
+        left = grouped.select("key", "pivot", col("node").alias("a"), col("n").alias("na"))
+        right = grouped.select("key", col("pivot").alias("pivot2"), col("node").alias("b"), col("n").alias("nb"))
+        cross = [(left, right)] if with_all else [(left, right.where("b = pivot2")), (left.where("a = pivot"), right)]
+        pairs = _union([near.join(x, ["key", "pivot"]).join(y, ["key", "pivot2"]).select("a", "b", "na", "nb") for x, y in cross])
+        roots = settle(pairs.where(linked(F.abs(col("na") - col("nb")), col("na"), col("nb"))))
+    return roots

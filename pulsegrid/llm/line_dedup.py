@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.buckets import bucket_links
+from pulsegrid.llm.buckets import bucket_classes
 from pulsegrid.llm.common import cut_lineage, small_or_plain, table, written
-from pulsegrid.llm.components import components
 
 EDITS = 2
 MIN_CHARS = 30
@@ -101,12 +100,13 @@ def banded_edits(a: Column, b: Column, band: int) -> Column:
 
 def occurrences(docs: DataFrame, text: str) -> DataFrame:
     """(row, number, line, pos) of every line; pos rises in the order of the scan."""
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("number", "line"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
+    lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("number", "line"))
     return lines.withColumn("pos", F.monotonically_increasing_id())
 
 
-def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Links (u, v) between line hashes; ``lines`` has line."""
+def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(node, root) of the classes of different lines, by line hashes; ``lines`` has line."""
     col = F.col
     long = lines.select("line", F.xxhash64("line").alias("node"), F.length("line").alias("n")).where((col("n") >= min_chars) & col("line").rlike(WORD))
     keyed = long.select("node", "n", F.explode(line_keys(col("line"), col("n"), edits)).alias("key"))
@@ -124,7 +124,7 @@ def line_links(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
         both = pairs.join(right, "b").join(left, "a")
         return both.select("a", "b", banded_edits(col("ca"), col("cb"), band).cast("long").alias("d"), F.size("ca").cast("long").alias("na"), F.size("cb").cast("long").alias("nb"))
 
-    return bucket_links(members, verify, lambda d, na, nb: d <= edits)
+    return bucket_classes(members, verify, lambda d, na, nb: d <= edits)
 
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -134,12 +134,11 @@ def line_classes(docs: DataFrame, *, text: str = "text", edits: int = EDITS, min
     """(row, number, pos, first, root) of every line: where its text and its class stand first."""
     col = F.col
     lines = occurrences(docs, text)
-    links = line_links(lines, edits, min_chars)
-    roots = components(links)
+    roots = linked_lines(lines, edits, min_chars)
     hashed = lines.select("row", "number", "pos", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), col("line").rlike(WORD).alias("has_word"))
     hashed = written(hashed)
     firsts = hashed.where("has_word").groupBy("node", "node2").agg(F.min("pos").alias("first"))
-    grouped = firsts.join(roots.withColumnRenamed("root", "head"), "node", "left") if "node" in roots.columns else firsts
+    grouped = firsts.join(roots.withColumnRenamed("root", "head"), "node", "left")
     grouped = grouped.withColumn("head", F.coalesce("head", "node"))
     linked = roots.select(col("root").alias("head")).unionByName(roots.select(col("node").alias("head"))).distinct()
     heads = grouped.join(linked, "head", "left_semi").groupBy("head").agg(F.min("first").alias("root"))

@@ -9,12 +9,9 @@ Candidates are verified by alignment: a longest common subsequence of the two k-
 parallel and banded.  With c common k-mers the similarity is c / (n_a + n_b - c), and texts are
 linked from 0.8 on.  The distance d = n_a + n_b - 2 c is a metric, and the link is 9 d <= n_a + n_b.
 
-Copies are reduced to one representative before anything is paired.  Within a bucket not all pairs are
-made: every member is compared with the bucket's least member, its pivot; those that do not link choose a new
-pivot among them, for a few turns.  Members of two different clusters could still be linked, which
-the triangle inequality over the pivots rules out for nearly all cluster pairs as a whole; the pairs of the
-remaining clusters are compared one by one.  So no link between texts that share a bucket is lost.
-Components of links are the classes.
+Copies are reduced to one representative before anything is paired.  Within a bucket members are compared
+with pivots; see ``buckets``.  Texts of buckets that this leaves open go through an exact prefix filter on
+their k-mers, so not all pairs of a bucket are made and no link that would join two classes is lost.  Components of links are the classes.
 
 Defined results: null counts as empty; texts without words are copies if they are equal; texts
 of fewer than five words have one k-mer, so they link to copies only; repeated rows are copies; ties go to the
@@ -29,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.buckets import bucket_links
+from pulsegrid.llm.buckets import bucket_classes
 from pulsegrid.llm.common import cut_lineage, small_or_plain, table, text_or_empty, written
-from pulsegrid.llm.components import components
 from pulsegrid.llm.decontam import words_of
 
 K = 5
@@ -203,6 +199,36 @@ def linked(d: Column, na: Column, nb: Column) -> Column:
     return 9 * d <= na + nb
 
 
+def prefix_pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, root) with different roots that can be linked, by a prefix filter.
+
+    Links have at least 4 / 9 (n_a + n_b) labelled k-mers in common.  With the rare ones first, two such
+    texts share a k-mer within the first n - 0.8 n + 1 of each, at places that leave room for the rest.
+    """
+    col = F.col
+    rows = contents.join(nodes.withColumnRenamed("node", "row"), "row").select("row", "root", "words")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            w = b.column(2)
+            flat, at = w.values.to_numpy(zero_copy_only=False), w.offsets.to_numpy()
+            x = [labelled(kmers(flat[at[i] : at[i + 1]])).view(np.int64) for i in range(len(w))]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["node", "root", "kmers"])
+
+    each = rows.mapInArrow(batches, "node long, root long, kmers array<long>").select("node", "root", F.size("kmers").alias("n"), F.explode("kmers").alias("x"))
+    each = cut_lineage(each)
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(often, "x")
+    w = Window.partitionBy("node")
+    at = col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("c", "x")) - 1
+    prefix = cut_lineage(shared.withColumn("at", at).where(5 * col("at") <= col("n")).select("x", "node", "root", "n", "at"))
+    other = prefix.select("x", *[col(c).alias(f"{c}2") for c in ("node", "root", "n", "at")])
+    room = F.least(col("n") - col("at"), col("n2") - col("at2"))
+    met = prefix.join(other, (prefix["x"] == other["x"]) & (col("node") < col("node2")) & (col("root") != col("root2")) & (9 * room >= 4 * (col("n") + col("n2"))))
+    return met.select(col("node").alias("a"), col("node2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """(row, id, class_id, class_size, keeps) of every document.
 
@@ -224,8 +250,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         return written(found.select("row", word_hashes(col("text")).alias("words")))
 
     contents = contents_of(members.select("row").distinct())
-    links = bucket_links(members.withColumnRenamed("row", "node"), lambda pairs: verify(pairs, contents), linked)
-    found = components(links)
+    found = bucket_classes(members.withColumnRenamed("row", "node"), lambda pairs: verify(pairs, contents), linked, lambda nodes: prefix_pairs(nodes, contents))
     classes = seen.select("row", "id", "content").join(first, "content").select("row", "id", "rep")
     classes = classes.join(found.select(col("node").alias("rep"), "root"), "rep", "left").select("row", "id", F.coalesce("root", "rep").alias("root"))
     least = F.struct(col("id").isNull().alias("none"), "id", "row")
