@@ -3,8 +3,8 @@
 In every turn each bucket has a pivot, and all that wait are compared with it: the member that meets most others in
 all its buckets, as the text from which many copies were made does even if they are less like each other.  What links to
 the pivot is its cluster; the rest waits for the next turn.  Links of all buckets together give
-classes, and a bucket whose members are in one class is done.  After the last turn what still waits is a
-cluster each.  Two clusters of a bucket that are in different classes can hold a link only if the distance of
+classes, and a bucket whose members are in one class is done.  After the last turn, or when nothing waits,
+what still waits is a cluster each.  Two clusters of a bucket that are in different classes can hold a link only if the distance of
 their pivots, less both radii, and the gap between their sizes allow one.  For those that can, each pivot is
 compared with the other's members first, and only where that joins nothing all members are compared.
 An operator may have a sharper way for what is
@@ -72,8 +72,10 @@ def bucket_classes(
         everything = cut_lineage(everything.drop("root").join(open_keys, "key", "left_semi"))
         clusters = [everything.where("joins")]
         waiting = everything.where(~col("joins")).select("key", "node", "n", "meets")
-        if waiting.isEmpty():
+        if everything.isEmpty():
             return roots
+        if waiting.isEmpty():
+            break  # what is open are clusters alone, whose members can still be linked
     alone = waiting.select("key", "node", "n", "meets", col("node").alias("pivot"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("joins"))
     grouped = cut_lineage(_union([*clusters, alone]))
 

@@ -338,3 +338,21 @@ def test_buckets_join_clusters_that_no_pivot_joins(spark):
 
     got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1).collect()}
     assert [got.get(i, i) for i in range(len(at))] == [0, 1, 0, 0, 1, 0, 6, 0, 0, 1]
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_buckets_compare_clusters_where_nothing_waits(spark, filtered):
+    """A chain of four in one bucket: two clusters of two, no member waits, and the link between them counts."""
+    from pulsegrid.llm.buckets import bucket_classes
+
+    members = spark.createDataFrame([(1, i, 1) for i in range(4)], "key long, node long, n long")
+
+    def verify(pairs):
+        return pairs.select("a", "b", F.abs(F.col("a") - F.col("b")).alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
+
+    def rest(nodes):
+        other = nodes.select(F.col("node").alias("b"), F.col("root").alias("root2"))
+        return nodes.join(other, (F.col("node") < F.col("b")) & (F.col("root") != F.col("root2"))).select(F.col("node").alias("a"), "b")
+
+    got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1, rest if filtered else None).collect()}
+    assert got == {1: 0, 2: 0, 3: 0}
