@@ -1,12 +1,21 @@
-"""Line dedup: a segment-partition edit join of all lines, then one line of each class stays.
+"""Line dedup: an edit join of all lines by segments or anchors, then one line of each class stays.
 
-Lines of at least ``MIN_CHARS`` characters are linked if their edit distance is at most ``EDITS``.  A line
-is split into ``EDITS`` + 1 segments as equal as can be; a line within the distance must hold one of
-the segments unchanged, at a place that the edits before and after it bound (the multi-match-aware
-windows), so each line probes the segments of lines that are up to ``EDITS`` shorter.  A line's segments and
-probes are 64-bit keys; keys that only one line's copies have are dropped by a minimum and maximum per key.
-Lines that share a key are verified by the edit distance on a diagonal band whose columns are bit
-vectors, as native aggregates over the characters.  See ``buckets`` for how pairs are avoided.
+Lines of at least ``MIN_CHARS`` characters are linked if their edit distance is at most a tenth of the longer
+line's length (``SHARE``, rounded down), so the threshold rises with every ten characters.
+
+Lines of less than ``SEGMENTED`` characters are found by segments, in a class for each threshold: a line is split into
+threshold + 1 segments as equal as can be; a line within the distance must hold one of them unchanged, at a place
+that the edits before and after it bound (the multi-match-aware windows), so each line probes the segments of lines
+that are up to the threshold shorter.  All links of such lines are found.
+
+Segments grow with the cube of the threshold, so longer lines are found by anchors: of each ``run`` characters in a row the
+run's gram with the least hash is a key, wherever it stands, so lines with a run in common have a key in common.
+Lines within a twentieth of the longer one's length always have one, as the edits cut it into too few pieces; of
+those between a twentieth and a tenth, the pairs whose edits leave no anchor whole (they would be scattered evenly, under
+15 to 18 characters apart) can be missed.  A changed word leaves anchors on both sides.
+
+Keys are 64-bit; those that only one line's copies have are dropped by a minimum and maximum per key.
+Lines that share a key are verified by the edit distance within twice the threshold.  See ``buckets`` for how pairs are avoided.
 
 Defined results: a null text has no lines and stays null; lines without a word are kept and never
 compared; shorter lines are compared for equality only; among equal or linked lines the first stays, in
@@ -23,8 +32,14 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.buckets import bucket_classes
 from pulsegrid.llm.common import cut_lineage, small_or_plain, table, written
 
-EDITS = 2
-MIN_CHARS = 30
+SHARE = 10
+MIN_CHARS = 10
+SEGMENTED = 60
+#: (least length, length that it ends before, run, gram): a line of n characters with at most n // run - 1 edits keeps a run, and
+#: that is n // 20 at least from the scheme's first threshold on.  Schemes overlap by what a linked line can be shorter.
+ANCHORS = ((54, 200, 15, 11), (180, None, 18, 13))
+#: Anchors are found in pieces of so many characters, as a place in a long string is found by counting from its start.
+PIECE = 500
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -52,6 +67,56 @@ def line_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def threshold(length: Column) -> Column:
+    """Edits within which lines are linked, by the longer one's length."""
+    return F.floor(length / SHARE).cast("int")
+
+
+def _probes(edits: int) -> Column:
+    """(gap, i, shift, parts) of the keys of ``line_keys``, and of a line's own segments in the next class."""
+    out = [(gap, i, shift, edits + 1) for gap in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
+    out += [(0, i, 0, edits + 2) for i in range(edits + 2)]
+    return F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(p, ("gap", "i", "shift", "parts"))]) for p in out])
+
+
+def segment_keys(line: Column, length: Column) -> Column:
+    """Keys of a line of less than ``SEGMENTED`` characters, in the class of its threshold; none for longer lines."""
+    probes = F.when(threshold(length) >= SEGMENTED // SHARE, F.slice(_probes(1), 1, 0))
+    for t in range(1, SEGMENTED // SHARE):
+        probes = probes.when(threshold(length) == t, _probes(t))
+
+    def key(p: Column) -> Column:
+        n = length - p["gap"]
+        base, extra = F.floor(n / p["parts"]).cast("int"), F.pmod(n, p["parts"])
+        size = base + (p["parts"] - p["i"] <= extra).cast("int")
+        at = 1 + p["i"] * base + F.greatest(F.lit(0), p["i"] - (p["parts"] - extra)) + p["shift"]
+        return F.when((at >= 1) & (at + size - 1 <= length), F.xxhash64(p["parts"], n, p["i"], F.substring(line, at, size)))
+
+    return F.array_distinct(F.array_compact(F.transform(probes, key)))
+
+
+def anchors(piece: Column, run: int, gram: int) -> Column:
+    """The least gram hash of each run of a piece of at least ``run`` characters."""
+    width = run - gram + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.length(piece) - gram + 1), lambda i: F.xxhash64(F.lit(run), F.substring(piece, i, gram)))
+    least = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.array_min(F.slice(h, i, width)))
+    return F.array_distinct(F.get(F.transform(F.array(hashes), least), F.lit(0)))
+
+
+def anchor_keys(line: Column, length: Column) -> Column:
+    """Keys of a line by the schemes that hold for its length, in pieces that overlap by a run less one."""
+
+    def in_pieces(run: int, gram: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(length - run + 1, F.lit(1)), F.lit(PIECE - run + 1))
+        return F.flatten(F.transform(starts, lambda s: anchors(F.substring(line, s, F.lit(PIECE)), run, gram)))
+
+    out = []
+    for low, end, run, gram in ANCHORS:
+        fits = (length >= low) & (length < end) if end else length >= low
+        out.append(F.when(fits, in_pieces(run, gram)).otherwise(F.array().cast("array<long>")))
+    return F.array_distinct(F.concat(*out))
+
+
 def banded_edits(a: Column, b: Column, band: int) -> Column:
     """Edit distance of character arrays by bit vectors along the diagonal; some number over ``band`` if it is larger.
 
@@ -105,36 +170,36 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
     return lines.withColumn("pos", F.monotonically_increasing_id())
 
 
-def linked_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def linked_lines(lines: DataFrame, min_chars: int) -> DataFrame:
     """(node, root) of the classes of different lines, by line hashes; ``lines`` has line."""
     col = F.col
     long = lines.select("line", F.xxhash64("line").alias("node"), F.length("line").alias("n")).where((col("n") >= min_chars) & col("line").rlike(WORD))
-    keyed = long.select("node", "n", F.explode(line_keys(col("line"), col("n"), edits)).alias("key"))
+    keyed = long.select("node", "n", F.explode(F.concat(segment_keys(col("line"), col("n")), anchor_keys(col("line"), col("n")))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     shared = cut_lineage(shared)
     members = keyed.join(small_or_plain(shared, shared.count(), MAX_BROADCAST_ROWS), "key", "left_semi").groupBy("key", "node").agg(F.max("n").cast("long").alias("n"))
     members = cut_lineage(members)
     nodes = cut_lineage(members.select("node").distinct())
     texts = long.join(small_or_plain(nodes, nodes.count(), MAX_BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    texts = written(texts.select("node", F.split("line", "").alias("chars")))
-    band = 2 * edits
+    texts = written(texts)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(col("node").alias("a"), col("chars").alias("ca")), texts.select(col("node").alias("b"), col("chars").alias("cb"))
-        both = pairs.join(right, "b").join(left, "a")
-        return both.select("a", "b", banded_edits(col("ca"), col("cb"), band).cast("long").alias("d"), F.size("ca").cast("long").alias("na"), F.size("cb").cast("long").alias("nb"))
+        left, right = texts.select(col("node").alias("a"), col("line").alias("la")), texts.select(col("node").alias("b"), col("line").alias("lb"))
+        both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumns({"na": F.length("la").cast("long"), "nb": F.length("lb").cast("long")})
+        both = both.withColumn("most", 2 * threshold(F.greatest("na", "nb"))).withColumn("d", F.expr("levenshtein(la, lb, most)"))
+        return both.select("a", "b", F.when(col("d") < 0, col("most") + 1).otherwise(col("d")).cast("long").alias("d"), "na", "nb")
 
-    return bucket_classes(members, verify, lambda d, na, nb: d <= edits)
+    return bucket_classes(members, verify, lambda d, na, nb: SHARE * d <= F.greatest(na, nb))
 
 
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def line_classes(docs: DataFrame, *, text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, *, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, number, pos, first, root) of every line: where its text and its class stand first."""
     col = F.col
     lines = occurrences(docs, text)
-    roots = linked_lines(lines, edits, min_chars)
+    roots = linked_lines(lines, min_chars)
     hashed = lines.select("row", "number", "pos", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), col("line").rlike(WORD).alias("has_word"))
     hashed = written(hashed)
     firsts = hashed.where("has_word").groupBy("node", "node2").agg(F.min("pos").alias("first"))

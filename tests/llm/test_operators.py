@@ -356,3 +356,42 @@ def test_buckets_compare_clusters_where_nothing_waits(spark, filtered):
 
     got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1, rest if filtered else None).collect()}
     assert got == {1: 0, 2: 0, 3: 0}
+
+
+def test_lines_link_within_a_tenth_of_their_length(spark):
+    """Keys against brute force: all short links meet, longer ones within a twentieth, and every changed word."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(3, 9)))
+    rows = []
+    for k in range(900):
+        n = r.randrange(10, 60) if k % 2 else r.randrange(60, 900)
+        a = ""
+        while len(a) < n:
+            a += word() + " "
+        a = a[:n]
+        b = list(a)
+        if k % 3 == 0 and n >= 60:
+            w = a.split(" ")
+            w[r.randrange(len(w))] = word()
+            rows.append((a, " ".join(w), True))
+            continue
+        for _ in range(r.randrange(1, 1 + max(1, n // (10 if n < 60 else 20)))):
+            i, kind = r.randrange(len(b)), r.random()
+            b[i : i + (kind < 0.6)] = [r.choice("abcd")] if kind < 0.3 or kind >= 0.6 else []
+        rows.append((a, "".join(b), False))
+    keys = lambda c: F.concat(line_dedup.segment_keys(F.col(c), F.length(c)), line_dedup.anchor_keys(F.col(c), F.length(c)))
+    df = spark.createDataFrame(rows, "a string, b string, word boolean").where("length(b) >= 10").withColumn("most", 2 * line_dedup.threshold(F.greatest(F.length("a"), F.length("b"))))
+    got = df.select("word", "most", F.levenshtein("a", "b").alias("want"), F.expr("levenshtein(a, b, most)").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n"), F.arrays_overlap(keys("a"), keys("b")).alias("meet")).collect()
+    assert all(x.d == (x.want if x.want <= x.most else -1) for x in got)
+    assert all(x.meet for x in got if x.want <= x.n // (10 if x.n < 60 else 20) or x.word and x.want <= x.n // 10)
+    assert sum(x.want > 2 for x in got) > 100
+
+
+def test_lines_with_one_changed_word_stay_once(spark):
+    r = random.Random(9)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (11, 12, 20, 60, 300)]
+    short = "twenty chars, a line"
+    rows = [(1, "\n".join([*lines, short]))] + [(2, "\n".join([x[:28] + "CHANGED" + x[35:] for x in lines] + [short[:-1] + "E"]))]
+    d = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(d).collect()}
+    assert got[1].removed == [] and (got[2].removed, got[2].n_near, got[2].text) == ([0, 1, 2, 3, 4, 5], 6, "")
