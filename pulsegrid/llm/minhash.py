@@ -11,7 +11,9 @@ linked from 0.8 on.  The distance d = n_a + n_b - 2 c is a metric, and the link
 
 Copies are reduced to one representative before anything is paired.  Within a bucket members are compared
 with pivots; see ``buckets``.  Texts of buckets that this leaves open go through an exact prefix filter on
-their k-mers, so not all pairs of a bucket are made and no link that would join two classes is lost.  Components of links are the classes.
+their k-mers, so not all pairs of a bucket are made and no link that would join two classes is lost.  Sketches of few k-mers
+miss links too often, or always where all k-mers are in the sketch, so short texts go through the prefix filter too, whatever buckets they have.
+Components of links are the classes.
 
 Defined results: null counts as empty; texts without words are copies if they are equal; texts
 of fewer than five words have one k-mer, so they link to copies only; repeated rows are copies; ties go to the
@@ -22,7 +24,7 @@ scanned, so ``docs`` must be a file scan or otherwise give its rows in the same
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,15 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.buckets import bucket_classes
 from pulsegrid.llm.common import cut_lineage, small_or_plain, table, text_or_empty, written
+from pulsegrid.llm.components import components
 from pulsegrid.llm.decontam import words_of
 
 K = 5
 LEAST = 5
 ORDERS = 24
+#: Links of texts with at most so many k-mers are found exactly; the other text has at most 5 / 4 as many.
+SHORT = 25
+LEAST_LINKED = 4
 MAX_BROADCAST_ROWS = 1_000_000
 SEED = 20_001
 MAX_MATRIX = 2_000_000
@@ -229,6 +235,18 @@ def prefix_pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
     return met.select(col("node").alias("a"), col("node2").alias("b")).distinct()
 
 
+def with_short_links(reps: DataFrame, found: DataFrame, contents_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found`` (node, root) with all links of short texts; ``reps`` has row and n.  Of fewer than ``LEAST_LINKED`` k-mers none links."""
+    col = F.col
+    short = reps.where((col("n") >= LEAST_LINKED) & (4 * col("n") <= 5 * SHORT)).select(col("row").alias("node"))
+    short = cut_lineage(short.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    if short.isEmpty():
+        return found
+    contents = contents_of(short.select(col("node").alias("row")))
+    links = cut_lineage(verify(prefix_pairs(short, contents), contents).where(linked(col("d"), col("na"), col("nb"))).select(col("a").alias("u"), col("b").alias("v")))
+    return found if links.isEmpty() else components(links.unionByName(found.select(col("node").alias("u"), col("root").alias("v"))))
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """(row, id, class_id, class_size, keeps) of every document.
 
@@ -251,6 +269,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     contents = contents_of(members.select("row").distinct())
     found = bucket_classes(members.withColumnRenamed("row", "node"), lambda pairs: verify(pairs, contents), linked, lambda nodes: prefix_pairs(nodes, contents))
+    found = with_short_links(reps, found, contents_of)
     classes = seen.select("row", "id", "content").join(first, "content").select("row", "id", "rep")
     classes = classes.join(found.select(col("node").alias("rep"), "root"), "rep", "left").select("row", "id", F.coalesce("root", "rep").alias("root"))
     least = F.struct(col("id").isNull().alias("none"), "id", "row")

@@ -395,3 +395,16 @@ def test_lines_with_one_changed_word_stay_once(spark):
     d = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     got = {x.doc_id: x for x in line_dedup.dedup_lines(d).collect()}
     assert got[1].removed == [] and (got[2].removed, got[2].n_near, got[2].text) == ([0, 1, 2, 3, 4, 5], 6, "")
+
+
+def test_short_texts_link_whatever_their_sketches(spark):
+    """Texts of a few words and copies without the last ones: those of 4/5, 5/6 and 8/10 k-mers link, 3/4 do not."""
+    r = random.Random(6)
+    rows, cut = [], {8: 1, 9: 1, 10: 1, 14: 2, 29: 4}
+    for n, gone in cut.items():
+        for _ in range(40):
+            w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            rows += [(len(rows), " ".join(w), n), (len(rows) + 1, " ".join(w[:-gone]), n)]
+    d = written(spark.createDataFrame(rows, "doc_id long, text string, n int").coalesce(2))
+    got = {x.id: x.class_id for x in minhash.near_duplicates(d).collect()}
+    assert got == {i: i - i % 2 if n > 8 else i for i, _, n in rows}
