@@ -46,7 +46,14 @@ def queries_of(spark: SparkSession) -> DataFrame:
     return spark.range(20 * 24).select(col("id").alias("query_id"), (col("id") % 20).alias("path_id"), (col("id") * 1.5).alias("t"))
 
 
+def queries_of_paths(events: DataFrame) -> DataFrame:
+    """24 look-up times over the horizon for every path of the events, a path's own offset apart."""
+    each = events.select("path_id").distinct().select("path_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    return each.select((col("path_id") * 24 + col("i")).alias("query_id"), "path_id", (col("i") * 30 + col("path_id") % 30).cast("double").alias("t"))
+
+
 PROBE = "pr AS (SELECT i AS query_id, i % 20 AS path_id, i * 1.5 AS t FROM range(480) AS r(i))"
+PATH_PROBE = "pr AS (SELECT path_id * 24 + i AS query_id, path_id, CAST(i * 30 + path_id % 30 AS DOUBLE) AS t FROM (SELECT DISTINCT path_id FROM ev) AS p, range(24) AS r(i))"
 
 
 def omega(k: Column, j: Column) -> Column:
@@ -166,6 +173,25 @@ def counting_process(spark, d):
     return paths.counting_process(queries_of(spark), events_of(spark, d), DIMS).drop("path_id", "t")
 
 
+@query(f"WITH {EV}, {PATH_PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
+def next_event_paths(spark, d):
+    e = events_of(spark, d)
+    return paths.next_event(queries_of_paths(e), e).select("query_id", "t_event", "dim", "mark")
+
+
+@query(f"WITH {EV}, {PATH_PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
+def previous_event_paths(spark, d):
+    e = events_of(spark, d)
+    return paths.previous_event(queries_of_paths(e), e).select("query_id", "t_event", "dim", "mark")
+
+
+@query(f"""WITH {EV}, {PATH_PROBE} SELECT query_id, count(*) FILTER (dim = 0) AS n_0, count(*) FILTER (dim = 1) AS n_1, count(*) FILTER (dim = 2) AS n_2, count(*) FILTER (dim = 3) AS n_3, count(*) FILTER (dim = 4) AS n_4
+FROM pr LEFT JOIN ev e ON pr.path_id = e.path_id AND e.t <= pr.t GROUP BY query_id""")
+def counting_process_paths(spark, d):
+    e = events_of(spark, d)
+    return paths.counting_process(queries_of_paths(e), e, DIMS).drop("path_id", "t")
+
+
 HIST = "h AS (SELECT g.path_id, g.dim, bin, count(e.t) AS n FROM (SELECT DISTINCT path_id, dim FROM ev) g CROSS JOIN range(30) AS b(bin) LEFT JOIN ev e ON e.path_id = g.path_id AND e.dim = g.dim AND e.t >= bin * 24.0 AND (e.t < (bin + 1) * 24.0 OR bin = 29 AND e.t = 720.0) GROUP BY ALL)"
 
 

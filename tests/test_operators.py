@@ -171,3 +171,22 @@ def test_online_intensity_equals_the_scan(spark, tmp_path):
     want = {r.m: r.intensity for r in expscan.exp_intensity(e, mu, w, b).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[m] - want[m]) < 1e-9 for m in want)
+
+
+def test_look_ups_are_made_on_every_path(spark, tmp_path):
+    """More paths than the constant probe has, one of them hot, against brute force."""
+    import datetime
+
+    from pulsegrid.plans import catalog
+
+    origin = datetime.datetime(2024, 1, 1)
+    users = [u for u in range(5, 45) for _ in range(400 if u == 33 else 3)]
+    rows = [(i, origin + datetime.timedelta(seconds=(i * 7919) % 2_592_000), u, catalog.TYPES[i % 5], float(i)) for i, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    later = {x.query_id: x.mark for x in catalog.QUERIES["next_event_paths"](spark, str(tmp_path)).collect()}
+    counts = {x.query_id: x.n_0 + x.n_1 + x.n_2 + x.n_3 + x.n_4 for x in catalog.QUERIES["counting_process_paths"](spark, str(tmp_path)).collect()}
+    assert set(later) == set(counts) == {u * 24 + i for u in range(5, 45) for i in range(24)}
+    for q in later:
+        at = q % 24 * 30 + q // 24 % 30
+        own = [((ts - origin).total_seconds() / 3600, v) for _, ts, u, _, v in rows if u == q // 24]
+        assert later[q] == min((x for x in own if x[0] > at), default=(0, None))[1] and counts[q] == sum(t <= at for t, _ in own)
