@@ -2,13 +2,13 @@
 
 In every turn each bucket has a pivot, and all that wait are compared with it: the member that meets most others in
 all its buckets, as the text from which many copies were made does even if they are less like each other.  What links to
-the pivot is its cluster; the rest waits for the next turn.  Links of all buckets together give
-classes, and a bucket whose members are in one class is done.  After the last turn, or when nothing waits,
-what still waits is a cluster each.  Two clusters of a bucket that are in different classes can hold a link only if the distance of
-their pivots, less both radii, and the gap between their sizes allow one.  For those that can, each pivot is
-compared with the other's members first, and only where that joins nothing all members are compared.
-An operator may have a sharper way for what is
-left.  So every link within a bucket is found, or joins two members that are in one class already.
+the pivot is done; the rest waits for the next turn.  Links of all buckets together give
+classes, and a bucket whose members are in one class is done, be it as large as it may.
+
+Members of buckets that two turns leave open are keyed anew by a prefix filter: ``rest`` gives each its rarest features, such that two
+members can only be linked if they share one.  Keys that many share have turns of their own; then
+members that share a key, are in different classes and have room for a link are compared as pairs.
+So every link within a bucket is found, or joins two members that are in one class already.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pulsegrid.llm.common import cut_lineage
 from pulsegrid.llm.components import components
 
 TURNS = 2
+#: Prefix keys of more members get pivots before pairs.
+MANY = 32
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -31,78 +33,100 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    """``rows`` with the root of each node; nodes without a row in ``roots`` are their own."""
+    return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+
 def bucket_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     linked: Callable[[Column, Column, Column], Column],
-    rest: Callable[[DataFrame], DataFrame] | None = None,
+    rest: Callable[[DataFrame], DataFrame],
+    room: Callable[[Column, Column, Column, Column], Column],
     turns: int = TURNS,
 ) -> DataFrame:
     """(node, root) of the classes of members (key, node, n) that share keys; n is the member's size.  Roots have no row.
 
-    ``verify`` takes pairs (a, b) and gives (a, b, d, na, nb), where d is the distance or a lower
-    bound of it beyond any link's; sizes that differ by g are at least g apart.  ``linked(d, na, nb)``
-    must hold for a smaller d or larger sizes if it holds.  ``rest`` takes (node, root) of what is still open
-    and gives pairs (a, b) with all links between different roots; without it clusters are compared as above.
+    ``verify`` takes pairs (a, b) and gives (a, b, d, na, nb), where d is the distance or some number
+    beyond any link's.  ``linked(d, na, nb)`` must hold for a smaller d or larger sizes if it holds.
+    ``rest`` takes the members (bucket, node) of buckets that are still open and gives their prefix keys (key, node, n, at), and ``room(n, at, n2, at2)``
+    tells whether two that share a key at these places can be linked.
     """
     col = F.col
     is_link = linked(col("d"), col("na"), col("nb"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    meets = members.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("meets"))
-    waiting, clusters, checked = cut_lineage(members.join(meets, "node")), [], []
-    rank = F.struct(-col("meets"), "node")
+    checked: list[DataFrame] = []
 
-    def classes() -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if checked:
+            pairs = pairs.join(_union(checked).select("a", "b"), ["a", "b"], "left_anti")
+        checked.append(cut_lineage(verify(pairs)))
         return components(_union(checked).where(is_link).select(col("a").alias("u"), col("b").alias("v")))
 
-    def rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
-        return rows.join(roots.select(col("node").alias(node), col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
-
-    for _ in range(turns):
-        pivots = waiting.groupBy("key").agg(F.min_by("node", rank).alias("pivot"))
-        met = cut_lineage(waiting.join(pivots, "key"))
-        found = cut_lineage(verify(met.where("node <> pivot").select(col("pivot").alias("a"), col("node").alias("b")).distinct()))
-        checked.append(found)
-        judged = met.join(found.select(col("a").alias("pivot"), col("b").alias("node"), "d", "na"), ["pivot", "node"], "left")
-        joins = (col("node") == col("pivot")) | F.coalesce(linked(col("d"), col("na"), col("n")), F.lit(False))
-        judged = judged.select("key", "node", "n", "meets", "pivot", F.coalesce("d", F.lit(0)).alias("d"), joins.alias("joins"))
-        roots = classes()
-        everything = rooted(_union([*clusters, judged]), roots, "node", "root")
-        open_keys = everything.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        everything = cut_lineage(everything.drop("root").join(open_keys, "key", "left_semi"))
-        clusters = [everything.where("joins")]
-        waiting = everything.where(~col("joins")).select("key", "node", "n", "meets")
-        if everything.isEmpty():
-            return roots
-        if waiting.isEmpty():
-            break  # what is open are clusters alone, whose members can still be linked
-    alone = waiting.select("key", "node", "n", "meets", col("node").alias("pivot"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("joins"))
-    grouped = cut_lineage(_union([*clusters, alone]))
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        known = _union(checked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        checked.append(cut_lineage(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))))
-        return classes()
-
-    if rest:
-        # where nothing joined a pivot and at most one member waits, all pairs have been compared
-        unsure = grouped.groupBy("key").agg(F.count_if(col("node") != col("pivot")).alias("joined"), F.count(F.lit(1)).alias("c")).where(f"joined > 0 or c > {turns + 1}")
-        nodes = cut_lineage(rooted(grouped.join(unsure.select("key"), "key", "left_semi").select("node").distinct(), roots, "node", "root"))
-        return roots if nodes.isEmpty() else settle(rest(nodes))
-    size = grouped.groupBy("key", "pivot").agg(F.max("d").alias("r"), F.max("n").alias("n"), F.min("n").alias("low"))
-    for with_all in (False, True):
-        known = _union(checked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
-        apart = known.groupBy(col("a").alias("pivot"), col("b").alias("pivot2")).agg(F.max("d").alias("d"))
-        one = rooted(size, roots, "pivot", "root")
-        other = one.select("key", col("pivot").alias("pivot2"), col("r").alias("r2"), col("n").alias("n2"), col("low").alias("low2"), col("root").alias("root2"))
-        near = one.join(other, "key").where("pivot < pivot2 and root <> root2").join(apart, ["pivot", "pivot2"], "left")
-        bound = F.greatest(F.coalesce("d", F.lit(0)) - col("r") - col("r2"), col("low") - col("n2"), col("low2") - col("n"))
-        near = cut_lineage(near.where(linked(bound, col("n"), col("n2"))).select("key", "pivot", "pivot2"))
-        if near.isEmpty():
-            return roots
-        left = grouped.select("key", "pivot", col("node").alias("a"), col("n").alias("na"))
-        right = grouped.select("key", col("pivot").alias("pivot2"), col("node").alias("b"), col("n").alias("nb"))
-        cross = [(left, right)] if with_all else [(left, right.where("b = pivot2")), (left.where("a = pivot"), right)]
-        pairs = _union([near.join(x, ["key", "pivot"]).join(y, ["key", "pivot2"]).select("a", "b", "na", "nb") for x, y in cross])
-        roots = settle(pairs.where(linked(F.abs(col("na") - col("nb")), col("na"), col("nb"))))
-    return roots
+    def pivot_turns(members: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """The classes, and (key, node, was) of the keys whose members aren't all in one; was: a pivot (0), joined to one (1), or still waiting (2)."""
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        meets = members.join(sizes, "key").groupBy("node").agg(F.sum("c").alias("meets"))
+        waiting, done = cut_lineage(members.join(meets, "node").select("key", "node", "n", "meets")), None
+        roots, rank = None, F.struct(-col("meets"), "node")
+        for _ in range(turns):
+            pivots = waiting.groupBy("key").agg(F.min_by("node", rank).alias("pivot"))
+            met = cut_lineage(waiting.join(pivots, "key"))
+            roots = compare(met.where("node <> pivot").select(col("pivot").alias("a"), col("node").alias("b")))
+            links = _union(checked).where(is_link)
+            links = links.select(col("a").alias("pivot"), col("b").alias("node")).unionByName(links.select(col("b").alias("pivot"), col("a").alias("node"))).withColumn("joined", F.lit(True))
+            was = F.when(col("node") == col("pivot"), 0).when(col("joined"), 1).otherwise(2)
+            judged = met.join(links, ["pivot", "node"], "left").select("key", "node", "n", "meets", was.alias("was"))
+            everything = rooted(judged if done is None else done.unionByName(judged), roots)
+            open_keys = everything.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+            everything = cut_lineage(everything.drop("root").join(open_keys, "key", "left_semi"))
+            done, waiting = everything.where("was < 2"), everything.where("was = 2").select("key", "node", "n", "meets")
+            if waiting.isEmpty():
+                break
+        return roots, everything.select("key", "node", "was")
+
+    if members.isEmpty():
+        return members.select("node", col("node").alias("root"))
+    roots, left = pivot_turns(members)
+    # where no pivot was joined and at most one member waits, all pairs have been compared
+    unsure = left.groupBy("key").agg(F.count_if(col("was") == 1).alias("joined"), F.count_if(col("was") == 2).alias("waiting")).where("joined > 0 or waiting > 1")
+    left = cut_lineage(left.join(unsure.select("key"), "key", "left_semi").select(col("key").alias("bucket"), "node"))
+    if left.isEmpty():
+        return roots
+    prefix = cut_lineage(rest(left))
+    many = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(col("c") > MANY).select("key")
+    crowded = cut_lineage(prefix.join(many, "key", "left_semi").select("key", "node", "n"))
+    if not crowded.isEmpty():
+        roots, _ = pivot_turns(crowded)
+    return compare(prefix_pairs(prefix, room, roots))
+
+
+def prefix_pairs(prefix: DataFrame, room: Callable[[Column, Column, Column, Column], Column], roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members in different classes that share a prefix key (key, node, n, at) and have room for a link."""
+    col = F.col
+    own = cut_lineage(rooted(prefix, roots))
+    other = own.select("key", *[col(c).alias(f"{c}2") for c in ("node", "root", "n", "at")])
+    met = own.join(other, (own["key"] == other["key"]) & (col("node") < col("node2")) & (col("root") != col("root2")) & room(col("n"), col("at"), col("n2"), col("at2")))
+    return met.select(col("node").alias("a"), col("node2").alias("b")).distinct()
+
+
+def prefix_links(prefix: DataFrame, verify: Callable, linked: Callable, room: Callable, roots: DataFrame) -> DataFrame:
+    """Links (u, v) of prefix members, but those within classes that are known."""
+    found = cut_lineage(verify(prefix_pairs(prefix, room, roots)))
+    return found.where(linked(F.col("d"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def rarest(features: DataFrame, most: Column) -> DataFrame:
+    """(key, node, n, at) of the prefix of each member: its features at places 0 to ``most`` when those that are rare in its bucket come first.
+
+    ``features`` has (bucket, node, n, key), where n is the number of a node's features and they are distinct.  Those of one member alone
+    come first and are left out, as nothing is met there.  The result's keys are features of a bucket.
+    """
+    col = F.col
+    each = cut_lineage(features.withColumn("key", F.xxhash64("bucket", "key")))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ranked = each.join(often, "key").groupBy("bucket", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    ranked = ranked.select("node", "n", (col("n") - F.size("shared")).alias("gone"), F.posexplode("shared").alias("i", "x"))
+    placed = ranked.select(col("x.key").alias("key"), "node", "n", (col("gone") + col("i")).alias("at"))
+    return placed.where(col("at") <= most)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.storage import cut_lineage, shared_folder
+
 #: Word separators of the white-space rule: space and the controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Separators of the alphanumeric rule on text that is not yet lower-cased: every other ASCII character.
@@ -34,16 +35,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that the session names and returns what reads it back.
-
-    On a cluster the folder is the shared one of ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a temporary folder of this machine is taken.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,13 +52,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def written(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns what reads it back."""
     spark = df.sparkSession
@@ -76,5 +60,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *columns: Column, row: str = "row") -> DataFrame:
+    """``columns`` of ``docs`` after a row number, written once.
+
+    The numbers follow the order of the scan, which depends on how the files are split; reading them back
+    keeps them the same for all that comes after, whatever executors come and go.
+    """
+    return written(docs.select(F.monotonically_increasing_id().alias(row), *columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,27 +1,25 @@
-"""Line dedup: an edit join of all lines by segments or anchors, then one line of each class stays.
+"""Line dedup: a segment-partition edit join of all lines, then one line of each class stays.
 
-Lines of at least ``MIN_CHARS`` characters are linked if their edit distance is at most a tenth of the longer
-line's length (``SHARE``, rounded down), so the threshold rises with every ten characters.
+A line is the sequence of its words by white space.  Two lines are linked if their edit distance in words is at most
+t = min(n / 8, sqrt(n) / 2, 30), rounded down, where n is the longer one's number of words (``edits``): one word of 8, two of 16, three of 36, five
+of 100.  The root is the fastest growth for which the keys stay in proportion to the text.  The 30 is the reach of
+a bit vector of 64 bits; it counts for lines of 3,600 words and more.
 
-Lines of less than ``SEGMENTED`` characters are found by segments, in a class for each threshold: a line is split into
-threshold + 1 segments as equal as can be; a line within the distance must hold one of them unchanged, at a place
-that the edits before and after it bound (the multi-match-aware windows), so each line probes the segments of lines
-that are up to the threshold shorter.  All links of such lines are found.
+A line of a class t is split into t + 1 segments whose length depends on the class alone, the first half counted from the line's start and the others
+from its end.  A line within t edits holds one segment i unchanged with at most i edits before and at most t - i after it, so
+that it stands at most r = min(i, t - i) words off.  Hence the keys of a segment are its r + 1 windows of its length less r: at a shift
+of up to r two lines have one of them in common.  That is about (t + 2)^2 / 4 keys for a line, and
+lines under the next class by no more than its edits have that class's keys too.  No link is missed.
 
-Segments grow with the cube of the threshold, so longer lines are found by anchors: of each ``run`` characters in a row the
-run's gram with the least hash is a key, wherever it stands, so lines with a run in common have a key in common.
-Lines within a twentieth of the longer one's length always have one, as the edits cut it into too few pieces; of
-those between a twentieth and a tenth, the pairs whose edits leave no anchor whole (they would be scattered evenly, under
-15 to 18 characters apart) can be missed.  A changed word leaves anchors on both sides.
-
-Keys are 64-bit; those that only one line's copies have are dropped by a minimum and maximum per key.
-Lines that share a key are verified by the edit distance within twice the threshold.  See ``buckets`` for how pairs are avoided.
+Keys that only one line's copies have are dropped by a minimum and maximum per key.  Lines that share a key are verified by
+banded bit-parallel edit distance once common words at both ends are stripped.  See ``buckets`` for how pairs of one key are avoided; what
+that leaves open is keyed anew by the t + 1 words of each line that are rarest in the bucket, one of which linked lines share.
 
 Defined results: a null text has no lines and stays null; lines without a word are kept and never
-compared; shorter lines are compared for equality only; among equal or linked lines the first stays, in
-the order in which the table is scanned; repeated documents keep the lines of the first; an empty table gives an empty
-result.  Rows are numbered as they are scanned, so ``docs`` must be a file scan or otherwise give its rows in the
-same order again.  Two different lines are taken for one if 128 bits of their hashes are equal.
+compared; lines under 8 words are compared for equality only, as a word is more than an eighth of them; among equal or linked lines the first stays, in
+the order in which the table is scanned; repeated documents keep the lines of the first; very long lines and texts are taken whole; an empty table gives an empty
+result; extra columns are kept, and those named as the results (n_lines, n_exact, n_near, removed, origins) are replaced.
+Two lines, or two words, are taken for one if 128, or 64, bits of their hashes are equal.
 """
 
 from __future__ import annotations
@@ -29,220 +27,197 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.buckets import bucket_classes
-from pulsegrid.llm.common import cut_lineage, small_or_plain, table, written
-
-SHARE = 10
-MIN_CHARS = 10
-SEGMENTED = 60
-#: (least length, length that it ends before, run, gram): a line of n characters with at most n // run - 1 edits keeps a run, and
-#: that is n // 20 at least from the scheme's first threshold on.  Schemes overlap by what a linked line can be shorter.
-ANCHORS = ((54, 200, 15, 11), (180, None, 18, 13))
-#: Anchors are found in pieces of so many characters, as a place in a long string is found by counting from its start.
-PIECE = 500
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of the even partition of a line; the last ones take what is left over."""
-    base, extra = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts)).cast("int")
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        size = base + (F.lit(parts - i) <= extra).cast("int")
-        out.append((start, size))
-        start = start + size
-    return out
-
-
-def line_keys(line: Column, length: Column, edits: int) -> Column:
-    """Distinct keys of a line: its own segments (those with gap 0 and no shift) and what it probes."""
-    keys = []
-    for gap in range(edits + 1):
-        for i, (start, size) in enumerate(segments(length - gap, edits + 1)):
-            low, high = max(-i, gap - (edits - i)), min(i, gap + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= length)
-                keys.append(F.when(fits, F.xxhash64(length - gap, F.lit(i), F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+from pulsegrid.llm.buckets import bucket_classes, rarest
+from pulsegrid.llm.common import cut_lineage, free_name, numbered, small_or_plain, table, written
 
+EIGHTH, HALF, MOST = 8, 2, 30
+SPACES = "\t\x0b\x0c\r"
+MAX_BROADCAST_ROWS = 1_000_000
+WORD = r"[^\x20\x09-\x0D]"
 
-def threshold(length: Column) -> Column:
-    """Edits within which lines are linked, by the longer one's length."""
-    return F.floor(length / SHARE).cast("int")
-
-
-def _probes(edits: int) -> Column:
-    """(gap, i, shift, parts) of the keys of ``line_keys``, and of a line's own segments in the next class."""
-    out = [(gap, i, shift, edits + 1) for gap in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
-    out += [(0, i, 0, edits + 2) for i in range(edits + 2)]
-    return F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(p, ("gap", "i", "shift", "parts"))]) for p in out])
-
-
-def segment_keys(line: Column, length: Column) -> Column:
-    """Keys of a line of less than ``SEGMENTED`` characters, in the class of its threshold; none for longer lines."""
-    probes = F.when(threshold(length) >= SEGMENTED // SHARE, F.slice(_probes(1), 1, 0))
-    for t in range(1, SEGMENTED // SHARE):
-        probes = probes.when(threshold(length) == t, _probes(t))
-
-    def key(p: Column) -> Column:
-        n = length - p["gap"]
-        base, extra = F.floor(n / p["parts"]).cast("int"), F.pmod(n, p["parts"])
-        size = base + (p["parts"] - p["i"] <= extra).cast("int")
-        at = 1 + p["i"] * base + F.greatest(F.lit(0), p["i"] - (p["parts"] - extra)) + p["shift"]
-        return F.when((at >= 1) & (at + size - 1 <= length), F.xxhash64(p["parts"], n, p["i"], F.substring(line, at, size)))
 
-    return F.array_distinct(F.array_compact(F.transform(probes, key)))
+def edits(words: Column) -> Column:
+    """Edits within which lines are linked, by the longer one's number of words."""
+    return F.least(F.floor(words / EIGHTH), F.floor(F.sqrt(words) / HALF), F.lit(MOST)).cast("int")
 
 
-def anchors(piece: Column, run: int, gram: int) -> Column:
-    """The least gram hash of each run of a piece of at least ``run`` characters."""
-    width = run - gram + 1
-    hashes = F.transform(F.sequence(F.lit(1), F.length(piece) - gram + 1), lambda i: F.xxhash64(F.lit(run), F.substring(piece, i, gram)))
-    least = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.array_min(F.slice(h, i, width)))
-    return F.array_distinct(F.get(F.transform(F.array(hashes), least), F.lit(0)))
+def least_words(t: Column) -> Column:
+    """The least number of words for which ``edits`` is t."""
+    return F.greatest(EIGHTH * t, (HALF * t) * (HALF * t))
 
 
-def anchor_keys(line: Column, length: Column) -> Column:
-    """Keys of a line by the schemes that hold for its length, in pieces that overlap by a run less one."""
+def word_hashes(line: Column) -> Column:
+    """64-bit hashes of the words of a line, which has no line feed."""
+    odd = F.lit(False)
+    for c in SPACES:
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.when(odd, F.translate(line, SPACES, " " * len(SPACES))).otherwise(line)
+    return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
-    def in_pieces(run: int, gram: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(length - run + 1, F.lit(1)), F.lit(PIECE - run + 1))
-        return F.flatten(F.transform(starts, lambda s: anchors(F.substring(line, s, F.lit(PIECE)), run, gram)))
 
-    out = []
-    for low, end, run, gram in ANCHORS:
-        fits = (length >= low) & (length < end) if end else length >= low
-        out.append(F.when(fits, in_pieces(run, gram)).otherwise(F.array().cast("array<long>")))
-    return F.array_distinct(F.concat(*out))
+def segment_keys(lines: DataFrame) -> DataFrame:
+    """(node, n, key) of lines (node, words): their windows in the class of their edits and, if they are near it, in the next one."""
+    col = F.col
+    t = edits(col("n"))
+    near = (t < MOST) & (col("n") + t + 1 >= least_words(t + 1))
+    rows = lines.withColumn("n", F.size("words")).withColumn("t", F.explode(F.array(t, F.when(near, t + 1)))).where("t > 0")
+    rows = rows.withColumn("size", F.floor((least_words(col("t")) - col("t")) / (col("t") + 1)).cast("int"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), col("t")))).withColumn("r", F.least(col("i"), col("t") - col("i")))
+    rows = rows.withColumn("start", F.when(2 * col("i") <= col("t"), col("i") * col("size")).otherwise(col("n") - (col("t") - col("i") + 1) * col("size")))
+    rows = rows.withColumn("a", F.explode(F.sequence(F.lit(0), col("r"))))
+    return rows.select("node", col("n").cast("long").alias("n"), F.xxhash64("t", "i", F.slice("words", col("start") + col("a") + 1, col("size") - col("r"))).alias("key"))
 
 
-def banded_edits(a: Column, b: Column, band: int) -> Column:
-    """Edit distance of character arrays by bit vectors along the diagonal; some number over ``band`` if it is larger.
+def banded_edits(a: Column, b: Column, band: Column | int) -> Column:
+    """Edit distance of arrays by bit vectors along the diagonal; some number over ``band``, which is 30 at most, if it is larger.
 
     Bit k of a column j stands for row j - band + k.  The distance is followed down the band's lower
     edge and, once that has passed the last row, along that row.
     """
-    width = 2 * band + 1
-    full, top = (1 << width) - 1, 1 << (width - 1)
+    band = F.lit(band) if isinstance(band, int) else band
     na = F.size(a)
     lit = lambda x: F.lit(x).cast("long")
+    shift = lambda x, k: F.call_function("shiftleft", x, k.cast("int"))
+    full, top = shift(lit(1), 2 * band + 1) - 1, shift(lit(1), 2 * band)
 
     def step(s: Column, j: Column) -> Column:
         c = F.get(b, j - 1)
-        match = lit(0)
-        for k in range(width):
-            match = match + F.when(F.get(a, j - band + k - 1) == c, lit(1 << k)).otherwise(lit(0))
+        match = F.aggregate(F.sequence(F.lit(0), 2 * band), lit(0), lambda m, k: m + F.when(F.get(a, j - band + k - 1) == c, shift(lit(1), k)).otherwise(lit(0)))
         return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), match.alias("m"), j.alias("j"))
 
     def column(s: Column) -> Column:
         vp, vn, m, j = s["vp"], s["vn"], s["m"], s["j"]
-        d0 = ((m.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(lit(full))
+        d0 = ((m.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(full)
         return F.struct(vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), d0.alias("d0"), j.alias("j"))
 
     def across(s: Column) -> Column:
         vp, vn, d0, j = s["vp"], s["vn"], s["d0"], s["j"]
-        hp = vn.bitwiseOR(lit(full).bitwiseXOR(d0.bitwiseOR(vp)))
+        hp = vn.bitwiseOR(full.bitwiseXOR(d0.bitwiseOR(vp)))
         hn = d0.bitwiseAND(vp)
         return F.struct(s["d"].alias("d"), d0.alias("d0"), hp.alias("hp"), hn.alias("hn"), j.alias("j"))
 
     def down(s: Column) -> Column:
         d0, hp, hn, j = s["d0"], s["hp"], s["hn"], s["j"]
         shifted = F.shiftright(d0, 1)
-        vp = hn.bitwiseOR(lit(full).bitwiseXOR(shifted.bitwiseOR(hp)))
+        vp = hn.bitwiseOR(full.bitwiseXOR(shifted.bitwiseOR(hp)))
         vn = shifted.bitwiseAND(hp)
-        edge = F.when(d0.bitwiseAND(lit(top)) == 0, 1).otherwise(0)
-        bit = F.pow(F.lit(2.0), (na - j + band).cast("double")).cast("long")
+        edge = F.when(d0.bitwiseAND(top) == 0, 1).otherwise(0)
+        bit = shift(lit(1), F.greatest(na - j + band, F.lit(0)))
         last = F.when(hp.bitwiseAND(bit) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(bit) != 0, 1).otherwise(0)
         return F.struct(vp.alias("vp"), vn.alias("vn"), (s["d"] + F.when(j + band <= na, edge).otherwise(last)).cast("int").alias("d"))
 
     # one let-binding after another, as lambdas, so that no step is written out twice
     bind = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
-    start = F.struct(lit(full - (1 << band) + 1).alias("vp"), lit(0).alias("vn"), F.lit(band).alias("d"))
+    start = F.struct((full - shift(lit(1), band) + 1).alias("vp"), lit(0).alias("vn"), F.least(band, na).cast("int").alias("d"))
     walk = F.aggregate(F.sequence(F.lit(1), F.size(b)), start, lambda s, j: bind(bind(bind(step(s, j), column), across), down), lambda s: s["d"])
-    return F.when(F.abs(na - F.size(b)) > band, F.lit(band + 1)).otherwise(walk)
+    return F.when(F.abs(na - F.size(b)) > band, band + 1).when(F.size(b) == 0, na).otherwise(walk)
+
+
+def word_edits(pairs: DataFrame) -> DataFrame:
+    """(a, b, d, na, nb) of pairs with word hashes wa and wb; d is some number over ``edits`` if it is larger."""
+    col = F.col
+    # the first place where both differ; beyond the shorter one both do
+    head = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    both = pairs.select("a", "b", "wa", "wb", F.size("wa").cast("long").alias("na"), F.size("wb").cast("long").alias("nb"))
+    both = both.withColumn("most", edits(F.greatest("na", "nb"))).withColumn("at", head(col("wa"), col("wb")).cast("int"))
+    cut = lambda w: F.when(col("at") > 0, F.reverse(F.slice(w, col("at"), F.size(w)))).otherwise(F.array().cast("array<long>"))
+    both = both.select("a", "b", "na", "nb", "most", cut("wa").alias("wa"), cut("wb").alias("wb"))
+    both = both.withColumn("at", head(col("wa"), col("wb")).cast("int"))
+    cut = lambda w: F.slice(w, F.greatest("at", F.lit(1)), F.size(w))
+    both = both.select("a", "b", "na", "nb", "most", cut("wa").alias("wa"), cut("wb").alias("wb"))
+    return both.select("a", "b", banded_edits(col("wa"), col("wb"), col("most")).cast("long").alias("d"), "na", "nb")
+
 
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(row, number, line) of every line of rows (row, text)."""
+    return rows.select("row", F.posexplode(F.split("text", "\n")).alias("number", "line"))
 
-def occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """(row, number, line, pos) of every line; pos rises in the order of the scan."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
-    lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    return lines.withColumn("pos", F.monotonically_increasing_id())
+
+def hashed_lines(rows: DataFrame) -> DataFrame:
+    """(row, number, pos, node, node2, has_word) of every line, written; pos rises in the order of the scan."""
+    col = F.col
+    return written(lines_of(rows).select("row", "number", F.monotonically_increasing_id().alias("pos"), F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), col("line").rlike(WORD).alias("has_word")))
 
 
-def linked_lines(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(node, root) of the classes of different lines, by line hashes; ``lines`` has line."""
+def linked_lines(rows: DataFrame) -> DataFrame:
+    """(node, root) of the classes of different lines of rows (row, text), by line hashes."""
     col = F.col
-    long = lines.select("line", F.xxhash64("line").alias("node"), F.length("line").alias("n")).where((col("n") >= min_chars) & col("line").rlike(WORD))
-    keyed = long.select("node", "n", F.explode(F.concat(segment_keys(col("line"), col("n")), anchor_keys(col("line"), col("n")))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    each = written(segment_keys(lines_of(rows).select(F.xxhash64("line").alias("node"), word_hashes(col("line")).alias("words"))))
+    shared = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     shared = cut_lineage(shared)
-    members = keyed.join(small_or_plain(shared, shared.count(), MAX_BROADCAST_ROWS), "key", "left_semi").groupBy("key", "node").agg(F.max("n").cast("long").alias("n"))
+    members = each.join(small_or_plain(shared, shared.count(), MAX_BROADCAST_ROWS), "key", "left_semi").groupBy("key", "node").agg(F.max("n").alias("n"))
     members = cut_lineage(members)
     nodes = cut_lineage(members.select("node").distinct())
-    texts = long.join(small_or_plain(nodes, nodes.count(), MAX_BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    texts = written(texts)
+    found = lines_of(rows).select(F.xxhash64("line").alias("node"), "line").join(small_or_plain(nodes, nodes.count(), MAX_BROADCAST_ROWS), "node", "left_semi")
+    words = written(found.groupBy("node").agg(F.first("line").alias("line")).select("node", word_hashes(col("line")).alias("words")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(col("node").alias("a"), col("line").alias("la")), texts.select(col("node").alias("b"), col("line").alias("lb"))
-        both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumns({"na": F.length("la").cast("long"), "nb": F.length("lb").cast("long")})
-        both = both.withColumn("most", 2 * threshold(F.greatest("na", "nb"))).withColumn("d", F.expr("levenshtein(la, lb, most)"))
-        return both.select("a", "b", F.when(col("d") < 0, col("most") + 1).otherwise(col("d")).cast("long").alias("d"), "na", "nb")
+        left, right = words.select(col("node").alias("a"), col("words").alias("wa")), words.select(col("node").alias("b"), col("words").alias("wb"))
+        return word_edits(pairs.select("a", "b").join(right, "b").join(left, "a"))
 
-    return bucket_classes(members, verify, lambda d, na, nb: SHARE * d <= F.greatest(na, nb))
+    def rest(left: DataFrame) -> DataFrame:
+        """The words that are rarest in a bucket, where a word that comes again counts as another."""
+        each = words.join(left.select("node").distinct(), "node").select("node", F.size("words").cast("long").alias("n"), F.explode("words").alias("w"))
+        each = each.groupBy("node", "n", "w").agg(F.count(F.lit(1)).alias("c")).select("node", "n", "w", F.explode(F.sequence(F.lit(1).cast("long"), col("c"))).alias("i"))
+        # a longer partner can be in the next class
+        return rarest(left.join(each, "node").select("bucket", "node", "n", F.xxhash64("w", "i").alias("key")), edits(col("n") + edits(col("n")) + 1))
 
+    def room(n: Column, at: Column, n2: Column, at2: Column) -> Column:
+        most = F.greatest(n, n2)
+        return (F.abs(n - n2) <= edits(most)) & (F.least(n - at, n2 - at2) >= most - edits(most))
 
-WORD = r"[^\x20\x09-\x0D]"
+    return bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room)
 
 
-def line_classes(docs: DataFrame, *, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(row, number, pos, first, root) of every line: where its text and its class stand first."""
+def line_classes(rows: DataFrame) -> DataFrame:
+    """(row, number, pos, first, root) of every line of rows (row, text): where its text and its class stand first."""
     col = F.col
-    lines = occurrences(docs, text)
-    roots = linked_lines(lines, min_chars)
-    hashed = lines.select("row", "number", "pos", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), col("line").rlike(WORD).alias("has_word"))
-    hashed = written(hashed)
-    firsts = hashed.where("has_word").groupBy("node", "node2").agg(F.min("pos").alias("first"))
-    grouped = firsts.join(roots.withColumnRenamed("root", "head"), "node", "left")
-    grouped = grouped.withColumn("head", F.coalesce("head", "node"))
-    linked = roots.select(col("root").alias("head")).unionByName(roots.select(col("node").alias("head"))).distinct()
-    heads = grouped.join(linked, "head", "left_semi").groupBy("head").agg(F.min("first").alias("root"))
-    grouped = grouped.join(heads, "head", "left").select("node", "node2", "first", F.coalesce("root", "first").alias("root"))
-    out = hashed.join(grouped, ["node", "node2"], "left")
-    return out.select("row", "number", "pos", F.when(col("has_word"), col("first")).otherwise(col("pos")).alias("first"), F.when(col("has_word"), col("root")).otherwise(col("pos")).alias("root"))
-
-
-def line_report(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """(row, n_lines, n_exact, n_near, removed, origins) of every document with lines.
-
-    ``removed`` has the numbers of its lines that do not stay, ``origins`` the distinct doc_ids where those classes stand first.
+    lines, roots = hashed_lines(rows), linked_lines(rows)
+    firsts = lines.where("has_word").groupBy("node", "node2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c"))
+    grouped = firsts.join(roots.withColumnRenamed("root", "head"), "node", "left").withColumn("linked", col("head").isNotNull()).withColumn("head", F.coalesce("head", "node"))
+    heads = grouped.join(roots.select(col("root").alias("head")).distinct(), "head", "left_semi").groupBy("head").agg(F.min("first").alias("root"))
+    grouped = grouped.join(heads, "head", "left").where("c > 1 or root is not null").select("node", "node2", "first", F.coalesce("root", "first").alias("root"))
+    grouped = cut_lineage(grouped)  # the lines that have an equal or linked one
+    out = lines.join(small_or_plain(grouped, grouped.count(), MAX_BROADCAST_ROWS), ["node", "node2"], "left")
+    return out.select("row", "number", "pos", F.coalesce("first", "pos").alias("first"), F.coalesce("root", "pos").alias("root"))
+
+
+def line_report(rows: DataFrame) -> DataFrame:
+    """(row, n_exact, n_near, removed, origins) of every document with lines that do not stay; ``rows`` has row, id and text.
+
+    ``removed`` has the numbers of these lines, ``origins`` the distinct ids of the documents where their classes stand first.
     """
     col = F.col
-    classes = written(line_classes(docs, **options))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), col(f"`{doc_id}`").alias("origin"))
+    classes = written(line_classes(rows.select("row", "text")))
     gone = classes.where("pos <> root")
     at = classes.where("pos = root").select(col("pos").alias("root"), col("row").alias("home"))
-    origins = gone.select("row", "root").distinct().join(at, "root").join(ids.withColumnRenamed("row", "home"), "home")
+    sought = gone.select("root").distinct()
+    at = at.join(small_or_plain(sought, sought.count(), MAX_BROADCAST_ROWS), "root", "left_semi")
+    homes = at.join(rows.select(col("row").alias("home"), col("id").alias("origin")), "home").select("root", "origin")
+    homes = cut_lineage(homes)
+    origins = gone.select("row", "root").distinct().join(small_or_plain(homes, homes.count(), MAX_BROADCAST_ROWS), "root")
     origins = origins.groupBy("row").agg(F.sort_array(F.collect_set("origin")).alias("origins"))
-    counts = classes.groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(col("pos") != col("first")).alias("n_exact"), F.count_if((col("pos") == col("first")) & (col("first") != col("root"))).alias("n_near"),
-        F.sort_array(F.collect_list(F.when(col("pos") != col("root"), col("number")))).alias("removed"),
+    counts = gone.groupBy("row").agg(
+        F.count_if(col("pos") != col("first")).alias("n_exact"), F.count_if(col("pos") == col("first")).alias("n_near"), F.sort_array(F.collect_list("number")).alias("removed")
     )
     return counts.join(origins, "row", "left")
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the lines that do not stay, and with n_lines, n_exact, n_near, removed and origins."""
-    col, own = F.col, ("n_lines", "n_exact", "n_near", "removed", "origins", "row")
-    report = written(line_report(docs, text=text, doc_id=doc_id, **options))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *[col(f"`{c}`") for c in docs.columns if c.lower() not in own])
-    rows = rows.join(report, "row", "left")
-    lines = F.split(col(f"`{text}`"), "\n")
+    col, own = F.col, ("n_lines", "n_exact", "n_near", "removed", "origins")
+    row = free_name(docs, "row")
+    rows = numbered(docs, *[col(f"`{c}`") for c in docs.columns if c.lower() not in own], row=row)
+    report = written(line_report(rows.select(col(row).alias("row"), col(f"`{doc_id}`").alias("id"), col(f"`{text}`").alias("text"))))
+    rows = rows.join(small_or_plain(report.withColumnRenamed("row", row), report.count(), MAX_BROADCAST_ROWS), row, "left").drop(row)
+    lines = free_name(rows, "lines")
+    rows = rows.withColumn(lines, F.split(col(f"`{text}`"), "\n"))  # a projection of its own: what a lambda holds is evaluated for each element
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), col("removed"))
-    clean = F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
-    rows = rows.withColumn(text, F.when(F.size("removed") > 0, clean).otherwise(col(f"`{text}`")))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_lines", "n_exact", "n_near")}
-    return rows.withColumns(zero | {"removed": F.coalesce("removed", F.array().cast("array<int>")), "origins": F.coalesce("origins", F.array().cast(f"array<{docs.schema[doc_id].dataType.simpleString()}>"))}).drop("row")
+    clean = F.array_join(F.transform(stays, lambda i: F.get(col(lines), i)), "\n")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_exact", "n_near")}
+    none = {"removed": F.coalesce("removed", F.array().cast("array<int>")), "origins": F.coalesce("origins", F.array().cast(f"array<{docs.schema[doc_id].dataType.simpleString()}>"))}
+    rows = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    return rows.withColumn(text, F.when(F.size("removed") > 0, clean).otherwise(col(f"`{text}`"))).withColumns(zero | none).drop(lines)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ Components of links are the classes.
 
 Defined results: null counts as empty; texts without words are copies if they are equal; texts
 of fewer than five words have one k-mer, so they link to copies only; repeated rows are copies; ties go to the
-smaller doc_id, null last; an empty table gives an empty result.  Rows are numbered as they are
-scanned, so ``docs`` must be a file scan or otherwise give its rows in the same order again.
+smaller doc_id, null last; very long texts are taken whole, their alignment within a band of 4 / 9 of the shorter one's length; extra columns are kept, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.buckets import bucket_classes
-from pulsegrid.llm.common import cut_lineage, small_or_plain, table, text_or_empty, written
+from pulsegrid.llm.buckets import bucket_classes, prefix_links, rarest
+from pulsegrid.llm.common import cut_lineage, free_name, numbered, small_or_plain, table, text_or_empty, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.decontam import words_of
 
@@ -205,59 +205,49 @@ def linked(d: Column, na: Column, nb: Column) -> Column:
     return 9 * d <= na + nb
 
 
-def prefix_pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, root) with different roots that can be linked, by a prefix filter.
+def prefixes(nodes: DataFrame, contents: DataFrame) -> DataFrame:
+    """(key, node, n, at) of the prefix of each of ``nodes`` (node): its labelled k-mers that are rarest among them, whatever their buckets.
 
     Links have at least 4 / 9 (n_a + n_b) labelled k-mers in common.  With the rare ones first, two such
     texts share a k-mer within the first n - 0.8 n + 1 of each, at places that leave room for the rest.
     """
-    col = F.col
-    rows = contents.join(nodes.withColumnRenamed("node", "row"), "row").select("row", "root", "words")
+    rows = contents.join(nodes.select(F.col("node").alias("row")), "row").select("row", "words")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            w = b.column(2)
+            w = b.column(1)
             flat, at = w.values.to_numpy(zero_copy_only=False), w.offsets.to_numpy()
             x = [labelled(kmers(flat[at[i] : at[i + 1]])).view(np.int64) for i in range(len(w))]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["node", "root", "kmers"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["node", "kmers"])
+
+    each = rows.mapInArrow(batches, "node long, kmers array<long>").select("node", F.size("kmers").cast("long").alias("n"), F.explode("kmers").alias("key"))
+    return rarest(each.select(F.lit(0).alias("bucket"), "node", "n", "key"), F.floor(F.col("n") / 5))
 
-    each = rows.mapInArrow(batches, "node long, root long, kmers array<long>").select("node", "root", F.size("kmers").alias("n"), F.explode("kmers").alias("x"))
-    each = cut_lineage(each)
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = each.join(often, "x")
-    w = Window.partitionBy("node")
-    at = col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("c", "x")) - 1
-    prefix = cut_lineage(shared.withColumn("at", at).where(5 * col("at") <= col("n")).select("x", "node", "root", "n", "at"))
-    other = prefix.select("x", *[col(c).alias(f"{c}2") for c in ("node", "root", "n", "at")])
-    room = F.least(col("n") - col("at"), col("n2") - col("at2"))
-    met = prefix.join(other, (prefix["x"] == other["x"]) & (col("node") < col("node2")) & (col("root") != col("root2")) & (9 * room >= 4 * (col("n") + col("n2"))))
-    return met.select(col("node").alias("a"), col("node2").alias("b")).distinct()
+
+def room(n: Column, at: Column, n2: Column, at2: Column) -> Column:
+    return 9 * F.least(n - at, n2 - at2) >= 4 * (n + n2)
 
 
 def with_short_links(reps: DataFrame, found: DataFrame, contents_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``found`` (node, root) with all links of short texts; ``reps`` has row and n.  Of fewer than ``LEAST_LINKED`` k-mers none links."""
     col = F.col
     short = reps.where((col("n") >= LEAST_LINKED) & (4 * col("n") <= 5 * SHORT)).select(col("row").alias("node"))
-    short = cut_lineage(short.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    short = cut_lineage(short)
     if short.isEmpty():
         return found
     contents = contents_of(short.select(col("node").alias("row")))
-    links = cut_lineage(verify(prefix_pairs(short, contents), contents).where(linked(col("d"), col("na"), col("nb"))).select(col("a").alias("u"), col("b").alias("v")))
+    keys = prefixes(short, contents).select("key", "node", "n", "at")
+    links = prefix_links(keys, lambda pairs: verify(pairs, contents), linked, room, found)
     return found if links.isEmpty() else components(links.unionByName(found.select(col("node").alias("u"), col("root").alias("v"))))
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """(row, id, class_id, class_size, keeps) of every document.
-
-    ``row`` is the number that monotonically_increasing_id gives to the rows of ``docs``, class_id the
-    least doc_id of the class, and ``keeps`` true for the one document that stays.
-    """
+def content_classes(rows: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """(row, id, root) of rows (row, id, text); the root is the row of a member of the class."""
     col = F.col
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), col(f"`{doc_id}`").alias("id"), col(f"`{text}`").alias("text"))
     seen = written(sketches(rows, "text", seed=seed))
-    first = seen.groupBy("content").agg(F.min("row").alias("rep"))
-    reps = cut_lineage(seen.select("row", "content", "n", "keys").join(first.select(col("rep").alias("row")), "row", "left_semi").select("row", "n", "keys"))
+    first = cut_lineage(seen.groupBy("content").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("c")))
+    reps = cut_lineage(seen.select("row", "n", "keys").join(first.select(col("rep").alias("row")), "row", "left_semi"))
     each = reps.select("row", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = cut_lineage(each.join(shared, "key").select("key", "row", "n"))
@@ -268,24 +258,41 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         return written(found.select("row", word_hashes(col("text")).alias("words")))
 
     contents = contents_of(members.select("row").distinct())
-    found = bucket_classes(members.withColumnRenamed("row", "node"), lambda pairs: verify(pairs, contents), linked, lambda nodes: prefix_pairs(nodes, contents))
+    found = bucket_classes(members.withColumnRenamed("row", "node"), lambda pairs: verify(pairs, contents), linked, lambda left: prefixes(left.select("node").distinct(), contents), room)
     found = with_short_links(reps, found, contents_of)
-    classes = seen.select("row", "id", "content").join(first, "content").select("row", "id", "rep")
-    classes = classes.join(found.select(col("node").alias("rep"), "root"), "rep", "left").select("row", "id", F.coalesce("root", "rep").alias("root"))
+    # only texts with copies or links need to learn their root; those of a large group are spread by the row of each copy
+    moved = first.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("c > 1 or root is not null").select("content", F.coalesce("root", "rep").alias("root"))
+    moved = cut_lineage(moved)
+    out = seen.select("row", "id", "content").join(small_or_plain(moved, moved.count(), MAX_BROADCAST_ROWS), "content", "left")
+    return out.select("row", "id", F.coalesce("root", "row").alias("root"))
+
+
+def near_duplicates(rows: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """(row, id, class_id, class_size, keeps) of every one of rows (row, id, text), which must be a table that gives the same numbers again.
+
+    class_id is the least id of the class, and ``keeps`` is true for the one document that stays.
+    """
+    col = F.col
+    classes = written(content_classes(rows, seed=seed))
     least = F.struct(col("id").isNull().alias("none"), "id", "row")
     sizes = classes.groupBy("root").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    out = classes.join(sizes, "root")
-    return out.select("row", "id", col("best.id").alias("class_id"), "class_size", (col("row") == col("best.row")).alias("keeps"))
+    sizes = cut_lineage(sizes.where("class_size > 1"))
+    out = classes.join(small_or_plain(sizes, sizes.count(), MAX_BROADCAST_ROWS), "root", "left")
+    alone = col("best").isNull()
+    return out.select(
+        "row", "id", F.when(alone, col("id")).otherwise(col("best.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (col("row") == col("best.row"))).alias("keeps")
+    )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    kept = near_duplicates(docs, **options).where("keeps").select("row")
-    kept = cut_lineage(kept)
-    own = docs.withColumn("__row", F.monotonically_increasing_id())
-    return own.join(small_or_plain(kept.withColumnRenamed("row", "__row"), kept.count(), MAX_BROADCAST_ROWS), "__row", "left_semi").drop("__row")
+    row = free_name(docs, "row")
+    own = numbered(docs, *[F.col(f"`{c}`") for c in docs.columns], row=row)
+    kept = near_duplicates(own.select(F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), **options)
+    gone = cut_lineage(kept.where("not keeps").select(F.col("row").alias(row)))
+    return own.join(small_or_plain(gone, gone.count(), MAX_BROADCAST_ROWS), row, "left_anti").drop(row)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "class_size", "keeps")
+    rows = numbered(table(spark, sf_dir, "documents"), F.col("doc_id").alias("id"), F.col("text"))
+    return near_duplicates(rows).select(F.col("id").alias("doc_id"), "class_id", "class_size", "keeps")

@@ -235,26 +235,9 @@ def test_schedule_is_inverted(spark):
         assert got == pytest.approx(0.3)
 
 
-def test_edit_distance_and_keys_lose_no_link(spark):
-    r = random.Random(2)
-    rows = []
-    for _ in range(800):
-        a = "".join(r.choice("abc") for _ in range(r.randrange(12, 45)))
-        b = list(a)
-        for _ in range(r.randrange(0, 7)):
-            i, kind = r.randrange(len(b)), r.random()
-            b[i : i + (kind < 0.6)] = [r.choice("abcd")] if kind < 0.3 or kind >= 0.6 else []
-        rows.append((a, "".join(b)))
-    df = spark.createDataFrame(rows, "a string, b string").where("length(b) >= 12")
-    keys = lambda c: line_dedup.line_keys(F.col(c), F.length(c), 2)
-    got = df.select(F.levenshtein("a", "b").alias("want"), line_dedup.banded_edits(F.split("a", ""), F.split("b", ""), 4).alias("d"), F.arrays_overlap(keys("a"), keys("b")).alias("meet")).collect()
-    assert all(x.d == x.want if x.want <= 4 else x.d > 4 for x in got)
-    assert all(x.meet for x in got if x.want <= 2)
-
-
 def test_lines_stay_once(spark, docs, empty):
     long = "a line that is quite long enough to be compared"
-    rows = [(1, f"{long}\nshort\n\nshort"), (2, f"{long[:-1]}X\nother"), (3, f"{long}\n\n{long[1:]}"), (4, None), (5, ""), (6, "short")]
+    rows = [(1, f"{long}\nshort\n\nshort"), (2, f"{long[:-1]}X\nother"), (3, f"{long}\n\n{long[2:]}"), (4, None), (5, ""), (6, "short")]
     d = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     got = {x.doc_id: x for x in line_dedup.dedup_lines(d).collect()}
     assert (got[1].text, got[1].n_exact, got[1].n_near) == (f"{long}\nshort\n", 1, 0)
@@ -316,15 +299,26 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
             c = sum((Counter(x) & Counter(y)).values())
             if c >= 0.8 * (len(x) + len(y) - c):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
+    d = d.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text")
+    d, none = written(d), d.limit(0)
     got = {x.id: x for x in minhash.near_duplicates(d).collect()}
     assert {i: x.class_id for i, x in got.items()} == {i: find(i) for i in range(len(rows))}
     assert {x.id for x in minhash.near_duplicates(d).where("keeps").collect()} == {find(i) for i in range(len(rows))}
-    assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.near_duplicates(none).count() == 0
     odd = minhash.drop_near_duplicates(docs)
     kept = [x.text for x in odd.collect()]
     assert odd.columns == docs.columns and len(kept) == len(set(kept)) and sum(t is None or t == "" for t in kept) == 1
 
 
+def all_features(left):
+    """Every member of a bucket shares one feature, so that all pairs of open buckets are compared."""
+    return left.select(F.col("bucket").alias("key"), "node", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+
+
+def everywhere(n, at, n2, at2):
+    return F.lit(True)
+
+
 def test_buckets_join_clusters_that_no_pivot_joins(spark):
     """Numbers on a line, linked within 1: with one bucket the chain must come out whole."""
     from pulsegrid.llm.buckets import bucket_classes
@@ -336,12 +330,12 @@ def test_buckets_join_clusters_that_no_pivot_joins(spark):
     def verify(pairs):
         return pairs.select("a", "b", F.abs(place("a") - place("b")).alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
 
-    got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1).collect()}
+    got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1, all_features, everywhere).collect()}
     assert [got.get(i, i) for i in range(len(at))] == [0, 1, 0, 0, 1, 0, 6, 0, 0, 1]
 
 
-@pytest.mark.parametrize("filtered", [False, True])
-def test_buckets_compare_clusters_where_nothing_waits(spark, filtered):
+@pytest.mark.parametrize("turns", [1, 2, 4])
+def test_buckets_compare_clusters_where_nothing_waits(spark, turns):
     """A chain of four in one bucket: two clusters of two, no member waits, and the link between them counts."""
     from pulsegrid.llm.buckets import bucket_classes
 
@@ -350,48 +344,96 @@ def test_buckets_compare_clusters_where_nothing_waits(spark, filtered):
     def verify(pairs):
         return pairs.select("a", "b", F.abs(F.col("a") - F.col("b")).alias("d"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
 
-    def rest(nodes):
-        other = nodes.select(F.col("node").alias("b"), F.col("root").alias("root2"))
-        return nodes.join(other, (F.col("node") < F.col("b")) & (F.col("root") != F.col("root2"))).select(F.col("node").alias("a"), "b")
-
-    got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1, rest if filtered else None).collect()}
+    got = {x.node: x.root for x in bucket_classes(members, verify, lambda d, na, nb: d <= 1, all_features, everywhere, turns).collect()}
     assert got == {1: 0, 2: 0, 3: 0}
 
 
-def test_lines_link_within_a_tenth_of_their_length(spark):
-    """Keys against brute force: all short links meet, longer ones within a twentieth, and every changed word."""
+def edit_rule(n):
+    return min(n // 8, int(n**0.5 / 2), 30)
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed(r, words, k, vocabulary):
+    w = list(words)
+    for _ in range(k):
+        i, kind = r.randrange(len(w)), r.random()
+        w[i : i + (kind < 0.7)] = [r.choice(vocabulary)] if kind < 0.4 or kind >= 0.7 else []
+    return w
+
+
+def test_line_keys_meet_wherever_lines_are_linked(spark):
+    """Windows and edit distance against the full table, at every class up to 12 and at the classes' bounds."""
     r = random.Random(8)
-    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(3, 9)))
+    vocabulary = [f"v{i}" for i in range(60)]
     rows = []
-    for k in range(900):
-        n = r.randrange(10, 60) if k % 2 else r.randrange(60, 900)
-        a = ""
-        while len(a) < n:
-            a += word() + " "
-        a = a[:n]
-        b = list(a)
-        if k % 3 == 0 and n >= 60:
-            w = a.split(" ")
-            w[r.randrange(len(w))] = word()
-            rows.append((a, " ".join(w), True))
-            continue
-        for _ in range(r.randrange(1, 1 + max(1, n // (10 if n < 60 else 20)))):
-            i, kind = r.randrange(len(b)), r.random()
-            b[i : i + (kind < 0.6)] = [r.choice("abcd")] if kind < 0.3 or kind >= 0.6 else []
-        rows.append((a, "".join(b), False))
-    keys = lambda c: F.concat(line_dedup.segment_keys(F.col(c), F.length(c)), line_dedup.anchor_keys(F.col(c), F.length(c)))
-    df = spark.createDataFrame(rows, "a string, b string, word boolean").where("length(b) >= 10").withColumn("most", 2 * line_dedup.threshold(F.greatest(F.length("a"), F.length("b"))))
-    got = df.select("word", "most", F.levenshtein("a", "b").alias("want"), F.expr("levenshtein(a, b, most)").alias("d"), F.greatest(F.length("a"), F.length("b")).alias("n"), F.arrays_overlap(keys("a"), keys("b")).alias("meet")).collect()
-    assert all(x.d == (x.want if x.want <= x.most else -1) for x in got)
-    assert all(x.meet for x in got if x.want <= x.n // (10 if x.n < 60 else 20) or x.word and x.want <= x.n // 10)
-    assert sum(x.want > 2 for x in got) > 100
+    for k in range(700):
+        t = r.randrange(1, 13)
+        n = max(8 * t, 4 * t * t) + r.choice([-1, 0, 1, 2, 5])
+        a = [r.choice(vocabulary) for _ in range(n)]
+        rows.append((k, a, changed(r, a, r.randrange(1, t + 2), vocabulary)))
+    df = spark.createDataFrame(rows, "k long, a array<string>, b array<string>")
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    keys = defaultdict(set)
+    for side in "ab":
+        for x in line_dedup.segment_keys(df.select(F.col("k").alias("node"), hashed(side).alias("words"))).collect():
+            keys[x.node, side].add(x.key)
+    pairs = df.select(F.col("k").alias("a"), F.col("k").alias("b"), hashed("a").alias("wa"), hashed("b").alias("wb"))
+    got = {x.a: x for x in line_dedup.word_edits(pairs).collect()}
+    met = 0
+    for k, a, b in rows:
+        want, most = plain_edits(a, b), edit_rule(max(len(a), len(b)))
+        assert got[k].d == want if want <= most else got[k].d > most
+        if want <= most:
+            met += want > 1
+            assert keys[k, "a"] & keys[k, "b"], (len(a), len(b), want)
+    assert met > 200
+
+
+def test_line_classes_equal_all_pairs(spark):
+    """Random lines, groups of changed copies and a segment that many lines begin with."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    lines = []
+    for _ in range(14):
+        base = [r.choice(vocabulary) for _ in range(r.choice([9, 17, 30, 45, 70, 110]))]
+        lines += [changed(r, base, r.randrange(0, 7), vocabulary) for _ in range(r.randrange(1, 12))]
+    hot = [r.choice(vocabulary) for _ in range(12)]
+    lines += [hot + changed(r, [str(i) for i in range(8)], r.randrange(0, 7), vocabulary) for _ in range(60)]
+    lines = [" ".join(x) for x in lines]
+    parent = list(range(len(lines)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    words = [x.split() for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            n = max(len(words[i]), len(words[j]))
+            if lines[i] == lines[j] or abs(len(words[i]) - len(words[j])) <= edit_rule(n) and plain_edits(words[i], words[j]) <= edit_rule(n):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    rows = written(spark.createDataFrame(list(enumerate(lines)), "row long, text string").coalesce(1))
+    got = {x.row: x for x in line_dedup.line_classes(rows).collect()}
+    at = {x.pos: x.row for x in got.values()}
+    assert {i: at[got[i].root] for i in got} == {i: find(i) for i in range(len(lines))}
+    assert 10 < len({find(i) for i in range(len(lines))}) < len(lines) - 60
 
 
 def test_lines_with_one_changed_word_stay_once(spark):
     r = random.Random(9)
     lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (11, 12, 20, 60, 300)]
-    short = "twenty chars, a line"
-    rows = [(1, "\n".join([*lines, short]))] + [(2, "\n".join([x[:28] + "CHANGED" + x[35:] for x in lines] + [short[:-1] + "E"]))]
+    short = "eight words are the fewest that link twenty-one"
+    rows = [(1, "\n".join([*lines, short]))] + [(2, "\n".join([x[:28] + "CHANGED" + x[34:] for x in lines] + [short[:-1] + "E"]))]
     d = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     got = {x.doc_id: x for x in line_dedup.dedup_lines(d).collect()}
     assert got[1].removed == [] and (got[2].removed, got[2].n_near, got[2].text) == ([0, 1, 2, 3, 4, 5], 6, "")
@@ -405,6 +447,7 @@ def test_short_texts_link_whatever_their_sketches(spark):
         for _ in range(40):
             w = [f"w{r.randrange(10**6)}" for _ in range(n)]
             rows += [(len(rows), " ".join(w), n), (len(rows) + 1, " ".join(w[:-gone]), n)]
-    d = written(spark.createDataFrame(rows, "doc_id long, text string, n int").coalesce(2))
+    d = spark.createDataFrame(rows, "id long, text string, n int").coalesce(2)
+    d = written(d.select(F.monotonically_increasing_id().alias("row"), "id", "text"))
     got = {x.id: x.class_id for x in minhash.near_duplicates(d).collect()}
     assert got == {i: i - i % 2 if n > 8 else i for i, _, n in rows}
