@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut_lineage
+from pulsegrid.llm.common import cut_lineage, written
 from pulsegrid.llm.components import components
 
 TURNS = 2
@@ -86,6 +86,7 @@ def bucket_classes(
                 break
         return roots, everything.select("key", "node", "was")
 
+    members = cut_lineage(different_buckets(members))
     if members.isEmpty():
         return members.select("node", col("node").alias("root"))
     roots, left = pivot_turns(members)
@@ -102,6 +103,13 @@ def bucket_classes(
     return compare(prefix_pairs(prefix, room, roots))
 
 
+def different_buckets(members: DataFrame) -> DataFrame:
+    """One key of those that the same members share, as copies share many; sets are compared by size and 128 bits of their hashes."""
+    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    one = sets.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return members.join(one, "key", "left_semi")
+
+
 def prefix_pairs(prefix: DataFrame, room: Callable[[Column, Column, Column, Column], Column], roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of members in different classes that share a prefix key (key, node, n, at) and have room for a link."""
     col = F.col
@@ -124,7 +132,7 @@ def rarest(features: DataFrame, most: Column) -> DataFrame:
     come first and are left out, as nothing is met there.  The result's keys are features of a bucket.
     """
     col = F.col
-    each = cut_lineage(features.withColumn("key", F.xxhash64("bucket", "key")))
+    each = written(features.withColumn("key", F.xxhash64("bucket", "key")))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     ranked = each.join(often, "key").groupBy("bucket", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
     ranked = ranked.select("node", "n", (col("n") - F.size("shared")).alias("gone"), F.posexplode("shared").alias("i", "x"))
