@@ -14,7 +14,8 @@ hot url or host fills no single partition.
 Defined results: null urls and urls without ``://`` have an empty host and path and fit no rule;
 repeated rows are judged alike; of rules with the same key the last in string order of its
 verdict counts; the longest rule (code points of host and path) wins, then the longer host; with
-no rules, or no rule that fits, the verdict is ``default``.
+no rules, or no rule that fits, the verdict is ``default``; a rule with an empty path fits all urls of its
+host; very long urls are taken whole; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import ascii_lower, shuffle_partitions, small_or_plain, table, written
+from pulsegrid.llm.common import ascii_lower, free_name, shuffle_partitions, small_or_plain, table, written
 
 #: (host, path, verdict) as the contract of the query fixes them.
 CONTRACT_RULES = (
@@ -106,18 +107,19 @@ def longest_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to ``pages`` (columns of those names are replaced)."""
-    col, kept = F.col, [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "__id", "__r")]
-    rows = pages.select(*[col(f"`{c}`") for c in kept], url_host(col(f"`{url}`")).alias("host"), url_path(col(f"`{url}`")).alias("path"), F.monotonically_increasing_id().alias("__id"))
+    col, kept = F.col, [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    number, best = free_name(pages, "id"), free_name(pages, "rule")
+    rows = pages.select(*[col(f"`{c}`") for c in kept], url_host(col(f"`{url}`")).alias("host"), url_path(col(f"`{url}`")).alias("path"), F.monotonically_increasing_id().alias(number))
     rows = written(rows)
     sizes = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect())  # as many as hosts have labels
     suffixes = [F.when(F.size("labels") >= n, F.struct(F.slice("labels", 1, n).alias("s"))) for n in sizes]
-    found = rows.limit(0).select(col("__id"), F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>").alias("__r"))
+    found = rows.limit(0).select(col(number), F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>").alias(best))
     if suffixes:
-        keys = rows.select("__id", "path", _labels(col("host")).alias("labels")).where("path <> ''")
-        keys = keys.select("__id", "path", F.inline(F.array_compact(F.array(*suffixes)))).select(col("__id").alias("id"), _key(col("s"), col("path")).alias("key"))
-        found = longest_rules(keys, rules).groupBy("id").agg(F.max("r").alias("__r")).withColumnRenamed("id", "__id")
-    out = rows.join(found, "__id", "left")
-    return out.select(*[col(f"`{c}`") for c in kept], "host", "path", col("__r.rule").alias("rule"), F.coalesce("__r.verdict", F.lit(default)).alias("verdict"))
+        keys = rows.where("host <> '' or path <> ''").select(col(number).alias("id"), "path", _labels(col("host")).alias("labels"))
+        keys = keys.select("id", "path", F.inline(F.array_compact(F.array(*suffixes)))).select("id", _key(col("s"), col("path")).alias("key"))
+        found = longest_rules(keys, rules).groupBy("id").agg(F.max("r").alias(best)).withColumnRenamed("id", number)
+    out = rows.join(found, number, "left")
+    return out.select(*[col(f"`{c}`") for c in kept], "host", "path", col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
