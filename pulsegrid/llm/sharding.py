@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import small_or_plain, table, written
+from pulsegrid.llm.common import numbered, small_or_plain, table, written
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
+#: For small tables; the bytes alone decide, so that the shards do not depend on the cluster.
+LEAST_BUCKETS = 24
 MAX_BROADCAST_BUCKETS = 200_000
 
 
@@ -36,9 +38,9 @@ def row_bytes(text: Column) -> Column:
 def scatter(docs: DataFrame, *, text: str = "text", seed: int = 23, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """Adds the row's number and its bucket; the bucket count."""
     total = docs.agg(F.sum(row_bytes(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-total // bucket_bytes), docs.sparkSession.sparkContext.defaultParallelism)
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot") and not c.lower().startswith("__shuffle")])
-    rows = rows.withColumn("__shuffle_row", F.monotonically_increasing_id())
+    buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot") and not c.lower().startswith("__shuffle")]
+    rows = numbered(docs, *kept, row="__shuffle_row")
     return rows.withColumn("__shuffle_bucket", F.pmod(F.xxhash64(F.lit(seed), "__shuffle_row"), F.lit(buckets))), buckets
 
 
