@@ -3,13 +3,15 @@
 Each text is read by two automata that are built once per task.  One runs over the text's words
 (A-Z lower-cased, other ASCII but letters and digits dropped), joined by one space, and finds notice
 phrases at word bounds.  The other runs over the lower-cased text and finds identifier tags
-such as ``SPDX-License-Identifier:``; what follows a tag on its line is parsed as an expression
+such as ``SPDX-License-Identifier:``; what follows a tag, up to the next one or its line's end, is parsed as an expression
 of licence ids with ``AND``, ``OR`` and ``WITH`` and turned to postfix by operator precedence,
 then evaluated to its labels and to whether some choice of its alternatives is permissive.
 
 Defined results: a null or empty text has no words and no labels; repeated rows give the same
-result; an expression that doesn't parse contributes the ids before the error and is not
-permissive; texts are read whole, whatever their length; an empty table gives an empty result.
+result; after an SPDX tag an expression that doesn't parse contributes the ids before the error and is not
+permissive; after ``license:``, which prose has as well, words count only from an id of a known family or with a version on, and
+what follows the expression is ignored; texts are read whole, whatever their length; ties do not occur, as labels are sets; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ NOTICE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
+#: After these any id counts; after the others, which prose has as well, only ids of known families or with a version do.
+SURE_TAGS = TAGS[:2]
+VERSIONED = re.compile(r"[A-Za-z][A-Za-z0-9]*(-[A-Za-z0-9]+)*-[0-9]+(\.[0-9]+)*([.+-][A-Za-z0-9.+-]*)?")
 #: Families of licence ids by the words that they begin with; the longest wins.
 FAMILIES = ("agpl", "apache", "artistic", "bsd", "bsl", "cc-by", "cc0", "epl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense", "zlib")
 PERMISSIVE = {"apache", "artistic", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense", "zlib"}
@@ -50,6 +55,7 @@ TAG_SCORE, PHRASE_SCORE, NOTICE_SCORE = 1.0, 0.9, 0.7
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 WORDS_OF_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+LINE_END = re.compile(r"[\n\r]")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
@@ -66,6 +72,11 @@ def family(licence_id: str) -> str:
     return max(found, key=len, default=low)
 
 
+def known(licence_id: str) -> bool:
+    """Whether an id is of a known family or has a version, as ``EUPL-1.2``."""
+    return family(licence_id) in FAMILIES or VERSIONED.fullmatch(licence_id) is not None
+
+
 def postfix(tokens: Iterable[str]) -> list[str]:
     """Shunting-yard: the longest leading part of ``tokens`` that is an expression, in postfix order."""
     out, ops, wants_id = [], [], True
@@ -98,10 +109,20 @@ def postfix(tokens: Iterable[str]) -> list[str]:
     return out + [x for x in reversed(ops) if x != "("]
 
 
-def evaluate(expression: str) -> Verdict | None:
-    """Labels of an expression and whether it can be met by permissive licences alone; None without an id."""
+def evaluate(expression: str, sure: bool = True) -> Verdict | None:
+    """Labels of an expression and whether it can be met by permissive licences alone; None without an id.
+
+    What follows a leading part that is an expression makes it not permissive, as it doesn't parse.  Unless ``sure``, an
+    unknown id makes the whole no expression.
+    """
     stack: list[Verdict] = []
-    for tok in postfix(TOKEN.findall(expression)):
+    tokens = TOKEN.findall(expression)
+    read = postfix(tokens)
+    ids = [x for x in read if x not in PRECEDENCE]
+    if not sure and not (ids and known(ids[0])):
+        return None
+    whole = len(read) == sum(x not in "()" for x in tokens) and tokens.count("(") == tokens.count(")")
+    for tok in read:
         if tok in PRECEDENCE and len(stack) > 1:
             b, a = stack.pop(), stack.pop()
             if tok == "with":  # an exception only adds permissions
@@ -117,7 +138,9 @@ def evaluate(expression: str) -> Verdict | None:
     out = stack[0]
     for x in stack[1:]:
         out = Verdict(out.labels | x.labels, False)
-    return out
+    if not sure:
+        out = Verdict(frozenset(x for x in out.labels if known(x)), out.permissive)
+    return out if whole or not sure else Verdict(out.labels, False)
 
 
 def automaton(entries: Iterable[tuple[str, object]]) -> ahocorasick.Automaton:
@@ -147,15 +170,17 @@ def scan(text: str, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton)
             index += line.count(" ", at, start)
             at = start
             starts.append(index)
-    permissive, expressions, done = None, [], -1
+    permissive, expressions = None, []
     low = text if text.isascii() else None
     low = text.lower() if low is not None else text.translate(_LOWER)
-    for end, tag in sorted(tags.iter(low)):
-        if end <= done or (end >= len(tag) and low[end - len(tag)].isalnum()):
-            continue
-        stop = min((p for p in (text.find("\n", end), text.find("\r", end)) if p >= 0), default=len(text))
-        found = evaluate(text[end + 1 : stop])
-        done = stop
+    # a tag within a longer one begins after it and ends with it
+    found_tags = [(end, tag) for end, tag in sorted(tags.iter(low), key=lambda x: (x[0], -len(x[1])))]
+    found_tags = [(end, tag) for i, (end, tag) in enumerate(found_tags) if (not i or found_tags[i - 1][0] != end) and not (end >= len(tag) and low[end - len(tag)].isalnum())]
+    for i, (end, tag) in enumerate(found_tags):
+        next_tag = found_tags[i + 1][0] - len(found_tags[i + 1][1]) + 1 if i + 1 < len(found_tags) else len(text)
+        line_end = LINE_END.search(text, end, next_tag)
+        stop = line_end.start() if line_end else next_tag
+        found = evaluate(text[end + 1 : stop], tag in SURE_TAGS)
         if found:
             labels |= found.labels
             score = TAG_SCORE
