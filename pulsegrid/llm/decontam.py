@@ -7,13 +7,14 @@ of the word in the window and both lengths bound where the window may begin, and
 verified word by word.  Hits are merged per document as intervals.
 
 Rarity is counted over all documents, but only for words that items have.  The windows are
-broadcast if their counted number is within a bound.  Beyond it each document word travels with the words
-around it to a shuffled join by the same word, which Spark may split where a word is frequent.
+broadcast if their counted number is within a bound.  Beyond it the places of those corpus words that are some window's
+rarest meet the windows in a shuffled join, which Spark may split where a word is frequent, and the text is read by row where a window may stand.
 
 Defined results: a null or empty text has no words and no hits and isn't contaminated; an item
 without words matches nothing; a null item id counts as an item in ``n_hit`` but is not listed;
-repeated items count once per item id; repeated documents are judged alike; with no items nothing is contaminated.
-Rows are numbered as they are scanned, so ``docs`` must be a file scan or otherwise give its rows in the same order again.
+repeated items count once per item id; repeated documents are judged alike; ties in rarity go to the first place in the window, which changes no
+result; very long texts are taken whole; with no items nothing is contaminated; an empty table gives an empty result; extra columns are
+kept, and those named as the results (n_words, n_hit, n_items, items_sha256, contaminated) are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import LOWER, UPPER, cut_lineage, small_or_plain, table, text_or_empty
+from pulsegrid.llm.common import LOWER, UPPER, cut_lineage, free_name, numbered, small_or_plain, table, text_or_empty, written
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,30 +50,32 @@ def signatures(docs: DataFrame, windows: DataFrame) -> DataFrame:
     known = F.broadcast(vocabulary) if n <= MAX_BROADCAST_WINDOWS * WINDOW else vocabulary
     counted = docs.select(F.explode("words").alias("word")).join(known, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     freq = vocabulary.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    each = each.select(F.xxhash64("words").alias("window"), "words")
+    each = written(each.select(F.monotonically_increasing_id().alias("window"), "words"))
     placed = each.select("window", "words", F.posexplode("words").alias("at", "word")).join(freq, "word")
     rarest = F.min_by(F.struct("word", "at"), F.struct("n", "at"))
     return placed.groupBy("window", "words").agg(rarest.alias("r")).select("window", "words", F.size("words").alias("size"), F.col("r.word").alias("word"), F.col("r.at").alias("at"))
 
 
-def find_windows(docs: DataFrame, known: DataFrame, window: int, small: bool) -> DataFrame:
+def find_windows(docs: DataFrame, known: DataFrame, small: bool) -> DataFrame:
     """(row, start, size, window) of every occurrence; ``docs`` has row and words, ``known`` is from ``signatures``."""
     col = F.col
+    known = known.select("window", "size", col("words").alias("wanted"), "word", "at")
+    placed = docs.select("row", F.size("words").alias("length"), "words", F.posexplode("words").alias("pos", "word"))
+    start = col("pos") - col("at")
+    fits = (start >= 0) & (start + col("size") <= col("length"))
+    same = F.slice("words", F.greatest(start + 1, F.lit(1)), col("size")) == col("wanted")
     if small:
-        known = F.broadcast(known.select("window", "size", col("words").alias("wanted"), col("word").alias("word"), col("at").alias("at")))
-        placed = docs.select("row", "words", F.posexplode("words").alias("pos", "word"))
-        start = col("pos") - col("at")
-        fits = (placed["word"] == known["word"]) & (start >= 0) & (start + col("size") <= F.size("words"))
-        fits = fits & (F.slice("words", F.greatest(start + 1, F.lit(1)), col("size")) == col("wanted"))
-        return placed.join(known, fits).select("row", start.alias("start"), "size", "window")
-    reach = window - 1
-    around = F.slice("words", F.greatest(col("pos") - reach + 1, F.lit(1)), F.least(col("pos"), F.lit(reach)) + window)
-    placed = docs.select("row", "words", F.posexplode("words").alias("pos", "word")).select("row", "pos", "word", around.alias("around"), F.least(col("pos"), F.lit(reach)).alias("own"))
-    k = known.select("window", "size", col("words").alias("wanted"), col("word"), "at")
-    start = col("own") - col("at")
-    found = placed.join(k, "word").where((start >= 0) & (start + col("size") <= F.size("around")))
-    found = found.where(F.slice("around", F.greatest(start + 1, F.lit(1)), col("size")) == col("wanted"))
-    return found.select("row", (col("pos") - col("at")).alias("start"), "size", "window")
+        known = F.broadcast(known)
+        return placed.join(known, (placed["word"] == known["word"]) & fits & same).select("row", start.alias("start"), "size", "window")
+    # only places go through the shuffle, and only those of words that are some window's rarest; what they may hold is read where it lies
+    rarest = known.select("word").distinct()
+    seen = placed.select("row", "pos", "word", "length").join(rarest, "word", "left_semi")
+    bounds = known.select("window", "size", "word", "at")
+    maybe = seen.join(bounds, "word").where(fits).select("row", start.alias("start"), "size", "window")
+    each = maybe.groupBy("row", "size", "window").agg(F.collect_set("start").alias("starts"))  # as many as the document has words
+    held = docs.join(each, "row").select("row", "size", "window", F.explode("starts").alias("start"), "words")
+    held = held.select("row", "start", "size", "window", F.slice("words", col("start") + 1, col("size")).alias("got"))
+    return held.join(known.select("window", "wanted"), "window").where("got = wanted").select("row", "start", "size", "window")
 
 
 def covered(intervals: Column) -> Column:
@@ -85,32 +88,34 @@ def covered(intervals: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated to ``docs`` (columns of those names are replaced)."""
     col = F.col
-    own = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__row")
-    kept = [c for c in docs.columns if c.lower() not in own]
-    rows = docs.select(*[col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias("__row"))
-    split = rows.select(col("__row").alias("row"), words_of(col(f"`{text}`")).alias("words"))
+    own = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    kept, row, listed_in = [c for c in docs.columns if c.lower() not in own], free_name(docs, "row"), free_name(docs, "items")
+    rows = numbered(docs, *[col(f"`{c}`") for c in kept], row=row)
+    split = rows.select(col(row).alias("row"), words_of(col(f"`{text}`")).alias("words"))
     windows = cut_lineage(item_windows(items, item_id, item_text, window))
     known = cut_lineage(signatures(split, windows))
-    found = cut_lineage(find_windows(split, known, window, known.count() <= max_broadcast))
-    of_items = windows.select("item", F.xxhash64("words").alias("window"))
+    found = cut_lineage(find_windows(split, known, known.count() <= max_broadcast))
+    of_items = windows.join(known.select("words", "window"), "words").select("item", "window")
     hits = found.groupBy("row").agg(covered(F.sort_array(F.collect_set(F.struct(col("start").cast("long").alias("start"), col("size").cast("long").alias("size"))))).alias("n_hit"))
     listed = found.select("row", "window").distinct().join(of_items, "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    judged = hits.join(listed, "row", "left").select(col("row").alias("__row"), "n_hit", "items")
-    out = rows.withColumn("n_words", F.size(words_of(col(f"`{text}`"))).cast("long")).join(judged, "__row", "left")
+    judged = hits.join(listed, "row", "left").select(col("row").alias(row), "n_hit", col("items").alias(listed_in))
+    judged = cut_lineage(judged)
+    out = rows.withColumn("n_words", F.size(words_of(col(f"`{text}`"))).cast("long")).join(small_or_plain(judged, judged.count(), MAX_BROADCAST_ROWS), row, "left")
     none = F.array().cast("array<string>")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", none)})
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), listed_in: F.coalesce(listed_in, none)})
     return out.select(
-        *[col(f"`{c}`") for c in kept], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((col("n_hit") > 0) & (20 * col("n_hit") >= col("n_words"))).alias("contaminated"),
+        *[col(f"`{c}`") for c in kept], "n_words", "n_hit", F.size(listed_in).cast("long").alias("n_items"),
+        F.sha2(F.array_join(listed_in, ","), 256).alias("items_sha256"), ((col("n_hit") > 0) & (20 * col("n_hit") >= col("n_words"))).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents that aren't contaminated, with the columns of ``docs``."""
-    bad = contamination(docs.select(F.monotonically_increasing_id().alias("number"), F.col(f"`{text}`").alias("text")), items, **options)
-    bad = cut_lineage(bad.where("contaminated").select(F.col("number").alias("__number")))
-    own = docs.withColumn("__number", F.monotonically_increasing_id())
-    return own.join(small_or_plain(bad, bad.count(), MAX_BROADCAST_ROWS), "__number", "left_anti").drop("__number")
+    row = free_name(docs, "row")
+    own = numbered(docs, *[F.col(f"`{c}`") for c in docs.columns], row=row)
+    bad = contamination(own.select(F.col(row).alias("number"), F.col(f"`{text}`").alias("text")), items, **options)
+    bad = cut_lineage(bad.where("contaminated").select(F.col("number").alias(row)))
+    return own.join(small_or_plain(bad, bad.count(), MAX_BROADCAST_ROWS), row, "left_anti").drop(row)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
