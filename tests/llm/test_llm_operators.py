@@ -80,7 +80,8 @@ def test_url_rules_equal_brute_force(spark):
     r = random.Random(5)
     hosts = ["com", "example.com", "a.example.com", "b.a.example.com", "xexample.com", "net", "org", ""]
     tails = ["", "/", "/e", "/en/", "/en/7", "/en/77", "/EN/7", "/é\U0010ffff", "?q=/en/7", "#/en/7"]
-    rules = {(r.choice(hosts[:-1]), r.choice(["/", "/e", "/en/", "/en/7", "/en/77", "/é"])): r.choice(["allow", "block"]) for _ in range(12)}
+    rules = {(r.choice(hosts[:-1]), r.choice(["", "/", "/e", "/en/", "/en/7", "/en/77", "/é"])): r.choice(["allow", "block"]) for _ in range(12)}
+    rules["xexample.com", ""] = "block"
     rows = [(i, r.choice(["http://", "https://", "x", "A://"]) + r.choice(hosts) + r.choice(tails), "clash") for i in range(400)] + [(400, None, ""), (401, "", "")]
     rows += [(500 + i, "http://a.example.com/en/7", "hot") for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string").repartition(3)
@@ -205,9 +206,75 @@ def test_license_phrases_tags_and_expressions(spark, docs, empty):
     assert licenses.postfix(["MIT", "OR", "(", "A", "AND", "B", ")", "WITH", "E"]) == ["MIT", "A", "B", "and", "E", "with", "or"]
     assert not licenses.evaluate("GPL-3.0-or-later AND MIT").permissive and licenses.evaluate("GPL-3.0 OR MIT").permissive
     assert licenses.evaluate("( ( AND") is None and licenses.evaluate("MIT AND").labels == {"mit"}
+    phrases, tags = licenses.phrase_automaton(), licenses.automaton((t, t) for t in licenses.TAGS)
+    for text, labels, score, permissive in [
+        ("License: see the LICENSE file", "", 0.0, None),
+        ("driver license: required for all", "", 0.0, None),
+        ("license: GPL-3.0 license: MIT", "gpl,mit", 1.0, False),
+        ("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: GPL-2.0", "gpl,mit", 1.0, False),
+        ("SPDX-License-Identifier: MIT OR foo bar", "foo,mit", 1.0, False),
+        ("License: EUPL-1.2 and so on", "eupl-1.2", 1.0, False),
+        ("xlicense: MIT\nLicence: MIT", "mit", 1.0, True),
+        ("license-expression: Apache-2.0\r\nGPL-2.0", "apache", 1.0, True),
+    ]:
+        got = licenses.scan(text, phrases, tags)
+        assert (got["labels"], got["score"], got["permissive"]) == (labels, score, permissive), text
+    licenses.scan("license: " * 200_000, phrases, tags)  # in linear time
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_base_columns_equal_brute_force(spark):
+    """Places, first and last words and labels of the four phrases against a scan of the word list."""
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    r = random.Random(11)
+    parts = ["gnu", "GNU General", "general", "public", "license", "Apache", "apache license", "cc", "by", "cc-by", "MIT", "mit", "é", "x", "\n", "--", "mité license", "cc by by"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(300)] + [None, ""]
+    got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = words13(t)
+        places = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        starts = sorted(k for k, _ in places)
+        want = (len(w), len(starts), starts[0] if starts else None, starts[-1] if starts else None, ",".join(sorted({x for _, x in places})))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want, t
+
+
+def test_extra_columns_with_the_operators_names_stay(spark):
+    """Columns such as row, __row and number are the user's and come out as they went in."""
+    names = ["row", "__row", "__number", "number", "__id", "__rule", "items", "node", "key", "lines", "__lines", "id"]
+    rows = [(i, f"some words of a text that has the number {i % 4} and more than eight words\nsecond line", "http://a.com/x", *[f"{n}{i}" for n in names]) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, url string, " + ", ".join(f"`{n}` string" for n in names)).coalesce(2)
+    bench = spark.createDataFrame([(1, "some words of a text that has the number 2 and more than")], "item_id long, text string")
+    own = {x[0]: tuple(x[3:]) for x in rows}
+
+    def same(df):
+        got = df.select("doc_id", *[f"`{n}`" for n in names]).collect()
+        assert got and all(tuple(x)[1:] == own[x.doc_id] for x in got)
+        return len(got)
+
+    assert same(line_dedup.dedup_lines(d)) == 12
+    assert same(minhash.drop_near_duplicates(d)) == 4
+    assert same(decontam.contamination(d, bench)) == 12 and same(decontam.drop_contaminated(d, bench)) == 9
+    assert same(url_filter.filter_urls(d, url_filter.rule_table(spark, url_filter.CONTRACT_RULES))) == 12
+    assert same(sharding.shard_rows(d, shards=3)) == 12
+
+
+def test_results_do_not_depend_on_how_files_are_split(spark, docs, tmp_path):
+    """The same rows whether the files are read in one piece or in many."""
+    docs.unionByName(docs).repartition(3).write.parquet(f"{tmp_path}/d")
+    bench = spark.createDataFrame([(1, "spam spam spam spam spam")], "item_id long, text string")
+    found = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        d = spark.read.parquet(f"{tmp_path}/d")
+        kept = Counter(x.text for x in minhash.drop_near_duplicates(d).collect())
+        lines = Counter(line for x in line_dedup.dedup_lines(d).where("text is not null").collect() for line in x.text.split("\n"))
+        hit = Counter((x.text, x.n_hit) for x in decontam.contamination(d, bench).collect())
+        found.append((len(kept), sum(kept.values()), +lines, hit))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0][0] == found[1][0] and found[0][1] == found[1][1] and found[0][3] == found[1][3]
+    assert sum(found[0][2].values()) == sum(found[1][2].values())
+
+
 def test_mixing_meets_the_targets(spark, docs, empty):
     rows = [(i, f"s{i % 4}" if i % 9 else None, (i * 7919) % 50) for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, source string, size long")

@@ -40,3 +40,15 @@ def test_pipeline_stages_keep_the_columns(spark, sf_dir):
         assert out.columns == columns if k < len(corpus_pipeline.STAGES) - 1 else out.columns == [*columns, "shard", "slot"]
         assert 0 < out.count() <= (n if name != "mixing" else 3 * n)
         docs = out
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    """Null and empty texts, repeated rows, a null source and an empty table pass every stage."""
+    docs = table(spark, sf_dir, "documents")
+    some = docs.limit(40)
+    odd = some.unionByName(some).unionByName(spark.createDataFrame([(None, None, None, None, None), (7, "", "en", None, 0)], docs.schema))
+    for rows in (odd, docs.limit(0)):
+        now = written(rows)
+        for _, stage in corpus_pipeline.STAGES:
+            now = written(stage(spark, now, sf_dir))
+        assert (now.count() > 0) == (rows is odd) and now.where("text is null or text = ''").count() == 0
