@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut_lineage, written
+from pulsegrid.llm.common import cut_lineage, small_or_plain, written
 from pulsegrid.llm.components import components
 
 TURNS = 2
@@ -26,6 +26,7 @@ TURNS = 2
 FEW = 8
 #: Prefix keys of more members get pivots before pairs.
 MANY = 32
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -142,8 +143,8 @@ def rarest(features: DataFrame, most: Column) -> DataFrame:
     """
     col = F.col
     each = written(features.withColumn("key", F.xxhash64("bucket", "key")))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    ranked = each.join(often, "key").groupBy("bucket", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    often = cut_lineage(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    ranked = each.join(small_or_plain(often, often.count(), MAX_BROADCAST_ROWS), "key").groupBy("bucket", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
     ranked = ranked.select("node", "n", (col("n") - F.size("shared")).alias("gone"), F.posexplode("shared").alias("i", "x"))
     placed = ranked.select(col("x.key").alias("key"), "node", "n", (col("gone") + col("i")).alias("at"))
     return placed.where(col("at") <= most)
