@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import Number, col, logistic
@@ -28,9 +28,10 @@ def exponential(mark: Column, rate: Number) -> Column:
     return F.exp(-col(rate) * mark)
 
 
-def sigmoid(mark: Column, omega: Number, centre: Number, scale: Number) -> Column:
-    """1 at 0 and below, 1 + omega at 1 and above, a logistic of the log-odds of the mark between."""
-    inner = logistic((F.log(mark / (1 - mark)) - col(centre)) / col(scale))
+def sigmoid(mark: Column, omega: Number, beta: Number, delta: Number) -> Column:
+    """1 at 0 and below, 1 + omega at 1 and above; between, 1 + omega / 2 at delta, where the logistic's argument rises by beta."""
+    steep = 4 * (1 - (2 * col(delta) - 1) * (2 * col(delta) - 1)) * col(beta)
+    inner = logistic(steep * (mark - col(delta)) / (1 - (2 * mark - 1) * (2 * mark - 1)))
     return F.when(mark <= 0, F.lit(1.0)).when(mark >= 1, 1 + col(omega)).otherwise(1 + col(omega) * inner)
 
 
@@ -44,6 +45,25 @@ def perceptron(marks: Column, bias: Number, slopes: Sequence[float]) -> Column:
     return logistic(col(bias) + linear_vector(marks, slopes) - 1) / logistic(bias)
 
 
+def expected(impact: Callable[[Column], Column], marks: DataFrame, mark: str = "mark") -> float:
+    """The mean impact over a table of marks: those of the events, or draws from a law of marks."""
+    return marks.agg(F.avg(impact(F.col(mark)))).first()[0]
+
+
+def expected_linear(slope: float, mean: float) -> float:
+    """Of 1 + slope * mark."""
+    return 1 + slope * mean
+
+
+def expected_exponential(rate: float, mark_rate: float) -> float:
+    """Of exp(-rate * mark) for exponential marks."""
+    return mark_rate / (mark_rate + rate)
+
+
+def expected_categorical(values: Sequence[float], shares: Sequence[float]) -> float:
+    return float(sum(p * v for p, v in zip(shares, (1.0, *values), strict=True)))
+
+
 def separable(*factors: Column) -> Column:
     out = F.lit(1.0)
     for f in factors:

@@ -9,12 +9,13 @@ look its parameters up by row.  ``gradient_*`` are the derivatives by the parame
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.scalars import Number, col, gaussian_pdf, inverse_normal_cdf, normal_cdf, tri
+from pulsegrid.functions.scalars import Number, col, difference_columns, gamma_cdf, gaussian_pdf, inverse_normal_cdf, normal_cdf, tri
 
 ZERO = 0.0
 
@@ -222,6 +223,21 @@ class Gaussian(Kernel):
         return col(self.delta) + col(self.beta) * inverse_normal_cdf(low + col(u) * (1 - low))
 
 
+@dataclass(frozen=True)
+class Gamma(Kernel):
+    """omega times a gamma density of shape alpha and rate beta; alpha is a number."""
+
+    alpha: float = 1.0
+    beta: Number = 1.0
+
+    def density(self, t: Number) -> Column:
+        b, t = col(self.beta), col(t)
+        return F.when(t <= 0, F.lit(1.0) * b if self.alpha == 1 else ZERO).otherwise(F.exp(self.alpha * F.log(b) + (self.alpha - 1) * F.log(t) - b * t) / math.gamma(self.alpha))
+
+    def mass(self, t: Number) -> Column:
+        return gamma_cdf(F.lit(float(self.alpha)), col(self.beta) * col(t))
+
+
 @dataclass(frozen=True)
 class Null(Kernel):
     def density(self, t: Number) -> Column:
@@ -234,6 +250,51 @@ class Null(Kernel):
         return F.lit(0.0)
 
 
+def gradient(kernel: Kernel, what: str, *at: Number, eps: float = 1e-6) -> list[Column]:
+    """Derivatives of ``phi``, ``psi`` or another function of a kernel with number parameters: by central differences where it states none."""
+    own = getattr(kernel, f"gradient_{what}", None)
+    if own is not None:
+        return list(own(*at))
+    return difference_columns(lambda *p: getattr(type(kernel)(*p), what)(*at), list(kernel.params.values()), eps)
+
+
+def gradient_cross_upsilon(x: Kernel, y: Kernel, t: Number, s: Number, eps: float = 1e-6) -> tuple[list[Column], list[Column]]:
+    """Derivatives of upsilon(x, y) by the parameters of x and of y, which are numbers."""
+    of_x = difference_columns(lambda *p: type(x)(*p).upsilon(y, t, s), list(x.params.values()), eps)
+    return of_x, difference_columns(lambda *p: x.upsilon(type(y)(*p), t, s), list(y.params.values()), eps)
+
+
+def gradient_exp_exp(x: Exponential, y: Exponential, t: Number, s: Number) -> tuple[list[Column], list[Column]]:
+    """The same in closed form for two exponentials, as (omega, beta) of each."""
+    wx, bx, wy, by, t, s = col(x.omega), col(x.beta), col(y.omega), col(y.beta), col(t), col(s)
+    g, e, d = bx * by / (bx + by), F.exp(-(bx + by) * t), F.exp(-by * s)
+    mass = d * (1 - e)
+    by_x = wx * wy * ((by / (bx + by)) * (by / (bx + by)) * mass + g * d * t * e)
+    by_y = wx * wy * ((bx / (bx + by)) * (bx / (bx + by)) * mass + g * d * (t * e - s * (1 - e)))
+    return [wy * g * mass, by_x], [wx * g * mass, by_y]
+
+
+def k_by_quadrature(kernel: Kernel, mu: Callable[[Column], Column], t: Number, s: Number, nodes: int = 64) -> Column:
+    """The integral of phi(u) mu(u + s) from 0 to t by Simpson's rule, for baselines without a closed form."""
+    t, s = col(t), col(s)
+    h = t / nodes
+
+    def add(total: Column, i: Column) -> Column:
+        weight = F.when((i == 0) | (i == nodes), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return total + weight * kernel.phi(i * h) * mu(i * h + s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(nodes)), F.lit(0.0), add) * h / 3
+
+
+def piecewise_k(kernel: Kernel, breaks: Sequence[float], levels: Sequence[float], t: Number, s: Number) -> Column:
+    """The same for a piecewise constant mu: each level times psi between the bounds of its piece."""
+    t, s, out = col(t), col(s), F.lit(0.0)
+    for low, high, level in zip(breaks, [*breaks[1:], math.inf], levels, strict=True):
+        a, b = (F.least(F.greatest(F.lit(x) - s, F.lit(0.0)), t) for x in (float(low), float(high)))
+        out = out + level * (kernel.psi(b) - kernel.psi(a))
+    return out
+
+
 def _exp_exp(x: Exponential, y: Exponential, t: Column, s: Column) -> Column:
     bx, by = col(x.beta), col(y.beta)
     return col(x.omega) * col(y.omega) * (bx * by / (bx + by)) * F.exp(-by * s) * (1 - F.exp(-(bx + by) * t))
@@ -311,6 +372,21 @@ class Mixture:
     def l1(self) -> Column:
         return _total(p.l1() for p in self.parts)
 
+    def is_basis_sum(self, free: set[str] = frozenset({"omega"})) -> bool:
+        """Whether only the weights are free, so that the loss is a quadratic and a fit is one pass."""
+        return set(free) <= {"omega"}
+
+    def delay(self, u: Number, pick: Number, weights: Sequence[float]) -> Column:
+        """A delay at probability u of the part that ``pick`` (uniform) chooses by the weights."""
+        out, cut = self.parts[-1].delay(u), 0.0
+        chosen = []
+        for part, w in zip(self.parts, weights, strict=True):
+            cut += w / sum(weights)
+            chosen.append((cut, part))
+        for cut, part in reversed(chosen[:-1]):
+            out = F.when(col(pick) < cut, part.delay(u)).otherwise(out)
+        return out
+
     def upsilon(self, other: Mixture, t: Number, s: Number) -> Column:
         return _total(p.upsilon(q, t, s) for p in self.parts for q in other.parts)
 
@@ -341,3 +417,29 @@ def l2_distance(x: Mixture, y: Mixture) -> float:
     """The squared L2 distance of two mixtures."""
     dot = lambda a, b: sum(l2_dot(p, q) for p in a.parts for q in b.parts)
     return dot(x, x) + dot(y, y) - 2 * dot(x, y)
+
+
+def l2_projection(target: Mixture, family: Sequence[Exponential | Gaussian]) -> list[float]:
+    """Weights, at least 0, of the sum of unit-weight ``family`` kernels nearest to ``target`` in L2: a quadratic of inner products."""
+    n = len(family)
+    x = [0.0] * n
+    q = [[l2_dot(a, b) for b in family] for a in family]
+    c = [sum(l2_dot(a, p) for p in target.parts) for a in family]
+    for _ in range(10_000):
+        before = list(x)
+        for i in range(n):
+            if q[i][i] > 0:
+                x[i] = max(0.0, x[i] + (c[i] - sum(q[i][j] * x[j] for j in range(n))) / q[i][i])
+        if max(abs(a - b) for a, b in zip(x, before, strict=True)) <= 1e-14 * (1 + max(x)):
+            break
+    return x
+
+
+def kl_divergence(x: Gaussian, y: Gaussian) -> float:
+    """Of the untruncated normal densities, x from y."""
+    return math.log(y.beta / x.beta) + (x.beta**2 + (x.delta - y.delta) ** 2) / (2 * y.beta**2) - 0.5
+
+
+def model_l2_distance(x: Sequence[Sequence[Mixture]], y: Sequence[Sequence[Mixture]]) -> list[list[float]]:
+    """Squared L2 distances of the kernels of two models, for each pair of dimensions."""
+    return [[l2_distance(a, b) for a, b in zip(p, q, strict=True)] for p, q in zip(x, y, strict=True)]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.kernels import Exponential
+from pulsegrid.operators import blocks
 from pulsegrid.operators.sums import intensity
 
 col = F.col
@@ -79,3 +80,36 @@ def exp_lag_sum(events: DataFrame, beta: float, lag: int) -> DataFrame:
     w = Window.partitionBy("path_id", "dim").orderBy("t", "event_id")
     gap = col("t") - F.lag("t", lag).over(w)
     return events.withColumn("gap", gap).where("gap is not null").groupBy("path_id", "dim").agg(F.sum(F.exp(-beta * col("gap"))).alias("total"))
+
+
+def exp_compensators(events: DataFrame, mu: Sequence[float], omega: Sequence[Sequence[float]], beta: Sequence[Sequence[float]]) -> DataFrame:
+    """(path_id, k, m, t, compensator) for exponential kernels, without pairs.
+
+    The excitation up to t is omega times the number of predecessors less their decayed sum.
+    """
+    d = len(mu)
+    is_dim = [(col("dim") == j).cast("double") for j in range(d)]
+    rows = exp_sums(events, [(beta[k][j], is_dim[j]) for k in range(d) for j in range(d)], [f"s{k}_{j}" for k in range(d) for j in range(d)])
+    rows = blocks.counts_before(rows, {f"n{j}": col("dim") == j for j in range(d)}, blocks.block_width(events))
+    value = F.lit(None).cast("double")
+    for k in range(d):
+        own = F.lit(float(mu[k])) * col("t")
+        for j in range(d):
+            own = own + omega[k][j] * (col(f"n{j}") - col(f"s{k}_{j}"))
+        value = F.when(col("dim") == k, own).otherwise(value)
+    return rows.select("path_id", col("dim").alias("k"), col("event_id").alias("m"), "t", value.alias("compensator"))
+
+
+def exp_double_sum_midpoint(events: DataFrame, beta: float, horizon: float) -> DataFrame:
+    """(path_id, total): sum over pairs n < m of exp(-2 beta (T - (t_m + t_n) / 2)), which is a product of decays to the end, so a sum and its squares tell it.
+
+    Events at equal times are pairs here, in either order once.
+    """
+    e = F.exp(-beta * (F.lit(horizon) - col("t")))
+    per = events.groupBy("path_id").agg(F.sum(e).alias("s"), F.sum(e * e).alias("q"))
+    return per.select("path_id", ((col("s") * col("s") - col("q")) / 2).alias("total"))
+
+
+def updated_exp_sum(total: Column, gap: Column, beta: float, jump: Column | float = 1.0) -> Column:
+    """A decayed sum after a further ``gap`` of time and then an event."""
+    return total * F.exp(-beta * gap) + jump

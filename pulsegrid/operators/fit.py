@@ -2,7 +2,8 @@
 
 With the decays fixed the loss of a dimension is a quadratic in (mu, omega): ``quadratic_terms`` computes its
 matrix and vector in one pass over the linear-time sums, and a bounded solver ends the fit without further
-passes.  With free decays ``fit_exponential`` repeats the pass in every step.
+passes.  With free decays ``fit_exponential`` adds the pass of the gradient in every step.  Kernels that are sums of fixed bases of any kind are
+a quadratic as well, whose terms are sums over pairs (``fit_bases``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.expscan import exp_sums
+from pulsegrid.operators.losses import basis_terms, exponential_gradient
 
 col = F.col
 
@@ -161,24 +163,41 @@ def fit_fixed_decays(events: DataFrame, beta: np.ndarray, horizon: float, paths:
     return mu, omega, lse
 
 
-def fit_exponential(events: DataFrame, beta: np.ndarray, horizon: float, paths: int = 1, n_iter: int = 20, rate: float = 0.1, eps: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def fit_exponential(events: DataFrame, beta: np.ndarray, horizon: float, paths: int = 1, n_iter: int = 20, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(mu, omega, beta, log) with free decays: Adam on log beta, where mu and omega are always at their best.
 
-    A step needs the loss at two shifted matrices of decays, hence three passes; all dimensions move together.
+    There the loss changes with the decays alone, so its gradient by them is that of the best loss: two passes a step.
     """
     solver, x, log = Adam(Schedule(rate)), np.log(np.asarray(beta, float)), []
-    rng = np.random.default_rng(5)
     for t in range(n_iter):
-        sign = rng.choice([-1.0, 1.0], x.shape)
-        up = fit_fixed_decays(events, np.exp(x + eps * sign), horizon, paths)[2]
-        down = fit_fixed_decays(events, np.exp(x - eps * sign), horizon, paths)[2]
-        g = ((up - down) / (2 * eps))[:, None] * sign
-        log.append((t, np.exp(x), float(np.sum(up + down) / 2)))
+        mu, omega, lse = fit_fixed_decays(events, np.exp(x), horizon, paths)
+        g = exponential_gradient(events, mu, omega, np.exp(x), horizon, paths)[2] * np.exp(x)
+        log.append((t, np.exp(x), float(np.sum(lse))))
         x = solver.step(x, g, t)
     mu, omega, _ = fit_fixed_decays(events, np.exp(x), horizon, paths)
     return mu, omega, np.exp(x), log
 
 
+def fit_bases(events: DataFrame, bases, n_bases: int, dims: int, horizon: float, paths: int = 1, min_mu: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mu, weights[k, j, basis], lse) of kernels that are sums of fixed bases with free weights: one pass over the pairs."""
+    mu, weights, lse = np.zeros(dims), np.zeros((dims, dims, n_bases)), np.zeros(dims)
+    for k, (q, c) in enumerate(basis_terms(events, bases, n_bases, dims, horizon, paths)):
+        x = bounded_quadratic(q, c, np.r_[min_mu, np.zeros(dims * n_bases)])
+        mu[k], weights[k], lse[k] = x[0], x[1:].reshape(dims, n_bases), loss(q, c, x)
+    return mu, weights, lse
+
+
+def start_near(mu: np.ndarray, omega: np.ndarray, beta: np.ndarray, spread: float = 0.2, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A start within a share ``spread`` of given parameters."""
+    rng = np.random.default_rng(seed)
+    return tuple(np.asarray(x, float) * rng.uniform(1 - spread, 1 + spread, np.shape(x)) for x in (mu, omega, beta))
+
+
+def mixture_weights(n: int, total: float = 1.0, seed: int = 0) -> np.ndarray:
+    """Uniform random weights of a simplex."""
+    return np.random.default_rng(seed).dirichlet(np.ones(n)) * total
+
+
 def random_start(dims: int, branching: float = 0.6, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(adjacency with that spectral radius, uniform decays)."""
     rng = np.random.default_rng(seed)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import blocks
+
 col = F.col
 ORIGIN = "timestamp_ntz'2024-01-01 00:00:00'"
 
@@ -63,16 +65,8 @@ def sorted_paths(events: DataFrame, order: str = "event_id", strict: bool = Fals
 
 
 def kappa(events: DataFrame, dims: int) -> DataFrame:
-    """(path_id, i, m, j, kappa): the index of the last type-j event strictly before event m of type i, or -1.
-
-    One window pass: the events of j up to and with t, less those at t.
-    """
-    up_to = Window.partitionBy("path_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy("path_id", "t")
-    of = [(col("dim") == j).cast("long") for j in range(dims)]
-    out = ranked(events).withColumns({f"k{j}": F.sum(x).over(up_to) - F.sum(x).over(tied) - 1 for j, x in enumerate(of)})
-    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), col(f"k{j}").alias("kappa")) for j in range(dims)])).alias("x")
-    return out.select("path_id", col("dim").alias("i"), "m", each).select("path_id", "i", "m", "x.j", "x.kappa")
+    """(path_id, i, m, j, kappa): the index of the last type-j event strictly before event m of type i, or -1; by blocks of time."""
+    return blocks.kappa(events, dims)
 
 
 def lag_sizes(kappas: DataFrame) -> DataFrame:
@@ -89,40 +83,19 @@ def varpi(kappas: DataFrame) -> DataFrame:
     return per.select("path_id", "i", "j", "h", least.alias("first"))
 
 
-def _lookup(queries: DataFrame, events: DataFrame, forward: bool, inclusive: bool) -> DataFrame:
-    """An as-of look-up in one pass over the union of both sides, sorted by time."""
-    found = F.struct(col("t").alias("t"), col("dim").alias("dim"), col("event_id").alias("event_id"), col("mark").alias("mark"))
-    # at equal times an event stands on the side where it may be found only if it counts
-    event_first = inclusive != forward
-    side = lambda is_event: F.lit(0 if is_event == event_first else 1)
-    rows = events.select("path_id", col("t").alias("at"), side(True).alias("side"), found.alias("e"), F.lit(None).cast("long").alias("query_id"))
-    rows = rows.unionByName(queries.select("path_id", col("t").alias("at"), side(False).alias("side"), F.lit(None).cast(rows.schema["e"].dataType).alias("e"), "query_id"))
-    base = Window.partitionBy("path_id").orderBy("at", "side", col("e.dim").asc() if forward else col("e.dim").desc(), "query_id")
-    if forward:
-        e = F.first("e", ignorenulls=True).over(base.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        e = F.last("e", ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, -1))
-    out = rows.withColumn("hit", e).where("query_id is not null")
-    return out.select("query_id", "path_id", col("at").alias("t"), col("hit.t").alias("t_event"), col("hit.dim").alias("dim"), col("hit.mark").alias("mark"))
-
-
 def next_event(queries: DataFrame, events: DataFrame, inclusive: bool = False) -> DataFrame:
     """For each query (query_id, path_id, t) the first event after t, or at t if ``inclusive``."""
-    return _lookup(queries, events, True, inclusive)
+    return blocks.look_up(queries, events, True, inclusive)
 
 
 def previous_event(queries: DataFrame, events: DataFrame, inclusive: bool = False) -> DataFrame:
     """For each query the latest event before t, or at t if ``inclusive``."""
-    return _lookup(queries, events, False, inclusive)
+    return blocks.look_up(queries, events, False, inclusive)
 
 
 def counting_process(queries: DataFrame, events: DataFrame, dims: int) -> DataFrame:
-    """(query_id, path_id, t, n_0, n_1 ...): how many events of each dimension stand at or before t."""
-    zero = [F.lit(0).cast("long").alias(f"x{j}") for j in range(dims)]
-    ones = [(col("dim") == j).cast("long").alias(f"x{j}") for j in range(dims)]
-    rows = events.select("path_id", "t", F.lit(None).cast("long").alias("query_id"), *ones).unionByName(queries.select("path_id", "t", "query_id", *zero))
-    w = Window.partitionBy("path_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumns({f"n_{j}": F.sum(f"x{j}").over(w) for j in range(dims)}).where("query_id is not null").select("query_id", "path_id", "t", *[f"n_{j}" for j in range(dims)])
+    """(query_id, path_id, t, n_0, n_1 ...): how many events of each dimension stand at or before t; by blocks of time."""
+    return blocks.counting_process(queries, events, dims)
 
 
 def histogram(events: DataFrame, period: float, bins: int) -> DataFrame:
@@ -175,3 +148,9 @@ def grid(low: float, high: float, n: int, log: bool = False) -> Column:
     if log:
         return F.transform(step, lambda k: F.pow(F.lit(low), 1 - k / (n - 1)) * F.pow(F.lit(high), k / (n - 1)))
     return F.transform(step, lambda k: low + (high - low) * k / (n - 1))
+
+
+def positions_of(values: DataFrame, known: DataFrame, value: str = "t") -> DataFrame:
+    """``values`` with the least ``pos`` of the equal value in ``known`` (value, pos); null if there is none."""
+    first = known.groupBy(value).agg(F.min("pos").alias("pos"))
+    return values.join(first, value, "left")

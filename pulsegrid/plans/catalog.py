@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import baselines, impacts, kernels, scalars
-from pulsegrid.operators import diagnostics, expscan, paths, strata, sums
+from pulsegrid.operators import blocks, diagnostics, expscan, losses, paths, strata, sums
 from pulsegrid.sources.cascades import longest_suffix
 
 col = F.col
@@ -41,18 +41,12 @@ def orders_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.event_frame(o, path="path", dim=F.substring("o_orderpriority", 1, 1).cast("int") - 1, t=days, mark=col("o_totalprice"), event_id="o_orderkey")
 
 
-def queries_of(spark: SparkSession) -> DataFrame:
-    """Hourly look-up times for the first paths, as a fixed probe table (a feature of the query, not a cap)."""
-    return spark.range(20 * 24).select(col("id").alias("query_id"), (col("id") % 20).alias("path_id"), (col("id") * 1.5).alias("t"))
-
-
 def queries_of_paths(events: DataFrame) -> DataFrame:
     """24 look-up times over the horizon for every path of the events, a path's own offset apart."""
     each = events.select("path_id").distinct().select("path_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
     return each.select((col("path_id") * 24 + col("i")).alias("query_id"), "path_id", (col("i") * 30 + col("path_id") % 30).cast("double").alias("t"))
 
 
-PROBE = "pr AS (SELECT i AS query_id, i % 20 AS path_id, i * 1.5 AS t FROM range(480) AS r(i))"
 PATH_PROBE = "pr AS (SELECT path_id * 24 + i AS query_id, path_id, CAST(i * 30 + path_id % 30 AS DOUBLE) AS t FROM (SELECT DISTINCT path_id FROM ev) AS p, range(24) AS r(i))"
 
 
@@ -157,39 +151,55 @@ def varpi(spark, d):
     return paths.varpi(paths.kappa(orders_of(spark, d), DIMS))
 
 
-@query(f"WITH {EV}, {PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
+@query(f"WITH {EV}, {PATH_PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
 def next_event(spark, d):
-    return paths.next_event(queries_of(spark), events_of(spark, d)).select("query_id", "t_event", "dim", "mark")
+    e = events_of(spark, d)
+    return paths.next_event(queries_of_paths(e), e).select("query_id", "t_event", "dim", "mark")
 
 
-@query(f"WITH {EV}, {PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
+@query(f"WITH {EV}, {PATH_PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
 def previous_event(spark, d):
-    return paths.previous_event(queries_of(spark), events_of(spark, d)).select("query_id", "t_event", "dim", "mark")
+    e = events_of(spark, d)
+    return paths.previous_event(queries_of_paths(e), e).select("query_id", "t_event", "dim", "mark")
 
 
-@query(f"""WITH {EV}, {PROBE} SELECT query_id, count(*) FILTER (dim = 0) AS n_0, count(*) FILTER (dim = 1) AS n_1, count(*) FILTER (dim = 2) AS n_2, count(*) FILTER (dim = 3) AS n_3, count(*) FILTER (dim = 4) AS n_4
+@query(f"""WITH {EV}, {PATH_PROBE} SELECT query_id, count(*) FILTER (dim = 0) AS n_0, count(*) FILTER (dim = 1) AS n_1, count(*) FILTER (dim = 2) AS n_2, count(*) FILTER (dim = 3) AS n_3, count(*) FILTER (dim = 4) AS n_4
 FROM pr LEFT JOIN ev e ON pr.path_id = e.path_id AND e.t <= pr.t GROUP BY query_id""")
 def counting_process(spark, d):
-    return paths.counting_process(queries_of(spark), events_of(spark, d), DIMS).drop("path_id", "t")
+    e = events_of(spark, d)
+    return paths.counting_process(queries_of_paths(e), e, DIMS).drop("path_id", "t")
 
 
-@query(f"WITH {EV}, {PATH_PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t < e.t")
-def next_event_paths(spark, d):
-    e = events_of(spark, d)
-    return paths.next_event(queries_of_paths(e), e).select("query_id", "t_event", "dim", "mark")
+for _name in ("next_event", "previous_event", "counting_process"):  # the names under which the look-ups on all paths began
+    QUERIES[f"{_name}_paths"], ORACLES[f"{_name}_paths"] = QUERIES[_name], ORACLES[_name]
 
 
-@query(f"WITH {EV}, {PATH_PROBE} SELECT query_id, e.t AS t_event, dim, mark FROM pr ASOF LEFT JOIN ev e ON pr.path_id = e.path_id AND pr.t > e.t")
-def previous_event_paths(spark, d):
+@query(f"WITH {EV}, pq AS (SELECT event_id AS query_id, path_id, t FROM ev) SELECT query_id, e.t AS t_event, dim, mark FROM pq ASOF LEFT JOIN ev e ON pq.path_id = e.path_id AND pq.t <= e.t")
+def next_event_inclusive(spark, d):
+    """At each event's own time: the event itself, as no two of a path are at one time."""
     e = events_of(spark, d)
-    return paths.previous_event(queries_of_paths(e), e).select("query_id", "t_event", "dim", "mark")
+    return paths.next_event(e.select(col("event_id").alias("query_id"), "path_id", "t"), e, inclusive=True).select("query_id", "t_event", "dim", "mark")
 
 
-@query(f"""WITH {EV}, {PATH_PROBE} SELECT query_id, count(*) FILTER (dim = 0) AS n_0, count(*) FILTER (dim = 1) AS n_1, count(*) FILTER (dim = 2) AS n_2, count(*) FILTER (dim = 3) AS n_3, count(*) FILTER (dim = 4) AS n_4
-FROM pr LEFT JOIN ev e ON pr.path_id = e.path_id AND e.t <= pr.t GROUP BY query_id""")
-def counting_process_paths(spark, d):
-    e = events_of(spark, d)
-    return paths.counting_process(queries_of_paths(e), e, DIMS).drop("path_id", "t")
+LONG = """li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS event_id, l_suppkey % 2 AS path_id, l_linenumber % 3 AS dim,
+  CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t FROM lineitem)"""
+
+
+def long_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Two paths of half the line items each, with many ties in time."""
+    o = spark.read.parquet(f"{d}/lineitem.parquet")
+    days = F.datediff(col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    return o.select((col("l_suppkey") % 2).alias("path_id"), (col("l_orderkey") * 100 + col("l_linenumber")).alias("event_id"), (col("l_linenumber") % 3).cast("int").alias("dim"), days.alias("t"), F.lit(1.0).alias("mark"))
+
+
+@query(f"""WITH {LONG}, c AS (SELECT path_id, t, count(*) FILTER (dim = 0) AS n0, count(*) FILTER (dim = 1) AS n1, count(*) FILTER (dim = 2) AS n2 FROM li GROUP BY path_id, t),
+b AS (SELECT path_id, t, coalesce(sum(n0) OVER w, 0) AS k0, coalesce(sum(n1) OVER w, 0) AS k1, coalesce(sum(n2) OVER w, 0) AS k2 FROM c WINDOW w AS (PARTITION BY path_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT li.path_id, li.dim AS i, b.k0, b.k1, b.k2 FROM li JOIN b ON li.path_id = b.path_id AND li.t = b.t)
+SELECT path_id, CAST(i AS INT) AS i, CAST(count(*) AS BIGINT) AS n, CAST(sum(k0 - 1) AS BIGINT) AS kappa_0, CAST(sum(k1 - 1) AS BIGINT) AS kappa_1, CAST(sum(k2 - 1) AS BIGINT) AS kappa_2 FROM x GROUP BY path_id, i""")
+def kappa_long(spark, d):
+    k = paths.kappa(long_paths(spark, d), 3)
+    of = [F.sum(F.when(col("j") == j, col("kappa"))).alias(f"kappa_{j}") for j in range(3)]
+    return k.groupBy("path_id", "i").agg(F.count_if(col("j") == 0).alias("n"), *of)
 
 
 HIST = "h AS (SELECT g.path_id, g.dim, bin, count(e.t) AS n FROM (SELECT DISTINCT path_id, dim FROM ev) g CROSS JOIN range(30) AS b(bin) LEFT JOIN ev e ON e.path_id = g.path_id AND e.dim = g.dim AND e.t >= bin * 24.0 AND (e.t < (bin + 1) * 24.0 OR bin = 29 AND e.t = 720.0) GROUP BY ALL)"
@@ -262,7 +272,12 @@ for _name, (_k, _phi, _psi) in FUNC.items():
     _kernel_queries(_name, _k, _phi, _psi)
 
 
-@query()
+def simpson(f: str, high: str, n: int = 400) -> str:
+    """The integral of an SQL expression of u from 0 to ``high`` by Simpson's rule."""
+    return f"({high}) / {3 * n}.0::DOUBLE * list_sum(list_transform(range({n} + 1), lambda i: (CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('u', f'(({high}) * i / {n}.0::DOUBLE)')}))"
+
+
+@query(f"""{AT} SELECT event_id, round(0.8 * exp(-0.5 * pow((x - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())), 8) AS phi, round({simpson("(0.8 * pow(2.718281828459045, -0.5 * pow((u - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())))", "x")}, 8) AS psi FROM p""")
 def kernel_gaussian(spark, d):
     k = kernels.Gaussian(0.8, 1.2, 3.0)
     return at_times(spark, d).select("event_id", r(k.phi(col("x"))).alias("phi"), r(k.psi(col("x"))).alias("psi"))
@@ -297,13 +312,13 @@ def baseline_functions(spark, d):
 
 
 @query(f"""{AT}, q AS (SELECT *, mark / (1 + abs(mark)) AS u FROM p) SELECT event_id, round(1 + 0.01 * mark, 8) AS linear, round(exp(-0.01 * mark), 8) AS exponential,
-  round(CASE WHEN u <= 0 THEN 1 WHEN u >= 1 THEN 1.5 ELSE 1 + 0.5 / (1 + exp(-(ln(u / (1 - u)) - 0.2) / 1.5)) END, 8) AS sigmoid,
+  round(CASE WHEN u <= 0 THEN 1 WHEN u >= 1 THEN 1.5 ELSE 1 + 0.5 / (1 + exp(-4 * (1 - (2 * 0.4 - 1) * (2 * 0.4 - 1)) * 1.5 * (u - 0.4) / (1 - (2 * u - 1) * (2 * u - 1)))) END, 8) AS sigmoid,
   CAST(CASE dim WHEN 0 THEN 1 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 WHEN 3 THEN 2 ELSE 0.25 END AS DOUBLE) AS categorical FROM q""")
 def impact_functions(spark, d):
     u = col("mark") / (1 + F.abs("mark"))
     return at_times(spark, d).select(
         "event_id", r(impacts.linear(col("mark"), 0.01)).alias("linear"), r(impacts.exponential(col("mark"), 0.01)).alias("exponential"),
-        r(impacts.sigmoid(u, 0.5, 0.2, 1.5)).alias("sigmoid"), impacts.categorical(col("dim"), (0.5, 1.5, 2.0, 0.25)).alias("categorical"),
+        r(impacts.sigmoid(u, 0.5, 1.5, 0.4)).alias("sigmoid"), impacts.categorical(col("dim"), (0.5, 1.5, 2.0, 0.25)).alias("categorical"),
     )
 
 
@@ -317,10 +332,12 @@ def scalar_functions(spark, d):
     )
 
 
-@query()
+@query(f"""{AT}, q AS (SELECT event_id, (x + 0.5) / 11 AS v FROM p) SELECT event_id, round(0.5 + {simpson("(pow(2.718281828459045, -0.5 * pow(u, 2)) / sqrt(2 * pi()))", "v")}, 8) AS normal, round(v, 8) AS normal_back,
+  round({simpson("(2 * pow(u, 4) * pow(2.718281828459045, -pow(u, 2)))", "sqrt(v)")} / gamma(2.5), 8) AS gamma, round(gamma(v), 6) AS gamma_function FROM q""")
 def normal_and_gamma(spark, d):
     x = at_times(spark, d).select("event_id", ((col("x") + 0.5) / 11).alias("u"))
-    return x.select("event_id", r(scalars.normal_cdf(col("u"))).alias("normal"), r(scalars.inverse_normal_cdf(col("u"))).alias("quantile"), r(scalars.gamma_cdf(F.lit(2.5), col("u"))).alias("gamma"), r(scalars.gamma_function(col("u"))).alias("gamma_function"))
+    x = x.withColumn("q", scalars.inverse_normal_cdf(col("u")))  # a step of its own, as the next uses it many times
+    return x.select("event_id", r(scalars.normal_cdf(col("u"))).alias("normal"), r(scalars.normal_cdf(col("q"))).alias("normal_back"), r(scalars.gamma_cdf(F.lit(2.5), col("u"))).alias("gamma"), r(scalars.gamma_function(col("u")), 6).alias("gamma_function"))
 
 
 # --- sums over events and pairs
@@ -407,28 +424,37 @@ def residuals_of(spark: SparkSession, d: str) -> DataFrame:
     return sums.residuals(sums.compensators(events_of(spark, d), kernel, lambda k, t: mu(k) * t))
 
 
+def residuals_by_scan(spark: SparkSession, d: str) -> DataFrame:
+    return sums.residuals(expscan.exp_compensators(events_of(spark, d), MU_V, OMEGA_M, BETA_M))
+
+
 @query(f"WITH {EV}, {PAIR}, {COMP} SELECT path_id, k, m, round(residual, 8) AS residual FROM res")
 def residuals(spark, d):
     return residuals_of(spark, d).withColumn("residual", r("residual"))
 
 
+@query(f"WITH {EV}, {PAIR}, {COMP} SELECT path_id, k, m, round(residual, 8) AS residual FROM res")
+def residuals_scan(spark, d):
+    return residuals_by_scan(spark, d).withColumn("residual", r("residual"))
+
+
 @query(f"""WITH {EV}, {PAIR}, {COMP}, o AS (SELECT k, 1 - exp(-greatest(residual, 0)) AS u, row_number() OVER (PARTITION BY k ORDER BY residual) AS i, count(*) OVER (PARTITION BY k) AS n FROM res)
 SELECT k, max(n) AS n, round(max(greatest(i / n::DOUBLE - u, u - (i - 1) / n::DOUBLE)), 8) AS ks FROM o GROUP BY k""")
 def ks_residuals(spark, d):
-    return diagnostics.ks_statistics(residuals_of(spark, d)).withColumn("ks", r("ks"))
+    return diagnostics.ks_statistics(residuals_by_scan(spark, d)).withColumn("ks", r("ks"))
 
 
 @query(f"""WITH {EV}, {PAIR}, {COMP}, md AS (SELECT k, quantile_cont(residual, 0.5) AS med FROM res GROUP BY k),
 a AS (SELECT k, m, CAST(residual > med AS INT) AS up FROM res JOIN md USING (k)), b AS (SELECT *, coalesce(abs(up - lag(up) OVER (PARTITION BY k ORDER BY m)), 0) AS ch FROM a)
 SELECT k, CAST(sum(ch) + 1 AS BIGINT) AS runs, CAST(sum(up) AS BIGINT) AS n_above, CAST(sum(1 - up) AS BIGINT) AS n_below FROM b GROUP BY k""")
 def runs_test(spark, d):
-    return diagnostics.runs_test(residuals_of(spark, d)).drop("z")
+    return diagnostics.runs_test(residuals_by_scan(spark, d)).drop("z")
 
 
 @query(f"""WITH {EV}, {PAIR}, {COMP}, o AS (SELECT k, residual, row_number() OVER (PARTITION BY k ORDER BY residual) AS i, count(*) OVER (PARTITION BY k) AS n FROM res)
 SELECT k, CAST(i AS INT) AS i, round(residual, 8) AS sample, round(-ln(1 - CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END), 8) AS model FROM o""")
 def qq_points(spark, d):
-    return diagnostics.qq_points(residuals_of(spark, d)).select("k", "i", r("sample").alias("sample"), r("model").alias("model"))
+    return diagnostics.qq_points(residuals_by_scan(spark, d)).select("k", "i", r("sample").alias("sample"), r("model").alias("model"))
 
 
 @query(f"""WITH {EV}, g AS (SELECT path_id, dim, t - lag(t, 3) OVER (PARTITION BY path_id, dim ORDER BY t, event_id) AS gap FROM ev) SELECT path_id, dim, round(sum(exp(-0.7 * gap)), 8) AS total FROM g WHERE gap IS NOT NULL GROUP BY ALL""")
@@ -449,11 +475,15 @@ def lag_strata(spark, d):
     return rows.groupBy(col("stratum").cast("long").alias("stratum")).agg(F.count(F.lit(1)).alias("size"), r(F.sum(F.exp(-0.7 * col("dt"))), 6).alias("total"))
 
 
-@query()
+@query(f"""WITH {EV}, {PAIR} SELECT name, count(*) AS size, TRUE AS near FROM pr, (VALUES ('decay'), ('weighted')) AS v(name) GROUP BY name""")
 def stratified_estimate(spark, d):
-    rows = strata.lagged_pairs(sums.pairs(events_of(spark, d)))
-    rows = strata.with_strata(rows, strata.lag_strata(1 << 20, 5, 6)).select("stratum", "m", "t_n", "j", "dt")
-    return strata.adaptive_sum(rows, F.exp(-0.7 * col("dt")), ["m", "j", "t_n"], 2000)
+    """Sampled sums over all pairs, and whether they are within five deviations of the exact ones, which the linear scan gives."""
+    e = events_of(spark, d)
+    values = {"decay": F.exp(-0.7 * col("dt")), "weighted": F.exp(-0.7 * col("dt")) * (1 + 0.001 * col("mark"))}
+    got = strata.adaptive_pair_sum(e, DIMS, strata.lag_strata(1 << 20, 5, 6), values, 2000)
+    exact = expscan.exp_sums(e, [(0.7, F.lit(1.0)), (0.7, 1 + 0.001 * col("mark"))], ["decay", "weighted"]).agg(F.sum("decay").alias("decay"), F.sum("weighted").alias("weighted"))
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), col(c).alias("exact")) for c in values])))
+    return got.join(F.broadcast(exact), "name").select("name", "size", (F.abs(col("total") - col("exact")) <= 5 * F.sqrt("variance") + 1e-9 * F.abs("exact")).alias("near"))
 
 
 @query(f"""WITH {EV} SELECT round(avg(cnt / 720.0), 8) AS rate, count(*) AS paths, round(stddev_samp(cnt), 8) AS deviation FROM (SELECT path_id, count(*) AS cnt FROM ev GROUP BY path_id)""")
@@ -462,17 +492,84 @@ def poisson_fit(spark, d):
     return n.agg(r(F.avg(col("cnt") / 720.0)).alias("rate"), F.count(F.lit(1)).alias("paths"), r(F.stddev_samp("cnt")).alias("deviation"))
 
 
-@query()
+G_PSI = f"SELECT CAST(k AS INT) AS k, j, sum(1 - exp(-{BETA} * (720.0 - t))) AS psi, sum({OMEGA} * (720.0 - t) * exp(-{BETA} * (720.0 - t))) AS dpsi, sum({OMEGA} * {BETA} * (1 - exp(-2 * {BETA} * (720.0 - t)))) AS own, sum({OMEGA} * {OMEGA} / 2 * (1 - exp(-2 * {BETA} * (720.0 - t))) + {OMEGA} * {OMEGA} * {BETA} * (720.0 - t) * exp(-2 * {BETA} * (720.0 - t))) AS down FROM (SELECT dim AS j, t FROM ev), range(5) AS g(k) GROUP BY ALL"
+G_PHI = f"SELECT k, j, sum({BETA} * exp(-{BETA} * dt)) AS phi, sum({OMEGA} * (1 - {BETA} * dt) * exp(-{BETA} * dt)) AS dphi FROM pr GROUP BY ALL"
+# of each pair with a later event of type i and an earlier one of type j: by the weights and the decays of both
+G_UPS = f"""SELECT k, i, j, sum({OI} * g * a * s) AS by_wj, sum({OMEGA} * g * a * s) AS by_wi, sum({OI} * {OMEGA} * s * (pow({BETA} / ({BI} + {BETA}), 2) * a + g * l * e)) AS by_bi,
+  sum({OI} * {OMEGA} * s * (pow({BI} / ({BI} + {BETA}), 2) * a + g * l * e - g * a * dt)) AS by_bj FROM (SELECT CAST(k AS INT) AS k, i, j, dt, 720.0 - t AS l, {BI} * {BETA} / ({BI} + {BETA}) AS g, exp(-{BETA} * dt) AS s, exp(-({BI} + {BETA}) * (720.0 - t)) AS e,
+  1 - exp(-({BI} + {BETA}) * (720.0 - t)) AS a FROM (SELECT k AS i, j, t, dt FROM pr), range(5) AS x(k)) GROUP BY ALL"""
+
+
+@query(f"""WITH {EV}, {PAIR}, s AS ({G_PSI}), f AS ({G_PHI}), u AS ({G_UPS}), z AS (
+  SELECT k, j, 'omega' AS name, 2 * {MU} * psi + own AS x FROM s UNION ALL SELECT k, j, 'beta', 2 * {MU} * dpsi + down FROM s
+  UNION ALL SELECT k, j, 'omega', -2 * phi FROM f UNION ALL SELECT k, j, 'beta', -2 * dphi FROM f
+  UNION ALL SELECT k, j, 'omega', 2 * by_wj FROM u UNION ALL SELECT k, i, 'omega', 2 * by_wi FROM u UNION ALL SELECT k, i, 'beta', 2 * by_bi FROM u UNION ALL SELECT k, j, 'beta', 2 * by_bj FROM u
+  UNION ALL SELECT CAST(k AS INT), -1, 'mu', 2 * {MU} * ({N}) FROM range(5) AS g(k) UNION ALL SELECT dim, -1, 'mu', -2.0 * count(*) FROM ev GROUP BY dim UNION ALL SELECT k, -1, 'mu', 2 * {OMEGA} * psi FROM s)
+SELECT name, k, CAST(j AS INT) AS j, round(sum(x) / ({N}), 8) AS value FROM z GROUP BY name, k, j""")
+def lse_gradient(spark, d):
+    import numpy as np
+
+    e = events_of(spark, d)
+    g = losses.exponential_gradient(e, np.array(MU_V), np.array(OMEGA_M), np.array(BETA_M), HORIZON, e.select("path_id").distinct().count())
+    rows = [("mu", k, -1, float(g[0][k])) for k in range(DIMS)] + [(name, k, j, float(m[k, j])) for name, m in (("omega", g[1]), ("beta", g[2])) for k in range(DIMS) for j in range(DIMS)]
+    return spark.createDataFrame(rows, "name string, k int, j int, value double").withColumn("value", r("value"))
+
+
+@query(f"""WITH {EV}, {PAIR}, u0 AS ({UPS0.replace('(720.0 - t)))) AS', '(720.0 - t))) * pow(1 + 0.001 * mark, 2)) AS').replace('dim AS j, t FROM ev', 'dim AS j, t, mark FROM ev')}),
+u AS ({UPS.replace('(720.0 - t)))) AS', '(720.0 - t))) * (1 + 0.001 * mark) * (1 + 0.001 * mark_m)) AS').replace('k AS i, j, t, dt FROM pr', 'k AS i, j, t, dt, mark, mark_m FROM pr')}),
+f AS ({PHI.replace('* dt)) AS', '* dt) * (1 + 0.001 * mark)) AS')}),
+s AS (SELECT CAST(k AS INT) AS k, sum((1 + 0.001 * mark) * {OMEGA} * ((0.0001 * t + {MU}) * (1 - exp(-{BETA} * (720.0 - t))) + 0.0001 * ((1 - exp(-{BETA} * (720.0 - t))) / {BETA} - (720.0 - t) * exp(-{BETA} * (720.0 - t))))) AS x FROM (SELECT dim AS j, t, mark FROM ev), range(5) AS g(k) GROUP BY k),
+z AS (SELECT k, 2 * x / ({N}) AS x FROM s UNION ALL SELECT k, upsilon / ({N}) FROM u0 UNION ALL SELECT k, 2 * upsilon / ({N}) FROM u UNION ALL SELECT k, -2 * phi / ({N}) FROM f
+  UNION ALL SELECT dim AS k, -2 * sum(0.01 * (dim + 1) + 0.0001 * t) / ({N}) FROM ev GROUP BY dim
+  UNION ALL SELECT CAST(k AS INT), 0.0001 * 0.0001 * 720.0 * 720.0 / 3 + 0.0001 * {MU} * 720.0 + {MU} * {MU} FROM range(5) AS g(k)) SELECT k, round(sum(x), 8) AS lse FROM z GROUP BY k""")
+def least_squares_marked(spark, d):
+    e = events_of(spark, d)
+    n = e.select("path_id").distinct().count()
+    line = lambda k: baselines.Linear(0.0001, mu(k))
+    k_of = lambda k, j, left, t: kernel(k, j).linear_k(left, t, 0.0001, mu(k))
+    out = losses.marked_least_squares(e, kernel, lambda k, t: line(k).mu(t), lambda k: line(k).mean_square(HORIZON), k_of, lambda k, j, x: impacts.linear(x, 0.001), DIMS, HORIZON, n)
+    return out.withColumn("lse", r("lse"))
+
+
+@query(f"""WITH {EV}, s AS (SELECT dim AS k, sum(0.01 * (dim + 1) + 0.0001 * t) AS m, sum(ln(0.01 * (dim + 1) + 0.0001 * t)) AS l FROM ev GROUP BY dim)
+SELECT k, round(0.0001 * 0.0001 * 720.0 * 720.0 / 3 + 0.0001 * {MU} * 720.0 + {MU} * {MU} - 2 * m / ({N}), 8) AS lse, round(l - ({N}) * (0.0001 * 720.0 / 2 + {MU}), 5) AS loglik FROM s""")
+def poisson_losses(spark, d):
+    e = events_of(spark, d)
+    line = lambda k: baselines.Linear(0.0001, mu(k))
+    out = losses.poisson_losses(e, lambda k, t: line(k).mu(t), lambda k: line(k).mean_square(HORIZON), lambda k: line(k).compensator(HORIZON), DIMS, HORIZON, e.select("path_id").distinct().count())
+    return out.select("k", r("lse").alias("lse"), r("loglik", 5).alias("loglik"))
+
+
+@query(f"""WITH {EV}, s AS (SELECT dim, count(*) / ({N}) AS eta, sum(t) / ({N}) AS first FROM ev GROUP BY dim)
+SELECT dim, round((first - eta * 360.0) * 12 / (720.0 * 720.0), 10) AS slope, round(eta - (first - eta * 360.0) * 12 / (720.0 * 720.0) * 360.0, 8) AS level FROM s""")
+def poisson_fit_linear(spark, d):
+    e = events_of(spark, d)
+    out = losses.fit_linear_poisson(e, HORIZON, e.select("path_id").distinct().count())
+    return out.select("dim", r("slope", 10).alias("slope"), r("level").alias("level"))
+
+
+STATIONARY = "SELECT CAST(k AS INT) AS k, CAST(j AS INT) AS j, TRUE AS stationary FROM range(5) AS g(k), range(-1, {top}) AS h(j)"
+
+
+def stationary_rows(spark, gradient, values, names):
+    """(k, j, stationary): whether a bounded optimum meets its conditions: no slope where a value is free, none downwards where it is 0."""
+    rows = [(k, j, bool(abs(g) < 1e-7 if v > 1e-9 else g > -1e-7)) for (k, j), g, v in zip(names, gradient, values, strict=True)]
+    return spark.createDataFrame(rows, "k int, j int, stationary boolean")
+
+
+@query(STATIONARY.format(top=5))
 def hawkes_fit(spark, d):
-    """The least-squares fit with fixed decays, as rows (k, j, omega) with mu at j = -1."""
+    """The least-squares fit with fixed decays; the gradient, which another aggregate gives, tells whether (mu at j = -1, omega) is the bounded optimum."""
     import numpy as np
 
     from pulsegrid.operators import fit
 
-    e = events_of(spark, d)
-    m, w, _ = fit.fit_fixed_decays(e, np.array(BETA_M), HORIZON, e.select("path_id").distinct().count())
-    rows = [(k, -1, float(m[k])) for k in range(DIMS)] + [(k, j, float(w[k, j])) for k in range(DIMS) for j in range(DIMS)]
-    return spark.createDataFrame(rows, "k int, j int, value double")
+    e, b = events_of(spark, d), np.array(BETA_M)
+    n = e.select("path_id").distinct().count()
+    m, w, _ = fit.fit_fixed_decays(e, b, HORIZON, n)
+    g = losses.exponential_gradient(e, m, w, b, HORIZON, n)
+    names = [(k, -1) for k in range(DIMS)] + [(k, j) for k in range(DIMS) for j in range(DIMS)]
+    return stationary_rows(spark, [*map(float, g[0]), *map(float, g[1].ravel())], [*map(float, m), *map(float, w.ravel())], names)
 
 
 @query()

@@ -127,6 +127,13 @@ def test_solvers_reach_the_bounded_minimum():
 
 
 def test_stratified_sums_are_near_the_exact_one(spark):
+    e = frame(spark, [sorted(np.random.default_rng(6).uniform(0, 50, 80)), sorted(np.random.default_rng(7).uniform(0, 50, 60))])
+    bands = strata.lag_strata(200, 4, 3)
+    got = strata.adaptive_pair_sum(e, 2, bands, {"x": F.exp(-F.col("dt"))}, 400).first()
+    exact = sums.pairs(e).agg(F.sum(F.exp(-F.col("dt"))).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    assert got["size"] == exact["n"] and abs(got["total"] - exact["x"]) <= 5 * math.sqrt(got["variance"])
+    whole = strata.adaptive_pair_sum(e, 2, bands, {"x": F.exp(-F.col("dt"))}, 10**6).first()
+    assert whole["total"] == pytest.approx(exact["x"]) and whole["variance"] == pytest.approx(0.0)
     rows = spark.range(5000).select(F.pmod("id", F.lit(4)).cast("int").alias("stratum"), "id", (F.col("id") % 97).cast("double").alias("v"))
     exact = rows.agg(F.sum("v")).first()[0]
     got = strata.adaptive_sum(rows, F.col("v"), ["id"], 1500).first()
@@ -136,6 +143,122 @@ def test_stratified_sums_are_near_the_exact_one(spark):
     assert {r["stratum"]: r["count"] for r in drawn} == {0: 7, 1: 1250, 3: 1}
 
 
+def test_normal_functions_equal_the_library(spark):
+    from statistics import NormalDist
+
+    xs = [-30.0, -8.0, -5.1, -4.0, -1.5, -0.3, 0.0, 0.2, 0.66, 0.67, 2.0, 3.9, 4.1, 6.0, 9.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalars.normal_cdf(F.col("x")).alias("p")).collect()
+    assert all(r.p == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-12, abs=1e-300) for r in got)
+    us = [1e-12, 1e-5, 0.02, 0.3, 0.5, 0.9, 0.98, 0.99999]
+    got = spark.createDataFrame([(u,) for u in us], "u double").select("u", scalars.inverse_normal_cdf(F.col("u")).alias("x")).collect()
+    assert all(r.x == pytest.approx(NormalDist().inv_cdf(r.u), rel=1e-9, abs=1e-12) for r in got)
+    assert value(spark, scalars.inverse_normal_cdf(0.0)) == -math.inf and value(spark, scalars.inverse_normal_cdf(1.0)) == math.inf
+
+
+def test_poisson_numbers_have_any_mean(spark):
+    for mean in (0.3, 15.0, 300.0, 2000.0):
+        got = spark.range(2000).select(simulate.poisson(F.lit(mean), 5, F.col("id")).alias("n")).agg(F.avg("n").alias("m"), F.var_samp("n").alias("v")).first()
+        assert got.m == pytest.approx(mean, abs=5 * math.sqrt(mean / 2000)) and got.v == pytest.approx(mean, rel=0.2)
+
+
+def test_sigmoid_impact(spark):
+    f = lambda x: value(spark, impacts.sigmoid(F.lit(x), 0.5, 1.5, 0.4))
+    assert f(0.4) == pytest.approx(1.25) and f(0.0) == 1.0 and f(1.0) == 1.5
+    slope = (f(0.4 + 1e-5) - f(0.4 - 1e-5)) / 2e-5
+    assert slope == pytest.approx(0.5 * 1.5 / 4 * 4, rel=1e-4)  # omega beta: the two curvatures cancel at delta
+
+
+def test_blocks_equal_whole_paths(spark):
+    """Ranks, kappa, counts and look-ups with blocks of a few events, ties and empty stretches among them."""
+    from pulsegrid.operators import blocks
+
+    r = np.random.default_rng(3)
+    times = [sorted(np.round(r.uniform(0, 40, 60)) / 2), sorted(np.round(r.uniform(5, 9, 30)) / 2)]
+    e = frame(spark, times).unionByName(frame(spark, [[100.0, 3.0]], path=1))
+    for width in (0.7, 3.0, 1e6):
+        got = {(x.path_id, x.i, x.m, x.j): x.kappa for x in blocks.kappa(e, 2, width).collect()}
+        assert len(got) == 2 * e.count()
+        for (p, i, m, j), k in got.items():
+            own = times if p == 0 else [[3.0, 100.0], []]
+            assert k == sum(t < own[i][m] for t in own[j]) - 1
+        at = [0.0, 2.5, 2.6, 4.0, 20.0, 99.0]
+        q = spark.createDataFrame([(n, 0, t) for n, t in enumerate(at)], "query_id long, path_id long, t double")
+        both = [(t, d) for d, ts in enumerate(times) for t in ts]
+        for forward, inclusive in ((True, False), (True, True), (False, False), (False, True)):
+            found = {x.query_id: x.t_event for x in blocks.look_up(q, e, forward, inclusive, width).collect()}
+            for n, t in enumerate(at):
+                near = [x for x, _ in both if (x > t if forward else x < t) or inclusive and x == t]
+                assert found[n] == (min(near, default=None) if forward else max(near, default=None))
+        counts = {x.query_id: (x.n_0, x.n_1) for x in blocks.counting_process(q, e, 2, width).collect()}
+        assert counts == {n: tuple(sum(x <= t for x in ts) for ts in times) for n, t in enumerate(at)}
+
+
+def test_gradients_of_the_loss_equal_differences(spark):
+    from pulsegrid.operators import losses
+
+    r = np.random.default_rng(4)
+    e = frame(spark, [sorted(r.uniform(0, 60, 40)), sorted(r.uniform(0, 60, 30))])
+    mu, w, b = np.array([0.3, 0.2]), np.array([[0.2, 0.3], [0.1, 0.2]]), np.array([[1.5, 1.0], [0.7, 2.0]])
+
+    def loss_of(x, k):
+        m, o, d = x[0], x[1:3], x[3:5]
+        beta = b.copy()
+        beta[k] = d
+        q, c = fit.quadratic_terms(e, beta, 60.0)[k]
+        return fit.loss(q, c, np.r_[m, o])
+
+    g = losses.exponential_gradient(e, mu, w, b, 60.0)
+    for k in range(2):
+        want = scalars.finite_difference(lambda x, k=k: loss_of(x, k), np.r_[mu[k], w[k], b[k]], 1e-4)
+        assert [g[0][k], *g[1][k], *g[2][k]] == pytest.approx(list(want), abs=1e-7)
+
+
+def test_fits_of_bases_equal_fits_of_decays_and_meet_their_conditions(spark):
+    r = np.random.default_rng(5)
+    e = frame(spark, [sorted(r.uniform(0, 80, 60)), sorted(r.uniform(0, 80, 40))])
+    b = np.full((2, 2), 1.2)
+    m, w, lse = fit.fit_fixed_decays(e, b, 80.0)
+    m2, w2, lse2 = fit.fit_bases(e, lambda p: lambda k, j: kernels.Exponential(1.0, 1.2), 1, 2, 80.0)
+    assert m2 == pytest.approx(m) and w2[:, :, 0] == pytest.approx(w) and lse2 == pytest.approx(lse)
+    gauss = (kernels.Gaussian(1.0, 0.5, 1.0), kernels.Gaussian(1.0, 1.0, 3.0))
+    m3, w3, lse3 = fit.fit_bases(e, lambda p: lambda k, j: gauss[p], 2, 2, 80.0)
+    assert np.all(w3 >= 0) and np.all(lse3 <= -m3**2 * 0 + 1e-9)
+    mixture = kernels.Mixture(tuple(kernels.Gaussian(float(w3[0, 0, p]), g.beta, g.delta) for p, g in enumerate(gauss)))
+    assert mixture.is_basis_sum() and not mixture.is_basis_sum({"omega", "beta"})
+    mu, omega, beta, log = fit.fit_exponential(e, b, 80.0, n_iter=4)
+    assert len(log) == 4 and sum(fit.fit_fixed_decays(e, beta, 80.0)[2]) <= log[0][2] + 1e-9
+
+
+def test_projection_divergence_and_cross_gradients(spark):
+    target = kernels.Mixture((kernels.Exponential(0.3, 1.0), kernels.Exponential(0.2, 3.0)))
+    assert kernels.l2_projection(target, [kernels.Exponential(1.0, 1.0), kernels.Exponential(1.0, 3.0)]) == pytest.approx([0.3, 0.2], abs=1e-6)
+    assert kernels.kl_divergence(kernels.Gaussian(1.0, 2.0, 1.0), kernels.Gaussian(1.0, 2.0, 1.0)) == 0
+    x, y = kernels.Exponential(0.8, 1.3), kernels.Exponential(0.5, 0.6)
+    exact, by_difference = kernels.gradient_exp_exp(x, y, 0.7, 0.3), kernels.gradient_cross_upsilon(x, y, 0.7, 0.3)
+    for a, b in zip(exact, by_difference, strict=True):
+        assert [value(spark, c) for c in a] == pytest.approx([value(spark, c) for c in b], abs=1e-6)
+    g = kernels.Gamma(0.8, 2.5, 1.3)
+    n = 20_000
+    total = spark.range(n).select(g.phi((F.col("id") + 0.5) * (2.0 / n)).alias("y")).agg(F.sum("y") * (2.0 / n)).first()[0]
+    assert total == pytest.approx(value(spark, g.psi(F.lit(2.0))), abs=1e-5)
+    pieces = baselines.PiecewiseConstant((0.0, 1.0), (1.0, 2.0))
+    assert value(spark, kernels.piecewise_k(x, (0.0, 1.0), (1.0, 2.0), 2.0, 0.4)) == pytest.approx(value(spark, kernels.k_by_quadrature(x, pieces.mu, 2.0, 0.4, 2000)), abs=1e-3)
+    assert [value(spark, c) for c in kernels.gradient(kernels.Rayleigh(0.8, 1.2), "phi", 0.7)][0] == pytest.approx(value(spark, kernels.Rayleigh(1.0, 1.2).phi(0.7)), abs=1e-6)
+
+
+def test_simulation_after_a_history(spark):
+    mu, w, b = np.array([0.5]), np.array([[0.6]]), 1.0
+    model = dict(mu=mu, kernel=lambda k, j: kernels.Exponential(0.6, b), mean=w)
+    past = spark.range(200).select(F.lit(0).cast("long").alias("path_id"), F.col("id").alias("event_id"), F.lit(0).alias("dim"), (9.0 + F.col("id") / 200).alias("t"), F.lit(1.0).alias("mark"))
+    rows = simulate.simulate_hawkes(spark, paths=1, horizon=30.0, since=10.0, history=past, seed=3, **model)
+    alone = simulate.simulate_hawkes(spark, paths=1, horizon=30.0, since=10.0, seed=3, **model)
+    assert rows.agg(F.min("t")).first()[0] >= 10.0 and rows.count() > alone.count() + 60  # some 73 children after 10, and theirs
+    after = simulate.one_step_ahead(spark, history=past, since=10.0, horizon=30.0, paths=1, seed=3, **model).first()
+    assert after.t == rows.agg(F.min("t")).first()[0]
+    ends = simulate.simulate_episodes(spark, horizons=[5.0, 20.0], seed=4, **model)
+    assert all(r.t < (5.0, 20.0)[r.path_id] for r in ends.collect())
+
+
 def test_cascades_and_storage(spark, tmp_path):
     (tmp_path / "c.txt").write_text("1,a.com\n2,b.org\n\nm1;1,0.5,2,0.5,1,1.0\nm2;2,0.5,2,2.0\n")
     sites, c = cascades.read_cascades(spark, str(tmp_path / "c.txt"))
