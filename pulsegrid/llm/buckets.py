@@ -5,7 +5,7 @@ all its buckets, as the text from which many copies were made does even if they
 the pivot is done; the rest waits for the next turn.  Links of all buckets together give
 classes, and a bucket whose members are in one class is done, be it as large as it may.
 
-Buckets that two turns leave open are compared as pairs if they have eight members at most.  Members of the others are keyed anew by a prefix filter: ``rest`` gives each its rarest features, such that two
+Buckets that two turns leave open are compared as pairs if they have only a ``few`` members.  Members of the others are keyed anew by a prefix filter: ``rest`` gives each its rarest features, such that two
 members can only be linked if they share one.  Keys that many share have turns of their own; then
 members that share a key, are in different classes and have room for a link are compared as pairs.
 So every link within a bucket is found, or joins two members that are in one class already.
@@ -22,8 +22,6 @@ from pulsegrid.llm.common import cut_lineage, small_or_plain, written
 from pulsegrid.llm.components import components
 
 TURNS = 2
-#: Open buckets of no more members than this are compared as pairs.
-FEW = 8
 #: Prefix keys of more members get pivots before pairs.
 MANY = 32
 MAX_BROADCAST_ROWS = 1_000_000
@@ -48,6 +46,7 @@ def bucket_classes(
     rest: Callable[[DataFrame], DataFrame],
     room: Callable[[Column, Column, Column, Column], Column],
     turns: int = TURNS,
+    few: int = 0,
 ) -> DataFrame:
     """(node, root) of the classes of members (key, node, n) that share keys; n is the member's size.  Roots have no row.
 
@@ -98,13 +97,13 @@ def bucket_classes(
     left = cut_lineage(left.join(unsure.select("key"), "key", "left_semi").select(col("key").alias("bucket"), "node"))
     if left.isEmpty():
         return roots
-    large = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(col("c") > FEW).select("bucket")
-    large = cut_lineage(large)
-    small = left.join(large, "bucket", "left_anti").select(col("bucket").alias("key"), "node").withColumns({"n": F.lit(0), "at": F.lit(0)})
-    roots = compare(prefix_pairs(small, lambda n, at, n2, at2: F.lit(True), roots))
-    left = cut_lineage(left.join(large, "bucket", "left_semi"))
-    if left.isEmpty():
-        return roots
+    if few:
+        large = cut_lineage(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(col("c") > few).select("bucket"))
+        small = left.join(large, "bucket", "left_anti").select(col("bucket").alias("key"), "node").withColumns({"n": F.lit(0), "at": F.lit(0)})
+        roots = compare(prefix_pairs(small, lambda n, at, n2, at2: F.lit(True), roots))
+        left = cut_lineage(left.join(large, "bucket", "left_semi"))
+        if left.isEmpty():
+            return roots
     prefix = cut_lineage(rest(left))
     many = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(col("c") > MANY).select("key")
     crowded = cut_lineage(prefix.join(many, "key", "left_semi").select("key", "node", "n"))

@@ -33,6 +33,8 @@ from pulsegrid.llm.common import cut_lineage, free_name, numbered, small_or_plai
 EIGHTH, HALF, MOST = 8, 2, 30
 SPACES = "\t\x0b\x0c\r"
 MAX_BROADCAST_ROWS = 1_000_000
+#: Open buckets of no more lines than this are compared as pairs, which costs less than keys by their words.
+FEW = 8
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -166,7 +168,7 @@ def linked_lines(rows: DataFrame) -> DataFrame:
         most = F.greatest(n, n2)
         return (F.abs(n - n2) <= edits(most)) & (F.least(n - at, n2 - at2) >= most - edits(most))
 
-    return bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room)
+    return bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room, few=FEW)
 
 
 def line_classes(rows: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ SHORT = 25
 LEAST_LINKED = 4
 MAX_BROADCAST_ROWS = 1_000_000
 SEED = 20_001
-MAX_MATRIX = 2_000_000
+MAX_MATRIX = 400_000
 MANY_PLACES = 16
 
 
