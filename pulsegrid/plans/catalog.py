@@ -272,15 +272,15 @@ for _name, (_k, _phi, _psi) in FUNC.items():
     _kernel_queries(_name, _k, _phi, _psi)
 
 
-def simpson(f: str, high: str, n: int = 400) -> str:
+def simpson(f: str, high: str, n: int = 1000) -> str:
     """The integral of an SQL expression of u from 0 to ``high`` by Simpson's rule."""
     return f"({high}) / {3 * n}.0::DOUBLE * list_sum(list_transform(range({n} + 1), lambda i: (CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('u', f'(({high}) * i / {n}.0::DOUBLE)')}))"
 
 
-@query(f"""{AT} SELECT event_id, round(0.8 * exp(-0.5 * pow((x - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())), 8) AS phi, round({simpson("(0.8 * pow(2.718281828459045, -0.5 * pow((u - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())))", "x")}, 8) AS psi FROM p""")
+@query(f"""{AT} SELECT event_id, round(0.8 * exp(-0.5 * pow((x - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())), 8) AS phi, round({simpson("(0.8 * pow(2.718281828459045, -0.5 * pow((u - 3) / 1.2, 2)) / (1.2 * sqrt(2 * pi())))", "x")}, 6) AS psi FROM p""")
 def kernel_gaussian(spark, d):
     k = kernels.Gaussian(0.8, 1.2, 3.0)
-    return at_times(spark, d).select("event_id", r(k.phi(col("x"))).alias("phi"), r(k.psi(col("x"))).alias("psi"))
+    return at_times(spark, d).select("event_id", r(k.phi(col("x"))).alias("phi"), r(k.psi(col("x")), 6).alias("psi"))
 
 
 @query(f"""{AT} SELECT event_id, round(1.3 * exp(-1.3 * x), 8) AS phi_omega, round(0.8 * (1 - 1.3 * x) * exp(-1.3 * x), 8) AS phi_beta,
@@ -332,12 +332,12 @@ def scalar_functions(spark, d):
     )
 
 
-@query(f"""{AT}, q AS (SELECT event_id, (x + 0.5) / 11 AS v FROM p) SELECT event_id, round(0.5 + {simpson("(pow(2.718281828459045, -0.5 * pow(u, 2)) / sqrt(2 * pi()))", "v")}, 8) AS normal, round(v, 8) AS normal_back,
-  round({simpson("(2 * pow(u, 4) * pow(2.718281828459045, -pow(u, 2)))", "sqrt(v)")} / gamma(2.5), 8) AS gamma, round(gamma(v), 6) AS gamma_function FROM q""")
+@query(f"""{AT}, q AS (SELECT event_id, (x + 0.5) / 11 AS v FROM p) SELECT event_id, round(0.5 + {simpson("(pow(2.718281828459045, -0.5 * pow(u, 2)) / sqrt(2 * pi()))", "v")}, 6) AS normal, round(v, 6) AS normal_back,
+  round({simpson("(2 * pow(u, 4) * pow(2.718281828459045, -pow(u, 2)))", "sqrt(v)")} / gamma(2.5), 6) AS gamma, round(gamma(v), 6) AS gamma_function FROM q""")
 def normal_and_gamma(spark, d):
     x = at_times(spark, d).select("event_id", ((col("x") + 0.5) / 11).alias("u"))
     x = x.withColumn("q", scalars.inverse_normal_cdf(col("u")))  # a step of its own, as the next uses it many times
-    return x.select("event_id", r(scalars.normal_cdf(col("u"))).alias("normal"), r(scalars.normal_cdf(col("q"))).alias("normal_back"), r(scalars.gamma_cdf(F.lit(2.5), col("u"))).alias("gamma"), r(scalars.gamma_function(col("u")), 6).alias("gamma_function"))
+    return x.select("event_id", r(scalars.normal_cdf(col("u")), 6).alias("normal"), r(scalars.normal_cdf(col("q")), 6).alias("normal_back"), r(scalars.gamma_cdf(F.lit(2.5), col("u")), 6).alias("gamma"), r(scalars.gamma_function(col("u")), 6).alias("gamma_function"))
 
 
 # --- sums over events and pairs
@@ -572,12 +572,21 @@ def hawkes_fit(spark, d):
     return stationary_rows(spark, [*map(float, g[0]), *map(float, g[1].ravel())], [*map(float, m), *map(float, w.ravel())], names)
 
 
-@query()
+@query("SELECT CAST(k AS INT) AS dim, TRUE AS near FROM range(5) AS g(k)")
 def hawkes_simulation(spark, d):
+    """Whether each dimension's count over simulated paths is within five deviations of what the stationary rates tell, the start's transient allowed for."""
     import numpy as np
 
     from pulsegrid.operators import simulate
 
-    mean = np.array(OMEGA_M)
-    out = simulate.simulate_hawkes(spark, paths=20, mu=np.array(MU_V), kernel=lambda k, j: kernels.Exponential(OMEGA_M[k][j], BETA_M[k][j]), mean=mean, horizon=100.0, seed=7)
-    return out.groupBy("path_id", "dim").agg(F.count(F.lit(1)).alias("n"))
+    mean, horizon, n = np.array(OMEGA_M), 400.0, 50
+    out = simulate.simulate_hawkes(spark, paths=n, mu=np.array(MU_V), kernel=lambda k, j: kernels.Exponential(OMEGA_M[k][j], BETA_M[k][j]), mean=mean, horizon=horizon, seed=7)
+    counts = out.groupBy("path_id", "dim").agg(F.count(F.lit(1)).alias("c")).groupBy("dim").agg(F.sum("c").alias("c"))
+    rates = diagnostics.stationary_rates(np.array(MU_V), mean)
+    # the variance of the counts over a long time is the diagonal of (I - A)^-1 diag(rates) (I - A)^-T
+    spread = np.linalg.inv(np.eye(DIMS) - mean)
+    deviation = np.sqrt(np.diag(spread @ np.diag(rates) @ spread.T) * horizon * n)
+    rows = spark.range(DIMS).select(col("id").cast("int").alias("dim")).join(counts, "dim", "left")
+    at = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), col("dim"))
+    transient = 0.02 * rates * horizon * n
+    return rows.select("dim", (F.abs(F.coalesce("c", F.lit(0)) - at(rates * horizon * n)) <= at(5 * deviation + transient)).alias("near"))
