@@ -13,7 +13,7 @@ one bucket, so that a source with a third of all rows is spread over many tasks.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source, the
 last; repeated rows are separate documents; ties in the order are between equal rows only; an empty
-table gives an empty result.
+table gives an empty result; very long texts are taken whole; extra columns are kept, but for those named as the results or beginning with ``__mix``.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ partial before they are shuffled, so a pattern that a third of all instances fil
 
 Defined results: a null or empty text has no spans and the hash of the empty string; repeated
 rows give the same result; equal starts are in the order of the kinds; a discovered span that overlaps a seed
-is dropped; texts are read whole in time linear in their length; an empty table gives an empty result.
+is dropped; texts are read whole in time linear in their length; an empty table gives an empty result; only the columns named in
+``keep`` are read and returned, so extra columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ and aggregates; the driver sees only histograms of a fixed size.
 Defined results: a null text counts as empty (no words, so it fails the base rule); repeated
 rows are judged alike; an empty table gives an empty result; a document whose labels are null
 takes no part in learning; if there are no labelled rows, or no conjunction is precise enough,
-the list is empty and keeps every document.
+the list is empty and keeps every document; ties between conjunctions go to the first statistic and the lower threshold; very
+long texts are taken whole.  ``keep_good`` returns the columns of its input, whatever their names; ``text_stats`` and ``judge`` add their
+results under ``prefix`` and replace columns of those names.
 """
 
 from __future__ import annotations
@@ -243,6 +245,8 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text", prefix: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", prefix: str = "__quality_", **options) -> DataFrame:
     """The documents that pass the base rule and a list learned from ``docs``, with the columns of ``docs``."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
     rules = fit_quality(docs.select("doc_id", F.col(f"`{text}`").alias("text")), labels, **options)
     judged = judge(docs, rules, text, prefix)
     # a filter that Spark pushes below the steps of text_stats would repeat every step in every use of it; it does not pass a row number

@@ -11,7 +11,8 @@ Counts of short pre-tokens are kept in a cache of bounded size for each worker.
 
 Defined results: a null text counts as empty and has 0 tokens; special strings inside a text count
 as one token each, the library's default; repeated rows count alike; texts are read whole,
-whatever their length; an empty table gives an empty result.
+whatever their length; pairs of equal rank are merged from the left; an empty table gives an empty result; only the columns named in ``keep`` are
+read and returned, so extra columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
