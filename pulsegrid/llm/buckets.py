@@ -6,8 +6,8 @@ the pivot is done; the rest waits for the next turn.  Links of all buckets toget
 classes, and a bucket whose members are in one class is done, be it as large as it may.
 
 Buckets that two turns leave open are compared as pairs if they have only a ``few`` members.  Members of the others are keyed anew by a prefix filter: ``rest`` gives each its rarest features, such that two
-members can only be linked if they share one.  Keys that many share have turns of their own; then
-members that share a key, are in different classes and have room for a link are compared as pairs.
+members can only be linked if they share one; members that share a key, are in different classes and have room for a link are
+compared as pairs.
 So every link within a bucket is found, or joins two members that are in one class already.
 """
 
@@ -22,8 +22,6 @@ from pulsegrid.llm.common import cut_lineage, small_or_plain, written
 from pulsegrid.llm.components import components
 
 TURNS = 2
-#: Prefix keys of more members get pivots before pairs.
-MANY = 32
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -105,10 +103,6 @@ def bucket_classes(
         if left.isEmpty():
             return roots
     prefix = cut_lineage(rest(left))
-    many = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(col("c") > MANY).select("key")
-    crowded = cut_lineage(prefix.join(many, "key", "left_semi").select("key", "node", "n"))
-    if not crowded.isEmpty():
-        roots, _ = pivot_turns(crowded)
     return compare(prefix_pairs(prefix, room, roots))
 
 
