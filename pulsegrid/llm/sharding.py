@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import numbered, small_or_plain, table, written
+from pulsegrid.llm.common import small_or_plain, table, written
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
@@ -40,7 +40,7 @@ def scatter(docs: DataFrame, *, text: str = "text", seed: int = 23, bucket_bytes
     total = docs.agg(F.sum(row_bytes(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
     buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot") and not c.lower().startswith("__shuffle")]
-    rows = numbered(docs, *kept, row="__shuffle_row")
+    rows = docs.select(*kept).withColumn("__shuffle_row", F.monotonically_increasing_id())  # used in one pass only
     return rows.withColumn("__shuffle_bucket", F.pmod(F.xxhash64(F.lit(seed), "__shuffle_row"), F.lit(buckets))), buckets
 
 
