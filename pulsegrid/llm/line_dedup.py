@@ -13,7 +13,8 @@ lines under the next class by no more than its edits have that class's keys too.
 
 Keys that only one line's copies have are dropped by a minimum and maximum per key.  Lines that share a key are verified by
 banded bit-parallel edit distance once common words at both ends are stripped.  See ``buckets`` for how pairs of one key are avoided; what
-that leaves open is keyed anew by the t + 1 words of each line that are rarest in the bucket, one of which linked lines share.
+that leaves open is keyed anew by the t + 1 rarest of the words that a line has more, or less, than the bucket's pivot: of more than t such words linked lines share
+one.
 
 Defined results: a null text has no lines and stays null; lines without a word are kept and never
 compared; lines under 8 words are compared for equality only, as a word is more than an eighth of them; among equal or linked lines the first stays, in
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.buckets import bucket_classes, rarest
+from pulsegrid.llm.buckets import bucket_classes, differing
 from pulsegrid.llm.common import cut_lineage, free_name, numbered, small_or_plain, table, written
 
 EIGHTH, HALF, MOST = 8, 2, 30
@@ -158,15 +159,15 @@ def linked_lines(rows: DataFrame) -> DataFrame:
         return word_edits(pairs.select("a", "b").join(right, "b").join(left, "a"))
 
     def rest(left: DataFrame) -> DataFrame:
-        """The words that are rarest in a bucket, where a word that comes again counts as another."""
+        """Keys by words, where a word that comes again counts as another; a longer partner can be in the next class."""
         each = words.join(left.select("node").distinct(), "node").select("node", F.size("words").cast("long").alias("n"), F.explode("words").alias("w"))
         each = each.groupBy("node", "n", "w").agg(F.count(F.lit(1)).alias("c")).select("node", "n", "w", F.explode(F.sequence(F.lit(1).cast("long"), col("c"))).alias("i"))
-        # a longer partner can be in the next class
-        return rarest(left.join(each, "node").select("bucket", "node", "n", F.xxhash64("w", "i").alias("key")), edits(col("n") + edits(col("n")) + 1))
+        sets = written(each.groupBy("node", "n").agg(F.collect_list(F.xxhash64("w", "i")).alias("set")))
+        return differing(left, sets, lambda n: edits(n + edits(n) + 1))
 
     def room(n: Column, at: Column, n2: Column, at2: Column) -> Column:
-        most = F.greatest(n, n2)
-        return (F.abs(n - n2) <= edits(most)) & (F.least(n - at, n2 - at2) >= most - edits(most))
+        most = edits(F.greatest(n, n2))
+        return (F.abs(n - n2) <= most) & (F.greatest(at, at2) <= most)
 
     return bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room, few=FEW)
 

@@ -475,7 +475,35 @@ def test_line_classes_equal_all_pairs(spark):
         lines += [changed(r, base, r.randrange(0, 7), vocabulary) for _ in range(r.randrange(1, 12))]
     hot = [r.choice(vocabulary) for _ in range(12)]
     lines += [hot + changed(r, [str(i) for i in range(8)], r.randrange(0, 7), vocabulary) for _ in range(60)]
-    lines = [" ".join(x) for x in lines]
+    least = check_line_classes(spark, lines)
+    assert 10 < len(set(least)) < len(lines) - 60
+
+
+@pytest.mark.parametrize("kind", ["few words", "deletions", "moves"])
+def test_classes_of_many_copies_of_one_line_equal_all_pairs(spark, kind):
+    """Copies with more changes than the rule allows: some are linked through copies that share changes, others not."""
+    r = random.Random(kind)
+    base = [f"w{r.randrange(40)}" for _ in range(66)]
+
+    def copy():
+        if kind == "few words":
+            return changed(r, base, r.randrange(0, 9), ["a", "b", "w1", "w2"])
+        w = list(base)
+        for _ in range(r.randrange(0, 8)):
+            i = r.randrange(20, 32)
+            word = w.pop(i)
+            if kind == "moves":
+                w.insert(r.randrange(20, 32), word)
+        return w
+
+    lines = [copy() for _ in range(70)]
+    least = check_line_classes(spark, lines)
+    assert 1 < len(set(least)) < len(lines)
+
+
+def check_line_classes(spark, lines):
+    """Holds the classes of lines (lists of words) against all pairs; the least number of each one's class."""
+    words, lines = lines, [" ".join(x) for x in lines]
     parent = list(range(len(lines)))
 
     def find(i):
@@ -483,7 +511,6 @@ def test_line_classes_equal_all_pairs(spark):
             i = parent[i]
         return i
 
-    words = [x.split() for x in lines]
     for i in range(len(lines)):
         for j in range(i):
             n = max(len(words[i]), len(words[j]))
@@ -492,8 +519,9 @@ def test_line_classes_equal_all_pairs(spark):
     rows = written(spark.createDataFrame(list(enumerate(lines)), "row long, text string").coalesce(1))
     got = {x.row: x for x in line_dedup.line_classes(rows).collect()}
     at = {x.pos: x.row for x in got.values()}
-    assert {i: at[got[i].root] for i in got} == {i: find(i) for i in range(len(lines))}
-    assert 10 < len({find(i) for i in range(len(lines))}) < len(lines) - 60
+    least = [find(i) for i in range(len(lines))]
+    assert {i: at[got[i].root] for i in got} == dict(enumerate(least))
+    return least
 
 
 def test_lines_with_one_changed_word_stay_once(spark):
