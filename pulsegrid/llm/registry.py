@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pulsegrid.llm.decontam import OP6_SQL, op6_decontamination
+from pulsegrid.llm.fim import OP11_SQL, op11_fill_in_middle
 from pulsegrid.llm.licenses import op7_license_scan
 from pulsegrid.llm.line_dedup import op9_line_dedup
 from pulsegrid.llm.minhash import op10_minhash
 from pulsegrid.llm.mixing import OP8_SQL, op8_mixing
+from pulsegrid.llm.pieces import op13_pieces
 from pulsegrid.llm.pii import op1_pii
 from pulsegrid.llm.quality import op3_quality_rules
 from pulsegrid.llm.sharding import op4_sharding
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash": op10_minhash,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_pieces": op13_pieces,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
