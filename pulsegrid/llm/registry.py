@@ -12,6 +12,7 @@ from pulsegrid.llm.mixing import OP8_SQL, op8_mixing
 from pulsegrid.llm.pieces import op13_pieces
 from pulsegrid.llm.pii import op1_pii
 from pulsegrid.llm.quality import op3_quality_rules
+from pulsegrid.llm.search import OP12_SQL, op12_search
 from pulsegrid.llm.sharding import op4_sharding
 from pulsegrid.llm.tokens import op5_token_counts
 from pulsegrid.llm.url_filter import OP2_SQL, op2_url_filter
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash": op10_minhash,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_search": op12_search,
     "op13_pieces": op13_pieces,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op6_decontamination": OP6_SQL, "op8_mixing": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_search": OP12_SQL}
