@@ -78,14 +78,14 @@ class Pieces:
         others = joining - letters - {SPACE}
         shut = lambda before, after: not any(x in before and y in after for p in long for x, y in zip(p, p[1:], strict=False))
         among = lambda chars: "".join(map(re.escape, sorted(chars)))
+        self.unit = re.compile(r"(?s).+")
         if shut(joining - {SPACE}, {SPACE}) and shut(letters, others):
             self.unit = re.compile(f"{SPACE}*[{among(others)}]+[{among(letters)}]*|{SPACE}*[{among(letters)}]+|{SPACE}+|[^{among(joining)}{SPACE}]")
-        else:
-            self.unit = re.compile(r"(?s).+")
         self.alone = [c for c in sorted(joining) if c not in self.ids]
         for i, c in enumerate(self.alone):  # characters that only longer pieces hold
             self.text.append(c)
             self.ids[c] = self.size + i
+        self.foreign = re.compile(f"([^{among({c for p in self.ids for c in p})}])")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, i)
@@ -170,26 +170,11 @@ class Pieces:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
 
     def unit_ids(self, units: list[str]) -> list[list[int]]:
-        """The ids of each unit.  A character that no longer piece holds is looked up; only the others go through the table."""
-        plain = [u for u in units if not (len(u) == 1 and u not in self.ids) and "\n" not in u]
-        found = dict(zip(plain, self.encoded(plain), strict=True)) if plain else {}
-        out = []
-        for u in units:
-            if u in found:
-                out.append(self.spelled(found[u]))
-            elif len(u) == 1:
-                out.append(self.fallback(u))
-            else:
-                out.append(self.mixed_ids(u))
-        return out
-
-    def mixed_ids(self, unit: str) -> list[int]:
-        """A unit with characters that the automaton doesn't know, where the vocabulary allows no other cut: they part what stands around them."""
-        out: list[int] = []
-        for part in re.split(f"([^{''.join(map(re.escape, sorted({c for p in self.ids for c in p})))}])", unit):
-            if part:
-                out += self.spelled(self.encoded([part])[0]) if part[0] in self.ids or len(part) > 1 else self.fallback(part)
-        return out
+        """The ids of each unit.  Characters that no piece holds stand alone; what is left goes through the table."""
+        parts = [[x for x in self.foreign.split(u) if x] if self.foreign.search(u) else [u] for u in units]
+        inner = list(dict.fromkeys(x for own in parts for x in own if not (len(x) == 1 and x not in self.ids)))
+        found = dict(zip(inner, self.encoded(inner), strict=True))
+        return [[i for x in own for i in (self.spelled(found[x]) if x in found else self.fallback(x))] if len(own) > 1 or own[0] not in found else self.spelled(found[own[0]]) for own in parts]
 
     def decoded(self, ids: Iterable[int], first: bool = True) -> str:
         """The text of ``ids``; the space that was put before a text is taken off the ``first`` piece."""

@@ -209,7 +209,7 @@ def forward_lists(docs: DataFrame, vocabulary: dict[bytes, int], text: str, doc_
     return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(batches, "id long, n long, terms array<int>, tfs array<int>")
 
 
-def best_of_tasks(lists: DataFrame, weights: dict[int, int], queries: list[dict[int, int]], documents: int, terms: int, k: int) -> DataFrame:
+def best_of_tasks(lists: DataFrame, weights: dict[int, int], queries: list[dict[int, int]], documents: int, terms: int, k: int, block_postings: int) -> DataFrame:
     """(query, id, score): the best k of every query in each task's documents, by treaps of bounded blocks."""
     query = np.array([q for q, own in enumerate(queries) for _ in own], np.int64)
     term = np.array([t for own in queries for t in own], np.int64)
@@ -237,7 +237,7 @@ def best_of_tasks(lists: DataFrame, weights: dict[int, int], queries: list[dict[
                 own = slice(at[0], at[-1])
                 parts.append((ids, part.column(1).to_numpy(), np.diff(at), found.values.to_numpy()[own].astype(np.int64), tfs.values.to_numpy()[own].astype(np.int64)))
                 held += at[-1] - at[0]
-                if held >= BLOCK_POSTINGS:
+                if held >= block_postings:
                     search_block(block(parts), best, query, term, factor)
                     parts, held = [], 0
         if parts:
@@ -248,12 +248,17 @@ def best_of_tasks(lists: DataFrame, weights: dict[int, int], queries: list[dict[
     return lists.select("id", "n", "terms", "tfs").mapInArrow(batches, "query long, id long, score long")
 
 
-def search(docs: DataFrame, queries: DataFrame, *, k: int = K, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """(item_id, rank, doc_id, score) of the best k documents for each row of ``queries``, which has item_id and text."""
+def search(
+    docs: DataFrame, queries: DataFrame, *, k: int = K, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", query_terms: int = MAX_QUERY_TERMS, block_postings: int = BLOCK_POSTINGS
+) -> DataFrame:
+    """(item_id, rank, doc_id, score) of the best k documents for each row of ``queries``, which has item_id and text; document ids are integers.
+
+    Queries are taken in groups of about ``query_terms`` terms, and treaps are built for blocks of about ``block_postings`` postings.
+    """
     col, spark = F.col, docs.sparkSession
     items = written(queries.select(F.monotonically_increasing_id().alias("row"), col(f"`{item_id}`").alias("item_id"), F.transform(alnum_words(col("text")), ascii_lower).alias("terms")))
     total = items.agg(F.sum(F.size("terms"))).first()[0] or 0
-    groups = 1 + total // MAX_QUERY_TERMS
+    groups = 1 + total // query_terms
     kind = queries.schema[item_id].dataType.simpleString()
     out = None
     for g in range(groups):
@@ -266,7 +271,7 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = K, text: str = "text
         weights = {r["term"]: weight(r["df"], documents) for r in df.collect()}  # at most the vocabulary of a group
         counted = [Counter(vocabulary[w.encode()] for w in r["terms"]) for r in own]
         names = spark.createDataFrame([(q, r["item_id"]) for q, r in enumerate(own)], f"query long, item_id {kind}")
-        found = best_of_tasks(lists, weights, counted, documents, max(terms, 1), k).join(F.broadcast(names), "query")
+        found = best_of_tasks(lists, weights, counted, documents, max(terms, 1), k, block_postings).join(F.broadcast(names), "query")
         rank = F.row_number().over(Window.partitionBy("query").orderBy(col("score").desc(), col("id").asc_nulls_last()))
         found = found.withColumn("rank", rank).where(col("rank") <= k).select("item_id", "rank", col("id").alias("doc_id"), "score")
         out = found if out is None else out.unionByName(found)
