@@ -9,8 +9,8 @@ then evaluated to its labels and to whether some choice of its alternatives is p
 
 Defined results: a null or empty text has no words and no labels; repeated rows give the same
 result; after an SPDX tag an expression that doesn't parse contributes the ids before the error and is not
-permissive; after ``license:``, which prose has as well, words count only from an id of a known family or with a version on, and
-what follows the expression is ignored; texts are read whole, whatever their length; ties do not occur, as labels are sets; other columns, whatever
+permissive; after ``license:``, which prose has as well, words count only from an id of a known family on, and
+what follows the expression is ignored, for a lower score; a slash between ids reads as ``OR``; texts are read whole, whatever their length; ties do not occur, as labels are sets; other columns, whatever
 their names, are not read; an empty table gives an empty result.
 """
 
@@ -44,19 +44,22 @@ NOTICE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
-#: After these any id counts; after the others, which prose has as well, only ids of known families or with a version do.
+#: After these any id counts; after the others, which prose has as well, only ids of known families do.
 SURE_TAGS = TAGS[:2]
-VERSIONED = re.compile(r"[A-Za-z][A-Za-z0-9]*(-[A-Za-z0-9]+)*-[0-9]+(\.[0-9]+)*([.+-][A-Za-z0-9.+-]*)?")
 #: Families of licence ids by the words that they begin with; the longest wins.
-FAMILIES = ("agpl", "apache", "artistic", "bsd", "bsl", "cc-by", "cc0", "epl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense", "zlib")
+FAMILIES = (
+    "agpl", "apache", "artistic", "bsd", "bsl", "busl", "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0", "epl", "eupl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense", "zlib",
+)
+#: Ids that are commonly written for another licence than their family's: the Business Source License, not the Boost one.
+ALIASES = {"bsl-1.1": "busl"}
 PERMISSIVE = {"apache", "artistic", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense", "zlib"}
 #: How sure each kind of evidence is.
-TAG_SCORE, PHRASE_SCORE, NOTICE_SCORE = 1.0, 0.9, 0.7
+TAG_SCORE, PHRASE_SCORE, NOTICE_SCORE, PROSE_TAG_SCORE = 1.0, 0.9, 0.7, 0.6
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 WORDS_OF_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LINE_END = re.compile(r"[\n\r]")
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+TOKEN = re.compile(r"[()/]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
 @dataclass(frozen=True)
@@ -68,13 +71,15 @@ class Verdict:
 def family(licence_id: str) -> str:
     """The label of a licence id: its family, else the id in lower case."""
     low = licence_id.lower()
+    if low in ALIASES:
+        return ALIASES[low]
     found = [f for f in FAMILIES if low == f or low.startswith(f + "-") or low.startswith(f) and low[len(f) : len(f) + 1].isdigit()]
     return max(found, key=len, default=low)
 
 
 def known(licence_id: str) -> bool:
-    """Whether an id is of a known family or has a version, as ``EUPL-1.2``."""
-    return family(licence_id) in FAMILIES or VERSIONED.fullmatch(licence_id) is not None
+    """Whether an id is of a known family."""
+    return family(licence_id) in FAMILIES
 
 
 def postfix(tokens: Iterable[str]) -> list[str]:
@@ -116,7 +121,7 @@ def evaluate(expression: str, sure: bool = True) -> Verdict | None:
     unknown id makes the whole no expression.
     """
     stack: list[Verdict] = []
-    tokens = TOKEN.findall(expression)
+    tokens = ["or" if x == "/" else x for x in TOKEN.findall(expression)]
     read = postfix(tokens)
     ids = [x for x in read if x not in PRECEDENCE]
     if not sure and not (ids and known(ids[0])):
@@ -183,7 +188,7 @@ def scan(text: str, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton)
         found = evaluate(text[end + 1 : stop], tag in SURE_TAGS)
         if found:
             labels |= found.labels
-            score = TAG_SCORE
+            score = max(score, TAG_SCORE if tag in SURE_TAGS else PROSE_TAG_SCORE)
             permissive = found.permissive if permissive is None else permissive and found.permissive
             expressions.append(text[end + 1 : stop].strip())
     return {

@@ -20,7 +20,8 @@ Defined results: a null text has no lines and stays null; lines without a word a
 compared; lines under 8 words are compared for equality only, as a word is more than an eighth of them; among equal or linked lines the first stays, in
 the order in which the table is scanned; repeated documents keep the lines of the first; very long lines and texts are taken whole; an empty table gives an empty
 result; extra columns are kept, and those named as the results (n_lines, n_exact, n_near, removed, origins) are replaced.
-Two lines, or two words, are taken for one if 128, or 64, bits of their hashes are equal.
+Two lines, or two words, are taken for one if 128, or 64, bits of their hashes are equal; of different lines with the same first 64 bits
+only the one with the least others can be linked.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def hashed_lines(rows: DataFrame) -> DataFrame:
 
 
 def linked_lines(rows: DataFrame) -> DataFrame:
-    """(node, root) of the classes of different lines of rows (row, text), by line hashes."""
+    """(node, node2, root) of the classes of different lines of rows (row, text), by line hashes; the root is a node, and has a row as well."""
     col = F.col
     each = written(segment_keys(lines_of(rows).select(F.xxhash64("line").alias("node"), word_hashes(col("line")).alias("words"))))
     shared = each.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
@@ -151,8 +152,8 @@ def linked_lines(rows: DataFrame) -> DataFrame:
     members = each.join(small_or_plain(shared, shared.count(), MAX_BROADCAST_ROWS), "key", "left_semi").groupBy("key", "node").agg(F.max("n").alias("n"))
     members = cut_lineage(members)
     nodes = cut_lineage(members.select("node").distinct())
-    found = lines_of(rows).select(F.xxhash64("line").alias("node"), "line").join(small_or_plain(nodes, nodes.count(), MAX_BROADCAST_ROWS), "node", "left_semi")
-    words = written(found.groupBy("node").agg(F.first("line").alias("line")).select("node", word_hashes(col("line")).alias("words")))
+    found = lines_of(rows).select(F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), "line").join(small_or_plain(nodes, nodes.count(), MAX_BROADCAST_ROWS), "node", "left_semi")
+    words = written(found.groupBy("node").agg(F.min(F.struct("node2", "line")).alias("x")).select("node", "x.node2", word_hashes(col("x.line")).alias("words")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = words.select(col("node").alias("a"), col("words").alias("wa")), words.select(col("node").alias("b"), col("words").alias("wb"))
@@ -169,7 +170,9 @@ def linked_lines(rows: DataFrame) -> DataFrame:
         most = edits(F.greatest(n, n2))
         return (F.abs(n - n2) <= most) & (F.greatest(at, at2) <= most)
 
-    return bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room, few=FEW)
+    found = bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room, few=FEW)
+    found = found.select("node", "root").unionByName(found.select(col("root").alias("node"), "root").distinct())
+    return found.join(words.select("node", "node2"), "node")
 
 
 def line_classes(rows: DataFrame) -> DataFrame:
@@ -177,8 +180,8 @@ def line_classes(rows: DataFrame) -> DataFrame:
     col = F.col
     lines, roots = hashed_lines(rows), linked_lines(rows)
     firsts = lines.where("has_word").groupBy("node", "node2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c"))
-    grouped = firsts.join(roots.withColumnRenamed("root", "head"), "node", "left").withColumn("linked", col("head").isNotNull()).withColumn("head", F.coalesce("head", "node"))
-    heads = grouped.join(roots.select(col("root").alias("head")).distinct(), "head", "left_semi").groupBy("head").agg(F.min("first").alias("root"))
+    grouped = firsts.join(roots.withColumnRenamed("root", "head"), ["node", "node2"], "left")
+    heads = grouped.where("head is not null").groupBy("head").agg(F.min("first").alias("root"))
     grouped = grouped.join(heads, "head", "left").where("c > 1 or root is not null").select("node", "node2", "first", F.coalesce("root", "first").alias("root"))
     grouped = cut_lineage(grouped)  # the lines that have an equal or linked one
     out = lines.join(small_or_plain(grouped, grouped.count(), MAX_BROADCAST_ROWS), ["node", "node2"], "left")

@@ -18,7 +18,7 @@ Components of links are the classes.
 Defined results: null counts as empty; texts without words are copies if they are equal; texts
 of fewer than five words have one k-mer, so they link to copies only; repeated rows are copies; ties go to the
 smaller doc_id, null last; very long texts are taken whole, their alignment within a band of 4 / 9 of the shorter one's length; extra columns are kept, whatever
-their names; an empty table gives an empty result.
+their names; an empty table gives an empty result.  Words are compared by 64 bits and whole texts by 128 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
-    """64-bit hashes of the runs of ``k`` words; of the whole text if it is shorter; words are 32-bit hashes."""
+    """64-bit hashes of the runs of ``k`` words; of the whole text if it is shorter; words are 64-bit hashes."""
     w = words.astype(np.int64).view(np.uint64)
     n = max(1, len(w) - k + 1)
     out = np.full(n, len(w) if len(w) < k else k, np.uint64)
@@ -148,14 +148,14 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.hash(w))
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
 def sketches(docs: DataFrame, text: str, *, seed: int = SEED, orders: int = ORDERS) -> DataFrame:
     """(row, doc_id, content, n, keys) of every document, in one pass; content is equal for copies."""
     words = words_of(F.col(f"`{text}`"))
     rows = docs.select("row", "id", words.alias("w"), text_or_empty(F.col(f"`{text}`")).alias("t"))
-    rows = rows.select("row", "id", F.transform("w", lambda w: F.hash(w)).alias("w"), F.when(F.size("w") == 0, F.md5("t")).alias("plain"))
+    rows = rows.select("row", "id", F.transform("w", lambda w: F.xxhash64(w)).alias("w"), F.when(F.size("w") == 0, F.md5("t")).alias("plain"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, mul = _constants(seed, orders)

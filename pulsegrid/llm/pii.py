@@ -13,7 +13,7 @@ partial before they are shuffled, so a pattern that a third of all instances fil
 
 Defined results: a null or empty text has no spans and the hash of the empty string; repeated
 rows give the same result; equal starts are in the order of the kinds; a discovered span that overlaps a seed
-is dropped; texts are read whole in time linear in their length; an empty table gives an empty result; only the columns named in
+is dropped; the words of a pattern are those next to the instance, however far and long, and count by the 40 characters nearest to it; texts are read whole in time linear in their length; an empty table gives an empty result; only the columns named in
 ``keep`` are read and returned, so extra columns, whatever their names, change nothing.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,13 +99,23 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def patterns_of(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of what stands from start to end: words are cut at 40 characters, digits masked."""
-    # a window of characters around the span is enough for two words of that length on each side
-    left, right = text[max(0, start - 120) : start].split(), text[end : end + 60].split()
-    before = [MASK.sub("0", w.lower())[-40:] for w in left[-2:]]
-    after = [MASK.sub("0", w.lower())[:40] for w in right[:1]]
-    glued = before and not text[start - 1].isspace()
+def nearest(text: str, a: int, b: int, last: bool) -> str:
+    """The last, or first, 40 characters of text[a:b] in lower case, where a run of digits is one 0."""
+    size = 2 * NEAREST
+    while True:
+        own = text[max(a, b - size) : b] if last else text[a : min(b, a + size)]
+        masked = MASK.sub("0", own.lower())
+        if len(masked) > NEAREST or size >= b - a:
+            return masked[-NEAREST:] if last else masked[:NEAREST]
+        size *= 2
+
+
+def patterns_of(text: str, start: int, end: int, starts: list[int], ends: list[int]) -> list[str]:
+    """The lexical patterns of what stands from start to end; ``starts`` and ``ends`` are those of the text's words."""
+    i, j = bisect_left(starts, start) - 1, bisect_right(ends, end)
+    before = [nearest(text, starts[k], min(ends[k], start), True) for k in (i - 1, i) if k >= 0]
+    after = [nearest(text, max(starts[j], end), ends[j], False)] if j < len(ends) else []
+    glued = before and ends[i] >= start
     out = []
     if before and before[-1][-1] in ":=#":
         out.append(f"label {before[-1]}")
@@ -117,6 +127,8 @@ def patterns_of(text: str, start: int, end: int) -> list[str]:
 
 
 MASK = re.compile(r"[0-9]+")
+WORD = re.compile(r"\S+")
+NEAREST = 40
 
 
 def mentions(text: str) -> list[dict]:
@@ -139,7 +151,12 @@ def mentions(text: str) -> list[dict]:
         i = bisect_right(starts, b - 1)
         if a < b and not (i and ends[i - 1] > a):
             found.append((a, -1, b))
-    return [{"start": a, "kind": k, "end": b, "instance": hashlib.blake2b(text[a:b].lower().encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), "patterns": patterns_of(text, a, b)} for a, k, b in sorted(found)]
+    if not found:
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    word_starts, word_ends = [a for a, _ in words], [b for _, b in words]
+    name = lambda a, b: hashlib.blake2b(text[a:b].lower().encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return [{"start": a, "kind": k, "end": b, "instance": name(a, b), "patterns": patterns_of(text, a, b, word_starts, word_ends)} for a, k, b in sorted(found)]
 
 
 MENTION = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])

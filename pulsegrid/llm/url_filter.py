@@ -15,7 +15,7 @@ Defined results: null urls and urls without ``://`` have an empty host and path
 repeated rows are judged alike; of rules with the same key the last in string order of its
 verdict counts; the longest rule (code points of host and path) wins, then the longer host; with
 no rules, or no rule that fits, the verdict is ``default``; a rule with an empty path fits all urls of its
-host; very long urls are taken whole; an empty table gives an empty result; other columns are kept.
+host; rules with a null host or path fit nothing, a rule's host is lower-cased (A-Z) as urls' are, and one with a null verdict gives ``default``; very long urls are taken whole; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -107,6 +107,7 @@ def longest_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to ``pages`` (columns of those names are replaced)."""
+    rules = rules.where("host is not null and path is not null").withColumn("host", ascii_lower(F.col("host")))
     col, kept = F.col, [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     number, best = free_name(pages, "id"), free_name(pages, "rule")
     rows = pages.select(*[col(f"`{c}`") for c in kept], url_host(col(f"`{url}`")).alias("host"), url_path(col(f"`{url}`")).alias("path"), F.monotonically_increasing_id().alias(number))
