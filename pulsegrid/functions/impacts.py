@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,21 @@ def linear(mark: Column, slope: Number) -> Column:
     return 1 + col(slope) * mark
 
 
+@dataclass(frozen=True)
+class Family:
+    """Impacts of one free parameter: the value at (parameter, mark), its derivative by the parameter, and the parameter's least value."""
+
+    value: Callable[[Number, Column], Column]
+    slope: Callable[[Number, Column], Column]
+    low: float
+
+
+LINEAR = Family(lambda p, x: 1 + col(p) * x, lambda p, x: x + 0 * col(p), 0.0)
+EXPONENTIAL = Family(lambda p, x: F.exp(-col(p) * x), lambda p, x: -x * F.exp(-col(p) * x), -float("inf"))
+#: x^p of positive marks, as in productivity laws.
+POWER = Family(lambda p, x: F.pow(x, col(p)), lambda p, x: F.log(x) * F.pow(x, col(p)), -float("inf"))
+
+
 def linear_vector(marks: Column, slopes: Sequence[float]) -> Column:
     """1 + sum of slope times mark over an array of marks."""
     products = F.zip_with(marks, F.array(*[F.lit(float(v)) for v in slopes]), lambda x, v: x * v)

@@ -13,13 +13,20 @@ col = F.col
 EVENTS_PER_BLOCK = 4_096
 
 
-def block_width(events: DataFrame, per_block: int = EVENTS_PER_BLOCK) -> float:
-    """A width of time for which the longest path has about ``per_block`` events in a block; one aggregate."""
+def extent(events: DataFrame) -> tuple[int, float]:
+    """(events, time) of the longest path and of the path that lasts longest; one aggregate."""
     per = events.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span"))
     got = per.agg(F.max("n").alias("n"), F.max("span").alias("span")).first()
-    if not got["n"] or not got["span"]:
-        return 1.0
-    return float(got["span"]) / max(1, -(-got["n"] // per_block))
+    return int(got["n"] or 0), float(got["span"] or 0.0)
+
+
+def width_of(n: int, span: float, per_block: int = EVENTS_PER_BLOCK) -> float:
+    return span / max(1, -(-n // per_block)) if n and span else 1.0
+
+
+def block_width(events: DataFrame, per_block: int = EVENTS_PER_BLOCK) -> float:
+    """A width of time for which the longest path has about ``per_block`` events in a block."""
+    return width_of(*extent(events), per_block)
 
 
 def with_block(rows: DataFrame, width: float, t: str = "t") -> DataFrame:

@@ -1,9 +1,13 @@
-"""Exponential sums in linear time: S_m = sum over t_n < t_m of exp(-beta (t_m - t_n)) U_n.
+"""Exponential sums in linear time: S_m = sum over t_n < t_m of exp(-beta (t_m - t_n)) U_n, for any mix of decays.
 
-Time is cut into blocks so short that exp(beta * block) stays far from overflow.  Within a block the sums are a
-window's prefix sums of exp(beta (t_n - start)); what earlier blocks hand on is summed over
-the few blocks that double precision can tell from zero.  Every window is bounded by a path and a block
-or by the blocks of a path, so a path of any length is spread by its blocks.
+Events are cut into blocks of time, and within a block the sums are a window's prefix sums of exp(beta (t_n - start)).  What
+earlier blocks hand on is found over the table of block totals: blocks are gathered to spans of 2^p blocks, so long that a
+decay of its own loses e^-15 to e^-30 over one.  Within a span totals are a window's prefix sums again, and a span takes over what the three
+before it hand on, as beyond them nothing is left that double precision can tell from zero.  So a decay of any size needs
+no look further back than three spans, and an exponent is never over 30.
+
+Decays whose sizes differ by up to ``SPREAD`` share their blocks, and so one shuffle of the events; slower ones, and sums without decay (beta = 0), take blocks of
+their own with a few thousand events each.  Every window is bounded by a path and a block, or by the blocks of a path and a span.
 """
 
 from __future__ import annotations
@@ -21,33 +25,80 @@ from pulsegrid.operators.sums import intensity
 col = F.col
 LONGEST_PAIRED = 2_000
 BLOCK_EXPONENT = 30.0
-NEGLIGIBLE = 40.0
-
-
-def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Sequence[str]) -> DataFrame:
-    """Adds a column for each (beta, U): the decayed sum of U over the strict predecessors in the path."""
-    betas = [b for b, _ in terms]
-    width = BLOCK_EXPONENT / max(betas)
-    reach = math.ceil(NEGLIGIBLE / (min(betas) * width)) + 1
-    rows = events.withColumn("block", F.floor(col("t") / width)).withColumn("start", col("block") * width)
-    local = [u * F.exp(b * (col("t") - col("start"))) for b, u in terms]
-    rows = rows.withColumns({f"g{i}": g for i, g in enumerate(local)})
-    up_to = Window.partitionBy("path_id", "block").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy("path_id", "block", "t")
-    rows = rows.withColumns({f"p{i}": F.sum(f"g{i}").over(up_to) - F.sum(f"g{i}").over(tied) for i in range(len(terms))})
-    # a block's total, decayed to its end
-    totals = rows.groupBy("path_id", "block").agg(*[(F.sum(f"g{i}") * math.exp(-b * width)).alias(f"b{i}") for i, b in enumerate(betas)])
-    back = Window.partitionBy("path_id").orderBy("block").rangeBetween(-reach, -1)
-    held = totals.withColumn("back", F.collect_list(F.struct("block", *[f"b{i}" for i in range(len(terms))])).over(back))
-
-    def handed_on(i: int, b: float) -> Column:
-        return F.aggregate("back", F.lit(0.0), lambda a, x: a + x[f"b{i}"] * F.exp(-b * width * (col("block") - x["block"] - 1))).alias(f"c{i}")
-
-    carry = [handed_on(i, b) for i, b in enumerate(betas)]
-    held = held.select("path_id", "block", *carry)
-    rows = rows.join(held, ["path_id", "block"])
-    sums = {n: F.exp(-b * (col("t") - col("start"))) * (col(f"p{i}") + col(f"c{i}")) for i, (n, b) in enumerate(zip(names, betas, strict=True))}
-    return rows.withColumns(sums).drop("block", "start", *[f"{x}{i}" for x in "gpc" for i in range(len(terms))])
+SPANS_BACK = 3
+#: As many times a group's fastest decay may be its slowest; a span has no more blocks.
+SPREAD = 4_096.0
+
+
+def decay_groups(betas: Sequence[float], width: float, short: bool = False) -> list[tuple[float, list[int]]]:
+    """(block width, indexes of decays): blocks no wider than ``width``, over which no decay of the group exceeds the exponent.
+
+    Where all paths are ``short``, so are their tables of blocks, and all decays can share the blocks of the fastest.
+    """
+    order = sorted(range(len(betas)), key=lambda i: -betas[i])
+    out: list[tuple[float, list[int]]] = []
+    for i in order:
+        own = min(width, BLOCK_EXPONENT / betas[i]) if betas[i] > 0 else width
+        if out and (short or out[-1][0] == own or betas[i] * SPREAD >= betas[out[-1][1][0]]):
+            out[-1][1].append(i)
+        else:
+            out.append((own, [i]))
+    return out
+
+
+def blocks_in_span(beta: float, width: float) -> int:
+    """The largest power of two of blocks over which the decay's exponent stays within its bound; 0 without a decay: all are in one span."""
+    return 0 if beta <= 0 else 1 << max(0, math.floor(math.log2(BLOCK_EXPONENT / (beta * width) * (1 + 1e-12))))
+
+
+def _handed_on(totals: DataFrame, decays: dict[int, float], width: float, size: int) -> DataFrame:
+    """(path_id, block, c_i ...): what the blocks before hand on to a block's start; ``totals`` has g_i, scaled to the blocks' starts."""
+    at = (col("block") - col("span") * size) * width if size else col("block") * 0.0
+    rows = totals.withColumn("span", F.floor(col("block") / size) if size else F.lit(0).cast("long")).withColumn("at", at)
+    rows = rows.select("path_id", "block", "span", "at", *[(col(f"g{i}") * F.exp(b * col("at"))).alias(f"g{i}") for i, b in decays.items()])
+    out = rows
+    if size != 1:
+        before = Window.partitionBy("path_id", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({f"p{i}": F.coalesce(F.sum(f"g{i}").over(before), F.lit(0.0)) for i in decays})
+    if size:
+        lost = width * size
+        spans = rows.groupBy("path_id", "span").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in decays])
+        spans = spans.withColumn("r", F.explode(F.array(*[F.lit(k) for k in range(1, SPANS_BACK + 1)])))
+        spans = spans.groupBy("path_id", (col("span") + col("r")).alias("span")).agg(*[F.sum(col(f"g{i}") * F.exp(-b * lost * col("r"))).alias(f"h{i}") for i, b in decays.items()])
+        out = out.join(spans, ["path_id", "span"], "left")
+    parts = lambda i: (col(f"p{i}") if size != 1 else F.lit(0.0)) + (F.coalesce(f"h{i}", F.lit(0.0)) if size else F.lit(0.0))
+    return out.select("path_id", "block", *[(F.exp(-b * col("at")) * parts(i)).alias(f"c{i}") for i, b in decays.items()])
+
+
+def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Sequence[str], width: float | None = None) -> DataFrame:
+    """Adds a column for each (beta, U): the decayed sum of U over the strict predecessors in the path.
+
+    ``width`` bounds the blocks, so that a window holds a few thousand events; without it an aggregate finds it.
+    """
+    betas = [float(b) for b, _ in terms]
+    short = False
+    if width is None:
+        n, span = blocks.extent(events)
+        width, short = blocks.width_of(n, span), n <= SPREAD
+    rows = events
+    for w, own in decay_groups(betas, width, short):
+        rows = rows.withColumn("block", F.floor(col("t") / w)).withColumn("start", col("block") * w)
+        rows = rows.withColumns({f"g{i}": (terms[i][1] * F.exp(betas[i] * (col("t") - col("start"))) if betas[i] else terms[i][1].cast("double")) for i in own})
+        up_to = Window.partitionBy("path_id", "block").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        tied = Window.partitionBy("path_id", "block", "t")
+        totals = rows.groupBy("path_id", "block").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in own])
+        rows = rows.withColumns({f"p{i}": F.sum(f"g{i}").over(up_to) - F.sum(f"g{i}").over(tied) for i in own})
+        sizes: dict[int, dict[int, float]] = {}
+        for i in own:
+            sizes.setdefault(blocks_in_span(betas[i], w), {})[i] = betas[i]
+        held = None
+        for size, decays in sizes.items():
+            part = _handed_on(totals, decays, w, size)
+            held = part if held is None else held.join(part, ["path_id", "block"])
+        rows = rows.join(held, ["path_id", "block"])
+        sums = {names[i]: F.exp(-betas[i] * (col("t") - col("start"))) * (col(f"p{i}") + col(f"c{i}")) for i in own}
+        rows = rows.withColumns(sums).drop("block", "start", *[f"{x}{i}" for x in "gpc" for i in own])
+    return rows
 
 
 def exp_intensity(events: DataFrame, mu: Sequence[float], omega: Sequence[Sequence[float]], beta: Sequence[Sequence[float]], impact=None) -> DataFrame:
@@ -89,8 +140,8 @@ def exp_compensators(events: DataFrame, mu: Sequence[float], omega: Sequence[Seq
     """
     d = len(mu)
     is_dim = [(col("dim") == j).cast("double") for j in range(d)]
-    rows = exp_sums(events, [(beta[k][j], is_dim[j]) for k in range(d) for j in range(d)], [f"s{k}_{j}" for k in range(d) for j in range(d)])
-    rows = blocks.counts_before(rows, {f"n{j}": col("dim") == j for j in range(d)}, blocks.block_width(events))
+    terms = [(beta[k][j], is_dim[j]) for k in range(d) for j in range(d)] + [(0.0, is_dim[j]) for j in range(d)]
+    rows = exp_sums(events, terms, [f"s{k}_{j}" for k in range(d) for j in range(d)] + [f"n{j}" for j in range(d)])
     value = F.lit(None).cast("double")
     for k in range(d):
         own = F.lit(float(mu[k])) * col("t")

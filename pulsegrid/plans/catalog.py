@@ -548,30 +548,6 @@ def poisson_fit_linear(spark, d):
     return out.select("dim", r("slope", 10).alias("slope"), r("level").alias("level"))
 
 
-STATIONARY = "SELECT CAST(k AS INT) AS k, CAST(j AS INT) AS j, TRUE AS stationary FROM range(5) AS g(k), range(-1, {top}) AS h(j)"
-
-
-def stationary_rows(spark, gradient, values, names):
-    """(k, j, stationary): whether a bounded optimum meets its conditions: no slope where a value is free, none downwards where it is 0."""
-    rows = [(k, j, bool(abs(g) < 1e-7 if v > 1e-9 else g > -1e-7)) for (k, j), g, v in zip(names, gradient, values, strict=True)]
-    return spark.createDataFrame(rows, "k int, j int, stationary boolean")
-
-
-@query(STATIONARY.format(top=5))
-def hawkes_fit(spark, d):
-    """The least-squares fit with fixed decays; the gradient, which another aggregate gives, tells whether (mu at j = -1, omega) is the bounded optimum."""
-    import numpy as np
-
-    from pulsegrid.operators import fit
-
-    e, b = events_of(spark, d), np.array(BETA_M)
-    n = e.select("path_id").distinct().count()
-    m, w, _ = fit.fit_fixed_decays(e, b, HORIZON, n)
-    g = losses.exponential_gradient(e, m, w, b, HORIZON, n)
-    names = [(k, -1) for k in range(DIMS)] + [(k, j) for k in range(DIMS) for j in range(DIMS)]
-    return stationary_rows(spark, [*map(float, g[0]), *map(float, g[1].ravel())], [*map(float, m), *map(float, w.ravel())], names)
-
-
 @query("SELECT CAST(k AS INT) AS dim, TRUE AS near FROM range(5) AS g(k)")
 def hawkes_simulation(spark, d):
     """Whether each dimension's count over simulated paths is within five deviations of what the stationary rates tell, the start's transient allowed for."""
@@ -590,3 +566,6 @@ def hawkes_simulation(spark, d):
     at = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), col("dim"))
     transient = 0.02 * rates * horizon * n
     return rows.select("dim", (F.abs(F.coalesce("c", F.lit(0)) - at(rates * horizon * n)) <= at(5 * deviation + transient)).alias("near"))
+
+
+from pulsegrid.plans import fits  # noqa: E402, F401  registers its queries, which use the helpers above
