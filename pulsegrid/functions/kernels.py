@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalars import Number, col, difference_columns, gamma_cdf, gaussian_pdf, inverse_normal_cdf, normal_cdf, tri
 
 ZERO = 0.0
+#: Deviations beyond which a normal density is under 1e-17 of its peak.
+TAIL = 9.0
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,10 @@ class Kernel:
     def l1(self) -> Column:
         return col(self.omega)
 
+    def reach(self) -> Number:
+        """The time beyond which the density is 0 to double precision."""
+        return math.inf
+
     def delay(self, u: Number) -> Column:
         """The delay at probability u: the inverse of the normed integral."""
         raise NotImplementedError(f"{type(self).__name__} has no inverse")
@@ -150,6 +156,9 @@ class DelayedPowerLaw(PowerLaw):
 class Rayleigh(Kernel):
     beta: Number = 1.0
 
+    def reach(self) -> Number:
+        return TAIL * self.beta
+
     def density(self, t: Number) -> Column:
         b2 = col(self.beta) * col(self.beta)
         return col(t) / b2 * F.exp(-col(t) * col(t) / (2 * b2))
@@ -166,6 +175,9 @@ class Uniform(Kernel):
     width: Number = 1.0
     delta: Number = 0.0
 
+    def reach(self) -> Number:
+        return self.delta + self.width
+
     def density(self, t: Number) -> Column:
         past = col(t) - col(self.delta)
         return F.when((past < 0) | (past >= col(self.width)), ZERO).otherwise(1 / col(self.width))
@@ -185,6 +197,9 @@ class Triangular(Kernel):
     beta: Number = 1.0
     delta: Number = 1.0
 
+    def reach(self) -> Number:
+        return self.alpha + self.beta + self.delta
+
     def density(self, t: Number) -> Column:
         return tri(t, self.alpha, self.beta, self.delta)
 
@@ -209,6 +224,9 @@ class Gaussian(Kernel):
     beta: Number = 1.0
     delta: Number = 0.0
 
+    def reach(self) -> Number:
+        return self.delta + TAIL * self.beta
+
     def density(self, t: Number) -> Column:
         return gaussian_pdf(t, self.delta, self.beta)
 
@@ -316,6 +334,13 @@ def _gauss_gauss(x: Gaussian, y: Gaussian, t: Column, s: Column) -> Column:
     return col(x.omega) * col(y.omega) * gaussian_pdf(m1, m2, F.sqrt(v1 + v2)) * mass
 
 
+def _uniform_uniform(x: Uniform, y: Uniform, t: Column, s: Column) -> Column:
+    """Both densities are flat, so upsilon is the time in which both hold."""
+    low = F.greatest(col(x.delta), col(y.delta) - s, F.lit(0.0))
+    high = F.least(col(x.delta) + col(x.width), col(y.delta) + col(y.width) - s, t)
+    return col(x.omega) * col(y.omega) * F.greatest(high - low, F.lit(0.0)) / (col(x.width) * col(y.width))
+
+
 def _tilted(e: Exponential, g: Gaussian, shift: Column, t: Column) -> Column:
     """The integral of omega beta e^(-beta (u + shift)) times the normal density of g over [0, t]."""
     b, v = col(e.beta), col(g.beta) * col(g.beta)
@@ -336,6 +361,7 @@ UPSILON = {
     (Exponential, Exponential): _exp_exp,
     (DelayedExponential, DelayedExponential): _delayed,
     (Gaussian, Gaussian): _gauss_gauss,
+    (Uniform, Uniform): _uniform_uniform,
     (Exponential, Gaussian): _exp_gauss,
     (Gaussian, Exponential): _gauss_exp,
     (Null, Null): lambda x, y, t, s: F.lit(0.0),
@@ -343,8 +369,11 @@ UPSILON = {
 
 
 def upsilon_by_quadrature(x: Kernel, y: Kernel, t: Number, s: Number, nodes: int = 64) -> Column:
-    """Upsilon of any two kernels by Simpson's rule on ``nodes`` (even) intervals of [0, t]."""
+    """Upsilon of any two kernels by Simpson's rule on ``nodes`` (even) intervals of [0, t], or of the part of it that both kernels reach."""
     t, s = col(t), col(s)
+    for kernel, shift in ((x, F.lit(0.0)), (y, s)):
+        if not (isinstance(kernel.reach(), float) and math.isinf(kernel.reach())):
+            t = F.greatest(F.least(t, col(kernel.reach()) - shift), F.lit(0.0))
     h = t / nodes
 
     def add(total: Column, k: Column) -> Column:
@@ -373,8 +402,12 @@ class Mixture:
         return _total(p.l1() for p in self.parts)
 
     def is_basis_sum(self, free: set[str] = frozenset({"omega"})) -> bool:
-        """Whether only the weights are free, so that the loss is a quadratic and a fit is one pass."""
-        return set(free) <= {"omega"}
+        """Whether of all parts only the weights are free, so that the loss is a quadratic and a fit is one pass.
+
+        ``free`` names the parameters that a fit may change; names that no part has don't count.
+        """
+        own = {name for part in self.parts for name in part.params}
+        return bool(self.parts) and own & set(free) <= {"omega"}
 
     def delay(self, u: Number, pick: Number, weights: Sequence[float]) -> Column:
         """A delay at probability u of the part that ``pick`` (uniform) chooses by the weights."""

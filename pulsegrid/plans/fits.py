@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import impacts
-from pulsegrid.operators import fit, marked
-from pulsegrid.plans.catalog import BETA, BETA_M, DIMS, EV, HORIZON, PAIR, events_of, query, r
+from pulsegrid.functions import impacts, kernels
+from pulsegrid.operators import banded, fit, marked
+from pulsegrid.plans.catalog import BETA, BETA_M, DIMS, EV, HORIZON, LONG, PAIR, events_of, long_paths, query, r
 
 col = F.col
 THETA = "(0.1 * (1 + (k + j) % 3))"
@@ -35,13 +35,13 @@ u{n} AS MATERIALIZED (SELECT k, i, j, {add(UPS_SQL)} FROM (SELECT q.k, q.j AS i,
   {u.replace("p *", "par.p *")} AS u, {v} AS v, {ui.replace("p *", "q.p *")} AS ui, {vi} AS vi FROM pr JOIN par{n} par ON par.j = pr.j JOIN par{n} q ON q.k = par.k AND q.j = pr.k) GROUP BY k, i, j)"""
 
 
-def solve_sql(n: int, total: str, low: float = 1e-10, dims: int = 5, steps: int = STEPS) -> str:
+def solve_sql(n: int, total: str, low: float = 1e-10, dims: int = 5, steps: int = STEPS, counts: str = "SELECT dim AS k, count(*) AS n FROM ev GROUP BY dim") -> str:
     """The CTEs up to x{n} (k, x0, x1 ...): the minimum of the bounded quadratic over (level, omega_k0, omega_k1 ...) by cyclic coordinate steps."""
     m = dims + 1
     cells = f"""e{n} AS MATERIALIZED (SELECT k, r, s, sum(x) / ({total}) AS x FROM (
   SELECT k, 0 AS r, j + 1 AS s, a AS x FROM s{n} UNION ALL SELECT k, j + 1, 0, a FROM s{n} UNION ALL SELECT k, j + 1, j + 1, own FROM s{n}
   UNION ALL SELECT k, i + 1, j + 1, ups FROM u{n} UNION ALL SELECT k, j + 1, i + 1, ups FROM u{n}
-  UNION ALL SELECT k, j + 1, -1, phi FROM f{n} UNION ALL SELECT dim, 0, -1, count(*) FROM ev GROUP BY dim) GROUP BY k, r, s)"""
+  UNION ALL SELECT k, j + 1, -1, phi FROM f{n} UNION ALL SELECT k, 0, -1, n FROM ({counts})) GROUP BY k, r, s)"""
     wide = [f"coalesce(max(x) FILTER (r = {a} AND s = {b}), {1 if a == b == 0 else 0}) AS q{a}_{b}" for a in range(m) for b in range(m)]
     wide += [f"coalesce(max(x) FILTER (r = {a} AND s = -1), 0) AS c{a}" for a in range(m)]
     step = []
@@ -139,3 +139,47 @@ def fit_marked(spark, d):
     n = e.select("path_id").distinct().count()
     got = marked.fit_marked(e, np.array(BETA_M), np.array(THETA_M), impacts.LINEAR, horizon=HORIZON, paths=n, n_iter=2, solver=fit.Momentum(fit.Schedule(RATE), keep=0.0))
     return fit_rows(spark, got.level, got.omega, beta=got.beta, theta=got.theta)
+
+
+SHAPES = [(0.5, 1.0), (0.5, 3.0), (0.5, 6.0), (1.0, 1.0), (1.0, 3.0), (1.0, 6.0), (2.0, 1.0), (2.0, 3.0), (2.0, 6.0)]
+
+
+def normal_sql(z: str) -> str:
+    """The normal distribution function of an SQL expression, by the trapezoidal sum for erfc with its residue, whose terms fall with exp(-n^2 / 4)."""
+    y = f"(abs({z}) / sqrt(2.0))"
+    terms = " + ".join(f"{float(np.exp(-n * n / 4))!r} / ({n * n / 4} + {y} * {y})" for n in range(1, 13))
+    half = f"(0.5 * (exp(-{y} * {y}) * {y} / (2 * pi()) * (1 / ({y} * {y}) + 2 * ({terms})) + CASE WHEN {y} < 6 THEN 2 / (1 - exp(4 * pi() * {y})) ELSE 0 END))"
+    return f"(CASE WHEN abs({z}) < 1e-7 THEN 0.5 WHEN {z} < 0 THEN {half} ELSE 1 - {half} END)"
+
+
+SHAPE_ROWS = ", ".join(f"({g}, {b}::DOUBLE, {d}::DOUBLE)" for g, (b, d) in enumerate(SHAPES))
+GAUSS_SQL = f"""sh(g, b, d) AS (VALUES {SHAPE_ROWS}),
+e0 AS (SELECT g, dim AS j, b, d, 720.0 - t AS l FROM ev, sh), e1 AS (SELECT *, (l - d) / b AS z1, -d / b AS z2, sqrt(2.0) * (l - d) / b AS z3, -sqrt(2.0) * d / b AS z4 FROM e0),
+s9 AS MATERIALIZED (SELECT g * 5 + kk AS k, j, a, own FROM (SELECT g, j, sum({normal_sql("z1")} - {normal_sql("z2")}) AS a, sum(({normal_sql("z3")} - {normal_sql("z4")}) / (2 * b * sqrt(pi()))) AS own FROM e1 GROUP BY g, j), range(5) AS x(kk)),
+p1 AS (SELECT g, k, j, b, d, dt, sqrt(2.0) * (720.0 - t - d + dt / 2) / b AS z1, -sqrt(2.0) * (d - dt / 2) / b AS z2 FROM pr, sh WHERE dt <= 24.0),
+q1 AS MATERIALIZED (SELECT g, k AS i, j, sum(exp(-0.5 * pow((dt - d) / b, 2)) / (b * sqrt(2 * pi()))) AS phi, sum(exp(-dt * dt / (4 * b * b)) / (2 * b * sqrt(pi())) * ({normal_sql("z1")} - {normal_sql("z2")})) AS ups FROM p1 GROUP BY g, k, j),
+f9 AS (SELECT g * 5 + i AS k, j, phi FROM q1), u9 AS (SELECT g * 5 + kk AS k, i, j, ups FROM q1, range(5) AS x(kk))"""
+GAUSS_COUNTS = "SELECT g * 5 + dim AS k, count(*) AS n FROM ev, sh GROUP BY g, dim"
+GAUSS_LOSS = " + ".join([f"q{a}_{b} * x{a} * x{b}" for a in range(6) for b in range(6)] + [f"-2 * c{a} * x{a}" for a in range(6)])
+
+
+@query(f"""WITH RECURSIVE {EV}, {PAIR}, {GAUSS_SQL}, {solve_sql(9, TOTAL, counts=GAUSS_COUNTS)}, l9 AS (SELECT x9.*, {GAUSS_LOSS} AS lse FROM x9 JOIN w9 USING (k)),
+b9 AS (SELECT *, k % 5 AS kk FROM l9 JOIN sh ON sh.g = k // 5 QUALIFY row_number() OVER (PARTITION BY k % 5 ORDER BY lse, k) = 1)
+SELECT CAST(kk AS INT) AS k, b AS beta, d AS delta, round(x0, 6) AS level, round(x1, 6) AS omega_0, round(x2, 6) AS omega_1, round(x3, 6) AS omega_2, round(x4, 6) AS omega_3, round(x5, 6) AS omega_4, round(lse, 8) AS lse FROM b9""")
+def fit_gaussian(spark, d):
+    """Gaussian kernels with free shapes: the best of a grid for each receiver, its level and weights, from the pairs within reach alone."""
+    e = events_of(spark, d)
+    got = banded.fit_shapes(e, kernels.Gaussian, SHAPES, DIMS, HORIZON, e.select("path_id").distinct().count())
+    rows = [(k, *got.shape[k], float(got.level[k]), *map(float, got.omega[k]), float(got.lse[k])) for k in range(DIMS)]
+    out = spark.createDataFrame(rows, "k int, beta double, delta double, level double, " + ", ".join(f"omega_{j} double" for j in range(DIMS)) + ", lse double")
+    return out.select("k", "beta", "delta", r("level", 6).alias("level"), *[r(f"omega_{j}", 6).alias(f"omega_{j}") for j in range(DIMS)], r("lse").alias("lse"))
+
+
+@query(f"""WITH {LONG}, c AS (SELECT path_id, dim, t, count(*) AS n FROM li GROUP BY ALL)
+SELECT a.path_id, CAST(a.dim AS INT) AS k, CAST(b.dim AS INT) AS j, CAST(sum(a.n * b.n) AS BIGINT) AS n, round(sum(a.n * b.n * (CASE WHEN a.t - b.t BETWEEN 0.5 AND 2.4 THEN 0.5 ELSE 0 END)), 6) AS phi
+FROM c a JOIN c b ON a.path_id = b.path_id AND b.t < a.t AND a.t - b.t <= 2.5 GROUP BY a.path_id, a.dim, b.dim""")
+def banded_pairs_long(spark, d):
+    """Pairs of two long paths within 2.5 days, the reach of a uniform kernel of width 2 after half a day."""
+    k = kernels.Uniform(1.0, 2.0, 0.5)
+    p = banded.banded_pairs(long_paths(spark, d), k.reach())
+    return p.groupBy("path_id", "k", "j").agg(F.count(F.lit(1)).alias("n"), r(F.sum(k.phi(col("dt"))), 6).alias("phi"))

@@ -222,9 +222,14 @@ def test_fits_of_bases_equal_fits_of_decays_and_meet_their_conditions(spark):
     assert m2 == pytest.approx(m) and w2[:, :, 0] == pytest.approx(w) and lse2 == pytest.approx(lse)
     gauss = (kernels.Gaussian(1.0, 0.5, 1.0), kernels.Gaussian(1.0, 1.0, 3.0))
     m3, w3, lse3 = fit.fit_bases(e, lambda p: lambda k, j: gauss[p], 2, 2, 80.0)
-    assert np.all(w3 >= 0) and np.all(lse3 <= -m3**2 * 0 + 1e-9)
+    assert np.all(w3 >= 0) and np.all(lse3 < 0)
+    for k, (q, c) in enumerate(losses.basis_terms(e, lambda p: lambda k, j: gauss[p], 2, 2, 80.0)):
+        x = np.r_[m3[k], w3[k].ravel()]
+        slope = q @ x - c  # 0 where a value is free, none downwards where it is at its bound
+        assert np.all(slope > -1e-8) and np.all(np.abs(slope[x > 1e-9]) < 1e-8)
     mixture = kernels.Mixture(tuple(kernels.Gaussian(float(w3[0, 0, p]), g.beta, g.delta) for p, g in enumerate(gauss)))
     assert mixture.is_basis_sum() and not mixture.is_basis_sum({"omega", "beta"})
+    assert mixture.is_basis_sum({"omega", "alpha"}) and not kernels.Mixture(()).is_basis_sum()
     mu, omega, beta, log = fit.fit_exponential(e, b, 80.0, n_iter=4)
     assert len(log) == 4 and sum(fit.fit_fixed_decays(e, beta, 80.0)[2]) <= log[0][2] + 1e-9
 
