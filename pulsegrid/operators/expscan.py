@@ -1,10 +1,10 @@
 """Exponential sums in linear time: S_m = sum over t_n < t_m of exp(-beta (t_m - t_n)) U_n, for any mix of decays.
 
 Events are cut into blocks of time, and within a block the sums are a window's prefix sums of exp(beta (t_n - start)).  What
-earlier blocks hand on is found over the table of block totals: blocks are gathered to spans of 2^p blocks, so long that a
-decay of its own loses e^-15 to e^-30 over one.  Within a span totals are a window's prefix sums again, and a span takes over what the three
+earlier blocks hand on is found over the table of block totals: blocks are gathered to spans of 4^p blocks, so long that a
+decay of its own loses between e^-7.5 and e^-30 over one.  Within a span totals are a window's prefix sums again, and a span takes over what the few
 before it hand on, as beyond them nothing is left that double precision can tell from zero.  So a decay of any size needs
-no look further back than three spans, and an exponent is never over 30.
+no look further back than six spans, and an exponent is never over 30.  Decays that lose no more than that over a whole path have one span.
 
 Decays whose sizes differ by up to ``SPREAD`` share their blocks, and so one shuffle of the events; slower ones, and sums without decay (beta = 0), take blocks of
 their own with a few thousand events each.  Every window is bounded by a path and a block, or by the blocks of a path and a span.
@@ -25,7 +25,7 @@ from pulsegrid.operators.sums import intensity
 col = F.col
 LONGEST_PAIRED = 2_000
 BLOCK_EXPONENT = 30.0
-SPANS_BACK = 3
+NEGLIGIBLE = 40.0
 #: As many times a group's fastest decay may be its slowest; a span has no more blocks.
 SPREAD = 4_096.0
 
@@ -46,15 +46,18 @@ def decay_groups(betas: Sequence[float], width: float, short: bool = False) -> l
     return out
 
 
-def blocks_in_span(beta: float, width: float) -> int:
-    """The largest power of two of blocks over which the decay's exponent stays within its bound; 0 without a decay: all are in one span."""
-    return 0 if beta <= 0 else 1 << max(0, math.floor(math.log2(BLOCK_EXPONENT / (beta * width) * (1 + 1e-12))))
+def blocks_in_span(beta: float, width: float, span: float = math.inf) -> int:
+    """The largest power of four of blocks over which the decay's exponent stays within its bound; 0 where a whole path does, which lasts no longer than ``span``."""
+    if beta * (0 if beta == 0 else span + width) <= BLOCK_EXPONENT:
+        return 0
+    return 4 ** max(0, math.floor(math.log(BLOCK_EXPONENT / (beta * width) * (1 + 1e-12), 4)))
 
 
 def _handed_on(totals: DataFrame, decays: dict[int, float], width: float, size: int) -> DataFrame:
     """(path_id, block, c_i ...): what the blocks before hand on to a block's start; ``totals`` has g_i, scaled to the blocks' starts."""
-    at = (col("block") - col("span") * size) * width if size else col("block") * 0.0
-    rows = totals.withColumn("span", F.floor(col("block") / size) if size else F.lit(0).cast("long")).withColumn("at", at)
+    rows = totals.withColumn("span", F.floor(col("block") / size) if size else F.lit(0).cast("long"))
+    first = col("span") * size if size else F.min("block").over(Window.partitionBy("path_id", "span"))
+    rows = rows.withColumn("at", (col("block") - first) * width)
     rows = rows.select("path_id", "block", "span", "at", *[(col(f"g{i}") * F.exp(b * col("at"))).alias(f"g{i}") for i, b in decays.items()])
     out = rows
     if size != 1:
@@ -62,8 +65,9 @@ def _handed_on(totals: DataFrame, decays: dict[int, float], width: float, size:
         out = out.withColumns({f"p{i}": F.coalesce(F.sum(f"g{i}").over(before), F.lit(0.0)) for i in decays})
     if size:
         lost = width * size
+        back = math.ceil(NEGLIGIBLE / (min(decays.values()) * lost))
         spans = rows.groupBy("path_id", "span").agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in decays])
-        spans = spans.withColumn("r", F.explode(F.array(*[F.lit(k) for k in range(1, SPANS_BACK + 1)])))
+        spans = spans.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(back))))
         spans = spans.groupBy("path_id", (col("span") + col("r")).alias("span")).agg(*[F.sum(col(f"g{i}") * F.exp(-b * lost * col("r"))).alias(f"h{i}") for i, b in decays.items()])
         out = out.join(spans, ["path_id", "span"], "left")
     parts = lambda i: (col(f"p{i}") if size != 1 else F.lit(0.0)) + (F.coalesce(f"h{i}", F.lit(0.0)) if size else F.lit(0.0))
@@ -76,7 +80,7 @@ def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Se
     ``width`` bounds the blocks, so that a window holds a few thousand events; without it an aggregate finds it.
     """
     betas = [float(b) for b, _ in terms]
-    short = False
+    short, span = False, math.inf
     if width is None:
         n, span = blocks.extent(events)
         width, short = blocks.width_of(n, span), n <= SPREAD
@@ -90,7 +94,7 @@ def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Se
         rows = rows.withColumns({f"p{i}": F.sum(f"g{i}").over(up_to) - F.sum(f"g{i}").over(tied) for i in own})
         sizes: dict[int, dict[int, float]] = {}
         for i in own:
-            sizes.setdefault(blocks_in_span(betas[i], w), {})[i] = betas[i]
+            sizes.setdefault(blocks_in_span(betas[i], w, span), {})[i] = betas[i]
         held = None
         for size, decays in sizes.items():
             part = _handed_on(totals, decays, w, size)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import impacts, kernels
-from pulsegrid.operators import banded, fit, marked
+from pulsegrid.functions import baselines, impacts, kernels
+from pulsegrid.operators import banded, fit, marked, poisson, powerscan, sums
 from pulsegrid.plans.catalog import BETA, BETA_M, DIMS, EV, HORIZON, LONG, PAIR, events_of, long_paths, query, r
 
 col = F.col
@@ -183,3 +183,64 @@ def banded_pairs_long(spark, d):
     k = kernels.Uniform(1.0, 2.0, 0.5)
     p = banded.banded_pairs(long_paths(spark, d), k.reach())
     return p.groupBy("path_id", "k", "j").agg(F.count(F.lit(1)).alias("n"), r(F.sum(k.phi(col("dt"))), 6).alias("phi"))
+
+
+# --- power laws by the scan
+
+POWER_PHI, POWER_PSI, U_POWER = "1.5 * 0.7 * pow(1 + 0.7 * dt, -2.5)", "(1 - pow(1 + 0.7 * dt, -1.5))", "(1 + 0.001 * mark)"
+
+
+@query(f"""WITH {EV}, {PAIR} SELECT e.path_id, e.dim AS k, e.event_id AS m, round(0.01 * (e.dim + 1) + 0.05 * (e.dim + 1) * coalesce(s, 0), 6) AS intensity FROM ev e
+LEFT JOIN (SELECT m, sum({POWER_PHI} * {U_POWER}) AS s FROM pr GROUP BY m) p ON p.m = e.event_id""")
+def intensity_power_law_scan(spark, d):
+    """Power-law excitation by marks, through sums of exponentials within 1e-12."""
+    gain = [0.05 * (k + 1) for k in range(DIMS)]
+    out = powerscan.power_law_intensity(events_of(spark, d), [0.01 * (k + 1) for k in range(DIMS)], gain, 1.5, 0.7, 1 + 0.001 * col("mark"), tolerance=1e-12)
+    return out.select("path_id", "k", "m", r("intensity", 6).alias("intensity"))
+
+
+@query(f"""WITH {EV}, {PAIR}, c AS (SELECT e.path_id, e.dim AS k, e.event_id AS m, e.t, 0.01 * (e.dim + 1) * e.t + 0.05 * (e.dim + 1) * coalesce(s, 0) AS comp FROM ev e
+  LEFT JOIN (SELECT m, sum({POWER_PSI} * {U_POWER}) AS s FROM pr GROUP BY m) p ON p.m = e.event_id)
+SELECT k, count(*) AS n, round(sum(residual), 3) AS total, round(sum(residual * residual), 3) AS squares FROM (SELECT k, comp - lag(comp) OVER (PARTITION BY path_id, k ORDER BY t, m) AS residual FROM c) WHERE residual IS NOT NULL GROUP BY k""")
+def residuals_power_law_scan(spark, d):
+    """Residuals of the same model, from counts and decayed sums of one scan: their number, sum and sum of squares by dimension."""
+    gain = [0.05 * (k + 1) for k in range(DIMS)]
+    c = powerscan.power_law_compensators(events_of(spark, d), [0.01 * (k + 1) for k in range(DIMS)], gain, 1.5, 0.7, 1 + 0.001 * col("mark"), tolerance=1e-12)
+    x = col("residual")
+    return sums.residuals(c).groupBy("k").agg(F.count(F.lit(1)).alias("n"), r(F.sum(x), 3).alias("total"), r(F.sum(x * x), 3).alias("squares"))
+
+
+# --- Poisson models
+
+BREAKS = [0.0, 100.0, 250.0, 500.0, 720.0]
+PIECES = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(zip(BREAKS, BREAKS[1:], strict=False)))
+PATHS = "(SELECT CAST(count(DISTINCT path_id) AS DOUBLE) FROM ev)"
+
+
+@query(f"""WITH {EV}, p(piece, a, b) AS (VALUES {PIECES}), n AS (SELECT CAST(g.dim AS INT) AS dim, piece, a, b, count(t) AS n FROM range(5) AS g(dim) CROSS JOIN p LEFT JOIN ev ON ev.dim = g.dim AND t >= a AND t < b GROUP BY ALL)
+SELECT dim, piece, n / ((b - a) * {PATHS}) AS level, round(-pow(n / ((b - a) * {PATHS}), 2) * (b - a) / 720.0, 12) AS lse, round(CASE WHEN n > 0 THEN n * ln(n / ((b - a) * {PATHS})) - n ELSE 0 END, 6) AS loglik FROM n""")
+def poisson_fit_pieces(spark, d):
+    e = events_of(spark, d)
+    out = poisson.fit_pieces(e, BREAKS, DIMS, e.select("path_id").distinct().count())
+    return out.select("dim", "piece", "level", r("lse", 12).alias("lse"), r("loglik", 6).alias("loglik"))
+
+
+@query(f"""WITH {EV}, z AS (SELECT dim, CAST(i AS INT) AS i, count(*) / ({TOTAL}) AS level, 2 * sum(cos(2 * pi() * i / 720.0 * t)) / ({TOTAL}) AS a, 2 * sum(sin(2 * pi() * i / 720.0 * t)) / ({TOTAL}) AS b FROM ev, range(1, 41) AS g(i) GROUP BY dim, i)
+SELECT dim, i, round(level, 8) AS level, round(a, 8) AS cosine, round(b, 8) AS sine, round(-level * level - (a * a + b * b) / 2, 10) AS lse FROM z QUALIFY row_number() OVER (PARTITION BY dim ORDER BY -(a * a + b * b), i) = 1""")
+def poisson_fit_cosine(spark, d):
+    """The harmonic of the horizon, of the first forty, that fits each dimension's rate best."""
+    e, f = events_of(spark, d), [2 * np.pi * i / HORIZON for i in range(1, 41)]
+    got = poisson.fit_cosine(e, f, HORIZON, e.select("path_id").distinct().count())
+    rows = [(x.dim, 1 + f.index(x.frequency), x.level, x.cosine, x.sine, x.lse) for x in got]
+    out = spark.createDataFrame(rows, "dim int, i int, level double, cosine double, sine double, lse double")
+    return out.select("dim", "i", *[r(c).alias(c) for c in ("level", "cosine", "sine")], r("lse", 10).alias("lse"))
+
+
+@query(f"""WITH {EV}, s AS (SELECT dim AS k, sum(t) AS st, count(*) AS n, sum(t / (0.0001 * t + 0.01 * (dim + 1))) AS lt, sum(1 / (0.0001 * t + 0.01 * (dim + 1))) AS l1 FROM ev GROUP BY dim)
+SELECT k, 0 AS i, round(2 * 0.0001 * 720.0 * 720.0 / 3 + 0.01 * (k + 1) * 720.0 - 2 * st / ({TOTAL}), 5) AS by_lse, round(lt - {PATHS} * 720.0 * 720.0 / 2, 1) AS by_loglik FROM s
+UNION ALL SELECT k, 1, round(0.0001 * 720.0 + 2 * 0.01 * (k + 1) - 2 * n / ({TOTAL}), 5), round(l1 - {PATHS} * 720.0, 1) FROM s""")
+def poisson_gradients(spark, d):
+    """Derivatives of both losses by slope and level of a linear rate."""
+    e = events_of(spark, d)
+    out = poisson.poisson_gradients(e, baselines.Linear, [(0.0001, 0.01 * (k + 1)) for k in range(DIMS)], HORIZON, e.select("path_id").distinct().count())
+    return out.select("k", "i", r("by_lse", 5).alias("by_lse"), r("by_loglik", 1).alias("by_loglik"))
