@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,14 +54,39 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Lists that take the paths of tables as they are written; see ``tables_noted``.
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def tables_noted() -> Iterator[list[str]]:
+    """A list that takes the path of every table that is written in this block, so that they can be deleted once nothing reads them."""
+    own: list[str] = []
+    _noting.append(own)
+    try:
+        yield own
+    finally:
+        _noting[:] = [x for x in _noting if x is not own]
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns what reads it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    for own in _noting:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``written``, wherever the shared folder is, and empties the list."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def numbered(docs: DataFrame, *columns: Column, row: str = "row") -> DataFrame:
     """``columns`` of ``docs`` after a row number, written once.
 

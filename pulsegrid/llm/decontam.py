@@ -85,12 +85,9 @@ def covered(intervals: Column) -> Column:
     return F.aggregate(intervals, first, step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256 and contaminated to ``docs`` (columns of those names are replaced)."""
+def window_hits(rows: DataFrame, items: DataFrame, *, row: str, text: str, item_id: str, item_text: str, window: int, max_broadcast: int) -> DataFrame:
+    """(row, n_hit, items) of the rows with a window; ``rows`` is a table that gives the same numbers ``row`` again."""
     col = F.col
-    own = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    kept, row, listed_in = [c for c in docs.columns if c.lower() not in own], free_name(docs, "row"), free_name(docs, "items")
-    rows = numbered(docs, *[col(f"`{c}`") for c in kept], row=row)
     split = rows.select(col(row).alias("row"), words_of(col(f"`{text}`")).alias("words"))
     windows = cut_lineage(item_windows(items, item_id, item_text, window))
     known = cut_lineage(signatures(split, windows))
@@ -98,23 +95,37 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     of_items = windows.join(known.select("words", "window"), "words").select("item", "window")
     hits = found.groupBy("row").agg(covered(F.sort_array(F.collect_set(F.struct(col("start").cast("long").alias("start"), col("size").cast("long").alias("size"))))).alias("n_hit"))
     listed = found.select("row", "window").distinct().join(of_items, "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    judged = hits.join(listed, "row", "left").select(col("row").alias(row), "n_hit", col("items").alias(listed_in))
-    judged = cut_lineage(judged)
+    return cut_lineage(hits.join(listed, "row", "left").select("row", "n_hit", "items"))
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """Adds n_words, n_hit, n_items, items_sha256 and contaminated to ``docs`` (columns of those names are replaced)."""
+    col = F.col
+    own = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    kept, row, listed_in = [c for c in docs.columns if c.lower() not in own], free_name(docs, "row"), free_name(docs, "items")
+    rows = numbered(docs, *[col(f"`{c}`") for c in kept], row=row)
+    judged = window_hits(rows, items, row=row, text=text, item_id=item_id, item_text=item_text, window=window, max_broadcast=max_broadcast)
+    judged = judged.select(col("row").alias(row), "n_hit", col("items").alias(listed_in))
     out = rows.withColumn("n_words", F.size(words_of(col(f"`{text}`"))).cast("long")).join(small_or_plain(judged, judged.count(), MAX_BROADCAST_ROWS), row, "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), listed_in: F.coalesce(listed_in, none)})
     return out.select(
         *[col(f"`{c}`") for c in kept], "n_words", "n_hit", F.size(listed_in).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed_in, ","), 256).alias("items_sha256"), ((col("n_hit") > 0) & (20 * col("n_hit") >= col("n_words"))).alias("contaminated"),
+        F.sha2(F.array_join(listed_in, ","), 256).alias("items_sha256"), is_contaminated(col("n_hit"), col("n_words")).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The documents that aren't contaminated, with the columns of ``docs``."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """The documents that aren't contaminated, with the columns of ``docs``; these are numbered and written once."""
     row = free_name(docs, "row")
     own = numbered(docs, *[F.col(f"`{c}`") for c in docs.columns], row=row)
-    bad = contamination(own.select(F.col(row).alias("number"), F.col(f"`{text}`").alias("text")), items, **options)
-    bad = cut_lineage(bad.where("contaminated").select(F.col("number").alias(row)))
+    hits = window_hits(own, items, row=row, text=text, item_id=item_id, item_text=item_text, window=window, max_broadcast=max_broadcast).select(F.col("row").alias(row), "n_hit")
+    sizes = own.join(small_or_plain(hits, hits.count(), MAX_BROADCAST_ROWS), row).select(row, "n_hit", F.size(words_of(F.col(f"`{text}`"))).alias("n_words"))
+    bad = cut_lineage(sizes.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(row))
     return own.join(small_or_plain(bad, bad.count(), MAX_BROADCAST_ROWS), row, "left_anti").drop(row)
 
 

@@ -52,3 +52,16 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             now = written(stage(spark, now, sf_dir))
         assert (now.count() > 0) == (rows is odd) and now.where("text is null or text = ''").count() == 0
+
+
+def test_pipeline_leaves_its_result_alone(spark, sf_dir):
+    """What the stages write for themselves is deleted, but nothing that another query has written."""
+    from pulsegrid.llm.common import tables_noted
+
+    other = written(spark.range(3))
+    with tables_noted() as made:
+        out = corpus_pipeline.run(spark, sf_dir)
+    exists = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    left = [p for p in made if exists(p)]
+    assert len(made) > 5 and len(left) == 1 and left[0].rsplit("/", 1)[-1] in out.inputFiles()[0]
+    assert out.count() > 0 and other.count() == 3
