@@ -116,15 +116,8 @@ def scan_sums(events: DataFrame, beta: np.ndarray, horizon: float | DataFrame, p
         ]
         each.append(F.struct(F.lit(k).alias("k"), of_dim(beta[k]).alias("b"), of_dim(theta[k]).alias("p"), F.array(*by).alias("by")))
     flat = rows.select("dim", "t", "left", "mark", F.explode(F.array(*each)).alias("x")).select("dim", "t", "left", "x.k", "x.b", value(col("x.p")).alias("u"), slope(col("x.p")).alias("v"), "x.by")
-    b, u, v, t, left = col("b"), col("u"), col("v"), col("t"), col("left")
-    e, e2 = F.exp(-b * left), F.exp(-2 * b * left)
-    mass, tail = 1 - e, left * e
-    line, d_line = t * mass + mass / b - tail, t * tail + tail / b - mass / (b * b) + left * tail
-    sums = {
-        "a": u * mass, "b": u * line, "da": u * tail, "db": u * d_line, "va": v * mass, "vb": v * line,
-        "own": u * u * b / 2 * (1 - e2), "down": u * u * ((1 - e2) / 2 + b * left * e2), "vown": u * v * b * (1 - e2),
-    }
-    out = [F.count(F.lit(1)).alias("n"), F.sum("t").alias("first"), *[F.sum(x).alias(c) for c, x in sums.items()]]
+    b, u, v, left = col("b"), col("u"), col("v"), col("left")
+    out = _single_sums(b, u, v, left)
     for j in range(d):
         y = col("by")[j]
         c, s, rr, vv = y["b"], y["s"], y["r"], y["v"]
@@ -133,17 +126,51 @@ def scan_sums(events: DataFrame, beta: np.ndarray, horizon: float | DataFrame, p
         late, early = c / both * (c / both) * m + g * left * end, b / both * (b / both) * m + g * left * end
         pairs = {"phi": c * s, "dphi": s - c * rr, "vphi": c * vv, "ups": g * m * u * s, "ups_later": u * s * late, "ups_earlier": u * (s * early - g * m * rr), "vups_later": g * m * v * s, "vups_earlier": g * m * u * vv}
         out += [F.sum(x).alias(f"{name}{j}") for name, x in pairs.items()]
-    single = {c: np.zeros((d, d)) for c in SINGLE}
-    paired = {c: np.zeros((d, d, d)) for c in PAIRED}
-    n, first = np.zeros(d), np.zeros(d)
+    found = _empty(beta, moments)
     for r in flat.groupBy("k", "dim").agg(*out).collect():  # a row for each pair of dimensions
-        k, i = r["k"], r["dim"]
-        n[i], first[i] = r["n"], r["first"]
-        for c in SINGLE:
-            single[c][k, i] = r[c]
+        _take(found, r)
         for c in PAIRED:
-            paired[c][k, i] = [r[f"{c}{j}"] for j in range(d)]
-    return ScanSums(beta, moments, n, first, single, paired)
+            found.paired[c][r["k"], r["dim"]] = [r[f"{c}{j}"] for j in range(d)]
+    return found
+
+
+def _single_sums(b: Column, u: Column, v: Column, left: Column) -> list[Column]:
+    t = col("t")
+    e, e2 = F.exp(-b * left), F.exp(-2 * b * left)
+    mass, tail = 1 - e, left * e
+    line, d_line = t * mass + mass / b - tail, t * tail + tail / b - mass / (b * b) + left * tail
+    sums = {
+        "a": u * mass, "b": u * line, "da": u * tail, "db": u * d_line, "va": v * mass, "vb": v * line,
+        "own": u * u * b / 2 * (1 - e2), "down": u * u * ((1 - e2) / 2 + b * left * e2), "vown": u * v * b * (1 - e2),
+    }
+    return [F.count(F.lit(1)).alias("n"), F.sum("t").alias("first"), *[F.sum(x).alias(c) for c, x in sums.items()]]
+
+
+def _empty(beta: np.ndarray, moments: tuple[float, float, float]) -> ScanSums:
+    d = len(beta)
+    return ScanSums(np.asarray(beta, float), moments, np.zeros(d), np.zeros(d), {c: np.zeros((d, d)) for c in SINGLE}, {c: np.zeros((d, d, d)) for c in PAIRED})
+
+
+def _take(found: ScanSums, r) -> None:
+    k, i = r["k"], r["dim"]
+    found.n[i], found.first[i] = r["n"], r["first"]
+    for c in SINGLE:
+        found.single[c][k, i] = r[c]
+
+
+def single_sums(events: DataFrame, beta: np.ndarray, horizon: float | DataFrame, paths: int = 1, impact: Family | None = None, theta: np.ndarray | None = None) -> ScanSums:
+    """``scan_sums`` without the sums over pairs, which stay 0: one aggregate, no scan."""
+    d = len(beta)
+    rows, moments = with_ends(events, horizon, paths)
+    theta = np.zeros((d, d)) if theta is None else np.asarray(theta, float)
+    cells = [F.struct(F.lit(k).alias("k"), *[F.get(F.array(*[F.lit(float(x)) for x in m[k]]), col("dim")).alias(n) for n, m in (("b", np.asarray(beta, float)), ("p", theta))]) for k in range(d)]
+    rows = rows.select("dim", "t", "left", "mark", F.explode(F.array(*cells)).alias("x")).select("dim", "t", "left", "mark", "x.*")
+    u = impact.value(col("p"), col("mark")) if impact else F.lit(1.0)
+    v = impact.slope(col("p"), col("mark")) if impact else F.lit(0.0)
+    found = _empty(beta, moments)
+    for r in rows.groupBy("k", "dim").agg(*_single_sums(col("b"), u, v, col("left"))).collect():  # a row for each pair of dimensions
+        _take(found, r)
+    return found
 
 
 @dataclass

@@ -1,20 +1,14 @@
-"""Stratified sampling of pair sums without making the pairs: strata of lags, exact sample sizes, and Neyman allocation.
+"""Strata of lags, exact sample sizes, and Neyman allocation.
 
-A stratum is a band of lags h: the pairs of an event with its h-th last type-j predecessor.  An event with kappa + 1
-predecessors has one pair for each h up to that, so stratum sizes are one aggregate over ``kappa``, and a pair is a place in the
-running count of a stratum.  Places are drawn without replacement on the driver, as many as the budget says; their
-events are found by joins on indices.
+A stratum is a band of lags h: the pairs of an event with its h-th last type-j predecessor.  ``sampling`` draws pairs of a stratum by index
+without making them; here are the strata, the allocations, the estimate from a sample, and samples of rows that are there.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import blocks
-from pulsegrid.operators.storage import cut_lineage
-
 col = F.col
 
 
@@ -62,7 +56,7 @@ def stratified_sum(sample: DataFrame, sizes: DataFrame, value: Column) -> DataFr
 
 
 def neyman_allocation(sizes: dict[int, int], deviations: dict[int, float], budget: int) -> dict[int, int]:
-    """Samples in proportion to size times deviation, at least one and at most the stratum's size; what is over a size goes to the others."""
+    """Samples in proportion to size times deviation, at least two, so that a variance can be told, and at most the stratum's size; what is over a size goes to the others."""
     if budget >= sum(sizes.values()):
         return dict(sizes)
     weight = {k: n * (n / max(n - 1, 1)) ** 0.5 * deviations.get(k, 0.0) for k, n in sizes.items()}
@@ -74,7 +68,7 @@ def neyman_allocation(sizes: dict[int, int], deviations: dict[int, float], budge
         left, total = budget - sum(whole.values()), sum(open_.values())
         full = {k: sizes[k] for k, w in open_.items() if total and left * w / total >= sizes[k]}
         if not full:
-            return whole | {k: max(1, min(sizes[k], round(left * w / total) if total else 1)) for k, w in open_.items()}
+            return whole | {k: min(sizes[k], max(2, round(left * w / total) if total else 2)) for k, w in open_.items()}
         whole |= full
 
 
@@ -96,69 +90,6 @@ def adaptive_sum(rows: DataFrame, value: Column, keys: list[str], budget: int, r
     return stratified_sum(sample_without_replacement(rows, allocation, keys, seed + rounds), sizes, value)
 
 
-BUCKETS = 256
-
-
-def placed_pairs(kappas: DataFrame, strata: list[tuple[int, int]], seed: int = 3) -> tuple[DataFrame, np.ndarray]:
-    """(path_id, i, m, j, kappa, bucket, counts, starts) with how many pairs of each stratum a row has and where they begin in its bucket; and sizes[bucket, stratum]."""
-    rows = kappas.where("kappa >= 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "path_id", "i", "m", "j"), F.lit(BUCKETS)).cast("int"))
-    count = [F.greatest(F.least(F.lit(high).cast("long"), col("kappa") + 1) - (low - 1), F.lit(0)) for low, high in strata]
-    w = Window.partitionBy("bucket").orderBy("path_id", "i", "m", "j").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"c{s}": c for s, c in enumerate(count)})
-    sizes = np.zeros((BUCKETS, len(strata)), np.int64)
-    for r in rows.groupBy("bucket").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(len(strata))]).collect():  # a row for each bucket
-        sizes[r["bucket"]] = [r[f"c{s}"] for s in range(len(strata))]
-    starts = F.array(*[F.sum(f"c{s}").over(w) - col(f"c{s}") for s in range(len(strata))])
-    rows = rows.select("path_id", "i", "m", "j", "kappa", "bucket", F.array(*[col(f"c{s}") for s in range(len(strata))]).alias("counts"), starts.alias("starts"))
-    return rows, sizes
-
-
-def sampled_pairs(events: DataFrame, placed: DataFrame, sizes: np.ndarray, strata: list[tuple[int, int]], allocation: dict[int, int], seed: int) -> DataFrame:
-    """(stratum, path_id, i, m, j, n, h, t, dt, mark, mark_m) of exactly min(q, size) pairs of each stratum; ``events`` are ranked."""
-    rng, picks = np.random.default_rng(seed), []
-    for s, q in allocation.items():
-        own = sizes[:, s]
-        for b, n in enumerate(rng.multivariate_hypergeometric(own, min(q, int(own.sum())), method="marginals")):
-            picks += [(b, s, int(at)) for at in rng.choice(own[b], n, replace=False)] if n else []
-    spark = events.sparkSession
-    drawn = spark.createDataFrame(picks, "bucket int, stratum int, at long").groupBy("bucket").agg(F.collect_list(F.struct("stratum", "at")).alias("picks"))
-    here = F.filter("picks", lambda p: (p["at"] >= F.get(col("starts"), p["stratum"])) & (p["at"] < F.get(col("starts"), p["stratum"]) + F.get(col("counts"), p["stratum"])))
-    found = placed.join(F.broadcast(drawn), "bucket")  # as many picks as the budget says
-    found = found.select("path_id", "i", "m", "j", "kappa", "starts", F.explode(here).alias("p"))
-    low = F.array(*[F.lit(lo).cast("long") for lo, _ in strata])
-    h = F.get(low, col("p.stratum")) + col("p.at") - F.get(col("starts"), col("p.stratum"))
-    found = cut_lineage(found.select(col("p.stratum").alias("stratum"), "path_id", "i", "m", "j", h.alias("h"), (col("kappa") - h + 1).alias("n")))
-    later = events.select("path_id", col("dim").alias("i"), "m", "t", col("mark").alias("mark_m"))
-    earlier = events.select("path_id", col("dim").alias("j"), col("m").alias("n"), col("t").alias("t_n"), "mark")
-    both = earlier.join(F.broadcast(later.join(F.broadcast(found), ["path_id", "i", "m"])), ["path_id", "j", "n"])
-    return both.select("stratum", "path_id", "i", "m", "j", "n", "h", "t", (col("t") - col("t_n")).alias("dt"), "mark", "mark_m")
-
-
-def adaptive_pair_sum(events: DataFrame, dims: int, strata: list[tuple[int, int]], values: dict[str, Column], budget: int, rounds: int = 2, seed: int = 3) -> DataFrame:
-    """(name, total, variance, size) of the sums of ``values`` (of dt, t, i, j, mark and mark_m) over all pairs; allocations follow the first value.
-
-    Strata with no more pairs than their share of the budget are taken whole, so they add no variance.
-    """
-    width = blocks.block_width(events)
-    ranked = cut_lineage(blocks.ranked(events, width))
-    placed, sizes = placed_pairs(blocks.kappa(events, dims, width), strata, seed)
-    placed = cut_lineage(placed)
-    known = {s: int(n) for s, n in enumerate(sizes.sum(axis=0)) if n}
-    allocation, seen, first = neyman_allocation(known, {}, budget), {}, next(iter(values.values()))
-    for r in range(rounds):
-        drawn = sampled_pairs(ranked, placed, sizes, strata, allocation, seed + r)
-        found = drawn.groupBy("stratum").agg(F.coalesce(F.stddev_samp(first), F.lit(0.0)).alias("s")).collect()  # a row for each stratum
-        seen = smoothed(seen, {x["stratum"]: x["s"] for x in found})
-        allocation = neyman_allocation(known, seen, budget)
-    drawn = cut_lineage(sampled_pairs(ranked, placed, sizes, strata, allocation, seed + rounds))
-    size_of = events.sparkSession.createDataFrame(list(known.items()), "stratum int, size long")
-    parts = [stratified_sum(drawn, size_of, v).select(F.lit(name).alias("name"), "total", "variance", F.lit(sum(known.values())).alias("size")) for name, v in values.items()]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
 def true_allocation(pairs: DataFrame, value: Column, budget: int) -> dict[int, int]:
     """The best allocation, from the deviations over all pairs (stratum, ...): a diagnostic, as it needs every pair."""
     per = pairs.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("s")).collect()

@@ -475,17 +475,6 @@ def lag_strata(spark, d):
     return rows.groupBy(col("stratum").cast("long").alias("stratum")).agg(F.count(F.lit(1)).alias("size"), r(F.sum(F.exp(-0.7 * col("dt"))), 6).alias("total"))
 
 
-@query(f"""WITH {EV}, {PAIR} SELECT name, count(*) AS size, TRUE AS near FROM pr, (VALUES ('decay'), ('weighted')) AS v(name) GROUP BY name""")
-def stratified_estimate(spark, d):
-    """Sampled sums over all pairs, and whether they are within five deviations of the exact ones, which the linear scan gives."""
-    e = events_of(spark, d)
-    values = {"decay": F.exp(-0.7 * col("dt")), "weighted": F.exp(-0.7 * col("dt")) * (1 + 0.001 * col("mark"))}
-    got = strata.adaptive_pair_sum(e, DIMS, strata.lag_strata(1 << 20, 5, 6), values, 2000)
-    exact = expscan.exp_sums(e, [(0.7, F.lit(1.0)), (0.7, 1 + 0.001 * col("mark"))], ["decay", "weighted"]).agg(F.sum("decay").alias("decay"), F.sum("weighted").alias("weighted"))
-    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), col(c).alias("exact")) for c in values])))
-    return got.join(F.broadcast(exact), "name").select("name", "size", (F.abs(col("total") - col("exact")) <= 5 * F.sqrt("variance") + 1e-9 * F.abs("exact")).alias("near"))
-
-
 @query(f"""WITH {EV} SELECT round(avg(cnt / 720.0), 8) AS rate, count(*) AS paths, round(stddev_samp(cnt), 8) AS deviation FROM (SELECT path_id, count(*) AS cnt FROM ev GROUP BY path_id)""")
 def poisson_fit(spark, d):
     n = events_of(spark, d).groupBy("path_id").agg(F.count(F.lit(1)).alias("cnt"))
@@ -548,24 +537,4 @@ def poisson_fit_linear(spark, d):
     return out.select("dim", r("slope", 10).alias("slope"), r("level").alias("level"))
 
 
-@query("SELECT CAST(k AS INT) AS dim, TRUE AS near FROM range(5) AS g(k)")
-def hawkes_simulation(spark, d):
-    """Whether each dimension's count over simulated paths is within five deviations of what the stationary rates tell, the start's transient allowed for."""
-    import numpy as np
-
-    from pulsegrid.operators import simulate
-
-    mean, horizon, n = np.array(OMEGA_M), 400.0, 50
-    out = simulate.simulate_hawkes(spark, paths=n, mu=np.array(MU_V), kernel=lambda k, j: kernels.Exponential(OMEGA_M[k][j], BETA_M[k][j]), mean=mean, horizon=horizon, seed=7)
-    counts = out.groupBy("path_id", "dim").agg(F.count(F.lit(1)).alias("c")).groupBy("dim").agg(F.sum("c").alias("c"))
-    rates = diagnostics.stationary_rates(np.array(MU_V), mean)
-    # the variance of the counts over a long time is the diagonal of (I - A)^-1 diag(rates) (I - A)^-T
-    spread = np.linalg.inv(np.eye(DIMS) - mean)
-    deviation = np.sqrt(np.diag(spread @ np.diag(rates) @ spread.T) * horizon * n)
-    rows = spark.range(DIMS).select(col("id").cast("int").alias("dim")).join(counts, "dim", "left")
-    at = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), col("dim"))
-    transient = 0.02 * rates * horizon * n
-    return rows.select("dim", (F.abs(F.coalesce("c", F.lit(0)) - at(rates * horizon * n)) <= at(5 * deviation + transient)).alias("near"))
-
-
 from pulsegrid.plans import fits  # noqa: E402, F401  registers its queries, which use the helpers above

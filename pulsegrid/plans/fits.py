@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import baselines, impacts, kernels
-from pulsegrid.operators import banded, fit, marked, poisson, powerscan, sums
-from pulsegrid.plans.catalog import BETA, BETA_M, DIMS, EV, HORIZON, LONG, PAIR, events_of, long_paths, query, r
+from pulsegrid.operators import banded, expscan, fit, marked, poisson, powerscan, sampling, simulate, strata, sums
+from pulsegrid.plans.catalog import BETA, BETA_M, DIMS, EV, HORIZON, LONG, MU_V, OMEGA, OMEGA_M, ORACLES, PAIR, events_of, long_paths, query, r
 
 col = F.col
 THETA = "(0.1 * (1 + (k + j) % 3))"
@@ -244,3 +244,88 @@ def poisson_gradients(spark, d):
     e = events_of(spark, d)
     out = poisson.poisson_gradients(e, baselines.Linear, [(0.0001, 0.01 * (k + 1)) for k in range(DIMS)], HORIZON, e.select("path_id").distinct().count())
     return out.select("k", "i", r("by_lse", 5).alias("by_lse"), r("by_loglik", 1).alias("by_loglik"))
+
+
+# --- sampled sums and gradients beside the exact ones: within five deviations of what a linear pass gives
+
+
+def beside_exact(spark, got, exact: dict[str, float], digits: int = 6):
+    """(name, size, exact, near) of estimates (name, total, variance, size)."""
+    rows = spark.createDataFrame([(n, float(x)) for n, x in exact.items()], "name string, exact double")
+    near = F.abs(col("total") - col("exact")) <= 5 * F.sqrt("variance") + 1e-9 * F.abs("exact")
+    return got.join(F.broadcast(rows), "name").select("name", "size", r("exact", digits).alias("exact"), near.alias("near"))
+
+
+@query(f"""WITH {EV}, {PAIR} SELECT 'decay' AS name, count(*) AS size, round(sum(exp(-0.7 * dt)), 6) AS exact, TRUE AS near FROM pr
+UNION ALL SELECT 'weighted', count(*), round(sum(exp(-0.7 * dt) * (1 + 0.001 * mark)), 6), TRUE FROM pr""")
+def stratified_estimate(spark, d):
+    """Sampled sums over all pairs with the exact ones, which the linear scan gives."""
+    e = events_of(spark, d)
+    values = {"decay": F.exp(-0.7 * col("dt")), "weighted": F.exp(-0.7 * col("dt")) * (1 + 0.001 * col("mark"))}
+    got = sampling.adaptive_pair_sum(e, DIMS, strata.lag_strata(1 << 20, 5, 6), values, 2000)
+    exact = expscan.exp_sums(e, [(0.7, F.lit(1.0)), (0.7, 1 + 0.001 * col("mark"))], list(values)).agg(*[F.sum(c).alias(c) for c in values]).first()
+    return beside_exact(spark, got, exact.asDict())
+
+
+@query(f"""WITH {EV} SELECT 'psi' AS name, count(*) AS size, round(sum(1 - exp(-0.7 * (720.0 - t))), 6) AS exact, TRUE AS near FROM ev
+UNION ALL SELECT 'psi_marked', count(*), round(sum((1 - exp(-0.7 * (720.0 - t))) * (1 + 0.001 * mark)), 6), TRUE FROM ev""")
+def psi_estimate(spark, d):
+    """Single sums from three domains: the last events of each path and type whole, those before by their deviations, the far ones by their number."""
+    e = events_of(spark, d)
+    psi = 1 - F.exp(-0.7 * (HORIZON - col("t")))
+    values = {"psi": psi, "psi_marked": psi * (1 + 0.001 * col("mark"))}
+    places = sampling.place_singles(e, strata.lag_strata(1 << 20, 4, 8))
+    got = sampling.estimated_sums(places, values, sampling.Domains(2, 4, 500, 500), single=True)
+    exact = e.agg(*[F.sum(v).alias(n) for n, v in values.items()]).first()
+    return beside_exact(spark, got, exact.asDict())
+
+
+@query(f"""WITH {EV}, {PAIR} SELECT 'upsilon' AS name, count(*) AS size, round(sum(0.35 * exp(-0.7 * dt) * (1 - exp(-1.4 * (720.0 - t)))), 6) AS exact, TRUE AS near FROM pr""")
+def upsilon_estimate(spark, d):
+    """A double sum from three domains: the nearest lags whole, the next by their deviations, the far ones by their number."""
+    e = events_of(spark, d)
+    value = lambda s: 0.35 * s * (1 - F.exp(-1.4 * (HORIZON - col("t"))))
+    places = sampling.place_pairs(e, DIMS, strata.lag_strata(1 << 20, 4, 6))
+    got = sampling.estimated_sums(places, {"upsilon": value(F.exp(-0.7 * col("dt")))}, sampling.Domains(1, 5, 1500, 500))
+    exact = expscan.exp_sums(e, [(0.7, F.lit(1.0))], ["s"]).agg(F.sum(value(col("s"))).alias("upsilon")).first()
+    return beside_exact(spark, got, exact.asDict())
+
+
+@query(ORACLES["lse_gradient"].replace("SELECT name, k, CAST(j AS INT) AS j, round(sum(x)", "SELECT name, k, CAST(j AS INT) AS j, TRUE AS near, round(sum(x)"))
+def lse_gradient_sampled(spark, d):
+    """The loss's gradient with whether the one from 4,000 sampled pairs is within five deviations of it."""
+    e = events_of(spark, d)
+    n, b, w, level = e.select("path_id").distinct().count(), np.array(BETA_M), np.array(OMEGA_M), np.array(MU_V)
+    _, exact = marked.scan_sums(e, b, HORIZON, n).loss_and_gradient(level, np.zeros(DIMS), w)
+    places = sampling.place_pairs(e, DIMS, strata.lag_strata(1 << 20, 5, 6))
+    pilot = sampling.sampled_gradient(places, strata.neyman_allocation(places.sizes, {}, 2000), 5, level, w, b, HORIZON, n)
+    got = sampling.sampled_gradient(places, strata.neyman_allocation(places.sizes, pilot.spread, 4000), 6, level, w, b, HORIZON, n)
+    near = lambda c, *at: bool(abs(got.value[c][at] - exact[c][at]) <= 5 * np.sqrt(got.variance[c][at]) + 1e-12)
+    rows = [("mu", k, -1, near("level", k), float(exact["level"][k])) for k in range(DIMS)]
+    rows += [(c, k, j, near(c, k, j), float(exact[c][k, j])) for c in ("omega", "beta") for k in range(DIMS) for j in range(DIMS)]
+    return spark.createDataFrame(rows, "name string, k int, j int, near boolean, value double").withColumn("value", r("value"))
+
+
+@query(f"""WITH {EV}, c AS (SELECT CAST(k AS INT) AS dim, sum({OMEGA} * (exp(-{BETA} * (360.0 - t)) - exp(-{BETA} * (720.0 - t)))) AS e FROM (SELECT dim AS j, t FROM ev WHERE t < 360.0), range(5) AS g(k) GROUP BY k)
+SELECT 'children' AS name, dim, round(e, 6) AS expected, TRUE AS near FROM c
+UNION ALL SELECT 'immigrants', CAST(k AS INT), round(0.01 * (k + 1) * 360.0 * (SELECT max(path_id) + 1 FROM ev), 6), TRUE FROM range(5) AS g(k)""")
+def hawkes_simulation(spark, d):
+    """Every path goes on from its first half: the expected numbers of children of its events and of immigrants in the second half, and whether the simulated ones are within five deviations."""
+    e = events_of(spark, d)
+    past = e.where(col("t") < 360.0)
+    paths = e.agg(F.max("path_id")).first()[0] + 1
+    model = dict(mu=np.array(MU_V), kernel=lambda k, j: kernels.Exponential(OMEGA_M[k][j], BETA_M[k][j]), mean=np.array(OMEGA_M), horizon=HORIZON, seed=7)
+    out = simulate.simulate_hawkes(spark, paths=paths, history=past, since=360.0, **model)
+    own = past.select(F.xxhash64("event_id", F.lit(7)).alias("root_id"))
+    kinds = [("immigrants", out.where("generation = 0")), ("children", out.where("generation = 1").join(own, "root_id", "left_semi"))]
+    counts = kinds[0][1].select("dim", F.lit("immigrants").alias("name")).unionByName(kinds[1][1].select("dim", F.lit("children").alias("name"))).groupBy("name", "dim").agg(F.count(F.lit(1)).alias("n"))
+    psi = sums.psi_sums(past, lambda k, j: kernels.Exponential(_at(OMEGA_M, k, j), _at(BETA_M, k, j)), DIMS, HORIZON).groupBy("k").agg(F.sum("psi").alias("to_end"))
+    half = sums.psi_sums(past, lambda k, j: kernels.Exponential(_at(OMEGA_M, k, j), _at(BETA_M, k, j)), DIMS, 360.0).groupBy("k").agg(F.sum("psi").alias("to_half"))
+    children = psi.join(half, "k").select(F.lit("children").alias("name"), col("k").alias("dim"), (col("to_end") - col("to_half")).alias("expected"))
+    rows = spark.createDataFrame([("immigrants", k, MU_V[k] * 360.0 * paths) for k in range(DIMS)], "name string, dim int, expected double").unionByName(children)
+    near = F.abs(F.coalesce("n", F.lit(0)) - col("expected")) <= 5 * F.sqrt("expected")
+    return rows.join(counts, ["name", "dim"], "left").select("name", "dim", r("expected", 6).alias("expected"), near.alias("near"))
+
+
+def _at(m, k, j):
+    return F.get(F.get(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in m]), k), j)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import baselines, impacts, kernels, scalars
-from pulsegrid.operators import diagnostics, expscan, fit, paths, simulate, strata, sums
+from pulsegrid.operators import diagnostics, expscan, fit, losses, paths, sampling, simulate, strata, sums
 from pulsegrid.sources import cascades, store
 from pulsegrid.streaming import online
 
@@ -129,10 +129,10 @@ def test_solvers_reach_the_bounded_minimum():
 def test_stratified_sums_are_near_the_exact_one(spark):
     e = frame(spark, [sorted(np.random.default_rng(6).uniform(0, 50, 80)), sorted(np.random.default_rng(7).uniform(0, 50, 60))])
     bands = strata.lag_strata(200, 4, 3)
-    got = strata.adaptive_pair_sum(e, 2, bands, {"x": F.exp(-F.col("dt"))}, 400).first()
+    got = sampling.adaptive_pair_sum(e, 2, bands, {"x": F.exp(-F.col("dt"))}, 400).first()
     exact = sums.pairs(e).agg(F.sum(F.exp(-F.col("dt"))).alias("x"), F.count(F.lit(1)).alias("n")).first()
     assert got["size"] == exact["n"] and abs(got["total"] - exact["x"]) <= 5 * math.sqrt(got["variance"])
-    whole = strata.adaptive_pair_sum(e, 2, bands, {"x": F.exp(-F.col("dt"))}, 10**6).first()
+    whole = sampling.adaptive_pair_sum(e, 2, bands, {"x": F.exp(-F.col("dt"))}, 10**6).first()
     assert whole["total"] == pytest.approx(exact["x"]) and whole["variance"] == pytest.approx(0.0)
     rows = spark.range(5000).select(F.pmod("id", F.lit(4)).cast("int").alias("stratum"), "id", (F.col("id") % 97).cast("double").alias("v"))
     exact = rows.agg(F.sum("v")).first()[0]
