@@ -25,7 +25,7 @@ from pulsegrid.functions.impacts import Family
 from pulsegrid.operators import blocks, marked
 from pulsegrid.operators.fit import Adam, Schedule
 from pulsegrid.operators.storage import cut_lineage
-from pulsegrid.operators.strata import lag_strata, neyman_allocation, smoothed, stratified_sum
+from pulsegrid.operators.strata import augmented, lag_strata, neyman_allocation, smoothed, stratified_sum
 
 col = F.col
 ROWS_IN_BUCKET = 256
@@ -143,7 +143,10 @@ def _placed(ranked: DataFrame, kappas: DataFrame, strata: list[tuple[int, int]],
 
 @dataclass
 class SampledGradient:
-    """By name (level, slope, omega, beta, theta): the estimate and its variance; ``spread`` by stratum, for the next allocation."""
+    """By name (level, slope, omega, beta, theta): the estimate and its variance; ``spread`` by stratum, for the next allocation.
+
+    A component's variance allows for one unseen pair in each stratum, as large as the largest that any component of its name has met there.
+    """
 
     value: dict[str, np.ndarray]
     variance: dict[str, np.ndarray]
@@ -178,16 +181,21 @@ def sampled_gradient(
     }
     cells = [F.struct(F.lit(n).alias("name"), col(x).alias("c"), (2 * part[n] / total).alias("x")) for part, x in ((later, "i"), (earlier, "j")) for n in part]
     cells = each.select("stratum", "pair", "k", F.inline(F.array(*cells))).groupBy("stratum", "pair", "name", "k", "c").agg(F.sum("x").alias("x"))
-    sums = cells.groupBy("stratum", "name", "k", "c").agg(F.sum("x").alias("s"), F.sum(col("x") * col("x")).alias("q")).collect()  # numbers of strata and parameters
+    sums = cells.groupBy("stratum", "name", "k", "c").agg(F.sum("x").alias("s"), F.sum(col("x") * col("x")).alias("q"), F.max(F.abs("x")).alias("most")).collect()  # numbers of strata and parameters
     value = {n: np.array(x) for n, x in exact.items()}
     variance = {n: np.zeros_like(x) for n, x in exact.items()}
     spread: dict[int, float] = {}
+    most: dict[tuple[int, str], float] = {}
     for r in sums:
         n, q = places.sizes[r["stratum"]], min(allocation[r["stratum"]], places.sizes[r["stratum"]])
         var = max(0.0, (r["q"] - r["s"] ** 2 / q) / (q - 1)) if q > 1 else 0.0
         value[r["name"]][r["k"], r["c"]] += n * r["s"] / q
         variance[r["name"]][r["k"], r["c"]] += n * n * (1 - q / n) * var / q
+        most[r["stratum"], r["name"]] = max(most.get((r["stratum"], r["name"]), 0.0), r["most"])
         spread[r["stratum"]] = spread.get(r["stratum"], 0.0) + var
+    for (s, name), x in most.items():  # a pair that no draw has met may add to any component of its name
+        n, q = places.sizes[s], min(allocation[s], places.sizes[s])
+        variance[name] += n * n * (1 - q / n) * augmented(0.0, x, q) / q
     return SampledGradient(value, variance, {s: math.sqrt(x) for s, x in spread.items()})
 
 

@@ -48,13 +48,23 @@ def sample_without_replacement(rows: DataFrame, allocation: dict[int, int], keys
 
 
 def stratified_sum(sample: DataFrame, sizes: DataFrame, value: Column) -> DataFrame:
-    """(total, variance): the sum of stratum means times sizes, and the variance of that estimate."""
-    per = sample.groupBy("stratum").agg(F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"), F.count(F.lit(1)).alias("q"))
+    """(total, variance): the sum of stratum means times sizes, and the variance of that estimate.
+
+    A sample may miss the few rows that carry a sum, and its deviation with them, so each stratum's variance is that of
+    its sample with one more draw as large as its largest (``augmented``).
+    """
+    per = sample.groupBy("stratum").agg(F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"), F.count(F.lit(1)).alias("q"), F.max(F.abs(value)).alias("most"))
+    per = per.withColumn("var", augmented(col("var"), col("most"), col("q")))
     both = per.join(sizes, "stratum")
     left = 1 - col("q") / col("size")
     return both.agg(F.sum(col("mean") * col("size")).alias("total"), F.sum(col("size") * col("size") * left * col("var") / col("q")).alias("variance"))
 
 
+def augmented(var, most, q):
+    """A sample's variance allowing for one unseen row as large as its largest, in Columns or numbers."""
+    return var + most * most / q
+
+
 def neyman_allocation(sizes: dict[int, int], deviations: dict[int, float], budget: int) -> dict[int, int]:
     """Samples in proportion to size times deviation, at least two, so that a variance can be told, and at most the stratum's size; what is over a size goes to the others."""
     if budget >= sum(sizes.values()):

@@ -293,13 +293,13 @@ def upsilon_estimate(spark, d):
 
 @query(ORACLES["lse_gradient"].replace("SELECT name, k, CAST(j AS INT) AS j, round(sum(x)", "SELECT name, k, CAST(j AS INT) AS j, TRUE AS near, round(sum(x)"))
 def lse_gradient_sampled(spark, d):
-    """The loss's gradient with whether the one from 4,000 sampled pairs is within five deviations of it."""
+    """The loss's gradient with whether the one from 8,000 sampled pairs is within five deviations of it."""
     e = events_of(spark, d)
     n, b, w, level = e.select("path_id").distinct().count(), np.array(BETA_M), np.array(OMEGA_M), np.array(MU_V)
     _, exact = marked.scan_sums(e, b, HORIZON, n).loss_and_gradient(level, np.zeros(DIMS), w)
     places = sampling.place_pairs(e, DIMS, strata.lag_strata(1 << 20, 5, 6))
-    pilot = sampling.sampled_gradient(places, strata.neyman_allocation(places.sizes, {}, 2000), 5, level, w, b, HORIZON, n)
-    got = sampling.sampled_gradient(places, strata.neyman_allocation(places.sizes, pilot.spread, 4000), 6, level, w, b, HORIZON, n)
+    pilot = sampling.sampled_gradient(places, strata.neyman_allocation(places.sizes, {}, 4000), 5, level, w, b, HORIZON, n)
+    got = sampling.sampled_gradient(places, strata.neyman_allocation(places.sizes, pilot.spread, 8000), 6, level, w, b, HORIZON, n)
     near = lambda c, *at: bool(abs(got.value[c][at] - exact[c][at]) <= 5 * np.sqrt(got.variance[c][at]) + 1e-12)
     rows = [("mu", k, -1, near("level", k), float(exact["level"][k])) for k in range(DIMS)]
     rows += [(c, k, j, near(c, k, j), float(exact[c][k, j])) for c in ("omega", "beta") for k in range(DIMS) for j in range(DIMS)]
