@@ -235,3 +235,44 @@ def joined_grids(ends: Sequence[float], points: Sequence[int], start: float = 0.
     """Evenly spaced points of consecutive intervals, in which a joint stands once."""
     starts = [start, *ends[:-1]]
     return np.unique(np.concatenate([np.linspace(a, b, n) for a, b, n in zip(starts, ends, points, strict=True)]))
+
+
+def bessel_multiples(e: float, terms: int) -> list[float]:
+    """J_n(n e) for n from 1 to ``terms``, each by downward recurrence from an order where it vanishes, normed by J_0 + 2 (J_2 + J_4 + ...) = 1."""
+    out = []
+    for n in range(1, terms + 1):
+        x = n * e
+        if x == 0:
+            out.append(0.0)
+            continue
+        start = n + 2 * int(10 + math.sqrt(40.0 * n) + x) // 2
+        start += start % 2
+        above, here, wanted, norm = 0.0, 1e-300, 0.0, 0.0
+        for m in range(start, 0, -1):
+            above, here = here, 2 * m / x * here - above  # now of order m - 1
+            if m - 1 == n:
+                wanted = here
+            if (m - 1) % 2 == 0:
+                norm += here if m == 1 else 2 * here
+            if abs(here) > 1e200:
+                above, here, wanted, norm = above * 1e-200, here * 1e-200, wanted * 1e-200, norm * 1e-200
+        out.append(wanted / norm)
+    return out
+
+
+def inverse_kepler_series(y: Number, e: float, tolerance: float = 1e-13) -> Column:
+    """x with x - e sin(x) = y by the Kapteyn series y + sum 2 / n J_n(n e) sin(n y), for a number e under 1; as many terms as their bound asks for.
+
+    |J_n(n e)| is at most r^n with r = e exp(root) / (1 + root), root = sqrt(1 - e^2).
+    """
+    if not 0 <= e < 1:
+        raise ValueError("the series needs an eccentricity from 0 to under 1")
+    root = math.sqrt(1 - e * e)
+    ratio = e * math.exp(root) / (1 + root)
+    terms = 1
+    while e and 2 * ratio ** (terms + 1) / ((terms + 1) * (1 - ratio)) > tolerance:
+        terms += 1
+    weights = [2 * j / n for n, j in enumerate(bessel_multiples(e, terms), 1)]
+    y = col(y)
+    waves = F.zip_with(F.sequence(F.lit(1), F.lit(terms)), F.array(*[F.lit(w) for w in weights]), lambda n, w: w * F.sin(n * y))
+    return y + F.aggregate(waves, F.lit(0.0), lambda a, x: a + x)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import baselines, impacts, kernels
+from pulsegrid.functions import baselines, impacts, kernels, marks, scalars, tabulated
 from pulsegrid.operators import banded, expscan, fit, marked, poisson, powerscan, sampling, simulate, strata, sums
-from pulsegrid.plans.catalog import BETA, BETA_M, DIMS, EV, HORIZON, LONG, MU_V, OMEGA, OMEGA_M, ORACLES, PAIR, events_of, long_paths, query, r
+from pulsegrid.plans.catalog import AT, BETA, BETA_M, DIMS, EV, HORIZON, LONG, MU_V, OMEGA, OMEGA_M, ORACLES, PAIR, at_times, events_of, long_paths, query, r
 
 col = F.col
 THETA = "(0.1 * (1 + (k + j) % 3))"
@@ -329,3 +329,48 @@ def hawkes_simulation(spark, d):
 
 def _at(m, k, j):
     return F.get(F.get(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in m]), k), j)
+
+
+# --- sums of baselines, Kepler's series, mark laws
+
+
+@query(f"""{AT} SELECT event_id, round(0.3 + 0.02 * x + 0.2 + 0.4 * (1 + cos(1.5 * x + 0.3)) + CASE WHEN x >= 3 THEN 0.5 ELSE 0.1 END, 8) AS mu,
+  round(0.3 * x + 0.01 * x * x + 0.2 * x + 0.4 * x + 0.4 * (sin(1.5 * x + 0.3) - sin(0.3)) / 1.5 + 0.1 * least(x, 3.0) + 0.5 * greatest(x - 3.0, 0), 8) AS integral, round(x, 7) AS back FROM p""")
+def baseline_sum(spark, d):
+    """A sum of a line, a cosine and pieces: rate, integral, and the inverse of the integral."""
+    x = col("x")
+    b = baselines.Sum((baselines.Linear(0.02, 0.3), baselines.Cosine(0.2, 0.4, 1.5, 0.3), baselines.PiecewiseConstant((0.0, 3.0), (0.1, 0.5))))
+    return at_times(spark, d).select("event_id", r(b.mu(x)).alias("mu"), r(b.compensator(x)).alias("integral"), r(b.inverse(b.compensator(x), 20.0), 7).alias("back"))
+
+
+@query(f"{AT} SELECT event_id, round(x, 8) AS back, round(x, 7) AS cosine_back FROM p")
+def kepler_series(spark, d):
+    """Kepler's equation undone by the Kapteyn series, and the integral of a cosine rate by its own inverse."""
+    x, c = col("x"), baselines.Cosine(0.3, 0.5, 1.5, 0.3)
+    return at_times(spark, d).select("event_id", r(scalars.inverse_kepler_series(scalars.kepler(x, 0.6), 0.6)).alias("back"), r(c.inverse(c.compensator(x)), 7).alias("cosine_back"))
+
+
+@query(f"""WITH {EV}, {PAIR}, mm AS (SELECT dim AS j, 1 + 0.001 * avg(mark) AS h FROM ev GROUP BY dim),
+c AS (SELECT e.path_id, e.dim AS k, e.event_id AS m, e.t, 0.01 * (e.dim + 1) * e.t + coalesce(s, 0) AS comp FROM ev e LEFT JOIN (SELECT m, sum(h * {OMEGA} * (1 - exp(-{BETA} * dt))) AS s FROM pr JOIN mm USING (j) GROUP BY m) p ON p.m = e.event_id)
+SELECT k, count(*) AS n, round(sum(residual), 4) AS total, round(sum(residual * residual), 4) AS squares FROM (SELECT k, comp - lag(comp) OVER (PARTITION BY path_id, k ORDER BY t, m) AS residual FROM c) WHERE residual IS NOT NULL GROUP BY k""")
+def residuals_expected(spark, d):
+    """Residuals of a marked model with the expected impacts of its mark laws, which are exponential with each type's mean."""
+    e = events_of(spark, d)
+    mean = {x["dim"]: x["mean"] for x in e.groupBy("dim").agg(F.avg("mark").alias("mean")).collect()}  # a row for each dimension
+    h = [marks.expected_impact(marks.Exponential(1 / mean[j]), impacts.LINEAR, 0.001) if j in mean else 1.0 for j in range(DIMS)]
+    c = expscan.exp_compensators(e, MU_V, [[OMEGA_M[k][j] * h[j] for j in range(DIMS)] for k in range(DIMS)], BETA_M)
+    x = col("residual")
+    return sums.residuals(c).groupBy("k").agg(F.count(F.lit(1)).alias("n"), r(F.sum(x), 4).alias("total"), r(F.sum(x * x), 4).alias("squares"))
+
+
+@query(f"{AT} SELECT event_id, round(0.8 * (1 - exp(-x * x / (2 * 1.7 * 1.7))), 6) AS rayleigh, round(0.8 * (1 - pow(1 + 0.7 * x, -1.5)), 6) AS power_law, round(0.8 * (1 - exp(-1.3 * x)), 6) AS exponential FROM p")
+def kernel_tabulated(spark, d):
+    """Integrals of kernels known by their densities alone, from tables within 1e-10."""
+    x = col("x")
+    laws = {
+        "rayleigh": (lambda t: t / 2.89 * np.exp(-t * t / 5.78), lambda t: t / 2.89 * F.exp(-t * t / 5.78)),
+        "power_law": (lambda t: 1.05 * (1 + 0.7 * t) ** -2.5, lambda t: 1.05 * F.pow(1 + 0.7 * t, -2.5)),
+        "exponential": (lambda t: 1.3 * np.exp(-1.3 * t), lambda t: 1.3 * F.exp(-1.3 * t)),
+    }
+    kernel = {n: tabulated.Tabulated(0.8, c, tabulated.integral_table(f, 20.0, 1e-10)) for n, (f, c) in laws.items()}
+    return at_times(spark, d).select("event_id", *[r(k.psi(x), 6).alias(n) for n, k in kernel.items()])
