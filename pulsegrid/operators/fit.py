@@ -2,12 +2,13 @@
 
 With the decays fixed the loss of a dimension is a quadratic in (mu, omega): ``quadratic_terms`` computes its
 matrix and vector in one pass over the linear-time sums, and a bounded solver ends the fit without further
-passes.  With free decays ``fit_exponential`` adds the pass of the gradient in every step.  Kernels that are sums of fixed bases of any kind are
+passes.  With free decays ``fit_exponential`` makes one pass a step (see ``marked``).  Kernels that are sums of fixed bases of any kind are
 a quadratic as well, whose terms are sums over pairs (``fit_bases``).
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,30 +17,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.expscan import exp_sums
-from pulsegrid.operators.losses import basis_terms, exponential_gradient
+from pulsegrid.operators.losses import basis_terms
 
 col = F.col
 
 
 @dataclass
 class Schedule:
-    """Learning rates: constant, exponential (rate * decay^t) or linear (rate / (1 + decay t)); gradients are clipped by their running maximum."""
+    """Learning rates by step, and clipping of gradients.
 
-    rate: float = 0.05
+    ``constant``: rate; ``exponential``: rate divided by ``divider`` once a ``period``, not under ``least``; ``linear``: rate / (offset + slope t); ``custom``: what
+    ``custom(t)`` gives.  Without a rate each kind has its usual one.  With a ``window``, each component of a gradient is held within ``clip_offset`` plus ``clip_factor``
+    times its largest size of the last ``window`` steps, once there have been as many.
+    """
+
+    rate: float | None = None
     kind: str = "constant"
-    decay: float = 0.999
-    clip: float | None = None
-    peak: float = 0.0
+    divider: float = 2.0
+    period: int = 200
+    least: float = 1e-3
+    offset: float = 1.0
+    slope: float = 0.1
+    custom: Callable[[int], float] | None = None
+    window: int | None = None
+    clip_factor: float = 1.1
+    clip_offset: float = 1.0
+
+    def __post_init__(self):
+        usual = {"constant": 0.01, "exponential": 0.1, "linear": 1.0, "custom": None}
+        if self.kind not in usual or self.kind == "custom" and self.custom is None:
+            raise ValueError("a schedule is constant, exponential, linear, or custom with a function of the step")
+        self.rate = usual[self.kind] if self.rate is None else self.rate
+        self.recent: deque[np.ndarray] = deque(maxlen=self.window or 1)
 
     def at(self, t: int) -> float:
-        return {"constant": self.rate, "exponential": self.rate * self.decay**t, "linear": self.rate / (1 + self.decay * t)}[self.kind]
+        if self.kind == "custom":
+            return self.custom(t)
+        if self.kind == "exponential":
+            return max(self.rate / self.divider ** (t // self.period), self.least)
+        return self.rate / (self.offset + self.slope * t) if self.kind == "linear" else self.rate
 
     def clipped(self, g: np.ndarray) -> np.ndarray:
-        if self.clip is None:
+        if self.window is None:
             return g
-        norm = float(np.linalg.norm(g))
-        self.peak = max(self.peak, min(norm, self.clip) if not self.peak else min(norm, self.clip * self.peak))
-        return g if norm <= self.peak else g * (self.peak / norm)
+        if len(self.recent) == self.window:
+            most = self.clip_offset + self.clip_factor * np.max(self.recent, axis=0)
+            g = np.clip(g, -most, most)
+        self.recent.append(np.abs(g))
+        return g
 
 
 @dataclass
@@ -166,16 +191,13 @@ def fit_fixed_decays(events: DataFrame, beta: np.ndarray, horizon: float, paths:
 def fit_exponential(events: DataFrame, beta: np.ndarray, horizon: float, paths: int = 1, n_iter: int = 20, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(mu, omega, beta, log) with free decays: Adam on log beta, where mu and omega are always at their best.
 
-    There the loss changes with the decays alone, so its gradient by them is that of the best loss: two passes a step.
+    There the loss changes with the decays alone, so its gradient by them is that of the best loss; one scan a step gives both.
     """
-    solver, x, log = Adam(Schedule(rate)), np.log(np.asarray(beta, float)), []
-    for t in range(n_iter):
-        mu, omega, lse = fit_fixed_decays(events, np.exp(x), horizon, paths)
-        g = exponential_gradient(events, mu, omega, np.exp(x), horizon, paths)[2] * np.exp(x)
-        log.append((t, np.exp(x), float(np.sum(lse))))
-        x = solver.step(x, g, t)
-    mu, omega, _ = fit_fixed_decays(events, np.exp(x), horizon, paths)
-    return mu, omega, np.exp(x), log
+    from pulsegrid.operators.marked import fit_marked  # which stands on this module
+
+    got = fit_marked(events, np.asarray(beta, float), horizon=horizon, paths=paths, n_iter=n_iter, rate=rate)
+    log = [(r["step"], np.reshape(r["beta"], got.beta.shape), r["loss"]) for r in got.log[:n_iter]]
+    return got.level, got.omega, got.beta, log
 
 
 def fit_bases(events: DataFrame, bases, n_bases: int, dims: int, horizon: float, paths: int = 1, min_mu: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

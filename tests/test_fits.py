@@ -242,3 +242,23 @@ def test_extent_and_logs(spark, tmp_path):
     n, span = blocks.extent(frame)
     assert n == 60 and span == pytest.approx(max(max(r[3] for r in rows if r[0] == p) - min(r[3] for r in rows if r[0] == p) for p in range(3)))
     assert blocks.extent(frame.limit(0)) == (0, 0.0)
+
+
+def test_schedules_and_clipping():
+    assert [fit.Schedule().at(t) for t in (0, 10**6)] == [0.01, 0.01]
+    assert [fit.Schedule(kind="exponential").at(t) for t in (0, 199, 200, 450, 10**5)] == pytest.approx([0.1, 0.1, 0.05, 0.025, 1e-3])
+    assert [fit.Schedule(kind="linear").at(t) for t in (0, 10)] == pytest.approx([1.0, 0.5])
+    assert fit.Schedule(kind="custom", custom=lambda t: 1 / (t + 1)).at(3) == 0.25
+    with pytest.raises(ValueError):
+        fit.Schedule(kind="custom")
+    s = fit.Schedule(window=2, clip_factor=1.0, clip_offset=0.5)
+    g = [np.array(x, float) for x in ([1, 9], [-2, 1], [100, -100], [100, 0])]
+    assert [s.clipped(x).tolist() for x in g] == [[1, 9], [-2, 1], [2.5, -9.5], [3.0, 0.0]]
+
+
+def test_free_decays_are_fitted_by_one_scan_a_step(spark):
+    frame, _ = events_of(spark, n=80)
+    b = np.full((2, 2), 1.2)
+    mu, omega, beta, log = fit.fit_exponential(frame, b, 50.0, 3, n_iter=3)
+    assert len(log) == 3 and log[0][1].tolist() == b.tolist()
+    assert sum(fit.fit_fixed_decays(frame, beta, 50.0, 3)[2]) <= log[0][2] + 1e-12

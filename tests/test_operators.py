@@ -121,7 +121,7 @@ def test_simulation_fit_and_residuals_agree(spark):
 def test_solvers_reach_the_bounded_minimum():
     q, c, low = np.array([[2.0, 0.3], [0.3, 1.0]]), np.array([1.0, -0.5]), np.zeros(2)
     want = fit.bounded_quadratic(q, c, low)
-    for solver in (fit.Adam(fit.Schedule(0.02)), fit.Momentum(fit.Schedule(0.02)), fit.RMSprop(fit.Schedule(0.02, "exponential", 0.995))):
+    for solver in (fit.Adam(fit.Schedule(0.02)), fit.Momentum(fit.Schedule(0.02)), fit.RMSprop(fit.Schedule(0.02, "exponential", period=150, least=1e-6))):
         x = fit.descend(lambda x: 2 * (q @ x - c), np.ones(2), low, solver, 2000)
         assert x == pytest.approx(want, abs=1e-2)
 
