@@ -374,3 +374,43 @@ def kernel_tabulated(spark, d):
     }
     kernel = {n: tabulated.Tabulated(0.8, c, tabulated.integral_table(f, 20.0, 1e-10)) for n, (f, c) in laws.items()}
     return at_times(spark, d).select("event_id", *[r(k.psi(x), 6).alias(n) for n, k in kernel.items()])
+
+
+def _cross_sql() -> str:
+    """Upsilon of the pairs of ``upsilon_cross`` at lag 0.4, in closed form."""
+    v1, v2, m1, m2 = 1.44, 0.81, 2.0, 2.6
+    mean, std, wide = (m1 * v2 + m2 * v1) / (v1 + v2), np.sqrt(v1 * v2 / (v1 + v2)), np.sqrt(v1 + v2)
+    peak = 0.4 * np.exp(-((m1 - m2) ** 2) / (2 * wide**2)) / (wide * np.sqrt(2 * np.pi))
+    eg, ge = 2.6 - 1.3 * 0.81, 2.0 - 0.6 * 1.44
+    c_eg, c_ge = 0.4 * 1.3 * np.exp(-1.3 * 2.6 + 0.5 * 1.3**2 * 0.81), 0.4 * 0.6 * np.exp(-0.6 * 0.4 - 0.6 * 2.0 + 0.5 * 0.6**2 * 1.44)
+    n = {c: (f"({v!r} + 0 * x)" if isinstance(v, float) else v) for c, v in {"a1": f"((x - {mean!r}) / {float(std)!r})", "a0": float(-mean / std), "b1": f"((x - {eg!r}) / 0.9)", "b0": float(-eg / 0.9), "c1": f"((x - {ge!r}) / 1.2)", "c0": float(-ge / 1.2)}.items()}
+    z = ", ".join(f"{v} AS {c}" for c, v in n.items())
+    mass = lambda c: f"({normal_sql(c + '1')} - {normal_sql(c + '0')})"
+    g = 1.3 * 0.6 / 1.9
+    late = "exp(-1.3 * ({0} - 1.0) - 0.6 * ({0} + 0.4 - 2.0))"
+    return f"""{AT}, z AS (SELECT event_id, x, {z} FROM p) SELECT event_id, round({float(peak)!r} * {mass("a")}, 8) AS gauss_gauss, round({float(c_eg)!r} * {mass("b")}, 8) AS exp_gauss, round({float(c_ge)!r} * {mass("c")}, 8) AS gauss_exp,
+  round(CASE WHEN x <= 1.6 THEN 0 ELSE 0.4 * {g!r} * ({late.format("1.6")} - {late.format("x")}) END, 8) AS delayed, round(0.4 * greatest(least(2.5, 3.6, x) - 0.6, 0) / 6.0, 8) AS uniform FROM z"""
+
+
+@query(_cross_sql())
+def upsilon_cross(spark, d):
+    """Upsilon of kernels of other kinds than two exponentials."""
+    x, k = col("x"), kernels
+    pairs = {
+        "gauss_gauss": (k.Gaussian(0.8, 1.2, 2.0), k.Gaussian(0.5, 0.9, 3.0)), "exp_gauss": (k.Exponential(0.8, 1.3), k.Gaussian(0.5, 0.9, 3.0)), "gauss_exp": (k.Gaussian(0.8, 1.2, 2.0), k.Exponential(0.5, 0.6)),
+        "delayed": (k.DelayedExponential(0.8, 1.3, 1.0), k.DelayedExponential(0.5, 0.6, 2.0)), "uniform": (k.Uniform(0.8, 2.0, 0.5), k.Uniform(0.5, 3.0, 1.0)),
+    }
+    return at_times(spark, d).select("event_id", *[r(a.upsilon(b, x, 0.4)).alias(n) for n, (a, b) in pairs.items()])
+
+
+@query(f"""{AT} SELECT event_id, round(CASE WHEN x < 1 OR x > 6 THEN 0 WHEN x <= 3 THEN (x - 1) / 2 ELSE (6 - x) / 3 END, 8) AS tri, round(exp(-x) / pow(1 + exp(-x), 2), 8) AS logistic_pdf,
+  CAST((x >= 0.5)::INT + (x >= 2)::INT + (x >= 2.5)::INT + (x >= 7)::INT - 1 AS INT) AS bucket, round(mark * exp(-0.7 * x) + 1, 8) AS updated,
+  round(1 - 0.6 * cos(x), 4) AS kepler_slope FROM p""")
+def scalar_steps(spark, d):
+    """The triangle, the logistic's density, places on a grid, an updated decayed sum, and a derivative by differences."""
+    x = col("x")
+    slope = scalars.difference_columns(lambda y: scalars.kepler(x + y, 0.6), [0.0])[0]
+    return at_times(spark, d).select(
+        "event_id", r(scalars.tri(x, 1.0, 2.0, 3.0)).alias("tri"), r(scalars.logistic_pdf(x)).alias("logistic_pdf"), scalars.bucket_of(x, [0.5, 2.0, 2.5, 7.0]).alias("bucket"),
+        r(expscan.updated_exp_sum(col("mark"), x, 0.7)).alias("updated"), r(slope, 4).alias("kepler_slope"),
+    )
