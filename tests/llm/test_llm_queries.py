@@ -19,11 +19,13 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
     for t in ("documents", "pages", "benchmark", "labels"):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
-    got = registry.QUERIES[name](spark, sf_dir).toPandas()
-    want = con.execute(registry.ORACLES[name]).fetch_df()
-    assert sorted(got.columns) == sorted(want.columns)
-    plain = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).values.tolist()))
-    assert plain(got) == plain(want)
+    got = registry.QUERIES[name](spark, sf_dir)
+    want = con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    # as Python values, in which a whole number stays one beside nulls
+    plain = lambda rows: sorted(str([row[c] for c in sorted(columns)]) for row in rows)
+    assert plain(r.asDict() for r in got.collect()) == plain(dict(zip(columns, r, strict=True)) for r in want.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"pipeline"}))
