@@ -117,19 +117,33 @@ def banded_edits(a: Column, b: Column, band: Column | int) -> Column:
     return F.when(F.abs(na - F.size(b)) > band, band + 1).when(F.size(b) == 0, na).otherwise(walk)
 
 
+def missing_words(a: Column, b: Column) -> Column:
+    """A lower bound of the edit distance: the different words that one line has and the other lacks need an edit each."""
+    return F.greatest(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
+
+
 def word_edits(pairs: DataFrame) -> DataFrame:
-    """(a, b, d, na, nb) of pairs with word hashes wa and wb; d is some number over ``edits`` if it is larger."""
+    """(a, b, d, na, nb) of pairs with word hashes wa and wb; d is some number over ``edits`` if it is larger.
+
+    The bit vectors are walked only where the bounds leave the distance open: from below the words that one lacks, and
+    from above, once the ends are stripped, the places that differ, or the longer length if the lengths do.
+    """
     col = F.col
     # the first place where both differ; beyond the shorter one both do
     head = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
     both = pairs.select("a", "b", "wa", "wb", F.size("wa").cast("long").alias("na"), F.size("wb").cast("long").alias("nb"))
-    both = both.withColumn("most", edits(F.greatest("na", "nb"))).withColumn("at", head(col("wa"), col("wb")).cast("int"))
+    both = both.withColumn("most", edits(F.greatest("na", "nb"))).withColumn("far", (F.abs(col("na") - col("nb")) > col("most")) | (missing_words(col("wa"), col("wb")) > col("most")))
+    both = both.withColumn("at", F.when(~col("far"), head(col("wa"), col("wb"))).cast("int"))
     cut = lambda w: F.when(col("at") > 0, F.reverse(F.slice(w, col("at"), F.size(w)))).otherwise(F.array().cast("array<long>"))
-    both = both.select("a", "b", "na", "nb", "most", cut("wa").alias("wa"), cut("wb").alias("wb"))
+    both = both.select("a", "b", "na", "nb", "most", "far", cut("wa").alias("wa"), cut("wb").alias("wb"))
     both = both.withColumn("at", head(col("wa"), col("wb")).cast("int"))
     cut = lambda w: F.slice(w, F.greatest("at", F.lit(1)), F.size(w))
-    both = both.select("a", "b", "na", "nb", "most", cut("wa").alias("wa"), cut("wb").alias("wb"))
-    return both.select("a", "b", banded_edits(col("wa"), col("wb"), col("most")).cast("long").alias("d"), "na", "nb")
+    both = both.select("a", "b", "na", "nb", "most", "far", cut("wa").alias("wa"), cut("wb").alias("wb"))
+    differ = F.size(F.filter(F.zip_with("wa", "wb", lambda p, q: p != q), lambda x: x))
+    high = F.when(F.size("wa") == F.size("wb"), differ).otherwise(F.greatest(F.size("wa"), F.size("wb")))
+    both = both.withColumn("low", F.when(~col("far"), missing_words(col("wa"), col("wb")))).withColumn("high", F.when(~col("far"), high))
+    d = F.when(col("far") | (col("low") > col("most")), col("most") + 1).when(col("low") == col("high"), col("low")).otherwise(banded_edits(col("wa"), col("wb"), col("most")))
+    return both.select("a", "b", d.cast("long").alias("d"), "na", "nb")
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -161,6 +175,8 @@ def linked_lines(rows: DataFrame) -> DataFrame:
 
     def rest(left: DataFrame) -> DataFrame:
         """Keys by words, where a word that comes again counts as another; a longer partner can be in the next class."""
+        # buckets of one pivot are taken together, as a line stands in several: members of a bucket meet there too
+        left = cut_lineage(left.select(col("pivot").alias("bucket"), "node", "pivot", "root").distinct())
         each = words.join(left.select("node").distinct(), "node").select("node", F.size("words").cast("long").alias("n"), F.explode("words").alias("w"))
         each = each.groupBy("node", "n", "w").agg(F.count(F.lit(1)).alias("c")).select("node", "n", "w", F.explode(F.sequence(F.lit(1).cast("long"), col("c"))).alias("i"))
         sets = written(each.groupBy("node", "n").agg(F.collect_list(F.xxhash64("w", "i")).alias("set")))
