@@ -496,6 +496,28 @@ def test_line_keys_meet_wherever_lines_are_linked(spark):
     assert met > 200
 
 
+def test_edit_distances_are_exact_where_bounds_are_loose(spark):
+    """Few different words, moved words, repeated rows, one-sided ends and empty lines: neither bound alone gives the distance."""
+    r = random.Random(11)
+    rows = [(0, [], []), (1, [], ["p"] * 9), (2, ["p"] * 16, ["p"] * 16)]
+    for k in range(3, 300):
+        words = [f"w{i}" for i in range(r.choice([2, 3, 40]))]
+        a = [r.choice(words) for _ in range(r.randrange(8, 70))]
+        b = changed(r, a, r.randrange(0, 4), words)
+        if r.random() < 0.4:  # a word moves elsewhere
+            b.insert(r.randrange(len(b)), b.pop(r.randrange(len(b))))
+        rows.append((k, a, b))
+    df = spark.createDataFrame(rows, "a long, x array<string>, y array<string>")
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    got = {x.a: x.d for x in line_dedup.word_edits(df.select("a", F.col("a").alias("b"), hashed("x").alias("wa"), hashed("y").alias("wb"))).collect()}
+    linked = 0
+    for k, a, b in rows:
+        want, most = plain_edits(a, b), edit_rule(max(len(a), len(b)))
+        assert got[k] == want if want <= most else got[k] > most, (k, a, b)
+        linked += 0 < want <= most
+    assert linked > 60
+
+
 def test_line_classes_equal_all_pairs(spark):
     """Random lines, groups of changed copies and a segment that many lines begin with."""
     r = random.Random(12)
