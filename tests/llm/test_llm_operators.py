@@ -67,6 +67,17 @@ def test_pii_base_spans_are_those_of_the_plain_expressions(spark, docs, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_query_counts_the_kinds_wherever_a_span_stands(spark, tmp_path):
+    """A kind is counted whatever its place among a text's spans: phones first, five of one kind, kinds in any order."""
+    texts = [None, "", "+1 555 123 4567", "1.2.3.4 a@b.cc", "a@b.cc c@d.ee f@g.hh i@j.kk l@m.nn", "4111-1111-1111-1111 10.0.0.1 +1 555 123 4567 x@y.zz", "9.9.9.9 8.8.8.8"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in pii.op1_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t or "")
+        assert [got[i][f"n_{name}"] for name in pii.KINDS] == [sum(s[1] == k for s in base) for k in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(pii.spell(base).encode()).hexdigest()
+
+
 def test_pii_learns_contexts_and_finds_unseen_identifiers(spark):
     r = random.Random(1)
     rows = [(i, f"noise words here contact phone: +1 (988) 555-{r.randrange(1000, 9999)} thanks") for i in range(40)]
