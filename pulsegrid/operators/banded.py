@@ -35,6 +35,16 @@ def banded_pairs(events: DataFrame, reach: float) -> DataFrame:
     return both.where((col("dt") > 0) & (col("dt") <= reach)).drop("block")
 
 
+def banded_counts(events: DataFrame, reach: float) -> DataFrame:
+    """(path_id, k, j, t, dt, n): ``banded_pairs`` counted by receiver, source and both times, for what depends on these alone.
+
+    Events of a path and type at one time are one row first, so the pairs that are made grow with the distinct times and not with the square of how many events share one.
+    """
+    grouped = events.groupBy("path_id", "dim", "t").agg(F.count(F.lit(1)).alias("event_id"))
+    p = banded_pairs(grouped.withColumn("mark", col("event_id")), reach)
+    return p.select("path_id", "k", "j", "t", "dt", (col("mark_m") * col("mark")).alias("n"))
+
+
 def reach_of(shapes: Sequence[Kernel]) -> float:
     out = max(float(k.reach()) for k in shapes)
     if not math.isfinite(out):
@@ -64,8 +74,8 @@ def shape_terms(events: DataFrame, kernel: Callable[..., Kernel], shapes: Sequen
             q[0, 0] = 1.0
             q[0, j + 1] = q[j + 1, 0] = r["psi"] / total
             q[j + 1, j + 1] += r["own"] / total
-    pairs = banded_pairs(events, reach_of([kernel(1.0, *s) for s in shapes])).select("k", "j", "t", "dt", table)
-    for r in pairs.groupBy("x.g", "k", "j").agg(F.sum(own.phi(col("dt"))).alias("phi"), F.sum(_upsilon(own, left, col("dt"))).alias("ups")).collect():
+    pairs = banded_counts(events, reach_of([kernel(1.0, *s) for s in shapes])).select("k", "j", "t", "dt", "n", table)
+    for r in pairs.groupBy("x.g", "k", "j").agg(F.sum(col("n") * own.phi(col("dt"))).alias("phi"), F.sum(col("n") * _upsilon(own, left, col("dt"))).alias("ups")).collect():
         i, j, terms = r["k"], r["j"], out[r["g"]]
         terms[i][1][j + 1] = r["phi"] / total
         for q, _ in terms:

@@ -181,8 +181,8 @@ FROM c a JOIN c b ON a.path_id = b.path_id AND b.t < a.t AND a.t - b.t <= 2.5 GR
 def banded_pairs_long(spark, d):
     """Pairs of two long paths within 2.5 days, the reach of a uniform kernel of width 2 after half a day."""
     k = kernels.Uniform(1.0, 2.0, 0.5)
-    p = banded.banded_pairs(long_paths(spark, d), k.reach())
-    return p.groupBy("path_id", "k", "j").agg(F.count(F.lit(1)).alias("n"), r(F.sum(k.phi(col("dt"))), 6).alias("phi"))
+    p = banded.banded_counts(long_paths(spark, d), k.reach())
+    return p.groupBy("path_id", "k", "j").agg(F.sum("n").alias("n"), r(F.sum(col("n") * k.phi(col("dt"))), 6).alias("phi"))
 
 
 # --- power laws by the scan
