@@ -69,6 +69,11 @@ def kappa(events: DataFrame, dims: int) -> DataFrame:
     return blocks.kappa(events, dims)
 
 
+def kappa_totals(events: DataFrame, dims: int) -> DataFrame:
+    """(path_id, i, n, kappa_0, kappa_1 ...): sums of ``kappa`` over the events of each type, from counts at distinct times."""
+    return blocks.kappa_totals(events, dims)
+
+
 def lag_sizes(kappas: DataFrame) -> DataFrame:
     """(path_id, i, j, h, size): how many type-i events have at least h type-j predecessors, h from 1."""
     per = kappas.where("kappa >= 0").groupBy("path_id", "i", "j", (col("kappa") + 1).alias("h")).agg(F.count(F.lit(1)).alias("n"))
@@ -98,9 +103,13 @@ def counting_process(queries: DataFrame, events: DataFrame, dims: int) -> DataFr
     return blocks.counting_process(queries, events, dims)
 
 
+def _bin_of(period: float, bins: int) -> Column:
+    return F.when(col("t") == bins * period, bins - 1).otherwise(F.floor(col("t") / period)).cast("long")
+
+
 def histogram(events: DataFrame, period: float, bins: int) -> DataFrame:
     """(path_id, dim, bin, n) over [0, bins * period], every bin of every path and dimension; the last bin holds its right end."""
-    at = F.when(col("t") == bins * period, bins - 1).otherwise(F.floor(col("t") / period)).cast("long")
+    at = _bin_of(period, bins)
     counted = events.where((col("t") >= 0) & (col("t") <= bins * period)).groupBy("path_id", "dim", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = events.select("path_id", "dim").distinct().select("path_id", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(counted, ["path_id", "dim", "bin"], "left").select("path_id", "dim", "bin", F.coalesce("n", F.lit(0)).alias("n"))
@@ -111,13 +120,27 @@ def empirical_intensity(events: DataFrame, period: float, bins: int) -> DataFram
 
 
 def empirical_covariance(events: DataFrame, period: float, bins: int, max_lag: int) -> DataFrame:
-    """(path_id, i, j, lag, covariance) of counts n_j(s), n_i(s + lag), over the bins that both have."""
-    h = histogram(events, period, bins)
-    later = h.select("path_id", col("dim").alias("i"), "bin", col("n").alias("n_i"))
-    earlier = h.select("path_id", col("dim").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "bin", col("n").alias("n_j"))
-    both = earlier.withColumn("bin", col("bin") + col("lag")).join(later, ["path_id", "bin"])
-    cov = F.avg(col("n_i") * col("n_j")) - F.avg("n_i") * F.avg("n_j")
-    return both.groupBy("path_id", "i", "j", "lag").agg((cov / period).alias("covariance"))
+    """(path_id, i, j, lag, covariance) of counts n_j(s), n_i(s + lag), over the bins that both have.
+
+    A path's histograms meet in one row, an array of its bins for each dimension, so nothing but the counts is shuffled.
+    """
+    at = F.when((col("t") >= 0) & (col("t") <= bins * period), _bin_of(period, bins))
+    counted = events.groupBy("path_id", "dim", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    held = counted.groupBy("path_id", "dim").agg(F.map_from_entries(F.collect_list(F.when(col("bin").isNotNull(), F.struct("bin", "n")))).alias("held"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda b: F.coalesce(col("held")[b], F.lit(0).cast("long")))
+    lags = range(min(max_lag, bins - 1) + 1)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    part = lambda lag, late: F.slice("n", lag + 1 if late else 1, bins - lag)
+    sides = held.select("path_id", "dim", dense.alias("n")).select("path_id", "dim", "n", *[F.array(*[total(part(lag, late)) for lag in lags]).alias(name) for name, late in (("late", True), ("early", False))])
+    whole = sides.groupBy("path_id").agg(F.collect_list(F.struct("dim", "n", "late", "early")).alias("all"))
+    both = whole.select("path_id", F.explode("all").alias("x"), "all").select("path_id", "x", F.explode("all").alias("y"))
+
+    def covariance(lag: int) -> Column:
+        product = total(F.zip_with(F.slice("x.n", lag + 1, bins - lag), F.slice("y.n", 1, bins - lag), lambda a, b: a * b))
+        return product / (bins - lag) - col("x.late")[lag] / (bins - lag) * (col("y.early")[lag] / (bins - lag))
+
+    each = F.array(*[F.struct(F.lit(lag).alias("lag"), (covariance(lag) / period).alias("covariance")) for lag in lags])
+    return both.select("path_id", col("x.dim").alias("i"), col("y.dim").alias("j"), F.inline(each))
 
 
 def interval_rates(events: DataFrame, bounds: list[float]) -> DataFrame:

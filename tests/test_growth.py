@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import banded
+from pulsegrid.operators import banded, paths, simulate
 
 EVENTS = "path_id long, event_id long, dim int, t double, mark double"
 
@@ -27,3 +28,41 @@ def test_banded_counts_are_those_of_the_pairs(spark):
     assert len(got) == len(want) <= 2 * 12 * 2 * 9
     crowd = spark.range(200_000).select(F.lit(1).cast("long").alias("path_id"), F.col("id").alias("event_id"), F.lit(0).alias("dim"), (F.col("id") % 2).cast("double").alias("t"), F.lit(1.0).alias("mark"))
     assert [(x.dt, x.n) for x in banded.banded_counts(crowd, 1.0).collect()] == [(1.0, 100_000**2)]
+
+
+def test_covariances_of_a_path_need_no_join_of_its_bins(spark):
+    rows, frame = tied_events(spark)
+    out = paths.empirical_covariance(frame.withColumn("t", F.col("t") - 1), 2.0, 5, 7)  # some before the first bin, some past the last, one lag too long
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    n = np.zeros((2, 3, 5))
+    for p, _, k, t, _ in rows:
+        if 0 <= t - 1 <= 10:
+            n[p, k, min(int((t - 1) // 2), 4)] += 1
+    want = {(p, i, j, lag): (np.mean(n[p, j, : 5 - lag] * n[p, i, lag:]) - n[p, j, : 5 - lag].mean() * n[p, i, lag:].mean()) / 2 for p in range(2) for i in range(3) for j in range(3) for lag in range(5)}
+    got = {(x.path_id, x.i, x.j, x.lag): x.covariance for x in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_kappa_totals_are_sums_of_kappa(spark):
+    _, frame = tied_events(spark)
+    k = paths.kappa(frame, 3).groupBy("path_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("kappa").alias("s")).collect()
+    got = {(x.path_id, x.i): x for x in paths.kappa_totals(frame, 3).collect()}
+    assert len(k) == 18 and all((got[x.path_id, x.i].n, got[x.path_id, x.i][f"kappa_{x.j}"]) == (x.n, x.s) for x in k)
+
+
+def test_poisson_draws_are_the_quantiles_of_their_uniforms(spark):
+    """Small numbers are told by comparisons, others by the long sum; both are the law's quantile, and large means are split."""
+    at = spark.range(4000).withColumn("mean", F.col("id") % 40 / 5 + 0.02)
+    rows = at.select("mean", simulate.uniform(3, F.col("id"), F.lit(1)).alias("u"), simulate.poisson(F.col("mean"), 3, F.col("id")).alias("n")).collect()
+    for x in rows:
+        p = c = math.exp(-x.mean)
+        n = 0
+        while c < x.u and n < 80:
+            n += 1
+            p = p * x.mean / n
+            c += p
+        assert x.n == n
+    many = spark.range(2000).select(simulate.poisson(F.lit(50.0), 3, F.col("id")).alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
+    assert abs(many[0] - 50) < 1 and abs(many[1] - 50) < 8
+    whole = spark.range(1).select(simulate.poisson(F.lit(0.1), 3, F.col("id")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in whole  # a draw of a small mean is a comparison first
