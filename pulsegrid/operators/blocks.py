@@ -34,7 +34,7 @@ def with_block(rows: DataFrame, width: float, t: str = "t") -> DataFrame:
 
 
 def counts_before(rows: DataFrame, ones: dict[str, Column], width: float, inclusive: bool = False) -> DataFrame:
-    """Adds for each name the sum of its 0/1 column over the rows of the path that are earlier (or at the same time)."""
+    """Adds for each name the sum of its whole-numbered column, a 0/1 or a count, over the rows of the path that are earlier (or at the same time)."""
     names = list(ones)
     rows = with_block(rows, width).withColumns({f"__one_{c}": x.cast("long") for c, x in ones.items()})
     up_to = Window.partitionBy("path_id", "block").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -65,6 +65,17 @@ def kappa(events: DataFrame, dims: int, width: float | None = None) -> DataFrame
     return out.select("path_id", col("dim").alias("i"), "m", each).select("path_id", "i", "m", "x.j", "x.kappa")
 
 
+def kappa_totals(events: DataFrame, dims: int, width: float | None = None) -> DataFrame:
+    """(path_id, i, n, kappa_0, kappa_1 ...): the number of events of type i, and ``kappa`` summed over them for each type.
+
+    Events of a path and type at one time have equal indices, so they are one row with their number.
+    """
+    grouped = events.groupBy("path_id", "dim", "t").agg(F.count(F.lit(1)).alias("n"))
+    width = width or block_width(grouped)
+    out = counts_before(grouped, {f"k{j}": F.when(col("dim") == j, col("n")).otherwise(0) for j in range(dims)}, width)
+    return out.groupBy("path_id", col("dim").alias("i")).agg(F.sum("n").alias("n"), *[F.sum(col("n") * (col(f"k{j}") - 1)).alias(f"kappa_{j}") for j in range(dims)])
+
+
 def counting_process(queries: DataFrame, events: DataFrame, dims: int, width: float | None = None) -> DataFrame:
     """(query_id, path_id, t, n_0, n_1 ...): how many events of each dimension stand at or before t."""
     width = width or block_width(events)
