@@ -27,6 +27,8 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 #: A Poisson draw is a sum of draws with means up to this, and the chance that one of these is over ``MOST`` is under the resolution of u.
 PART, MOST = 8.0, 80
+#: Steps of the sum that every draw takes; few need more.
+OFTEN = 16
 
 
 def _poisson_quantile(mean: Column, u: Column) -> Column:
@@ -38,14 +40,23 @@ def _poisson_quantile(mean: Column, u: Column) -> Column:
         p = s["p"] * mean / k
         return F.struct(F.when(more, p).otherwise(s["p"]).alias("p"), F.when(more, s["c"] + p).otherwise(s["c"]).alias("c"), F.when(more, k).otherwise(s["n"]).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), first, add, lambda s: s["n"])
+    rest = lambda s: F.aggregate(F.sequence(F.lit(OFTEN + 1), F.lit(MOST)), s, add, lambda s: s["n"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(OFTEN)), first, add, lambda s: F.when(s["c"] < u, rest(s)).otherwise(s["n"]))
 
 
 def poisson(mean: Column, seed: int, *keys: Column) -> Column:
-    """A Poisson number of any mean: a large mean is split evenly over independent draws, which the keys and their number seed."""
+    """A Poisson number of any mean: a large mean is split evenly over independent draws, which the keys and their number seed.
+
+    A number that a mean within one part makes 0, 1 or 2 is told by comparing u with plain sums; only what is over them takes the long sum.
+    """
     parts = F.greatest(F.ceil(mean / PART), F.lit(1)).cast("int")
     each = F.transform(F.sequence(F.lit(1), parts), lambda i: _poisson_quantile(mean / parts, uniform(seed, *keys, i)))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+    split = F.aggregate(each, F.lit(0), lambda a, x: a + x)
+    u, p0 = uniform(seed, *keys, F.lit(1)), F.exp(-mean)
+    p1 = p0 * mean / F.lit(1)
+    p2 = p1 * mean / F.lit(2)
+    few = F.when(u <= p0, F.lit(0)).when(u <= p0 + p1, F.lit(1)).when(u <= p0 + p1 + p2, F.lit(2)).otherwise(_poisson_quantile(mean, u))
+    return F.when(mean <= PART, few).otherwise(split)
 
 
 def immigrants(spark: SparkSession, paths: int, mu: np.ndarray, horizon: float, seed: int, cell: float | None = None) -> DataFrame:
@@ -65,10 +76,7 @@ def offspring(parents: DataFrame, kernel: Callable[[int, int], Kernel], mean: np
     """The next generation; mean[k, j] is the expected number of type-k children of a type-j parent."""
     d = len(mean)
     dims = parents.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(d)])))
-    expected = F.lit(0.0)
-    for k in range(d):
-        for j in range(d):
-            expected = F.when((col("k") == k) & (col("dim") == j), F.lit(float(mean[k, j]))).otherwise(expected)
+    expected = F.coalesce(F.get(F.array(*[F.lit(float(x)) for x in np.ravel(mean)]), F.when(col("dim").between(0, d - 1), col("k") * d + col("dim"))), F.lit(0.0))
     if impact:
         expected = expected * impact(col("k"), col("dim"), col("mark"))
     n = poisson(expected, seed, F.lit("children"), col("id"), col("k"))
