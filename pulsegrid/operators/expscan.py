@@ -8,15 +8,20 @@ no look further back than six spans, and an exponent is never over 30.  Decays t
 
 Decays whose sizes differ by up to ``SPREAD`` share their blocks, and so one shuffle of the events; slower ones, and sums without decay (beta = 0), take blocks of
 their own with a few thousand events each.  Every window is bounded by a path and a block, or by the blocks of a path and a span.
+
+Where no path has more than ``SPREAD`` events, nothing of this is needed: each sum follows from the one before it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.kernels import Exponential
 from pulsegrid.operators import blocks
@@ -84,6 +89,8 @@ def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Se
     if width is None:
         n, span = blocks.extent(events)
         width, short = blocks.width_of(n, span), n <= SPREAD
+        if short:
+            return _sums_of_short_paths(events, betas, [u for _, u in terms], names)
     rows = events
     for w, own in decay_groups(betas, width, short):
         rows = rows.withColumn("block", F.floor(col("t") / w)).withColumn("start", col("block") * w)
@@ -105,6 +112,64 @@ def exp_sums(events: DataFrame, terms: Sequence[tuple[float, Column]], names: Se
     return rows
 
 
+def _sums_of_short_paths(events: DataFrame, betas: Sequence[float], jumps: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """``exp_sums`` where no path is long: events meet by path, sorted by time, and each sum follows from the one before; paths of a batch go on side by side.
+
+    Only the events are shuffled and sorted; what the terms add to a row is made after that and goes through a batch at a time.
+    """
+    own = list({id(u): u for u in jumps}.values())  # a jump that many decays share is sent once
+    at = [next(i for i, x in enumerate(own) if x is u) for u in jumps]
+    decays = sorted(set(betas))
+    decay_of, decays = np.array([decays.index(b) for b in betas], dtype=int), np.array(decays)
+    width, jumps_sent = len(events.columns), len(own)
+    path_at, t_at = events.columns.index("path_id"), events.columns.index("t")
+    names = list(names)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, fresh, before = None, np.zeros(len(names)), np.zeros(len(names)), 0.0
+        for b in it:
+            n = b.num_rows
+            if not n:
+                continue
+            paths, t = b.column(path_at).to_pylist(), b.column(t_at).to_numpy(zero_copy_only=False).astype(float)
+            u = np.empty((n, jumps_sent))
+            for i in range(jumps_sent):
+                u[:, i] = b.column(width + i).fill_null(0.0).to_numpy(zero_copy_only=False)
+            u = u[:, at]
+            starts = np.array([i for i in range(n) if i == 0 or paths[i] != paths[i - 1]])
+            lengths = np.diff(np.append(starts, n))
+            goes_on = last is not None and paths[0] == last
+            gap = np.diff(t, prepend=before)
+            gap[starts[1 if goes_on else 0 :]] = 0.0
+            later = (gap > 0)[:, None]
+            lost = np.exp(-gap[:, None] * decays)[:, decay_of]
+            out = np.empty((n, len(names)))
+            order = np.argsort(-lengths, kind="stable")
+            first, size = starts[order], lengths[order]
+            # of the strictly earlier events, and of those at the time of the last one
+            a, p = np.zeros((len(first), len(names))), np.zeros((len(first), len(names)))
+            if goes_on:
+                a[order == 0], p[order == 0] = held, fresh
+            active = len(first)
+            for r in range(size[0]):
+                while size[active - 1] <= r:
+                    active -= 1
+                rows = first[:active] + r
+                step = later[rows]
+                a[:active] = (a[:active] + np.where(step, p[:active], 0.0)) * lost[rows]
+                p[:active] = np.where(step, 0.0, p[:active]) + u[rows]
+                out[rows] = a[:active]
+            tail = np.flatnonzero(order == len(first) - 1)[0]
+            last, held, fresh, before = paths[-1], a[tail].copy(), p[tail].copy(), t[-1]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), *(pa.array(np.ascontiguousarray(x)) for x in out.T)], names=[*events_names, *names])
+
+    events_names = list(events.columns)
+    rows = events.where(col("path_id").isNotNull() & col("t").isNotNull()).repartition("path_id").sortWithinPartitions("path_id", "t")
+    rows = rows.select("*", *[u.cast("double").alias(f"__u{i}") for i, u in enumerate(own)])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema] + [T.StructField(n, T.DoubleType()) for n in names])
+    return rows.mapInArrow(batches, schema)
+
+
 def exp_intensity(events: DataFrame, mu: Sequence[float], omega: Sequence[Sequence[float]], beta: Sequence[Sequence[float]], impact=None) -> DataFrame:
     """(path_id, k, m, t, intensity) for exponential kernels, without pairs."""
     d = len(mu)

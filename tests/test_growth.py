@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import banded, paths, simulate
+from pulsegrid.operators import banded, expscan, paths, sampling, simulate
 
 EVENTS = "path_id long, event_id long, dim int, t double, mark double"
 
@@ -66,3 +66,40 @@ def test_poisson_draws_are_the_quantiles_of_their_uniforms(spark):
     assert abs(many[0] - 50) < 1 and abs(many[1] - 50) < 8
     whole = spark.range(1).select(simulate.poisson(F.lit(0.1), 3, F.col("id")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in whole  # a draw of a small mean is a comparison first
+
+
+def test_sums_of_short_paths_follow_from_one_another(spark):
+    """Ties, several batches within a path, decays of all sizes and none, null marks: as plain sums, with nothing but the events shuffled."""
+    rows, frame = tied_events(spark, 400, 60, 3)
+    frame = frame.withColumn("mark", F.when(F.col("event_id") % 7 > 0, F.col("mark")))
+    betas, names = [0.7, 0.0, 300.0, 1e-4, 0.7], list("abcde")
+    one = F.lit(1.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        out = expscan.exp_sums(frame, [(b, F.col("mark") if n == "e" else one) for b, n in zip(betas, names)], names)
+        got = {x.event_id: x for x in out.collect()}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in plan and "Join" not in plan and len(got) == 400
+    for p, e, _, t, _ in rows:
+        for b, n in zip(betas, names):
+            want = sum(math.exp(-b * (t - s)) * (1.0 if n != "e" else x if i % 7 else 0.0) for q, i, _, s, x in rows if q == p and s < t)
+            assert abs(got[e][n] - want) < 1e-9 * max(1, want)
+    assert expscan.exp_sums(frame.limit(0), [(1.0, one)], ["a"]).count() == 0
+
+
+def test_whole_strata_are_taken_from_the_rows(spark):
+    """A stratum that is drawn whole is each of its pairs once; no list of its places is made."""
+    _, frame = tied_events(spark, 200, 40)
+    places = sampling.place_pairs(frame, 3, [(1, 1), (2, 3), (4, 1000)])
+    allocation = {0: places.sizes[0], 1: 25, 2: places.sizes[2] + 5}
+    got = places.draw(allocation, 3).collect()
+    found = Counter(x.stratum for x in got)
+    assert found == {0: places.sizes[0], 1: 25, 2: places.sizes[2]}
+    assert len({(x.path_id, x.i, x.m, x.j, x.h) for x in got}) == len(got) and all(x.dt > 0 for x in got)
+    whole = places.indices({0: places.sizes[0]}, 3)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString() and whole.count() == places.sizes[0]
+    assert places.indices({}, 3).count() == 0
+    k = paths.kappa(frame, 3).where("kappa >= 0").count()
+    assert whole.where("h = 1 and n >= 0").count() == k
