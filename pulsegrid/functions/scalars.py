@@ -57,17 +57,21 @@ def kepler(theta: Number, epsilon: Number) -> Column:
     return col(theta) - col(epsilon) * F.sin(col(theta))
 
 
-def inverse_kepler(y: Number, epsilon: float, steps: int = 40) -> Column:
-    """theta with theta - epsilon sin(theta) = y, by bisection on [y - epsilon, y + epsilon]."""
-    y = col(y)
-    start = F.struct((y - epsilon).alias("low"), (y + epsilon).alias("high"))
+def inverse_kepler(y: Number, epsilon: Number, steps: int = 40) -> Column:
+    """theta with theta - epsilon sin(theta) = y, by bisection on [y - epsilon, y + epsilon] over whole arrays."""
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["low"] + s["high"]) / 2
-        left = kepler(mid, epsilon) >= y
-        return F.struct(F.when(left, s["low"]).otherwise(mid).alias("low"), F.when(left, mid).otherwise(s["high"]).alias("high"))
+    @F.pandas_udf(T.DoubleType())
+    def bisected(y: pd.Series, epsilon: pd.Series) -> pd.Series:
+        at, e = y.to_numpy(float), epsilon.to_numpy(float)
+        low, high = at - e, at + e
+        for _ in range(steps):
+            mid = (low + high) / 2
+            left = mid - e * np.sin(mid) >= at
+            low, high = np.where(left, low, mid), np.where(left, mid, high)
+        return pd.Series((low + high) / 2)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
+    y, e = col(y), col(epsilon)
+    return F.when(y.isNotNull() & e.isNotNull(), bisected(y, e))
 
 
 def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
@@ -273,6 +277,15 @@ def inverse_kepler_series(y: Number, e: float, tolerance: float = 1e-13) -> Colu
     while e and 2 * ratio ** (terms + 1) / ((terms + 1) * (1 - ratio)) > tolerance:
         terms += 1
     weights = [2 * j / n for n, j in enumerate(bessel_multiples(e, terms), 1)]
+
+    @F.pandas_udf(T.DoubleType())
+    def series(y: pd.Series) -> pd.Series:
+        """Clenshaw's recurrence over a whole array, so that a row takes one sine and one cosine."""
+        at = y.to_numpy(float)
+        turn, above, here = 2 * np.cos(at), np.zeros_like(at), np.zeros_like(at)
+        for w in reversed(weights):
+            above, here = here, w + turn * here - above
+        return pd.Series(at + here * np.sin(at))
+
     y = col(y)
-    waves = F.zip_with(F.sequence(F.lit(1), F.lit(terms)), F.array(*[F.lit(w) for w in weights]), lambda n, w: w * F.sin(n * y))
-    return y + F.aggregate(waves, F.lit(0.0), lambda a, x: a + x)
+    return F.when(y.isNotNull(), series(y))

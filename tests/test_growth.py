@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import scalars
 from pulsegrid.operators import banded, expscan, paths, sampling, simulate
 
 EVENTS = "path_id long, event_id long, dim int, t double, mark double"
@@ -103,3 +104,14 @@ def test_whole_strata_are_taken_from_the_rows(spark):
     assert places.indices({}, 3).count() == 0
     k = paths.kappa(frame, 3).where("kappa >= 0").count()
     assert whole.where("h = 1 and n >= 0").count() == k
+
+
+def test_kepler_is_undone_over_whole_arrays(spark):
+    """By series and by bisection alike, nulls stay null, and no row walks a list of terms of its own."""
+    y = F.when(F.col("id") % 5 > 0, F.col("id") / 3 - 6)
+    out = spark.range(60).select(y.alias("y"), scalars.inverse_kepler_series(y, 0.6).alias("a"), scalars.inverse_kepler(y, F.lit(0.6), 52).alias("b"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with(" not in plan
+    for x in out.collect():
+        assert (x.y is None) == (x.a is None) == (x.b is None)
+        assert x.y is None or abs(x.a - x.b) < 1e-9 and abs(x.b - 0.6 * math.sin(x.b) - x.y) < 1e-12
