@@ -25,12 +25,14 @@ from pulsegrid.functions.impacts import Family
 from pulsegrid.operators import blocks, marked
 from pulsegrid.operators.fit import Adam, Schedule
 from pulsegrid.operators.storage import cut_lineage
-from pulsegrid.operators.strata import augmented, lag_strata, neyman_allocation, smoothed, stratified_sum
+from pulsegrid.operators.strata import augmented, lag_strata, neyman_allocation, smoothed, stratum_moments, sum_of_strata
 
 col = F.col
 ROWS_IN_BUCKET = 256
 BUCKETS_IN_GROUP = 1_024
 ROUNDS = 6
+#: So many drawn places are sent to the rows and events; more meet them by a shuffle.
+MAX_BROADCAST_DRAWN = 100_000
 #: Steps of the walk; each ends it with probability over 1 / 4, so it is longer with probability under 1e-31.
 WALK = 250
 
@@ -70,11 +72,34 @@ class PairPlaces:
 
     def indices(self, allocation: dict[int, int], seed: int) -> DataFrame:
         """(stratum, path_id, i, m, j, h, n) of exactly min(q, size) places of each stratum: the n-th event of type j, h back from m."""
+        taken = {s: min(q, self.sizes[s]) for s, q in allocation.items() if q > 0 and s in self.sizes}
+        whole = [s for s, q in taken.items() if q == self.sizes[s]]
+        part = {s: q for s, q in taken.items() if q < self.sizes[s]}
+        if not part:
+            return self._whole(whole) if whole else self._whole([0]).where(F.lit(False))
+        drawn = self._drawn(part, seed)
+        drawn = cut_lineage(self._whole(whole).unionByName(drawn) if whole else drawn)
+        return F.broadcast(drawn) if sum(taken.values()) <= MAX_BROADCAST_DRAWN else drawn
+
+    def _whole(self, strata: list[int]) -> DataFrame:
+        """All places of these strata, straight from the rows."""
+        each = F.array(*[F.struct(F.lit(s).alias("stratum"), F.lit(self.strata[s][0]).cast("long").alias("low"), F.get(col("counts"), F.lit(s)).alias("count")) for s in strata])
+        found = self.rows.select("path_id", "i", "m", "j", "kappa", F.inline(F.filter(each, lambda x: x["count"] > 0)))
+        found = found.select("stratum", "path_id", "i", "m", "j", "kappa", F.explode(F.sequence(col("low"), col("low") + col("count") - 1)).alias("h"))
+        return found.select("stratum", "path_id", "i", "m", "j", "h", (col("kappa") - col("h") + 1).alias("n"))
+
+    def _drawn(self, allocation: dict[int, int], seed: int) -> DataFrame:
+        """The drawn places of strata that are not taken whole."""
         spark = self.events.sparkSession
-        plan = [(s, min(q, self.sizes[s]), self.sizes[s]) for s, q in allocation.items() if q > 0 and s in self.sizes]
-        picks = spark.createDataFrame(plan, "stratum int, q long, size long").select("stratum", "size", F.explode(F.sequence(F.lit(0).cast("long"), col("q") - 1)).alias("k"))
-        picks = picks.repartition(max(1, sum(q for _, q, _ in plan) // 10_000)).select("stratum", permuted(col("k"), col("size"), F.xxhash64(F.lit(seed), "stratum")).alias("place"))
+        plan, total = [], 0
+        for s, q in allocation.items():
+            plan.append((s, total, self.sizes[s]))
+            total += q
+        own = F.array(*[F.struct(F.lit(s).alias("stratum"), F.lit(at).cast("long").alias("at"), F.lit(size).cast("long").alias("size")) for s, at, size in plan])
+        picks = spark.range(0, total, 1, max(1, total // 10_000)).select("id", F.element_at(F.filter(own, lambda x: x["at"] <= col("id")), -1).alias("x"))
+        picks = picks.select("x.stratum", permuted(col("id") - col("x.at"), col("x.size"), F.xxhash64(F.lit(seed), col("x.stratum"))).alias("place"))
         picks = cut_lineage(picks)
+        small = total <= MAX_BROADCAST_DRAWN
 
         def located(picks: DataFrame, table: DataFrame, keys: list[str], name: str) -> DataFrame:
             """Each pick with the last ``name`` of the table that begins at or before its place."""
@@ -88,10 +113,11 @@ class PairPlaces:
         picks = located(picks, self.offsets, ["stratum", "group"], "bucket")
         picks = picks.join(self.offsets.select("stratum", "bucket", "at"), ["stratum", "bucket"]).withColumn("place", col("place") - col("at"))
         start, count = F.get(col("starts"), col("stratum")), F.get(col("counts"), col("stratum"))
-        found = self.rows.join(picks.select("bucket", "stratum", "place"), "bucket").where((col("place") >= start) & (col("place") < start + count))
+        picks = picks.select("bucket", "stratum", "place")
+        found = self.rows.join(F.broadcast(picks) if small else picks, "bucket").where((col("place") >= start) & (col("place") < start + count))
         low = F.array(*[F.lit(lo).cast("long") for lo, _ in self.strata])
         h = F.get(low, col("stratum")) + col("place") - start
-        return cut_lineage(found.select("stratum", "path_id", "i", "m", "j", h.alias("h"), (col("kappa") - h + 1).alias("n")))
+        return found.select("stratum", "path_id", "i", "m", "j", h.alias("h"), (col("kappa") - h + 1).alias("n"))
 
     def draw(self, allocation: dict[int, int], seed: int) -> DataFrame:
         """(stratum, path_id, i, m, j, h, t, dt, mark, mark_m) of exactly min(q, size) pairs of each stratum."""
@@ -254,12 +280,16 @@ def estimated_sums(places: PairPlaces, values: dict[str, Column], domains: Domai
         most = [max((x[f"s{i}"] for x in got), default=0.0) or 1.0 for i in range(len(values))]
         seen = smoothed(seen, {x["stratum"]: math.hypot(*[x[f"s{i}"] / m for i, m in enumerate(most)]) for x in got})
         best = neyman_allocation(adaptive, seen, domains.adaptive_budget)
-    sample = cut_lineage(drawn_by({**whole, **best, **shares}, seed + rounds))
+    parts = [drawn_by(x, seed + rounds) for x in (whole, {**best, **shares}) if x]
+    sample = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    one = lambda v, i: [x.alias(f"{x_name}{i}") for x_name, x in stratum_moments(v).items()]
+    per = cut_lineage(sample.groupBy("stratum").agg(*[x for i, v in enumerate(values.values()) for x in one(v, i)]))  # a row for each stratum
     sizes = spark.createDataFrame(list(places.sizes.items()), "stratum int, size long")
     drawn = sum(whole.values()) + sum(min(q, places.sizes[s]) for s, q in {**best, **shares}.items())
     out = None
-    for name, v in values.items():
-        row = stratified_sum(sample, sizes, v).select(F.lit(name).alias("name"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("variance", F.lit(0.0)).alias("variance"), F.lit(sum(places.sizes.values())).cast("long").alias("size"), F.lit(drawn).cast("long").alias("drawn"))
+    for i, name in enumerate(values):
+        own = per.select("stratum", *[col(f"{c}{i}").alias(c) for c in ("mean", "var", "q", "most")])
+        row = sum_of_strata(own, sizes).select(F.lit(name).alias("name"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("variance", F.lit(0.0)).alias("variance"), F.lit(sum(places.sizes.values())).cast("long").alias("size"), F.lit(drawn).cast("long").alias("drawn"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -53,7 +53,16 @@ def stratified_sum(sample: DataFrame, sizes: DataFrame, value: Column) -> DataFr
     A sample may miss the few rows that carry a sum, and its deviation with them, so each stratum's variance is that of
     its sample with one more draw as large as its largest (``augmented``).
     """
-    per = sample.groupBy("stratum").agg(F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"), F.count(F.lit(1)).alias("q"), F.max(F.abs(value)).alias("most"))
+    return sum_of_strata(sample.groupBy("stratum").agg(*[x.alias(name) for name, x in stratum_moments(value).items()]), sizes)
+
+
+def stratum_moments(value: Column) -> dict[str, Column]:
+    """The aggregates of a stratum's sample that ``sum_of_strata`` takes."""
+    return {"mean": F.avg(value), "var": F.coalesce(F.var_samp(value), F.lit(0.0)), "q": F.count(F.lit(1)), "most": F.max(F.abs(value))}
+
+
+def sum_of_strata(per: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``stratified_sum`` from the moments of each stratum (stratum, mean, var, q, most)."""
     per = per.withColumn("var", augmented(col("var"), col("most"), col("q")))
     both = per.join(sizes, "stratum")
     left = 1 - col("q") / col("size")
