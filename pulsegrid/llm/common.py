@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,5 +97,33 @@ def numbered(docs: DataFrame, *columns: Column, row: str = "row") -> DataFrame:
     return written(docs.select(F.monotonically_increasing_id().alias(row), *columns))
 
 
+def numbered_by_place(docs: DataFrame, *columns: Column, row: str = "row", write: bool = True) -> DataFrame:
+    """``columns`` of ``docs`` after a row number, which follows the files' paths and the rows' places in them and so does not depend on how files are split.
+
+    The rows are written once, unless ``write`` is false: then they must be rows of a Parquet table one by one, which are the same at each reading.
+    Where they are not, as after a union or a join, numbers follow the scan.  Numbers begin at 0 and leave out only what a filter left out.
+    """
+    col, part, at = F.col, free_name(docs, "part"), free_name(docs, "at")
+    try:
+        rows = docs.select(col("_metadata.file_path").alias(part), col("_metadata.row_index").alias(at), *columns)
+    except AnalysisException:
+        rows = None
+    if rows is not None and write:
+        rows = written(rows)
+        if rows.count() != rows.select(part, at).where(col(part).isNotNull() & col(at).isNotNull()).distinct().count():
+            rows = None
+    if rows is None:
+        number = numbered(docs, *columns, row=at)
+        rows = number.select(F.shiftright(at, 33).alias(part), col(at).bitwiseAND(2**33 - 1).alias(at), *[col(f"`{c}`") for c in number.columns[1:]])
+    begin, starts = 0, []
+    for x in sorted(rows.groupBy(part).agg((F.max(at) + 1).alias("n")).collect()):  # a row for each file
+        starts.append((x[0], begin))
+        begin += x["n"]
+    own, start = rows.columns[2:], free_name(docs, "start")
+    kind = rows.schema[part].dataType.simpleString()
+    starts = docs.sparkSession.createDataFrame(starts, f"`{part}` {kind}, `{start}` long")
+    return rows.join(F.broadcast(starts), part).select((col(start) + col(at)).alias(row), *[col(f"`{c}`") for c in own])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

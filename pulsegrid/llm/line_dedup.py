@@ -18,7 +18,7 @@ one.
 
 Defined results: a null text has no lines and stays null; lines without a word are kept and never
 compared; lines under 8 words are compared for equality only, as a word is more than an eighth of them; among equal or linked lines the first stays, in
-the order in which the table is scanned; repeated documents keep the lines of the first; very long lines and texts are taken whole; an empty table gives an empty
+the order of the files' paths and of the rows in them, or, where rows do not come from files one by one, of the scan; repeated documents keep the lines of the first; very long lines and texts are taken whole; an empty table gives an empty
 result; extra columns are kept, and those named as the results (n_lines, n_exact, n_near, removed, origins) are replaced.
 Two lines, or two words, are taken for one if 128, or 64, bits of their hashes are equal; of different lines with the same first 64 bits
 only the one with the least others can be linked.
@@ -30,11 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.buckets import bucket_classes, differing
-from pulsegrid.llm.common import cut_lineage, free_name, numbered, small_or_plain, table, written
+from pulsegrid.llm.common import cut_lineage, free_name, numbered_by_place, small_or_plain, table, written
 
 EIGHTH, HALF, MOST = 8, 2, 30
 SPACES = "\t\x0b\x0c\r"
 MAX_BROADCAST_ROWS = 1_000_000
+#: Numbers of lines below a row's number in ``pos``; a text has fewer lines, so rows may number 2^32.
+LINES = 2**31
 #: Open buckets of no more lines than this are compared as pairs, which costs less than keys by their words.
 FEW = 8
 WORD = r"[^\x20\x09-\x0D]"
@@ -152,9 +154,9 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 
 def hashed_lines(rows: DataFrame) -> DataFrame:
-    """(row, number, pos, node, node2, has_word) of every line, written; pos rises in the order of the scan."""
+    """(row, number, pos, node, node2, has_word) of every line, written; pos rises with the row and the line's number."""
     col = F.col
-    return written(lines_of(rows).select("row", "number", F.monotonically_increasing_id().alias("pos"), F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), col("line").rlike(WORD).alias("has_word")))
+    return written(lines_of(rows).select("row", "number", (col("row") * LINES + col("number")).alias("pos"), F.xxhash64("line").alias("node"), F.xxhash64(F.lit(97), "line").alias("node2"), col("line").rlike(WORD).alias("has_word")))
 
 
 def linked_lines(rows: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def linked_lines(rows: DataFrame) -> DataFrame:
         most = edits(F.greatest(n, n2))
         return (F.abs(n - n2) <= most) & (F.greatest(at, at2) <= most)
 
-    found = bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room, few=FEW)
+    found = bucket_classes(members, verify, lambda d, na, nb: d <= edits(F.greatest(na, nb)), rest, room, few=FEW, fits=lambda n, n2: F.abs(n - n2) <= edits(F.greatest(n, n2)))
     found = found.select("node", "root").unionByName(found.select(col("root").alias("node"), "root").distinct())
     return found.join(words.select("node", "node2"), "node")
 
@@ -195,11 +197,12 @@ def line_classes(rows: DataFrame) -> DataFrame:
     """(row, number, pos, first, root) of every line of rows (row, text): where its text and its class stand first."""
     col = F.col
     lines, roots = hashed_lines(rows), linked_lines(rows)
+    roots = cut_lineage(roots.withColumnRenamed("root", "head"))
     firsts = lines.where("has_word").groupBy("node", "node2").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c"))
-    grouped = firsts.join(roots.withColumnRenamed("root", "head"), ["node", "node2"], "left")
+    grouped = firsts.join(small_or_plain(roots, roots.count(), MAX_BROADCAST_ROWS), ["node", "node2"], "left").where("c > 1 or head is not null")
+    grouped = cut_lineage(grouped.select("node", "node2", "first", "head"))  # the lines that have an equal or linked one
     heads = grouped.where("head is not null").groupBy("head").agg(F.min("first").alias("root"))
-    grouped = grouped.join(heads, "head", "left").where("c > 1 or root is not null").select("node", "node2", "first", F.coalesce("root", "first").alias("root"))
-    grouped = cut_lineage(grouped)  # the lines that have an equal or linked one
+    grouped = cut_lineage(grouped.join(heads, "head", "left").select("node", "node2", "first", F.coalesce("root", "first").alias("root")))
     out = lines.join(small_or_plain(grouped, grouped.count(), MAX_BROADCAST_ROWS), ["node", "node2"], "left")
     return out.select("row", "number", "pos", F.coalesce("first", "pos").alias("first"), F.coalesce("root", "pos").alias("root"))
 
@@ -225,11 +228,14 @@ def line_report(rows: DataFrame) -> DataFrame:
     return counts.join(origins, "row", "left")
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the lines that do not stay, and with n_lines, n_exact, n_near, removed and origins."""
+def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", in_files: bool = False) -> DataFrame:
+    """``docs`` without the lines that do not stay, and with n_lines, n_exact, n_near, removed and origins.
+
+    ``in_files`` says that ``docs`` is columns of a Parquet table, so that it is read again where it is needed and not written anew.
+    """
     col, own = F.col, ("n_lines", "n_exact", "n_near", "removed", "origins")
     row = free_name(docs, "row")
-    rows = numbered(docs, *[col(f"`{c}`") for c in docs.columns if c.lower() not in own], row=row)
+    rows = numbered_by_place(docs, *[col(f"`{c}`") for c in docs.columns if c.lower() not in own], row=row, write=not in_files)
     report = written(line_report(rows.select(col(row).alias("row"), col(f"`{doc_id}`").alias("id"), col(f"`{text}`").alias("text"))))
     rows = rows.join(small_or_plain(report.withColumnRenamed("row", row), report.count(), MAX_BROADCAST_ROWS), row, "left").drop(row)
     lines = free_name(rows, "lines")
@@ -244,5 +250,5 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = dedup_lines(docs)
+    rows = dedup_lines(docs, in_files=True)
     return rows.select("doc_id", "n_lines", "n_exact", "n_near", F.array_join("removed", ",").alias("removed"), "origins", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -317,6 +317,21 @@ def test_results_do_not_depend_on_how_files_are_split(spark, docs, tmp_path):
     assert sum(found[0][2].values()) == sum(found[1][2].values())
 
 
+def test_lines_stay_in_the_order_of_files_and_rows(spark, tmp_path):
+    """However files are split and however large they are, of equal lines that of the first file and row stays."""
+    for i in range(3):
+        rows = [(100 * i + k, f"line {k}\nof file {i} {'x' * 4000 * i}") for k in range(40)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d/f={i}")
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        d = spark.read.parquet(f"{tmp_path}/d").select("doc_id", "text")
+        for in_files in (False, True):
+            got = {x.doc_id: x for x in line_dedup.dedup_lines(d, in_files=in_files).collect()}
+            assert {k for k, x in got.items() if 0 not in x.removed} == set(range(40)) and len(got) == 120
+            assert {k for k, x in got.items() if 1 not in x.removed} == {0, 100, 200}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_mixing_meets_the_targets(spark, docs, empty):
     rows = [(i, f"s{i % 4}" if i % 9 else None, (i * 7919) % 50) for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, source string, size long")
